@@ -20,6 +20,8 @@ Null text counts as empty and gives no ids. Special tokens in the text are singl
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 from functools import lru_cache
 from itertools import chain
 
@@ -36,6 +38,45 @@ PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 TABLE_ARCS = 2_000_000
 
 
+class WordSplit:
+    """PRE_SPLIT under the tokenizer's Unicode version.
+
+    The regex module may know letters and digits that are younger than the tokenizer's tables; to the tokenizer
+    they are symbols. The library is asked once which of those that Python's tables lack it knows. Texts with
+    one that it lacks take a slower pattern that leaves these out.
+    """
+
+    def __init__(self):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        every = "".join(map(chr, chain(range(0x80, 0xD800), range(0xE000, 0x110000))))
+        new = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+        asked = "".join(f" a{c}b 1{c}2" for c in new)
+        words = {asked[s:e] for _, (s, e) in ByteLevel(add_prefix_space=False).pre_tokenize_str(asked)}
+        young = [c for c in new if f" a{c}b" not in words and f" 1{c}2" not in words]
+        runs: list[list[int]] = []
+        for o in map(ord, young):
+            if runs and runs[-1][1] == o - 1:
+                runs[-1][1] = o
+            else:
+                runs.append([o, o])
+        ranges = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+        self.young = re.compile(f"[{ranges}]") if runs else None
+        self.usual = regex.compile(PRE_SPLIT).findall
+        old = PRE_SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{ranges}])").replace(r"\p{L}+", rf"[\p{{L}}--[{ranges}]]+").replace(r"\p{N}+", rf"[\p{{N}}--[{ranges}]]+")
+        self.rare = regex.compile(old, regex.V1).findall if runs else self.usual
+
+    def findall(self, text: str) -> list[str]:
+        if self.young is None or text.isascii() or not self.young.search(text):
+            return self.usual(text)
+        return self.rare(text)
+
+
+@lru_cache(maxsize=1)
+def word_split() -> WordSplit:
+    return WordSplit()
+
+
 def byte_alphabet() -> dict[str, int]:
     """The character that stands for each byte in byte-level vocabularies, by its rule: printable Latin-1 for itself, the rest from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -151,7 +192,7 @@ class Tokenizer:
             labels[i] = token.encode()
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.automaton = MergeAutomaton(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
-        self.words = regex.compile(PRE_SPLIT)
+        self.words = word_split()
         self.apart = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.memo = common.Memo(lambda w: self.automaton.encode(w.encode()))
 

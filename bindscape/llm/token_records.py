@@ -25,12 +25,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe_automaton import PRE_SPLIT, default_path
+from .bpe_automaton import default_path, word_split
 
 MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
@@ -72,7 +71,7 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.words = regex.compile(PRE_SPLIT)
+        self.words = word_split()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.wide = self.library.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.memo: dict[str, tuple[int, ...]] = {}
