@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, token_counts, token_records
+from . import bpe_automaton, extendible_dedup, language_id, quality_fm, token_counts, token_records
 
 
 def queries() -> dict:
@@ -10,8 +10,11 @@ def queries() -> dict:
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_token_records": token_records.op2_token_records,
         "op4_bpe": bpe_automaton.op4_bpe,
+        "op5_quality_fm": quality_fm.op5_quality_fm,
+        "op7_exact_dedup": extendible_dedup.op7_exact_dedup,
+        "op8_language_id": language_id.op8_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_exact_dedup": extendible_dedup.OP7_SQL}
