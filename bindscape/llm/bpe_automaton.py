@@ -22,9 +22,11 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -38,38 +40,52 @@ PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 TABLE_ARCS = 2_000_000
 
 
+#: The same split for the re module, for texts in which its classes of letters, digits and spaces are the tokenizer's.
+#: Its alternatives that start alike keep their order.
+QUICK_SPLIT = r" ?[^\W\d_]++| ?\d++|'(?:[stmd]|re|ve|ll)| ?(?:[^\s\w]|_)++|\s+(?!\S)|\s+"
+
+
+def char_class(chars) -> str:
+    runs: list[list[int]] = []
+    for o in sorted(map(ord, chars)):
+        if runs and runs[-1][1] == o - 1:
+            runs[-1][1] = o
+        else:
+            runs.append([o, o])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
 class WordSplit:
-    """PRE_SPLIT under the tokenizer's Unicode version.
+    """PRE_SPLIT as the tokenizer's library applies it.
 
-    The regex module may know letters and digits that are younger than the tokenizer's tables; to the tokenizer
-    they are symbols. The library is asked once which of those that Python's tables lack it knows. Texts with
-    one that it lacks take a slower pattern that leaves these out.
+    The modules re and regex know other versions of Unicode than the library. Letters and digits of the regex
+    module that Python's tables lack are put to the library once; those it lacks as well (young) are symbols.
+    Texts without a character in which re differs (odd, or beyond the basic plane) take re, twice as fast; those without a young
+    one take regex as it is; the rest take a pattern that leaves the young ones out.
     """
 
     def __init__(self):
         from tokenizers.pre_tokenizers import ByteLevel
 
-        every = "".join(map(chr, chain(range(0x80, 0xD800), range(0xE000, 0x110000))))
-        new = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+        every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+        letters, digits, spaces = (set(regex.findall(p, every)) for p in (r"\p{L}", r"\p{N}", r"\s"))
+        new = [c for c in chain(letters, digits) if unicodedata.category(c) == "Cn"]
         asked = "".join(f" a{c}b 1{c}2" for c in new)
         words = {asked[s:e] for _, (s, e) in ByteLevel(add_prefix_space=False).pre_tokenize_str(asked)}
-        young = [c for c in new if f" a{c}b" not in words and f" 1{c}2" not in words]
-        runs: list[list[int]] = []
-        for o in map(ord, young):
-            if runs and runs[-1][1] == o - 1:
-                runs[-1][1] = o
-            else:
-                runs.append([o, o])
-        ranges = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
-        self.young = re.compile(f"[{ranges}]") if runs else None
-        self.usual = regex.compile(PRE_SPLIT).findall
-        old = PRE_SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{ranges}])").replace(r"\p{L}+", rf"[\p{{L}}--[{ranges}]]+").replace(r"\p{N}+", rf"[\p{{N}}--[{ranges}]]+")
-        self.rare = regex.compile(old, regex.V1).findall if runs else self.usual
+        young = {c for c in new if f" a{c}b" not in words and f" 1{c}2" not in words}
+        odd = young | ((letters - young) ^ set(re.findall(r"[^\W\d_]", every))) | ((digits - young) ^ set(re.findall(r"\d", every))) | (spaces ^ set(re.findall(r"\s", every)))
+        self.quick, self.usual = re.compile(QUICK_SPLIT).findall, regex.compile(PRE_SPLIT).findall
+        self.odd, self.young = re.compile(f"[{char_class(c for c in odd if c < chr(0x10000))}\U00010000-\U0010ffff]"), young
+        ranges = char_class(young)
+        self.rare = self.usual
+        if young:
+            rare = PRE_SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{ranges}])").replace(r"\p{L}+", rf"[\p{{L}}--[{ranges}]]+").replace(r"\p{N}+", rf"[\p{{N}}--[{ranges}]]+")
+            self.rare = regex.compile(rare, regex.V1).findall
 
     def findall(self, text: str) -> list[str]:
-        if self.young is None or text.isascii() or not self.young.search(text):
-            return self.usual(text)
-        return self.rare(text)
+        if not self.odd.search(text):
+            return self.quick(text)
+        return self.usual(text) if self.young.isdisjoint(text) else self.rare(text)
 
 
 @lru_cache(maxsize=1)
@@ -194,22 +210,33 @@ class Tokenizer:
         self.automaton = MergeAutomaton(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         self.words = word_split()
         self.apart = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.memo = common.Memo(lambda w: self.automaton.encode(w.encode()))
+        self.memo = common.Memo(lambda w: array("i", self.automaton.encode(w.encode())).tobytes())
+        self.mark = {t: array("i", [i]).tobytes() for t, i in self.special.items()}
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """The ids of text as native 32-bit integers."""
         if not self.apart or not self.apart.search(text):
-            return list(chain.from_iterable(map(self.memo.__getitem__, self.words.findall(text))))
-        ids, at = [], 0
+            return b"".join(map(self.memo.__getitem__, self.words.findall(text)))
+        parts, at = [], 0
         for m in self.apart.finditer(text):
-            ids += chain.from_iterable(map(self.memo.__getitem__, self.words.findall(text[at : m.start()])))
-            ids.append(self.special[m[0]])
+            parts += map(self.memo.__getitem__, self.words.findall(text[at : m.start()]))
+            parts.append(self.mark[m[0]])
             at = m.end()
-        return ids + list(chain.from_iterable(map(self.memo.__getitem__, self.words.findall(text[at:]))))
+        return b"".join([*parts, *map(self.memo.__getitem__, self.words.findall(text[at:]))])
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids) -> str:
         return self.automaton.decode(ids).decode("utf-8", errors="replace")
 
 
+def id_lists(packed: list[bytes]) -> pa.ListArray:
+    """array<int> of packed ids, without a Python object for each."""
+    ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
@@ -226,7 +253,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def make():
         t = tokenizer(path)
-        return lambda b: {"doc_id": b.column(0), "ids": [t.encode(x or "") for x in b.column(1).to_pylist()]}
+        return lambda b: {"doc_id": b.column(0), "ids": id_lists([t.packed(x or "") for x in b.column(1).to_pylist()])}
 
     df = common.id_text(docs, id_col, text_col)
     return common.arrow_map(df, make, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -250,8 +277,8 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         t = tokenizer(path)
 
         def each(b):
-            ids = [t.encode(x or "") for x in b.column(1).to_pylist()]
-            return {"doc_id": b.column(0), "ids": ids, "decoded": [t.decode(x) for x in ids]}
+            ids = id_lists([t.packed(x or "") for x in b.column(1).to_pylist()])
+            return {"doc_id": b.column(0), "ids": ids, "decoded": [t.decode(x.as_py()) for x in ids]}
 
         return each
 

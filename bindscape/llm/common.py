@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_SHARED = "file:///tmp/checkpoints/bindscape"
-#: Entries that a worker's word memo may hold before it starts again.
-MEMO_WORDS = 400_000
+#: Entries that a worker's word memo may hold.
+MEMO_WORDS = 600_000
 #: Words longer than this are worked out each time instead of being kept.
 MEMO_WORD_LEN = 64
 
@@ -69,18 +69,24 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
 
 
 class Memo(dict):
-    """A dict that works out what it lacks; it starts again when full, so a worker's memory is bounded."""
+    """A dict that works out what it lacks, in bounded memory.
 
-    __slots__ = ("find", "most")
+    When full, its entries become the old generation, from which those still asked for are taken back.
+    """
+
+    __slots__ = ("find", "most", "old")
 
     def __init__(self, find: Callable, most: int = MEMO_WORDS):
         super().__init__()
-        self.find, self.most = find, most
+        self.find, self.most, self.old = find, most // 2, {}
 
     def __missing__(self, key):
-        value = self.find(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.find(key)
         if len(key) <= MEMO_WORD_LEN:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value

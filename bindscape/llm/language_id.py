@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,11 @@ class Grams:
         return ids.astype(np.int32), counts[ids].astype(np.float32)
 
 
+@lru_cache(maxsize=1)
+def worker_grams() -> Grams:
+    return Grams()
+
+
 class LanguageModel:
     def __init__(self, langs: list[str]):
         self.langs = langs
@@ -133,7 +139,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS,
     chosen = rows.join(F.broadcast(most), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("most")).select("doc_id", "label", "text")
 
     def make():
-        count = Grams()
+        count = worker_grams()
 
         def each(b):
             got = [count(t) for t in b.column("text").to_pylist()]
@@ -151,7 +157,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        count, model = Grams(), sent.value
+        count, model = worker_grams(), sent.value
 
         def each(b):
             got = [model.predict(count(t) if t else None) for t in b.column(1).to_pylist()]

@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,11 @@ class Features:
         return np.concatenate([ids, bins]).astype(np.int32), np.concatenate([weights, np.full(len(STATS), 0.5)]).astype(np.float32)
 
 
+@lru_cache(maxsize=1)
+def worker_features() -> Features:
+    return Features()
+
+
 class FactorisationMachine:
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -138,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col
     rows = docs.select(*_inputs(docs, id_col, text_col)).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text", "n_chars")
 
     def make():
-        features = Features()
+        features = worker_features()
 
         def each(b):
             got = [features(t, n) for t, n in zip(b.column("text").to_pylist(), b.column("n_chars").to_pylist(), strict=True)]
@@ -161,7 +167,7 @@ def with_score(docs: DataFrame, model: FactorisationMachine, out: str = "score",
     at, chars = [f.name for f in kept].index(text_col), [f.name for f in kept].index("n_chars") if "n_chars" in docs.columns and out != "n_chars" else None
 
     def run(batches):
-        features, model = Features(), sent.value
+        features, model = worker_features(), sent.value
         for b in batches:
             texts = b.column(at).to_pylist()
             sizes = b.column(chars).cast(pa.int64(), safe=False).to_pylist() if chars is not None else [None] * len(texts)

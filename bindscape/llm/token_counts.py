@@ -82,11 +82,16 @@ class CountViterbi:
         return sum([memo[x][0] for x in self.cut.findall(SPACE + text.replace(" ", SPACE))])
 
 
+@lru_cache(maxsize=2)
+def counter_of(path: str) -> CountViterbi:
+    return CountViterbi(vocabulary(path))
+
+
 def token_counts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens) for each row of docs; a narrow pass, no shuffle."""
 
     def make():
-        counter = CountViterbi(vocabulary(vocab_path))
+        counter = counter_of(vocab_path)
         return lambda batch: {"doc_id": batch.column(0), "n_tokens": pa.array([counter.count(t) for t in batch.column(1).to_pylist()], pa.int64())}
 
     df = common.id_text(docs, id_col, text_col)

@@ -21,7 +21,8 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from itertools import chain
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe_automaton import default_path, word_split
+from .bpe_automaton import byte_alphabet, default_path, word_split
 
 MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
@@ -61,8 +62,8 @@ def unframe(record: bytes) -> tuple[int | None, np.ndarray]:
 class LibraryEncoder:
     """Ids of whole texts from the tokenizers library.
 
-    The library splits a text into words and encodes each by itself, so a word's ids can be kept: the words of a
-    batch that are new go to the library in one call. Texts that hold a special token go to it whole.
+    The library splits a text into words and runs its model on each by itself, so the ids of a word can be kept
+    and only new words go to its model. Texts that hold a special token go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -74,26 +75,20 @@ class LibraryEncoder:
         self.words = word_split()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.wide = self.library.get_vocab_size(with_added_tokens=True) > 1 << 16
-        self.memo: dict[str, tuple[int, ...]] = {}
+        run, shown = self.library.model.tokenize, {b: ord(c) for c, b in byte_alphabet().items()}
+        self.type = np.dtype("<u4" if self.wide else "<u2")
+        kind = "I" if self.wide else "H"
+        self.memo = common.Memo(lambda w: array(kind, [t.id for t in run((w if w.isascii() else w.encode().decode("latin-1")).translate(shown))]).tobytes())
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for text in texts:
-            if any(s in text for s in self.special):
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32))
-                continue
-            words, memo = self.words.findall(text), self.memo
-            try:
-                ids = list(chain.from_iterable(map(memo.__getitem__, words)))
-            except KeyError:
-                new = [w for w in dict.fromkeys(words) if w not in memo]
-                if len(memo) + len(new) > common.MEMO_WORDS:
-                    memo.clear()
-                    new = list(dict.fromkeys(words))
-                memo.update(zip(new, [tuple(e.ids) for e in self.library.encode_batch_fast(new, add_special_tokens=False)], strict=True))
-                ids = list(chain.from_iterable(map(memo.__getitem__, words)))
-            out.append(np.array(ids, np.uint32))
-        return out
+    def encode(self, text: str) -> np.ndarray:
+        if any(s in text for s in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.type)
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.words.findall(text))), self.type)
+
+
+@lru_cache(maxsize=2)
+def library_encoder(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
 
 
 def write_records(docs: DataFrame, path: str, end_id: int | None = 0, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,7 +111,7 @@ def write_records(docs: DataFrame, path: str, end_id: int | None = 0, folder: st
             if not batch.num_rows:
                 continue
             if sink is None:
-                encoder = LibraryEncoder(path)
+                encoder = library_encoder(path)
                 store, at = fs.FileSystem.from_uri(folder)
                 store.create_dir(at, recursive=True)
                 file = f"shard-{shard:06d}-{uuid.uuid4().hex}.rec"
@@ -125,9 +120,9 @@ def write_records(docs: DataFrame, path: str, end_id: int | None = 0, folder: st
             step = 256
             for k in range(0, batch.num_rows, step):
                 part = batch.slice(k, step)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                for doc_id, ids in zip(part.column(0).to_pylist(), map(encoder.encode, part.column(1).to_pylist()), strict=True):
                     if end_id is not None:
-                        ids = np.append(ids, np.uint32(end_id))
+                        ids = np.append(ids, encoder.type.type(end_id))
                     record = frame(doc_id, ids, encoder.wide)
                     sink.write(record)
                     for name, value in zip(rows, (offset, len(record), start, len(ids)), strict=True):
