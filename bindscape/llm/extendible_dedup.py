@@ -29,8 +29,9 @@ from . import common
 
 DIRECTORY_BITS = 16
 #: Distinct hashes that a bucket holds before it is split.
-CAPACITY = 200_000
-OWNERS = 64
+CAPACITY = 2_000
+#: Owner tasks at most; there are as many as buckets up to this.
+OWNERS = 4096
 
 
 class Directory:
@@ -87,7 +88,7 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     twice = common.materialize(per_hash.where("n > 1").select("h"), "dedup-twice")
     cell = F.shiftrightunsigned("h", 64 - DIRECTORY_BITS)
     directory = Directory({r["cell"]: r["n"] for r in twice.groupBy(cell.cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}, capacity)
-    first, owner_of = directory.first, directory.owners(OWNERS)
+    first, owner_of = directory.first, directory.owners(min(OWNERS, len(directory.buckets)))
 
     entry = "owner int, bucket int, h long, sha binary, text binary, doc_id long, tied long, n long"
 
