@@ -37,7 +37,7 @@ def reverse_complement(seq: Column | str) -> Column:
 def base_index(base: Column | str) -> Column:
     """0..3 for A, C, G, T or U in either case, 4 for N, -1 for anything else."""
     b = F.translate(F.upper(_col(base)), "U", "T")
-    return F.when(b == "N", 4).otherwise(F.instr(F.lit(BASES), b) - 1).cast("int")
+    return F.when(b == "N", 4).when(F.length(b) != 1, -1).otherwise(F.instr(F.lit(BASES), b) - 1).cast("int")
 
 
 def is_sequence(seq: Column | str) -> Column:

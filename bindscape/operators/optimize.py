@@ -222,7 +222,7 @@ def numeric_hessian(g: Callable[[np.ndarray], np.ndarray], x: np.ndarray, step:
     return (h + h.T) / 2
 
 
-def error_bars(hessian: np.ndarray, penalty: float = 0.0, tie: np.ndarray | None = None, tolerance: float = 1e-10, tries: int = 8) -> tuple[np.ndarray, int]:
+def error_bars(hessian: np.ndarray, penalty: float = 0.0, tie: np.ndarray | None = None, tolerance: float = 1e-7, tries: int = 8) -> tuple[np.ndarray, int]:
     """(standard error of each parameter, null directions): square roots of the diagonal of the pseudo-inverse."""
     h = hessian if tie is None else tie.T @ hessian @ tie
     values, vectors = np.linalg.eigh((h + h.T) / 2)

@@ -109,7 +109,7 @@ def write_density(dos: DataFrame, path: str) -> None:
 def read_shape(spark: SparkSession, path: str, name: str) -> DataFrame:
     """(pentamer, feature, value) of a shape CSV: after the 5-mer, values stand at every second field (one or two of them)."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    fields = F.transform(F.split(F.regexp_replace("value", '["\']', ""), ","), F.trim)
+    fields = F.transform(F.split(F.regexp_replace("value", "[\"']", ""), ","), lambda x: F.trim(x))
     rows = lines.select(fields.alias("f")).where(F.col("f")[0].rlike("^[ACGT]{5}$"))
     n = F.floor((F.size("f") - 1 + 1) / 2).cast("int")
     out = rows.select(F.col("f")[0].alias("pentamer"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"), "f")
