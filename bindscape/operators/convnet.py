@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VERSION = "# deepbind 0.1"
+#: First line of a parameter file: the writer's name and the version of the format.
+VERSION = re.compile(r"# \w+ 0\.1")
 SIZES = ("reverse_complement", "num_detectors", "detector_len", "has_avg_pooling", "num_hidden")
 LISTS = ("detectors", "thresholds", "weights1", "biases1", "weights2", "biases2")
 
@@ -35,7 +37,7 @@ class Net:
 def parse(text: str) -> Net:
     """A parameter file: version line, five sizes, six comma lists; the last two may be empty."""
     lines = [x.strip() for x in text.strip().splitlines()]
-    if not lines or lines[0] != VERSION:
+    if not lines or not VERSION.fullmatch(lines[0]):
         raise ValueError("not a parameter file of the known version")
     got = {}
     for line in lines[1:]:

@@ -76,15 +76,15 @@ def write_counts(counted: DataFrame, path: str) -> None:
     counted.select("seq", "cnt").repartitionByRange("seq").sortWithinPartitions("seq").write.mode("overwrite").parquet(path)
 
 
-#: Column types of the tab-separated inputs. Fixed values.
+#: Our names for the columns of the tab-separated inputs, in file order, and whether the file has a header line.
 TSV = {
     "joint_counts": ("Sequence string, R0Count int, R1Count int", False),
-    "scores": ("DeepBind double, NRLB double", True),
+    "scores": ("net_score double, model_score double", True),
     "labels": ("seq string, label double", False),
     "density": ("score double, s double", False),
     "poisson_density": ("rate double, probes double, counts double", False),
-    "proteins": ("Name string, VarLen int, nBases int, LFlank string, RFlank string, DBID string, NRLBRound string, NRLBModes string, NRLBIndex string", True),
-    "data_sets": ("ProtName string, Design string, Yang_R0_File string, Yang_R1_File string", True),
+    "proteins": ("Name string, VarLen int, nBases int, LFlank string, RFlank string, DBID string, FitRound string, FitModes string, FitIndex string", True),
+    "data_sets": ("ProtName string, Design string, R0_File string, R1_File string", True),
 }
 
 

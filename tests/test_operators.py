@@ -93,7 +93,7 @@ def net_text(rc=1, avg=1, hidden=0):
     pooled = d * (1 + avg)
     nums = lambda n: ",".join(f"{v:.3f}" for v in rng.normal(size=n))
     lines = [f"reverse_complement = {rc}", f"num_detectors = {d}", f"detector_len = {m}", f"has_avg_pooling = {avg}", f"num_hidden = {hidden}", f"detectors = {nums(4 * d * m)}", f"thresholds = {nums(d)}", f"weights1 = {nums(pooled * max(1, hidden))}", f"biases1 = {nums(max(1, hidden))}", f"weights2 = {nums(hidden)}", f"biases2 = {nums(1) if hidden else ''}"]
-    return "\n".join(["# deepbind 0.1", *lines])
+    return "\n".join(["# net 0.1", *lines])
 
 
 @pytest.mark.parametrize("rc,avg", [(1, 1), (0, 1), (1, 0)])
@@ -104,7 +104,7 @@ def test_net(spark, rc, avg):
     for r in got:
         assert r["score"] is None if r["seq"] is None else r["score"] == pytest.approx(slow_net(net, r["seq"]), abs=1e-4)
     with pytest.raises(ValueError):
-        convnet.parse("# deepbind 0.2\n")
+        convnet.parse("# net 0.2\n")
     with pytest.raises(ValueError):
         convnet.parse(net_text().replace("thresholds = ", "thresholds = 1,"))
     assert np.isfinite(convnet.score_sequence(convnet.parse(net_text(hidden=2)), "ACGT"))
@@ -140,9 +140,9 @@ def test_sequence_files(spark, tmp_path):
 
 
 def test_tables(spark, tmp_path):
-    (tmp_path / "d.tsv").write_text("ProtName\tDesign\tYang_R0_File\tYang_R1_File\nA\tx\tf0\tf1\nB\tx\tNA\tf1\n")
+    (tmp_path / "d.tsv").write_text("ProtName\tDesign\tfirst\tsecond\nA\tx\tf0\tf1\nB\tx\tNA\tf1\n")
     t = reads.read_tsv(spark, str(tmp_path / "d.tsv"), "data_sets")
-    assert [r["ProtName"] for r in reads.usable_data_sets(t, "Yang_R0_File", "Yang_R1_File").collect()] == ["A"]
+    assert [r["ProtName"] for r in reads.usable_data_sets(t, "R0_File", "R1_File").collect()] == ["A"]
     dens = spark.createDataFrame([(2.0, 1.5), (1.0, 0.5)], "score double, s double")
     reads.write_density(dens, str(tmp_path / "dos"))
     assert list(map(tuple, reads.read_tsv(spark, str(tmp_path / "dos"), "density").collect())) == [(1.0, 0.5), (2.0, 1.5)]
