@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -38,6 +39,15 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files of plans that nothing refers to any more.
+
+    It learns of them only from a garbage collection on the driver, which may otherwise come after the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bucket_of(id_col: str, mod: int):
     """crc32 of the id's text, modulo mod; null where the id is null."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod
@@ -68,6 +78,24 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
     return df.mapInArrow(run, schema)
 
 
+def text_key(text_col: str):
+    """64-bit hash of a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def without(docs: DataFrame, dropped: DataFrame, tied: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with its columns, less the rows whose (id, text_key) is in dropped (doc_id, h).
+
+    tied: some rows are equal in id and text, of which one is to stay.
+    """
+    h = next(x for x in (f"h_{k}" for k in range(1000)) if x not in docs.columns)
+    own = docs.withColumn(h, text_key(text_col))
+    kept = own.join(dropped.select(F.col("doc_id").alias("dropped_id"), F.col("h").alias("dropped_h")), F.col(f"`{id_col}`").eqNullSafe(F.col("dropped_id")) & (F.col(h) == F.col("dropped_h")), "left_anti")
+    if tied:
+        kept = kept.dropDuplicates([id_col, h])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 class Memo(dict):
     """A dict that works out what it lacks, in bounded memory.
 

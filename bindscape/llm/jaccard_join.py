@@ -4,17 +4,20 @@ Texts are cut into words at ASCII white space, A-Z in lower case; a set holds th
 as 64-bit hashes (two different shingles of one pair of texts meet with a chance below 1e-10). Two sets link when
 100 * |intersection| >= 80 * |union|.
 
-1. Sets. One scan gives each row its set's size and 128-bit key, and tells shingles that come up often inside
-   a task. Equal sets are one member from here on.
+1. Sets. One scan gives each row its set's size and 128-bit key, and tells which shingles near the front of the
+   order come up in several texts of a task. Equal sets are one member from here on.
 2. Prefixes. Shingles are ordered: often seen ones last, by rising count, the rest by hash. Any fixed order is
    right, since linked sets of size n share one of their first n - ceil(0.8 n) + 1 shingles; this one keeps
    common passages out of prefixes. Members with the same prefix and size are collapsed into one group.
-3. Candidates. Groups that share a prefix shingle at places and of sizes that still allow the threshold are
-   paired. A list of many groups is never paired off: see 5.
-4. Members. Group pairs are expanded to their members and verified on whole sets.
-5. Long lists (and large groups). A few leaders of each list are verified against all of it, and components are
-   formed. Only what lies outside the component of the list's first leader is then compared, in blocks of
-   bounded size, by a 0/1 matrix product; a block gives out a forest of its links, not its pairs.
+3. Candidates. Groups that share a prefix shingle are paired if their sizes and the number of shingles that both
+   prefixes hold still allow the threshold. A list of many groups is never paired off: see 5.
+4. Members. Group pairs are expanded to their members, and pairs dropped whose sets cannot link by how their shingles
+   fall into 1024 cells. Members of a long list (or large group) are paired with a few leaders of it. What these pairs tie together is a cluster, and all links lie inside clusters. The sets of a
+   cluster go to one task, each once, if they fit its bound; it compares all of them, by shared shingles and 0/1
+   matrix products, and gives out a forest of the links, not the pairs.
+5. Clusters over the bound. Their pairs are verified one by one on whole sets, dealt to pairs of blocks so that a set
+   travels a few times, and components formed. Of the members of long lists only what lies outside the cluster's
+   largest component is then compared with all of them, in blocks of bounded size as in 4.
 6. Components of the links; each row gets the smallest id of its component.
 
 No cap, no sampling: a list is split, never cut. A text without words, or null, has an empty set and links with
@@ -29,7 +32,6 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,35 +45,86 @@ SHORT = 64
 #: Members in a block of a long list.
 BLOCK = 1024
 LEADERS = 4
-#: Shingles in memory while a task counts, and the count within these from which one is told to the driver's table.
-CHUNK, OFTEN = 2_000_000, 8
+#: Sets, and shingles in them, of a cluster that one task compares as a whole.
+CLUSTER, CLUSTER_SHINGLES = 2048, 4_000_000
+#: Rows (three numbers each) that are sent to all executors at most; more are joined by a shuffle.
+BROADCAST = 1_000_000
+#: A task counts the first REACH of each set's shingles, CHUNK of them at a time, and tells those that come twice or more;
+#: told OFTEN times in all, a shingle is ordered last. What is missed only makes a list longer.
+REACH, CHUNK, OFTEN = 0.3, 2_000_000, 16
 #: Often seen shingles that are ordered last: the most common ones up to this number, which also bounds what is broadcast.
 MOST_OFTEN = 500_000
 
+LAST = (1 << 63) - 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Shingles:
-    """Sorted distinct shingle hashes of a text."""
+    """Sorted distinct shingle hashes of texts, worked out for many texts at once.
 
-    def __init__(self, size: int = SIZE):
-        self.size, self.hashed = size, common.Memo(xxhash.xxh64_intdigest)
+    A word's hash is the sum of a random number for each byte times an odd power of its place; shingles mix the hashes of
+    their words in order. All in 64-bit arithmetic.
+    """
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "replace").lower().split()
-        if not words:
+    def __init__(self, size: int = SIZE):
+        self.size = size
+        rng = np.random.default_rng(20)
+        self.bytes = rng.integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, 256).astype(np.uint64)
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.bytes[self.space] = 0
+        self.powers = np.cumprod(np.full(4096, 0xD6E8FEB86659FD93, np.uint64))
+
+    def words(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first byte, hash) of each word."""
+        gap = self.space[data]
+        first = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
+        if not len(first):
+            return first, np.empty(0, np.uint64)
+        place = np.arange(len(data))
+        place[first[0] :] -= np.repeat(first, np.diff(np.append(first, len(data))))
+        return first, np.add.reduceat(self.bytes[data] * self.powers[place & 4095], first)
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        k = 0
+        while k < len(texts):
+            part, size = [], 0
+            while k < len(texts) and (not part or size < 1 << 20):
+                part.append((texts[k] or "").encode("utf-8", "replace").lower())
+                size += len(part[-1]) + 1
+                k += 1
+            out += self._sets(part)
+        return out
+
+    def _sets(self, texts: list[bytes]) -> list[np.ndarray]:
+        data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        first, w = self.words(data) if len(data) else (np.empty(0, int), np.empty(0, np.uint64))
+        bounds = np.searchsorted(first, np.concatenate([[0], ends]))
+        k = self.size
+        full = self.mixed(w, k)
+        out = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if b - a >= k:
+                s = np.sort(full[a : b - k + 1])
+                out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+            else:
+                out.append(self.mixed(w[a:b], b - a) if b > a else np.empty(0, np.uint64))
+        return out
+
+    @staticmethod
+    def mixed(w: np.ndarray, k: int) -> np.ndarray:
+        """Hash of each run of k words."""
+        if len(w) < k or not k:
             return np.empty(0, np.uint64)
-        w = np.fromiter(map(self.hashed.__getitem__, words), np.uint64, len(words))
-        k = min(self.size, len(w))
-        h = w[: len(w) - k + 1].copy()
+        h = w[: len(w) - k + 1] * MIX
         for j in range(1, k):
-            h *= MIX
             h ^= h >> np.uint64(32)
             h += w[j : len(w) - k + 1 + j]
-        h *= MIX
+            h *= MIX
         h ^= h >> np.uint64(29)
-        h += np.uint64(k)
-        return np.unique(h)
+        return h + np.uint64(k)
 
 
 @lru_cache(maxsize=2)
@@ -103,33 +156,36 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         def often():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            many = counts >= OFTEN
+            many = counts > 1
             return values[many].view(np.int64), counts[many]
 
-        def rows(ids, sizes, keys, told):
+        def rows(ids, hashes, sizes, keys, told):
             n = len(keys)
             lists = [([], [])] * (n - 1) + [told] if n else []
-            return pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array([a for a, _ in lists], pa.list_(pa.int64())), pa.array([b for _, b in lists], pa.list_(pa.int64()))], names=["doc_id", "n", "key", "often", "counts"])
+            return pa.RecordBatch.from_arrays([ids, hashes, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array([a for a, _ in lists], pa.list_(pa.int64())), pa.array([b for _, b in lists], pa.list_(pa.int64()))], names=["doc_id", "h", "n", "key", "often", "counts"])
 
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                sets = [shingles(t) for t in part.column(1).to_pylist()]
-                held += [s for s in sets if len(s)]
-                size += sum(map(len, sets))
+                sets = shingles(part.column(1).to_pylist())
+                held += [s[: int(REACH * len(s)) + 1] for s in sets if len(s)]
+                size += sum(map(len, held[-len(sets) :]))
                 told = ([], [])
                 if size > CHUNK:
                     told, held, size = often(), [], 0
-                yield rows(part.column(0), [len(s) for s in sets], [key_of(s) for s in sets], told)
+                yield rows(part.column(0), part.column(2), [len(s) for s in sets], [key_of(s) for s in sets], told)
         if held:
-            yield rows(pa.array([None], pa.int64()), [-1], [b""], often())
+            yield rows(pa.array([None], pa.int64()), pa.array([0], pa.int64()), [-1], [b""], often())
 
-    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return df.mapInArrow(run, "doc_id long, n long, key binary, often array<long>, counts array<long>")
+    df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), common.text_key(text_col).alias("h"))
+    return df.mapInArrow(run, "doc_id long, h long, n long, key binary, often array<long>, counts array<long>")
 
 
 def _prefixes(docs: DataFrame, last: dict[int, int], taken: dict[bytes, int], percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(token, gid, grp, n, pos): a row for each prefix shingle of a set that this task has not given out yet."""
+    """(token, gid, grp, n, stop): a row for each prefix shingle of a set that this task has not given out yet.
+
+    stop: place of the prefix's last shingle in the order, the largest long for an often seen one.
+    """
     spark = docs.sparkSession
     order = sorted(last, key=lambda t: (last[t], t))
     late = spark.sparkContext.broadcast((np.array(sorted(order), np.int64).view(np.uint64), {t: k for k, t in enumerate(order)}))
@@ -142,8 +198,7 @@ def _prefixes(docs: DataFrame, last: dict[int, int], taken: dict[bytes, int], pe
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 cols = [[], [], [], [], []]
-                for text in b.slice(k, 512).column(0).to_pylist():
-                    s = shingles(text)
+                for s in shingles(b.slice(k, 512).column(0).to_pylist()):
                     n = len(s)
                     if not n:
                         continue
@@ -154,87 +209,169 @@ def _prefixes(docs: DataFrame, last: dict[int, int], taken: dict[bytes, int], pe
                         seen.clear()
                     seen.add(key)
                     p = prefix_length(n, percent)
+                    late_last = False
                     if len(often):
                         at = np.searchsorted(often, s)
                         at[at == len(often)] = 0
                         is_late = often[at] == s
                         first = s[~is_late][:p]
-                        if len(first) < p:
+                        late_last = len(first) < p
+                        if late_last:
                             rest = sorted(s[is_late].view(np.int64).tolist(), key=rank.__getitem__)[: p - len(first)]
                             first = np.concatenate([first, np.array(rest, np.int64).view(np.uint64)])
                     else:
                         first = s[:p]
                     group = int.from_bytes(blake2b(first.tobytes() + n.to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
-                    for c, v in zip(cols, (first.view(np.int64), np.full(p, gid_of(key, taken)), np.full(p, group), np.full(p, n, np.int32), np.arange(p, dtype=np.int32)), strict=True):
+                    for c, v in zip(cols, (first.view(np.int64), np.full(p, gid_of(key, taken)), np.full(p, group), np.full(p, n, np.int32), np.full(p, LAST if late_last else int(first[-1] >> np.uint64(1)))), strict=True):
                         c.append(v)
                 if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["token", "gid", "grp", "n", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["token", "gid", "grp", "n", "stop"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token long, gid long, grp long, n int, stop long")
+
+
+def signature(s: np.ndarray) -> bytes:
+    """How many shingles of a set fall in each of 1024 cells; empty if that takes more than two bytes a cell."""
+    cells = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=1024)
+    most = cells.max()
+    return cells.astype(np.uint8).tobytes() if most < 256 else cells.astype(np.uint16).tobytes() if most < 65536 else b""
+
+
+def may_link(a: list[bytes], b: list[bytes], percent: int = PERCENT) -> np.ndarray:
+    """False where two sets share too few shingles even if those in one cell were all the same. Never False for a link."""
+    out = np.ones(len(a), bool)
+    for k in range(0, len(a), 4096):
+        part = range(k, min(k + 4096, len(a)))
+        at = [i for i in part if a[i] and b[i]]
+        if at:
+            x, y = (np.stack([np.frombuffer(z[i], np.uint8 if len(z[i]) == 1024 else np.uint16).astype(np.uint16) for i in at]) for z in (a, b))
+            met = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            out[at] = 100 * met >= percent * (x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64) - met)
+    return out
+
+
+def _filtered(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may link by their signatures (gid, set)."""
+    one, two = (signatures.select(F.col("gid").alias(c), F.col("set").alias(f"s{c}")) for c in ("a", "b"))
+
+    def run(batches):
+        for b in batches:
+            keep = may_link(b.column("sa").to_pylist(), b.column("sb").to_pylist(), percent)
+            yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token long, gid long, grp long, n int, pos int")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _needed_sets(docs: DataFrame, ids: DataFrame, gids: DataFrame, taken: dict[bytes, int], id_col: str, text_col: str) -> DataFrame:
-    """(gid, words of the set) for the sets in gids, read again from the rows named in ids."""
+def _needed_sets(docs: DataFrame, wanted: DataFrame, n: int, taken: dict[bytes, int], id_col: str, text_col: str, brief: bool = False) -> DataFrame:
+    """(cluster, gid, set) for wanted (needed, gid, cluster): the set of a row is made again where the row is named.
+
+    brief: its signature in place of the set.
+
+    n: rows of wanted. Up to BROADCAST of them are sent to the scan; more are joined by a shuffle.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(taken)
 
     def run(batches):
-        shingles, seen, taken = worker_shingles(), set(), sent.value
+        shingles, taken = worker_shingles(), sent.value
         for b in batches:
             for k in range(0, b.num_rows, 256):
-                out = []
-                for text in b.slice(k, 256).column(0).to_pylist():
-                    s = shingles(text)
-                    gid = gid_of(key_of(s), taken)
-                    if gid not in seen and len(s):
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(gid)
-                        out.append((gid, s.tobytes()))
+                part, out = b.slice(k, 256), []
+                for s, gid, cluster in zip(shingles(part.column(0).to_pylist()), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    if len(s) and gid_of(key_of(s), taken) == gid:  # another row of that id may have another text
+                        out.append((cluster, gid, signature(s) if brief else s.tobytes()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], names=["gid", "set"])
+                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in out], pa.int64()), pa.array([g for _, g, _ in out], pa.int64()), pa.array([s for _, _, s in out], pa.binary())], names=["cluster", "gid", "set"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["needed"]), "left_semi").select("text")
-    return texts.mapInArrow(run, "gid long, set binary").join(gids, "gid", "left_semi").dropDuplicates(["gid"])
+    side = F.broadcast(wanted) if n <= BROADCAST else wanted
+    texts = texts.join(side, texts["doc_id"].eqNullSafe(side["needed"])).select("text", "gid", "cluster")
+    return texts.mapInArrow(run, "cluster long, gid long, set binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    one, two = sets.select(F.col("gid").alias("a"), F.col("set").alias("s")), sets.select(F.col("gid").alias("b"), F.col("set").alias("t"))
+def _cluster_links(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a forest of the links inside each cluster. Every set travels once; clusters are small."""
 
     def run(batches):
+        at, held = None, {}
+
+        def give():
+            got = block_links(list(held), list(held.values()), range(len(held)), percent) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], names=["a", "b"])
+
         for b in batches:
-            a, c, out = b.column("a").to_pylist(), b.column("b").to_pylist(), []
-            for x, y, s, t in zip(a, c, b.column("s"), b.column("t"), strict=True):
-                s, t = (np.frombuffer(z.as_buffer(), np.uint64) for z in (s, t))
-                common_ = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * common_ >= percent * (len(s) + len(t) - common_):
-                    out.append((x, y))
+            for cluster, gid, s in zip(b.column("cluster").to_pylist(), b.column("gid").to_pylist(), b.column("set").to_pylist(), strict=True):
+                if cluster != at:
+                    if len(held) > 1:
+                        yield give()
+                    at, held = cluster, {}
+                held[gid] = np.frombuffer(s, np.uint64)
+        if len(held) > 1:
+            yield give()
+
+    return sets.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, block: int) -> DataFrame:
+    """The pairs (cluster, a, b) that link, in large clusters: members are dealt to blocks, pairs to pairs of blocks.
+
+    A set travels once to each pair of blocks in which it has a pair, not once for each pair.
+    """
+    blocks = sizes.select("cluster", F.ceil(F.greatest(F.col("members") / block, F.col("shingles") / CLUSTER_SHINGLES)).cast("int").alias("blocks"))
+    own = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
+    dealt = pairs.join(blocks, "cluster").withColumn("i", F.least(own("a"), own("b"))).withColumn("j", F.greatest(own("a"), own("b"))).select("cluster", "i", "j", "a", "b")
+    members = dealt.select("cluster", "i", "j", F.col("a").alias("gid")).union(dealt.select("cluster", "i", "j", F.col("b").alias("gid"))).distinct()
+    rows = members.join(sets.select("gid", "set"), "gid").select("cluster", "i", "j", F.lit(0).alias("kind"), F.col("gid").alias("a"), F.lit(None).cast("long").alias("b"), "set")
+    rows = rows.union(dealt.select("cluster", "i", "j", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("set")))
+
+    def run(batches):
+        at, held = None, {}
+        for b in batches:
+            out = []
+            cols = [b.column(c).to_pylist() for c in ("cluster", "i", "j", "kind", "a", "b", "set")]
+            for cluster, i, j, kind, x, y, s in zip(*cols, strict=True):
+                if (cluster, i, j) != at:
+                    at, held = (cluster, i, j), {}
+                if not kind:
+                    held[x] = np.frombuffer(s, np.uint64)
+                else:
+                    n, m = len(held[x]), len(held[y])
+                    met = len(np.intersect1d(held[x], held[y], assume_unique=True))
+                    if 100 * met >= percent * (n + m - met):
+                        out.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "kind").mapInArrow(run, "a long, b long")
 
 
-def block_links(gids: list[int], sets: list[np.ndarray], parts: list[int], percent: int = PERCENT, within: bool = True) -> list[tuple[int, int]]:
+def block_links(gids: list[int], sets: list[np.ndarray], parts, percent: int = PERCENT) -> list[tuple[int, int]]:
     """A forest of the links among sets, whose components are those of all links (with those that parts gives already).
 
-    parts: numbers that say which sets are known to be in one component. within: also compare sets of one side.
+    parts: numbers that say which sets are known to be in one component.
     """
     n = len(gids)
     sizes = np.array([len(s) for s in sets])
-    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), sizes)
-    shared = counts[inverse] > 1
-    column = np.cumsum(counts > 1)[inverse[shared]] - 1
-    rows = owner[shared]
-    width, met = int(column.max()) + 1 if len(column) else 0, np.zeros((n, n), np.float32)
-    order = np.argsort(column, kind="stable")
-    column, rows = column[order], rows[order]
-    for low in range(0, width, 4096):
-        lo, hi = np.searchsorted(column, [low, low + 4096])
-        x = np.zeros((n, min(4096, width - low)), np.float32)
-        x[rows[lo:hi], column[lo:hi] - low] = 1
-        met += x @ x.T
+    met = np.zeros((n, n), np.float32)
+    if n == 2:
+        met[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
+    else:
+        _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rows = np.repeat(np.arange(n), sizes)
+        order = np.argsort(inverse, kind="stable")
+        rows, per = rows[order], counts
+        start = np.cumsum(per) - per
+        for d in np.unique(per[per > 1]).tolist():
+            if d > max(8, n // 32):
+                break
+            block = rows[start[per == d][:, None] + np.arange(d)]  # shingles that d sets hold: their pairs, one by one
+            for i in range(d):
+                for j in range(i):
+                    np.add.at(met, (block[:, i], block[:, j]), 1)
+        many = np.flatnonzero(per > max(8, n // 32))  # the rest by matrix products
+        for low in range(0, len(many), 4096):
+            x = np.zeros((n, min(4096, len(many) - low)), np.float32)
+            for c, k in enumerate(many[low : low + 4096]):
+                x[rows[start[k] : start[k] + per[k]], c] = 1
+            met += np.tril(x @ x.T, -1)
     link = 100 * met >= percent * (sizes[:, None] + sizes[None, :] - met)
     parent = {}
 
@@ -255,12 +392,12 @@ def block_links(gids: list[int], sets: list[np.ndarray], parts: list[int], perce
     return out
 
 
-def set_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", short: int = SHORT, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, gid, root): one row for each row of docs; rows of one component have one root, sets without words none."""
+def set_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", short: int = SHORT, block: int = BLOCK, cluster: int = CLUSTER) -> DataFrame:
+    """(doc_id, h, n_shingles, gid, root): one row for each row of docs; rows of one component have one root, sets without words none."""
     spark = docs.sparkSession
     told = common.materialize(_sets(docs, id_col, text_col), "shingle-sets")
-    rows = told.where("n >= 0").select("doc_id", "n", "key")
-    often = told.where("size(often) > 0").select(F.explode(F.arrays_zip("often", "counts")).alias("x")).groupBy(F.col("x.often").alias("token")).agg(F.sum("x.counts").alias("c"))
+    rows = told.where("n >= 0").select("doc_id", "h", "n", "key")
+    often = told.where("size(often) > 0").select(F.explode(F.arrays_zip("often", "counts")).alias("x")).groupBy(F.col("x.often").alias("token")).agg(F.sum("x.counts").alias("c")).where(F.col("c") >= OFTEN)
     last = {r["token"]: r["c"] for r in often.orderBy(F.desc("c"), "token").limit(MOST_OFTEN).collect()}
     # Different sets whose numbers would be equal: none in practice, a few among many billions of sets.
     number = F.substring("key", 1, 8)
@@ -273,17 +410,28 @@ def set_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_i
     tokens = _prefixes(docs, last, taken, percent, id_col, text_col)
     lists = tokens.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1")
     lists = common.materialize(lists.dropDuplicates(["token", "gid"]).drop("m"), "shingle-lists")
+    common.release(spark)
     groups = lists.select("grp", "gid", "n").distinct()
 
-    # Group pairs from short lists: an entry for each group, pairs filtered by size and place.
-    entries = lists.select("token", "grp", "n", "pos").distinct()
-    sized = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
-    small, big = sized.where(f"m > 1 and m <= {short}").select("token"), sized.where(f"m > {short}").select("token")
+    # Group pairs from short lists, with the number of prefix shingles they share.
+    entries = lists.select("token", "grp", "n", "stop").distinct()
+    sized = common.materialize(entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "lists-by-size")
+    small, big = sized.where(f"m <= {short}").select("token"), sized.where(f"m > {short}").select("token")
     kept = entries.join(small, "token")
-    x, y = kept.select("token", *[F.col(c).alias(f"{c}1") for c in ("grp", "n", "pos")]), kept.select("token", *[F.col(c).alias(f"{c}2") for c in ("grp", "n", "pos")])
+    x, y = kept.select("token", *[F.col(c).alias(f"{c}1") for c in ("grp", "n", "stop")]), kept.select("token", *[F.col(c).alias(f"{c}2") for c in ("grp", "n", "stop")])
+    met = x.join(y, "token").where("n1 < n2 or (n1 = n2 and grp1 < grp2)").where(f"100 * n1 >= {percent} * n2")
+    met = met.groupBy("grp1", "grp2", "n1", "n2", "stop1", "stop2").agg(F.count(F.lit(1)).alias("met"))
+    # Shared shingles in long lists are not counted: as many as the group has there may be shared as well.
+    more = entries.join(big, "token").groupBy("grp").agg(F.count(F.lit(1)).alias("more"))
+    met = met.join(more.select(F.col("grp").alias("grp1"), F.col("more").alias("more1")), "grp1", "left").join(more.select(F.col("grp").alias("grp2"), F.col("more").alias("more2")), "grp2", "left").na.fill(0, ["more1", "more2"])
+    # Of two prefixes, all shared shingles up to the end of the one that stops first are counted; beyond it lie that
+    # set's other shingles at most.
+    rest1, rest2 = F.ceil(F.col("n1") * percent / 100) - 1, F.ceil(F.col("n2") * percent / 100) - 1
+    rest = F.when(F.col("stop1") < F.col("stop2"), rest1).when(F.col("stop2") < F.col("stop1"), rest2).otherwise(F.greatest(rest1, rest2))
     least = F.ceil(F.lit(percent) * (F.col("n1") + F.col("n2")) / (100 + percent))
-    met = x.join(y, "token").where("n1 < n2 or (n1 = n2 and grp1 < grp2)").where(f"100 * n1 >= {percent} * n2").where(F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= least)
-    group_pairs = common.materialize(met.select("grp1", "grp2").distinct(), "group-pairs")
+    met = met.where(F.col("met") + F.least("more1", "more2") + rest >= least)
+    group_pairs = common.materialize(met.select("grp1", "grp2"), "group-pairs")
+    common.release(spark)
 
     # Members: large products of groups, large groups and long lists become lists to be split.
     of = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
@@ -306,20 +454,41 @@ def set_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_i
     part = F.pmod(F.xxhash64("gid"), F.lit(LEADERS))
     leaders = long_lists.groupBy("list", part.alias("p")).agg(F.min("gid").alias("leader"))
     stars = long_lists.join(leaders, "list").where("gid != leader").select(F.least("gid", "leader").alias("a"), F.greatest("gid", "leader").alias("b"))
-    pairs = common.materialize(plain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(stars).distinct(), "pairs")
-
-    gids = pairs.select(F.col("a").alias("gid")).union(pairs.select(F.col("b").alias("gid"))).distinct()
-    gids = common.materialize(gids, "candidates")
     numbered = _with_gid(rows, taken)
-    ids = common.materialize(numbered.where("n > 0").groupBy("gid").agg(F.min("doc_id").alias("needed")).join(gids, "gid", "left_semi").select("needed").distinct(), "needed-ids")
-    sets = common.materialize(_needed_sets(docs, ids, gids, taken, id_col, text_col), "candidate-sets")
-    links = common.materialize(_verified(pairs, sets, percent), "verified")
-
-    if long_lists.limit(1).count():
-        known = components(links)
-        links = links.union(_long_links(long_lists, known, sets, percent, block))
+    known = common.materialize(numbered.where("n > 0").groupBy("gid").agg(F.min("doc_id").alias("needed"), F.max("n").alias("n")), "gids")
+    plain = common.materialize(plain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "plain-pairs")
+    wanted = plain.select(F.col("a").alias("gid")).union(plain.select(F.col("b").alias("gid"))).distinct().join(known, "gid").select("needed", "gid", F.lit(0).cast("long").alias("cluster"))
+    wanted = common.materialize(wanted, "wanted")
+    signatures = common.materialize(_needed_sets(docs, wanted, wanted.count(), taken, id_col, text_col, True), "signatures")
+    plain = _filtered(plain, signatures.dropDuplicates(["gid"]), percent)
+    pairs = common.materialize(plain.union(stars).distinct(), "pairs")
+    common.release(spark)
+
+    # Clusters: what candidate pairs tie together. All links lie inside one; most clusters are a handful of sets.
+    tied = components(pairs)
+    nodes = pairs.select(F.col("a").alias("gid")).union(pairs.select(F.col("b").alias("gid"))).distinct()
+    at = nodes.join(tied.select(F.col("node").alias("gid"), "root"), "gid", "left").join(known, "gid").select("gid", "needed", "n", F.coalesce("root", "gid").alias("cluster"))
+    at = common.materialize(at, "clusters")
+    size = common.materialize(at.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")), "cluster-sizes")
+    fits = f"members <= {cluster} and shingles <= {CLUSTER_SHINGLES}"
+    part = at.join(size, "cluster")
+    few = common.materialize(part.where(f"members > 1 and {fits}").select("needed", "gid", "cluster"), "small-clusters")
+    sets = _needed_sets(docs, few, few.count(), taken, id_col, text_col)
+    links = common.materialize(_cluster_links(sets, percent), "links")
+    common.release(spark)
+
+    large = common.materialize(part.where(f"not ({fits})").select("needed", "gid", "cluster"), "large-clusters")
+    if n_large := large.count():
+        sets = common.materialize(_needed_sets(docs, large, n_large, taken, id_col, text_col), "candidate-sets")
+        own = large.select(F.col("gid").alias("a"), "cluster")
+        verified = common.materialize(_verified(pairs.join(own, "a"), sets, size, percent, block), "verified")
+        common.release(spark)
+        links = links.union(verified)
+        listed = common.materialize(long_lists.select("gid").distinct().join(large.select("gid", "cluster"), "gid"), "listed")
+        if listed.limit(1).count():
+            links = links.union(_long_links(listed, components(verified), sets, percent, block))
     roots = components(links).select(F.col("node").alias("gid"), "root")
-    return numbered.join(roots, "gid", "left").select("doc_id", F.col("n").alias("n_shingles"), "gid", F.when(F.col("n") > 0, F.coalesce("root", "gid")).alias("root"))
+    return numbered.join(roots, "gid", "left").select("doc_id", "h", F.col("n").alias("n_shingles"), "gid", F.when(F.col("n") > 0, F.coalesce("root", "gid")).alias("root"))
 
 
 def _with_gid(rows: DataFrame, taken: dict[bytes, int]) -> DataFrame:
@@ -329,30 +498,30 @@ def _with_gid(rows: DataFrame, taken: dict[bytes, int]) -> DataFrame:
     if taken:
         own = F.create_map(*[F.lit(v) for k, v in taken.items() for v in (bytearray(k), v)])
         gid = F.coalesce(own[F.col("key")], gid)
-    return rows.select("doc_id", "n", gid.alias("gid"))
+    return rows.select("doc_id", "h", "n", gid.alias("gid"))
 
 
-def _long_links(long_lists: DataFrame, known: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links in long lists between members not known to be in one component, block by block."""
+def _long_links(listed: DataFrame, known: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between members of long lists (gid, cluster) that are not known to be in one component, block by block."""
     part = F.coalesce("root", "gid").alias("part")
-    at = long_lists.join(known.select(F.col("node").alias("gid"), "root"), "gid", "left").select("list", "gid", part)
-    core = at.groupBy("list", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("list").agg(F.max_by("part", "c").alias("core"), F.count(F.lit(1)).alias("parts"))
-    at = at.join(core.where("parts > 1"), "list").withColumn("rest", (F.col("part") != F.col("core")).cast("int"))
-    sizes = at.groupBy("list").agg(F.sum("rest").alias("r"), F.sum(1 - F.col("rest")).alias("c"))
-    sizes = sizes.select("list", F.ceil(F.col("r") / block).cast("int").alias("rb"), F.ceil(F.col("c") / block).cast("int").alias("cb"))
-    at = at.join(sizes, "list").drop("core", "parts")
+    at = listed.join(known.select(F.col("node").alias("gid"), "root"), "gid", "left").select("cluster", "gid", part)
+    core = at.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("cluster").agg(F.max_by("part", "c").alias("core"), F.count(F.lit(1)).alias("parts"))
+    at = at.join(core.where("parts > 1"), "cluster").withColumn("rest", (F.col("part") != F.col("core")).cast("int"))
+    sizes = at.groupBy("cluster").agg(F.sum("rest").alias("r"), F.sum(1 - F.col("rest")).alias("c"))
+    sizes = sizes.select("cluster", F.ceil(F.col("r") / block).cast("int").alias("rb"), F.ceil(F.col("c") / block).cast("int").alias("cb"))
+    at = at.join(sizes, "cluster").drop("core", "parts")
     # Blocks 0..rb-1 hold the rest, rb..rb+cb-1 the core; every pair of blocks but two of the core is compared.
     own = F.when(F.col("rest") == 1, F.pmod(F.xxhash64("gid"), F.col("rb"))).otherwise(F.col("rb") + F.pmod(F.xxhash64("gid"), F.greatest(F.col("cb"), F.lit(1)))).cast("int")
     at = at.withColumn("own", own)
     others = F.when(F.col("rest") == 1, F.sequence(F.lit(0), F.col("rb") + F.col("cb") - 1)).otherwise(F.sequence(F.lit(0), F.col("rb") - 1))
-    spread = at.withColumn("other", F.explode(others)).select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "gid", "part")
+    spread = at.withColumn("other", F.explode(others)).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "gid", "part")
 
     def compare(t: pa.Table) -> pa.Table:
         s = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
         got = block_links(t.column("gid").to_pylist(), s, t.column("part").to_pylist(), percent) if len(s) > 1 else []
         return pa.table({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})
 
-    return spread.join(sets, "gid").groupBy("list", "i", "j").applyInArrow(compare, "a long, b long")
+    return spread.join(sets.select("gid", "set"), "gid").groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
@@ -362,6 +531,16 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     return found.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each component, with docs' columns: the row with the smallest id (of equal ids, the smallest hash of its text). Texts without words all stay."""
+    found = common.materialize(set_components(docs, percent, id_col, text_col), "set-components").where("root is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    best = found.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("rows"))
+    of = common.materialize(found.join(best.where("rows > 1"), "root").select("doc_id", "h", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))).alias("first"), "root"), "near-copies")
+    tied = of.where("first").groupBy("root").count().where("count > 1").limit(1).count() > 0
+    return common.without(docs, of.where("not first").select("doc_id", "h"), tied, id_col, text_col)
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(common.table(spark, sf_dir, "documents"))
 

@@ -64,7 +64,7 @@ def corpus(seed):
     return [(3 * i + 1, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"short": 4, "block": 8}, {"short": 2, "block": 1000}])
+@pytest.mark.parametrize("sizes", [{}, {"short": 4, "block": 8, "cluster": 2}, {"short": 2, "block": 1000, "cluster": 5}])
 def test_components_of_texts(spark, sizes, monkeypatch):
     monkeypatch.setattr(J, "OFTEN", 3 if sizes else J.OFTEN)
     rows = corpus(len(sizes) + sum(sizes.values()))
@@ -126,3 +126,13 @@ def test_stars(spark):
     df = spark.createDataFrame(links, "a long, b long")
     assert sorted(map(tuple, K.components(df).collect())) == want
     assert K.components(df.limit(0)).collect() == []
+
+
+def test_signatures():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(rng.permutation(base)[: rng.integers(1, 3000)]) for _ in range(60)] + [np.arange(1, n + 1, dtype=np.uint64) for n in (300, 310, 70_000, 71_000)]
+    a, b = zip(*[(i, j) for i in range(len(sets)) for j in range(i)])
+    keep = J.may_link([J.signature(sets[i]) for i in a], [J.signature(sets[j]) for j in b])
+    link = [100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])) for i, j in zip(a, b)]
+    assert all(k for k, x in zip(keep, link) if x) and any(link) and keep.mean() < 0.6
