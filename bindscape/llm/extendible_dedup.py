@@ -76,12 +76,12 @@ def _best(a: tuple, b: tuple) -> tuple:
 
 
 def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of: Column | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """One row for each row of docs: row, doc_id, keep_id, group_size, kept, text_sha256.
+    """One row for each row of docs: row, h, doc_id, keep_id, group_size, kept, text_sha256.
 
     hash_of: another 64-bit hash of column text, for tests of collisions.
     """
     spark = docs.sparkSession
-    h = (hash_of if hash_of is not None else F.xxhash64("text")).alias("h")
+    h = (hash_of if hash_of is not None else common.text_key("text")).alias("h")
     keys = common.materialize(_rows(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", h, F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha")), "dedup-keys")
 
     per_hash = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
@@ -168,6 +168,7 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept = alone | (F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & F.coalesce(F.col("row") == F.col("keep_row"), F.lit(True)))
     return found.select(
         "row",
+        "h",
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id").cast(id_type)).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
@@ -176,8 +177,16 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each different text, with docs' columns: the row with the largest id."""
+    classes = common.materialize(exact_classes(docs, id_col, text_col), "exact-classes")
+    dropped = classes.where("not kept and not (doc_id <=> keep_id)").select("doc_id", "h")
+    tied = classes.where("not kept and doc_id <=> keep_id").limit(1).count() > 0
+    return common.without(docs, dropped, tied, id_col, text_col)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_classes(common.table(spark, sf_dir, "documents")).drop("row")
+    return exact_classes(common.table(spark, sf_dir, "documents")).drop("row", "h")
 
 
 OP7_SQL = """
