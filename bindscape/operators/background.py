@@ -171,3 +171,19 @@ def enumerated_z(background: Background) -> float:
         s = a + "".join(v) + b
         total += np.exp(sum(background.beta[kmer_index(s[i : i + background.k])] for i in range(len(s) - background.k + 1)))
     return total
+
+
+def markov_likelihood(probes: DataFrame, chances: DataFrame, k: int, length: int, cnt: str = "cnt") -> DataFrame:
+    """(value): -sum c ln p + n ln(sum of p over all sequences), p being the product of a sequence's k-mer chances.
+
+    The sum over all sequences is listed, so this is for short ones; a transfer matrix does it for Background.
+    """
+    from .dos import all_sequences
+
+    def product_of(df: DataFrame) -> DataFrame:
+        at = df.select("*", F.explode(dna.windows("seq", k)).alias("kmer")).join(F.broadcast(chances), "kmer", "left")
+        return at.groupBy(*df.columns).agg(F.sum(F.ln("p")).alias("lp"))
+
+    z = product_of(all_sequences(probes.sparkSession, length)).agg(F.ln(F.sum(F.exp("lp"))).alias("z"))
+    own = product_of(probes.select("seq", F.col(cnt).alias("cnt"))).agg(F.sum(F.col("cnt") * F.col("lp")).alias("v"), F.sum("cnt").alias("n"))
+    return own.crossJoin(F.broadcast(z)).select((F.col("n") * F.col("z") - F.col("v")).alias("value"))

@@ -55,3 +55,18 @@ def lookup(fits: DataFrame, condition: Column) -> DataFrame:
 def protein_lookup(names: DataFrame, table: DataFrame, key: str = "Name") -> DataFrame:
     """Rows of the lookup table by equality of names; rows with NA in the file column are left out."""
     return names.join(F.broadcast(table), key)
+
+
+def in_order(ids: DataFrame, table: DataFrame, key: str = "id", order: str = "place") -> DataFrame:
+    """Rows of the table for the ids asked for (key, order), in that order; unknown ids give nulls."""
+    return F.broadcast(ids).join(table, key, "right").where(F.col(order).isNotNull()).unionByName(ids.join(table, key, "left_anti"), allowMissingColumns=True).orderBy(order)
+
+
+def same_model(a: DataFrame, b: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """Pairs of fits of one model, by null-safe equality of its key; columns of b get the suffix _b."""
+    right = b.select(*[F.col(c).alias(f"{c}_b") for c in b.columns])
+    cond = None
+    for c in key:
+        one = a[c].eqNullSafe(right[f"{c}_b"])
+        cond = one if cond is None else cond & one
+    return a.join(right, cond)
