@@ -39,7 +39,7 @@ def append_results(stored: DataFrame, new: DataFrame, meta: tuple[str, ...], **k
     cond = same[0]
     for s in same[1:]:
         cond = cond & s
-    mine, other = new.join(F.broadcast(known.limit(1000)), cond, "left_semi"), new.join(F.broadcast(known.limit(1000)), cond, "left_anti")
+    mine, other = new.join(known, cond, "left_semi"), new.join(known, cond, "left_anti")
     return upsert(stored, mine, **kw), other
 
 
