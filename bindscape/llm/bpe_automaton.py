@@ -37,7 +37,7 @@ from . import common
 #: Split of a text into words before the merges; fixed by the tokenizer.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Transitions that a worker keeps before it starts its table again.
-TABLE_ARCS = 2_000_000
+TABLE_ARCS = 600_000
 
 
 #: The same split for the re module, for texts in which its classes of letters, digits and spaces are the tokenizer's.
@@ -237,9 +237,8 @@ def id_lists(packed: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
+    return common.held(("bpe", path), lambda: Tokenizer(path))
 
 
 def default_path() -> str:

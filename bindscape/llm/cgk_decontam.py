@@ -24,7 +24,6 @@ to the tasks in blocks of bounded size, one pass over the documents a block.
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -216,9 +215,8 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return [b for b in out if b]
 
 
-@lru_cache(maxsize=2)
 def _ready(items: tuple[tuple[int, str], ...], similarity: float) -> Benchmark:
-    return Benchmark(list(items), similarity)
+    return common.held(("benchmark", items, similarity), lambda: Benchmark(list(items), similarity))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

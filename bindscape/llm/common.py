@@ -14,11 +14,25 @@ from pyspark.sql import functions as F
 LOCAL_SHARED = "file:///tmp/checkpoints/bindscape"
 #: Entries that a worker's word memo may hold.
 MEMO_WORDS = 600_000
+#: Rows of an Arrow batch between Spark and a worker.
+BATCH_ROWS = 2000
+#: Rows that a worker turns into Python objects at once.
+PIECE = 512
+#: Rows of two numbers that are broadcast at most.
+DROPPED = 1_000_000
 #: Words longer than this are worked out each time instead of being kept.
 MEMO_WORD_LEN = 64
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: at the default of 10,000 rows a batch, one on its way to a worker can hold hundreds of MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -58,8 +72,15 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of PIECE rows: a worker holds the Python objects of one piece at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, PIECE):
+            yield batch.slice(k, PIECE)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
-    """mapInArrow with state per task: make() runs once in each task, its result once for each batch.
+    """mapInArrow with state per task: make() runs once in each task, its result once for each piece of a batch.
 
     The result maps names to lists or Arrow arrays, in the order of schema.
     """
@@ -70,7 +91,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = None
-        for batch in batches:
+        for batch in pieces(batches):
             each = each or make()
             got = each(batch)
             yield pa.RecordBatch.from_arrays([x if isinstance(x := got[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for f in out], schema=out)
@@ -78,19 +99,32 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
     return df.mapInArrow(run, schema)
 
 
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """make(), kept in this process for the tasks to come. One thing is kept at a time, so workers that serve one operator after another don't add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def text_key(text_col: str):
     """64-bit hash of a text; null counts as empty."""
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def without(docs: DataFrame, dropped: DataFrame, tied: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without(docs: DataFrame, dropped: DataFrame, n: int, tied: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with its columns, less the rows whose (id, text_key) is in dropped (doc_id, h).
 
-    tied: some rows are equal in id and text, of which one is to stay.
+    n: rows of dropped; up to DROPPED of them are sent to the scan, so that no text moves. tied: some rows are equal in id
+    and text, of which one is to stay.
     """
     h = next(x for x in (f"h_{k}" for k in range(1000)) if x not in docs.columns)
     own = docs.withColumn(h, text_key(text_col))
-    kept = own.join(dropped.select(F.col("doc_id").alias("dropped_id"), F.col("h").alias("dropped_h")), F.col(f"`{id_col}`").eqNullSafe(F.col("dropped_id")) & (F.col(h) == F.col("dropped_h")), "left_anti")
+    side = dropped.select(F.col("doc_id").alias("dropped_id"), F.col("h").alias("dropped_h"))
+    kept = own.join(F.broadcast(side) if n <= DROPPED else side, F.col(f"`{id_col}`").eqNullSafe(F.col("dropped_id")) & (F.col(h) == F.col("dropped_h")), "left_anti")
     if tied:
         kept = kept.dropDuplicates([id_col, h])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

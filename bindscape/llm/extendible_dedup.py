@@ -182,7 +182,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     classes = common.materialize(exact_classes(docs, id_col, text_col), "exact-classes")
     dropped = classes.where("not kept and not (doc_id <=> keep_id)").select("doc_id", "h")
     tied = classes.where("not kept and doc_id <=> keep_id").limit(1).count() > 0
-    return common.without(docs, dropped, tied, id_col, text_col)
+    return common.without(docs, dropped, dropped.count(), tied, id_col, text_col)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,10 @@ as 64-bit hashes (two different shingles of one pair of texts meet with a chance
 3. Candidates. Groups that share a prefix shingle are paired if their sizes and the number of shingles that both
    prefixes hold still allow the threshold. A list of many groups is never paired off: see 5.
 4. Members. Group pairs are expanded to their members, and pairs dropped whose sets cannot link by how their shingles
-   fall into 1024 cells. Members of a long list (or large group) are paired with a few leaders of it. What these pairs tie together is a cluster, and all links lie inside clusters. The sets of a
-   cluster go to one task, each once, if they fit its bound; it compares all of them, by shared shingles and 0/1
-   matrix products, and gives out a forest of the links, not the pairs.
+   fall into 1024 cells. Members of a long list (or large group) are paired with a few leaders of it, unfiltered.
+   What these pairs tie together is a cluster, and all links lie inside clusters. The sets of a cluster go to one
+   task, each once, if they fit its bound; it compares all of them, by shared shingles and 0/1 matrix products, and
+   gives out a forest of the links, not the pairs.
 5. Clusters over the bound. Their pairs are verified one by one on whole sets, dealt to pairs of blocks so that a set
    travels a few times, and components formed. Of the members of long lists only what lies outside the cluster's
    largest component is then compared with all of them, in blocks of bounded size as in 4.
@@ -27,7 +28,6 @@ all its rows have null ids. Repeated rows are equal sets.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -127,9 +127,8 @@ class Shingles:
         return h + np.uint64(k)
 
 
-@lru_cache(maxsize=2)
 def worker_shingles(size: int = SIZE) -> Shingles:
-    return Shingles(size)
+    return common.held(("shingles", size), lambda: Shingles(size))
 
 
 def key_of(s: np.ndarray) -> bytes:
@@ -538,7 +537,8 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", te
     best = found.groupBy("root").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("rows"))
     of = common.materialize(found.join(best.where("rows > 1"), "root").select("doc_id", "h", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))).alias("first"), "root"), "near-copies")
     tied = of.where("first").groupBy("root").count().where("count > 1").limit(1).count() > 0
-    return common.without(docs, of.where("not first").select("doc_id", "h"), tied, id_col, text_col)
+    dropped = of.where("not first").select("doc_id", "h")
+    return common.without(docs, dropped, dropped.count(), tied, id_col, text_col)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

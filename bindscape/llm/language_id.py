@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +54,8 @@ class Grams:
         return ids.astype(np.int32), counts[ids].astype(np.float32)
 
 
-@lru_cache(maxsize=1)
 def worker_grams() -> Grams:
-    return Grams()
+    return common.held("grams", Grams)
 
 
 class LanguageModel:

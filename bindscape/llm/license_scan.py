@@ -20,7 +20,6 @@ the first window at which it was reached.
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -138,9 +137,8 @@ class Scanner:
         return found
 
 
-@lru_cache(maxsize=2)
 def scanner(templates, bands: int, containment: float) -> Scanner:
-    return Scanner(templates, bands, containment)
+    return common.held(("licenses", templates, bands, containment), lambda: Scanner(templates, bands, containment))
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, bands: int = BANDS, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,7 +148,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, bands: int = BANDS, conta
 
     def run(batches):
         scan = scanner(tuple(templates), bands, containment).scan
-        for b in batches:
+        for b in common.pieces(batches):
             found = [scan(t) for t in b.column(1).to_pylist()]
             rows = [k for k, f in enumerate(found) for _ in f]
             hits = [(name, *v) for f in found for name, v in f.items()]

@@ -19,7 +19,6 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +62,7 @@ def _log(x: float) -> int:
 
 class Features:
     def __init__(self):
-        self.hashed = common.Memo(lambda w: zlib.crc32(w.lower().encode("utf-8", "replace")) & (WORDS - 1))
+        self.hashed = common.Memo(lambda w: zlib.crc32(w.lower().encode("utf-8", "replace")) & (WORDS - 1), 400_000)
 
     def __call__(self, text: str, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
         words, data = text.split(), text.encode("utf-8", "replace")
@@ -85,9 +84,8 @@ class Features:
         return np.concatenate([ids, bins]).astype(np.int32), np.concatenate([weights, np.full(len(STATS), 0.5)]).astype(np.float32)
 
 
-@lru_cache(maxsize=1)
 def worker_features() -> Features:
-    return Features()
+    return common.held("quality", Features)
 
 
 class FactorisationMachine:
@@ -168,7 +166,7 @@ def with_score(docs: DataFrame, model: FactorisationMachine, out: str = "score",
 
     def run(batches):
         features, model = worker_features(), sent.value
-        for b in batches:
+        for b in common.pieces(batches):
             texts = b.column(at).to_pylist()
             sizes = b.column(chars).cast(pa.int64(), safe=False).to_pylist() if chars is not None else [None] * len(texts)
             scores = [model.score(*features(t or "", n)) for t, n in zip(texts, sizes, strict=True)]

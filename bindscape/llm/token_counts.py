@@ -82,9 +82,8 @@ class CountViterbi:
         return sum([memo[x][0] for x in self.cut.findall(SPACE + text.replace(" ", SPACE))])
 
 
-@lru_cache(maxsize=2)
 def counter_of(path: str) -> CountViterbi:
-    return CountViterbi(vocabulary(path))
+    return common.held(("counts", path), lambda: CountViterbi(vocabulary(path)))
 
 
 def token_counts(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,6 @@ import struct
 import uuid
 import zlib
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -86,9 +85,8 @@ class LibraryEncoder:
         return np.frombuffer(b"".join(map(self.memo.__getitem__, self.words.findall(text))), self.type)
 
 
-@lru_cache(maxsize=2)
 def library_encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+    return common.held(("records", path), lambda: LibraryEncoder(path))
 
 
 def write_records(docs: DataFrame, path: str, end_id: int | None = 0, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
