@@ -77,7 +77,7 @@ class LibraryEncoder:
         run, shown = self.library.model.tokenize, {b: ord(c) for c, b in byte_alphabet().items()}
         self.type = np.dtype("<u4" if self.wide else "<u2")
         kind = "I" if self.wide else "H"
-        self.memo = common.Memo(lambda w: array(kind, [t.id for t in run((w if w.isascii() else w.encode().decode("latin-1")).translate(shown))]).tobytes())
+        self.memo = common.Memo(lambda w: array(kind, [t.id for t in run((w if w.isascii() else w.encode().decode("latin-1")).translate(shown))]).tobytes(), 1_000_000)
 
     def encode(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
@@ -155,7 +155,7 @@ def read_records(index: DataFrame) -> DataFrame:
                     got, tokens = unframe(source.read_at(size, offset))
                     if got != doc_id:
                         raise ValueError(f"record of {got} where the index has {doc_id}")
-                    ids.append(tokens.astype("<u4").tobytes())
+                    ids.append(tokens.astype("<u4").tobytes(), 1_000_000)
                 part = batch.slice(k, 512)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("shard"), part.column("start_in_shard"), pa.array(ids, pa.binary())], names=["doc_id", "shard", "start_in_shard", "ids"])
 
