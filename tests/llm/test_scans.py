@@ -161,3 +161,33 @@ def test_ranks(spark):
 def test_no_python_in_url_filter(spark):
     plan = U.op6_link_trust(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_recall_at_the_threshold():
+    """Items of each length with random edits in exactly 20 % of their characters, without and with few spaces too."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9)))
+    for size, recall in ((36, 1.0), (70, 0.95), (90, 0.95), (120, 0.95), (180, 0.95), (300, 0.95)):
+        items = [(k, C.normal(" ".join(word() for _ in range(size)))[:size].strip()) for k in range(25)]
+        items += [(k, "".join(rng.choice("etaoinshrdlu") for _ in range(size))) for k in range(25, 40)]
+        docs = []
+        for _, x in items * 3:
+            y = list(x)
+            for p in rng.sample(range(len(y)), len(y) // 5):
+                y[p] = rng.choice(["", rng.choice("etao"), y[p] + rng.choice("etao")])
+            docs.append(C.normal(f"{' '.join(word() for _ in range(9))} ({''.join(y)}) {word()}"))
+        found = C.Benchmark(items).search(docs)
+        near = [C.edit_distance_inside(items[k % 40][1], t, len(items[k % 40][1]) // 5) is not None for k, t in enumerate(docs)]
+        assert np.mean([k % 40 in f for k, f in enumerate(found) if near[k]]) >= recall, size
+
+
+def test_verbatim_anywhere():
+    """Quoted, bracketed and inside text without spaces."""
+    rng = random.Random(10)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    items = ["what is the capital of south africa?", "https://example.org/a/very/long/path/of/a/page?with=arguments", han(40), han(90), han(400), "x = {k: v for k, v in table.items() if v is not None and k in seen_before_now}", "ab", "a" * 200]
+    ready = C.Benchmark(list(enumerate(items)))
+    for k, x in enumerate(items):
+        docs = [a + x + b for a, b in (("“", "”"), ("see(", ")"), (han(50), han(50)), ("", ""), ("z", "z"))]
+        assert [f.get(k) for f in ready.search(docs)] == [0] * 5, x
+    assert ready.search(["", "nothing"]) == [{}, {}]
