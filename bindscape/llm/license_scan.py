@@ -11,10 +11,12 @@ when 80 % of the template's shingles are there. With BANDS bands of one row each
 most 0.704 ** BANDS, 0.001 at 20; a verbatim copy alone in its window agrees in all. Retrieved pairs are verified:
 the share of the template's shingles that the window holds must reach ``containment``.
 
+A template of fewer than five words is one shingle, its whole word sequence, and found where a text has these words in a row.
+
 A window can only agree with a template in a band if it holds the template's least shingle there, so windows without
 any shingle of any template are left out before hashing; that changes no result.
 
-Null, empty and short texts match nothing. One row for each text row and license found, with the best share and
+Null and empty texts match nothing. One row for each text row and license found, with the best share and
 the first window at which it was reached.
 """
 
@@ -60,6 +62,19 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "non-commercial", "Licensed under CC BY-NC 4.0."),
 )
 
+#: SPDX ids of the licenses above, in the line "SPDX-License-Identifier: ID".
+SPDX = (
+    ("MIT", "permissive", "MIT"), ("Apache-2.0", "permissive", "Apache-2.0"), ("BSD", "permissive", "0BSD BSD-2-Clause BSD-3-Clause"), ("ISC", "permissive", "ISC"),
+    ("GPL-3.0", "copyleft", "GPL-3.0 GPL-3.0+ GPL-3.0-only GPL-3.0-or-later"), ("GPL-2.0", "copyleft", "GPL-2.0 GPL-2.0+ GPL-2.0-only GPL-2.0-or-later"),
+    ("LGPL", "copyleft", "LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1+ LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0+ LGPL-3.0-only LGPL-3.0-or-later"), ("AGPL-3.0", "copyleft", "AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later"),
+    ("MPL-2.0", "copyleft", "MPL-2.0"), ("Unlicense", "public domain", "Unlicense"), ("CC0-1.0", "public domain", "CC0-1.0"), ("CC-BY-4.0", "permissive", "CC-BY-4.0"), ("CC-BY-SA-4.0", "copyleft", "CC-BY-SA-4.0"), ("CC-BY-NC-4.0", "non-commercial", "CC-BY-NC-4.0"),
+)
+#: Notices of fewer than five words.
+SHORT_TEMPLATES = (
+    ("All-rights-reserved", "proprietary", "All rights reserved."),
+    *((name, kind, f"SPDX-License-Identifier: {i}") for name, kind, ids in SPDX for i in ids.split()),
+)
+
 
 def bare(word: str) -> str:
     return word.strip(".,;:!?()[]{}<>\"'`*#|/\\-_").lower()
@@ -69,21 +84,28 @@ class Words:
     def __init__(self):
         self.hashed = common.Memo(lambda w: xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) | 1 if (x := bare(w)) else 0)
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        """Hashes of the shingles of a text in order."""
+    def hashes(self, text: str | None) -> np.ndarray:
+        """Hashes of the words of a text in order."""
         words = (text or "").split()
         w = np.fromiter(map(self.hashed.__getitem__, words), np.uint64, len(words))
-        w = w[w != 0]
-        if len(w) < SHINGLE:
-            return np.empty(0, np.uint64)
-        h = w[: len(w) - SHINGLE + 1].copy()
-        for j in range(1, SHINGLE):
-            h *= _MIX
-            h ^= h >> np.uint64(32)
-            h += w[j : len(w) - SHINGLE + 1 + j]
+        return w[w != 0]
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """Hashes of the shingles of a text in order."""
+        return shingles(self.hashes(text), SHINGLE)
+
+
+def shingles(w: np.ndarray, size: int) -> np.ndarray:
+    if len(w) < size:
+        return np.empty(0, np.uint64)
+    h = w[: len(w) - size + 1].copy()
+    for j in range(1, size):
         h *= _MIX
-        h ^= h >> np.uint64(29)
-        return h
+        h ^= h >> np.uint64(32)
+        h += w[j : len(w) - size + 1 + j]
+    h *= _MIX
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def band_values(h: np.ndarray, bands: int) -> np.ndarray:
@@ -99,12 +121,18 @@ class Scanner:
     def __init__(self, templates=TEMPLATES, bands: int = BANDS, containment: float = CONTAINMENT):
         self.words, self.bands, self.containment = Words(), bands, containment
         self.templates = []
+        self.short: dict[int, dict[int, list[tuple[str, str]]]] = {}
         for name, kind, text in templates:
+            w = self.words.hashes(text)
+            if not len(w):
+                raise ValueError(f"a template of {name} has no words")
+            if len(w) < SHINGLE:
+                self.short.setdefault(len(w), {}).setdefault(int(shingles(w, len(w))[0]), []).append((name, kind))
+                continue
             s = np.unique(self.words(text))
-            if not len(s):
-                raise ValueError(f"a template of {name} has fewer than {SHINGLE} words")
             self.templates.append((name, kind, s))
         self.known = np.unique(np.concatenate([s for _, _, s in self.templates])) if self.templates else np.empty(0, np.uint64)
+        self.ends = {n: np.array(sorted({x for x in table}), np.uint64) for n, table in self.short.items()}
         self.classes: dict[int, dict[tuple[int, int], list[int]]] = {}
         for k, (_, _, s) in enumerate(self.templates):
             c = 1 << (len(s) - 1).bit_length()
@@ -113,7 +141,9 @@ class Scanner:
 
     def scan(self, text: str | None) -> dict[str, tuple[str, float, int]]:
         """License: (kind, best share, first word of the first window that has it)."""
-        h, found = self.words(text), {}
+        w = self.words.hashes(text)
+        h, found = shingles(w, SHINGLE), {}
+        self.phrases(w, found)
         if not len(h) or not len(self.known):
             return found
         at = np.searchsorted(self.known, h)
@@ -136,12 +166,23 @@ class Scanner:
                         found[name] = (kind, float(share), int(w * stride))
         return found
 
+    def phrases(self, w: np.ndarray, found: dict[str, tuple[str, float, int]]) -> None:
+        """Short templates: the first place of each license."""
+        for n, table in self.short.items():
+            h, known = shingles(w, n), self.ends[n]
+            at = np.searchsorted(known, h)
+            at[at == len(known)] = 0
+            for k in np.flatnonzero(known[at] == h).tolist():
+                for name, kind in table[int(h[k])]:
+                    if name not in found or k < found[name][2]:
+                        found[name] = (kind, 1.0, k)
+
 
 def scanner(templates, bands: int, containment: float) -> Scanner:
     return common.held(("licenses", templates, bands, containment), lambda: Scanner(templates, bands, containment))
 
 
-def license_scan(docs: DataFrame, templates=TEMPLATES, bands: int = BANDS, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, templates=TEMPLATES + SHORT_TEMPLATES, bands: int = BANDS, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license, kind, containment, word): a row for each license found in a row of docs; one narrow pass."""
     df = common.id_text(docs, id_col, text_col)
     schema = f"doc_id {df.schema['doc_id'].dataType.simpleString()}, license string, kind string, containment double, word long"

@@ -191,3 +191,33 @@ def test_verbatim_anywhere():
         docs = [a + x + b for a, b in (("“", "”"), ("see(", ")"), (han(50), han(50)), ("", ""), ("z", "z"))]
         assert [f.get(k) for f in ready.search(docs)] == [0] * 5, x
     assert ready.search(["", "nothing"]) == [{}, {}]
+
+
+def test_short_licenses(spark):
+    """Against a search for the words in a row."""
+    words = lambda t: [x for x in map(L.bare, (t or "").split()) if x]
+    texts = [None, "", "All rights", "(c) 2020 Acme. All Rights Reserved.", "all rights are reserved", "// SPDX-License-Identifier: MIT", "x SPDX-License-Identifier: (GPL-2.0+) y all\nrights reserved", "SPDX-License-Identifier: nothing", "all rights reserved"]
+    want = set()
+    for i, t in enumerate(texts):
+        for name, _, phrase in L.SHORT_TEMPLATES:
+            w, p = words(t), words(phrase)
+            if any(w[k : k + len(p)] == p for k in range(len(w))):
+                want.add((i, name, 1.0))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["doc_id"], r["license"], r["containment"]) for r in L.license_scan(docs).collect()} == want and len(want) == 5
+
+
+def test_short_and_long_of_one_license():
+    scan = L.Scanner((("A", "x", "tiny notice"), ("A", "x", "one two three four five six"))).scan
+    assert scan("a one two three four five six")["A"][1] == 1.0 and scan("z tiny notice. tiny notice")["A"] == ("x", 1.0, 1) and scan("tiny") == {}
+
+
+def test_long_chain(spark):
+    """Further than the rounds of the SQL: a host 16 links before a blocked seed, and a loop with its solution in closed form."""
+    pages = [(k, f"http://h{k}.org/", f'<a href="http://h{k + 1}.org/">') for k in range(15)] + [(15, "http://h15.org/", '<a href="http://bad.net/es/">'), (16, "http://bad.net/es/", None), (17, "http://far.org/", None)]
+    got = {r["page_id"]: (r["verdict"], r["distrust"]) for r in U.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {v for k, (v, _) in got.items() if k < 17} == {"block"} and got[17] == ("allow", 0.0)
+    assert all(got[k][1] == pytest.approx(0.15 * 0.85 ** (16 - k), rel=1e-9) for k in range(17))
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, links long")
+    rank = {r["host"]: r["rank"] for r in U.converged(edges, spark.createDataFrame([("a", 1.0)], "host string, seed double"), change=1e-2).collect()}
+    assert rank == pytest.approx({"a": 0.15 / (1 - 0.85**2), "b": 0.15 * 0.85 / (1 - 0.85**2)}, rel=0.1) and rank["a"] > 0.15 * (1 - 0.85**24) / (1 - 0.85**2)
