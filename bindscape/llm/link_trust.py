@@ -7,6 +7,10 @@ distrust is more than ``threshold`` of its trust and distrust together; a host t
 
     rank = (1 - DAMPING) * seed + DAMPING * sum over edges in of rank(source) / links out of source
 
+Rounds go on until every host that a seed reaches has been reached, however far, and no rank changes by more than
+CHANGE of itself; a rank is then short of its limit by about CHANGE times the number of links from the seeds. (The SQL
+has a fixed number of rounds.)
+
 Edges are one row for each pair of hosts, summed before the shuffle, so the pages of a huge host meet as
 partial counts. Each few rounds the ranks are written to the shared folder. What a host without links passes
 on is lost, alike for trust and distrust.
@@ -32,6 +36,8 @@ RULES = (
 )
 DAMPING = 0.85
 ROUNDS = 12
+#: Change of a rank, as a share of it, below which it counts as settled.
+CHANGE = 1e-12
 #: Rounds between writes to the shared folder.
 WRITE_EACH = 4
 THRESHOLD = 0.5
@@ -63,22 +69,47 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return edges.where("src != dst and src != '' and dst != ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, rank): personalised PageRank from seeds (host, seed) over edges (src, dst, links)."""
+def flow_of(edges: DataFrame, damping: float) -> DataFrame:
     out = edges.groupBy("src").agg(F.sum("links").alias("all"))
-    flow = common.materialize(edges.join(out, "src").select("src", "dst", (damping * F.col("links") / F.col("all")).alias("share")), "flow")
+    return common.materialize(edges.join(out, "src").select("src", "dst", (damping * F.col("links") / F.col("all")).alias("share")), "flow")
+
+
+def moved(flow: DataFrame, rank: DataFrame) -> DataFrame:
+    return flow.join(rank, flow["src"] == rank["host"]).select(F.col("dst").alias("host"), (F.col("share") * F.col("rank")).alias("rank"))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+    """(host, rank): personalised PageRank from seeds (host, seed) over edges (src, dst, links), after so many rounds."""
+    flow = flow_of(edges, damping)
     base = seeds.select("host", ((1 - damping) * F.col("seed")).alias("rank"))
     rank = base
     if not flow.limit(1).count():
         return rank
     for k in range(1, rounds + 1):
-        moved = flow.join(rank, flow["src"] == rank["host"]).select(F.col("dst").alias("host"), (F.col("share") * F.col("rank")).alias("rank"))
-        rank = base.union(moved).groupBy("host").agg(F.sum("rank").alias("rank"))
+        rank = base.union(moved(flow, rank)).groupBy("host").agg(F.sum("rank").alias("rank"))
         if k % WRITE_EACH == 0:
             rank = common.materialize(rank, "rank")
     return rank
 
 
+def converged(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, change: float = CHANGE) -> DataFrame:
+    """(host, rank): the same, with as many rounds as it takes."""
+    flow = flow_of(edges, damping)
+    base = seeds.select("host", ((1 - damping) * F.col("seed")).alias("rank"))
+    rank = base
+    if not flow.limit(1).count():
+        return rank
+    while True:
+        for _ in range(WRITE_EACH - 1):
+            rank = base.union(moved(flow, rank)).groupBy("host").agg(F.sum("rank").alias("rank"))
+        new = base.union(moved(flow, rank)).withColumn("before", F.lit(0.0))
+        both = new.union(rank.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("before")))
+        at = common.materialize(both.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before")), "rank")
+        rank = at.select("host", "rank")
+        if not at.where(F.abs(F.col("rank") - F.col("before")) > change * F.col("rank")).limit(1).count():
+            return rank
+
+
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for each page."""
     parts = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
@@ -90,8 +121,8 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_col: s
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
     good = hosts.where("2 * good > n").select("host", F.lit(1.0).alias("seed"))
     bad = hosts.where("2 * bad > n").select("host", F.lit(1.0).alias("seed"))
-    trust = propagate(edges, good).select("host", F.col("rank").alias("trust"))
-    distrust = propagate(back, bad).select("host", F.col("rank").alias("distrust"))
+    trust = converged(edges, good).select("host", F.col("rank").alias("trust"))
+    distrust = converged(back, bad).select("host", F.col("rank").alias("distrust"))
     scores = common.materialize(hosts.select("host").join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0), "host-scores")
     share = F.col("distrust") / (F.col("trust") + F.col("distrust"))
     blocked = F.coalesce((F.col("trust") + F.col("distrust") > 0) & (F.round(share, 9) > threshold), F.lit(False))
