@@ -2,30 +2,33 @@
 
 A CGK walk copies a text to a longer one: at step j it emits the character under the pointer and moves on if a
 random bit, fixed by (j, character), says so. Two texts at a small edit distance fall into step again after an
-edit, so their walks differ in few places: edit distance has become Hamming distance, and sampling places of
-the walks is locality-sensitive hashing for it.
-
-Texts are compared in lower case with white space runs as one space. An item-sized window opens at every word of
-a document. Repetition r has its own random bits and sampled places, and item anchors: it hashes the walks of
-each item from every REPEATS-th word on, so that over all repetitions every word of an item is an anchor once,
-and an edit spoils only the anchors just before it. A window whose sampled walk meets an anchor's is a candidate:
-the item laid so that the anchor meets the window's first word. Sampled places are compared as the walk goes on, so
-nearly all windows leave after a few steps; that changes the cost, not the outcome.
-
-Walks alone lose altered copies of short items, of items with few words, and those with edits near the allowed distance,
-and verbatim ones that no space precedes. So every item is also sought by seeds: stretches of its characters that
-an edit has spared, from any character of the item, met at any character of a document. The length of an item's seeds is the
-largest for which, with an edit in each character with a chance of 1 - similarity, a seed is left with a chance of RECALL.
-Where a seed meets, the 64 characters of the item around it must lie there within LOCAL edits. Items too short for seeds of
-LEAST_SEED characters at that chance are searched with the exact distance alone, so is any item under 64 characters.
+edit, so their walks agree in far more places than those of strangers: edit distance has become Hamming distance, and
+sampling places of the walks is locality-sensitive hashing for it.
+
+Texts are compared in lower case with white space runs as one space. A window opens at every character of a document
+and has the size of the item that it may hold. Walks of all windows to their ends would take hundreds of steps for each
+character, so windows are bucketed first by a stretch that edits have spared (a seed): one at which document and item
+agree lays the window over the item. A seed's length is the largest of LENGTHS for which, with an edit in each character
+with a chance of 1 - similarity, some seed of the item is left with a chance of RECALL.
+
+From both ends of the seed window and item are walked in step to the ends of the item and compared on sampled places:
+after LOOKS steps each way, then over the whole item. A window whose walks agree in less than AGREE of the places leaves.
+Each look is repeated with other random bits and places for the windows that left, REPEATS times in all; one
+repetition that keeps a window is enough. A copy is lost only if all of its seeds' windows leave.
+
+Where no length will do, as for short items, the exact distance is searched at every character instead: bit-parallel, lanes
+of the text side by side up to 64 characters, beyond that text by text. ``exact`` does so for all items.
 
 A candidate passes a 3-gram count that no pair within the allowed distance fails, then the exact edit distance between
 the item and its best place in the window must be at most (1 - similarity) of the item's length.
-Verbatim copies are never missed, with or without spaces: all their seeds meet. Recall of altered copies is RECALL or a little
-below it at the allowed distance with edits at random places, and higher with fewer; edits placed evenly on purpose can leave no seed.
-
-Null and empty texts, and items without a character, match nothing. Rows with equal ids are each judged; a row comes
-once for each item it holds. Items go to the tasks in blocks of bounded size, one pass over the documents a block.
+Verbatim copies are never missed, with or without spaces: their walks agree in all places. Recall of altered copies is RECALL or a
+little below it at the allowed distance with edits at random places, and higher with fewer; edits placed evenly on purpose
+can leave no seed, for which there is ``exact``.
+
+Null and empty texts, and items without a character, match nothing; so does an empty table. Very long texts are searched
+whole. Rows with equal ids are each judged; a row comes once for each item it holds, so repeated rows repeat their
+answers. Of equal items under different ids each is reported. Only the two columns named are read, whatever else the
+tables hold. Items go to the tasks in blocks of bounded size, one pass over the documents a block.
 """
 
 from __future__ import annotations
@@ -39,26 +42,20 @@ from pyspark.sql import functions as F
 from . import common
 
 SIMILARITY = 0.8
-REPEATS = 2
-STEPS = 32
-SAMPLES = 11
-#: Samples compared before the rest of the walk is done.
-EARLY = 6
+#: Chance that a seed is left at the allowed distance, and the lengths of seeds.
+RECALL, LENGTHS = 0.97, (5, 6, 8, 10, 12, 16, 24)
+#: Walks: repetitions, steps each way after which windows are looked at, share of places sampled, share of these that must agree.
+REPEATS, LOOKS, SAMPLED, AGREE = 3, (32, 128), 0.6, 0.3
+#: Steps after which random bits and sampled places come round again.
+PERIOD = 64
 #: Items of one pass, and their characters together: what is broadcast.
 BLOCK_ITEMS, BLOCK_CHARS = 50_000, 32_000_000
-#: Characters that are walked together.
-TOGETHER = 1 << 20
+#: Characters that are searched together, whose seeds are hashed at once, and windows that are walked at once.
+TOGETHER, HASHED, AT_ONCE = 1 << 22, 1 << 14, 1 << 12
 SYMBOLS = 256
-#: Chance that a seed is left at the allowed distance, and the shortest seeds.
-RECALL, LEAST_SEED, MOST_SEED = 0.985, 6, 24
-#: Edits in the 64 characters around a seed: three standard deviations above the mean of those outside the seed, at a similarity of 0.8.
-LOCAL = 20
-#: Symbols of the bit table of items; two that fall together only let more candidates through.
-FEW = 64
-#: Candidates whose surroundings are compared at once.
-AT_ONCE = 1 << 14
-#: Characters whose seeds are hashed at once.
-HASHED = 1 << 14
+#: Characters of a lane of the exact search.
+LANE = 2048
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal(text: str | None) -> str:
@@ -70,7 +67,8 @@ def codes(text: str) -> np.ndarray:
 
 
 def symbol(c: np.ndarray) -> np.ndarray:
-    return ((c ^ (c >> 8)) & (SYMBOLS - 1)).astype(np.uint8)
+    """Characters folded to 1..255; 0 is the end of an item. Two that fall together only let more windows stay."""
+    return np.maximum((c ^ (c >> 8)) & (SYMBOLS - 1), 1).astype(np.uint8)
 
 
 def edit_distance_inside(item: str, text: str, most: int) -> int | None:
@@ -107,48 +105,31 @@ def three_grams(text: str) -> dict[str, int]:
     return out
 
 
-class Repetition:
-    def __init__(self, r: int, items: list[str]):
+class Walks:
+    """CGK walks of candidate windows and of the items they may hold, compared on sampled places."""
+
+    def __init__(self, r: int):
         rng = np.random.default_rng(1000 + r)
-        self.moves = rng.integers(0, 2, (STEPS, SYMBOLS)).astype(np.int64)
-        cuts = [k * STEPS // SAMPLES for k in range(SAMPLES + 1)]
-        self.places = [int(rng.integers(a, b)) for a, b in zip(cuts, cuts[1:])]  # one in each stretch of the walk
-        self.factors = rng.integers(1, 1 << 62, SAMPLES).astype(np.uint64) | np.uint64(1)
-        text, starts, owner, offset = [], [], [], []
-        base = 0
-        for k, item in enumerate(items):
-            at = [0, *(i + 1 for i, c in enumerate(item) if c == " ")]
-            fit = [a for a in at if len(item) - a >= STEPS]
-            for a in fit[r % max(1, min(REPEATS, len(fit))) :: REPEATS]:
-                starts.append(base + a)
-                owner.append(k)
-                offset.append(a)
-            text.append(item)
-            base += len(item)
-        joined = codes("".join(text) + "\0" * (STEPS + 1))
-        self.early_known = np.zeros(1 << 20, bool)
-        first, full = self.walk(symbol(joined), joined, np.array(starts, np.int64), None)
-        self.early_known[first >> np.uint64(44)] = True
-        order = np.argsort(full, kind="stable")
-        self.keys, self.owner, self.offset = full[order], np.array(owner, np.int64)[order], np.array(offset, np.int64)[order]
-
-    def walk(self, symbols: np.ndarray, chars: np.ndarray, at: np.ndarray, known: np.ndarray | None):
-        """(early keys, full keys) of the walks from at; with known: (the walks whose early key is known, their full keys)."""
-        at, key, seen, kept, early = at.copy(), np.zeros(len(at), np.uint64), 0, np.arange(len(at)), None
-        for j in range(self.places[-1] + 1):
-            if j == self.places[seen]:
-                key = (key ^ chars[at]) * self.factors[seen]
-                key ^= key >> np.uint64(31)
-                seen += 1
-                if seen == EARLY:
-                    early = key * np.uint64(0x9E3779B97F4A7C15)
-                    if known is not None:
-                        stay = known[early >> np.uint64(44)]
-                        at, key, kept = at[stay], key[stay], kept[stay]
-                if seen == SAMPLES:
+        self.moves = rng.integers(0, 2, (PERIOD, SYMBOLS)).astype(np.int64)
+        self.moves[:, 0] = 0  # the end of an item holds its walk
+        self.sampled = rng.random(PERIOD) < SAMPLED
+
+    def agree(self, text: np.ndarray, at: np.ndarray, items: np.ndarray, inside: np.ndarray, way: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sampled places that agree, sampled places before the item's end) of the walks from at and from inside."""
+        same, seen = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
+        at, inside = at.copy(), inside.copy()
+        for j in range(steps):
+            x, y = text[at], items[inside]
+            if self.sampled[j % PERIOD]:
+                live = y != 0
+                if not live.any():
                     break
-            at += self.moves[j][symbols[at]]
-        return (early if known is None else kept), key
+                same += (x == y) & live
+                seen += live
+            move = self.moves[j % PERIOD]
+            at += way * move[x]
+            inside += way * move[y]
+        return same, seen
 
 
 def seed_chance(size: int, length: int, edits: float) -> float:
@@ -162,103 +143,107 @@ def seed_chance(size: int, length: int, edits: float) -> float:
 
 def seed_length(size: int, similarity: float) -> int:
     """0: no length will do."""
-    if size < 64:
-        return 0
-    return max((n for n in range(LEAST_SEED, MOST_SEED + 1) if seed_chance(size, n, 1 - similarity) >= RECALL), default=0)
+    return max((n for n in LENGTHS if seed_chance(size, n, 1 - similarity) >= RECALL), default=0)
+
+
+def stretch_hashes(chars: np.ndarray, lengths: list[int]):
+    """(n, hash of the n characters from each place on) for each of lengths, in rising order; lengths are of LENGTHS."""
+    wide = chars.astype(np.uint64)
+    made = {1: (wide + np.uint64(1)) * _MIX}
+
+    def of(n: int) -> np.ndarray:
+        if n not in made:
+            a = 1 << (n.bit_length() - 1)
+            a = a // 2 if a == n else a
+            left, right = of(a), of(n - a)
+            size = max(0, len(wide) - n + 1)
+            h = left[:size] * np.uint64(0xD6E8FEB86659FD93)
+            h += right[a : a + size]
+            h ^= h >> np.uint64(29)
+            h *= _MIX
+            made[n] = h
+        return made[n]
+
+    for n in lengths:
+        yield n, of(n)
 
 
 class Seeds:
-    """Places of documents that agree with an item in a seed, and nearly so around it."""
+    """Windows of documents that agree with an item in a seed, as (place, item, place in the item, length of the seed)."""
 
     def __init__(self, items: list[str], lengths: list[int]):
         self.lengths = sorted({n for n in lengths if n})
-        self.tables, self.sizes = {}, np.array([len(t) for t in items], np.int64)
-        self.words = int(self.sizes.max()) // 64 + 2
-        bits = np.zeros((len(items), FEW, self.words * 8), np.uint8)
+        self.tables = {}
         found: dict[int, list] = {n: [] for n in self.lengths}
         for k, n in enumerate(lengths):
             if n:
-                c = codes(items[k])
-                where = np.arange(len(c))
-                np.bitwise_or.at(bits, (k, symbol(c) & (FEW - 1), where // 8), (1 << where % 8).astype(np.uint8))
-                *_, (_, h) = self.hashes(c, n)
-                found[n].append((h, np.full(len(h), k), where[: len(h)]))
-        self.bits = bits.view(np.uint64).reshape(-1)
+                *_, (_, h) = stretch_hashes(codes(items[k]), [n])
+                found[n].append((h, np.full(len(h), k), np.arange(len(h))))
         for n, parts in found.items():
             h, owner, offset = (np.concatenate(x) for x in zip(*parts))
             order, known = np.argsort(h, kind="stable"), np.zeros(1 << 20, bool)
             known[h >> np.uint64(44)] = True
             self.tables[n] = known, h[order], owner[order], offset[order]
 
-    @staticmethod
-    def hashes(chars: np.ndarray, most: int):
-        """(n, hash of the n characters from each place on) for n from 1 to most."""
-        wide, h = chars.astype(np.uint64), np.zeros(len(chars), np.uint64)
-        for n in range(1, min(most, len(wide)) + 1):
-            h = (h[: len(wide) - n + 1] + wide[n - 1 :] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-            yield n, h
-
-    def places(self, chars: np.ndarray, symbols: np.ndarray):
-        """(places, items, offsets in the items) of seeds whose surroundings agree."""
-        few = np.concatenate([np.zeros(64, np.int64), symbols & (FEW - 1), np.zeros(256, np.int64)]).astype(np.int64)
+    def windows(self, chars: np.ndarray):
+        """Up to AT_ONCE windows at a time; one of the windows of an item that start at one place and meet in 64 characters stands for all."""
         met: dict[int, list] = {n: [] for n in self.lengths}
         for first in range(0, len(chars), HASHED):  # what fits a processor's cache
-            for n, h in self.hashes(chars[first : first + HASHED + self.lengths[-1] - 1], self.lengths[-1]):
-                if n in met:
-                    known, keys = self.tables[n][:2]
-                    at = np.flatnonzero(known[h[:HASHED] >> np.uint64(44)])
-                    h = h[at]
-                    low = np.searchsorted(keys, h)
-                    many = np.searchsorted(keys, h, side="right") - low
-                    met[n].append((at[many > 0] + first, low[many > 0], many[many > 0]))
+            for n, h in stretch_hashes(chars[first : first + HASHED + self.lengths[-1] - 1], self.lengths):
+                known, keys = self.tables[n][:2]
+                at = np.flatnonzero(known[(h[:HASHED] >> np.uint64(44)).view(np.int64)])
+                h = h[at]
+                low = np.searchsorted(keys, h)
+                low[low == len(keys)] = 0
+                there = keys[low] == h
+                at, h, low = at[there], h[there], low[there]
+                met[n].append((at + first, low, np.searchsorted(keys, h, side="right") - low))
         for n, parts in met.items():
             at, low, many = (np.concatenate(x) for x in zip(*parts))
             owner, offset = self.tables[n][2:]
             ends, begin = np.cumsum(many), 0
-            while begin < len(at):  # a few places at a time: one may meet many items
-                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + AT_ONCE, side="right")))
+            while begin < len(at):  # a bounded number at a time: one place may meet many items
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + 16 * AT_ONCE, side="right")))
                 count = many[begin:end]
                 p = np.repeat(low[begin:end] - np.cumsum(count) + count, count) + np.arange(count.sum())
-                yield from self.near(few, np.repeat(at[begin:end], count), owner[p], offset[p])
+                where, item, inside = np.repeat(at[begin:end], count), owner[p], offset[p]
+                one = np.unique((item << 42) + ((where - inside + (1 << 30)) << 10) + (where // 64 & 1023), return_index=True)[1]
+                one.sort()
+                for k in range(0, len(one), AT_ONCE):
+                    part = one[k : k + AT_ONCE]
+                    yield where[part], item[part], inside[part], n
                 begin = end
 
-    def near(self, few: np.ndarray, at: np.ndarray, item: np.ndarray, offset: np.ndarray):
-        """Those whose 64 characters lie within LOCAL edits; all places' distances side by side (Myers)."""
-        _, one = np.unique(np.stack([item, at - offset, at // 16]), axis=1, return_index=True) if len(at) > 1 else (None, np.arange(len(at)))
-        at, item, offset = at[one], item[one], offset[one]
-        part = np.minimum(np.maximum(offset - 28, 0), self.sizes[item] - 64)
-        shift = (part % 64).astype(np.uint64)
-        back = np.uint64(63) - shift
-        row, text = item * (FEW * self.words) + part // 64, at - (offset - part) - 16 + 64
-        pv, mv = np.full(len(at), ~np.uint64(0)), np.zeros(len(at), np.uint64)
-        score = np.full(len(at), 64, np.int64)
-        best, unit, top = score.copy(), np.uint64(1), np.uint64(63)
-        for j in range(64 + 32):
-            w = row + few[np.maximum(text + j, 0)] * self.words
-            eq = self.bits[w] >> shift | self.bits[w + 1] << back << unit
-            xv = eq | mv
-            xh = (((eq & pv) + pv) ^ pv) | eq
-            ph, mh = mv | ~(xh | pv), pv & xh
-            score += (ph >> top).astype(np.int64) - (mh >> top).astype(np.int64)
-            np.minimum(best, score, out=best)
-            ph, mh = ph << unit, mh << unit
-            pv, mv = mh | ~(xv | ph), ph & xv
-        ok = best <= LOCAL
-        yield from zip(at[ok].tolist(), item[ok].tolist(), offset[ok].tolist())
-
 
 class Benchmark:
     """The items of one block, ready to be met."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY):
+    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, exact: bool = False):
         self.ids, self.texts = [i for i, _ in items], [t for _, t in items]
         self.most = [int((1 - similarity) * len(t) + 1e-9) for t in self.texts]
         self.grams = [three_grams(t) for t in self.texts]
-        self.repetitions = [Repetition(r, self.texts) for r in range(REPEATS)]
-        lengths = {n: seed_length(n, similarity) for n in {len(t) for t in self.texts}}
-        self.short = [k for k, t in enumerate(self.texts) if not lengths[len(t)]]
+        lengths = {n: 0 if exact else seed_length(n, similarity) for n in {len(t) for t in self.texts}}
+        self.searched = [k for k, t in enumerate(self.texts) if not lengths[len(t)]]
         self.seeds = Seeds(self.texts, [lengths[len(t)] for t in self.texts]) if any(lengths.values()) else None
+        self.repetitions = [Walks(r) for r in range(REPEATS)]
+        self.base = np.cumsum([1, *(len(t) + 1 for t in self.texts)])
+        self.symbols = np.concatenate([np.zeros(1, np.uint8), *(np.append(symbol(codes(t)), np.uint8(0)) for t in self.texts)])
+        self.full = 2 * max((len(t) for t in self.texts), default=0) + PERIOD
+
+    def stay(self, symbols: np.ndarray, windows: np.ndarray, steps: int) -> np.ndarray:
+        """The windows (place, item, place in it, length of the seed) whose walks agree in some repetition."""
+        left, kept = windows, []
+        for walks in self.repetitions:
+            at, item, inside, n = left
+            inside = self.base[item] + inside
+            same, seen = walks.agree(symbols, at + n, self.symbols, inside + n, 1, steps)
+            s, m = walks.agree(symbols, at - 1, self.symbols, inside - 1, -1, steps)
+            ok = same + s >= AGREE * (seen + m)
+            kept.append(left[:, ok])
+            left = left[:, ~ok]
+            if not left.shape[1]:
+                break
+        return np.concatenate(kept, axis=1)
 
     def verified(self, k: int, text: str, begin: int) -> int | None:
         """Distance of item k to the text around begin, where it should start."""
@@ -288,42 +273,88 @@ class Benchmark:
         return found
 
     def _search(self, texts: list[str], found: list[dict[int, int]]) -> None:
-        chars = codes(" ".join(texts) + "\0" * (STEPS + 1))
-        symbols = symbol(chars)
         bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        starts = np.flatnonzero(chars == 32) + 1
-        starts = np.concatenate([[0], starts]).astype(np.int64)
-        done: set[tuple[int, int, int]] = set()
-        for rep in self.repetitions:
-            if not len(rep.keys):
-                continue
-            kept, keys = rep.walk(symbols, chars, starts, rep.early_known)
-            low, high = np.searchsorted(rep.keys, keys), np.searchsorted(rep.keys, keys, side="right")
-            for c in np.flatnonzero(high > low):
-                at = int(starts[kept[c]])
-                doc = int(np.searchsorted(bounds, at, side="right")) - 1
-                for p in range(low[c], high[c]):
-                    item, begin = int(rep.owner[p]), at - int(bounds[doc]) - int(rep.offset[p])
-                    if item in found[doc] or (doc, item, begin) in done:
+        if self.seeds and bounds[-1] > len(texts):
+            margin = self.full + PERIOD
+            chars = codes(" ".join(texts))
+            symbols = np.concatenate([np.full(margin, 1, np.uint8), symbol(chars), np.full(margin, 1, np.uint8)])
+            done: set[tuple[int, int, int]] = set()
+
+            def finish(windows: np.ndarray) -> None:
+                for steps in (*LOOKS[1:], self.full):
+                    windows = self.stay(symbols, windows, steps)
+                at, item, offset, _ = windows
+                docs = np.searchsorted(bounds, at - margin, side="right") - 1
+                for doc, k, begin in zip(docs.tolist(), item.tolist(), (at - margin - bounds[docs] - offset).tolist()):
+                    if k in found[doc] or (doc, k, begin) in done:
                         continue
-                    done.add((doc, item, begin))
-                    if (d := self.verified(item, texts[doc], begin)) is not None:
-                        found[doc][item] = 0 if self.texts[item] in texts[doc] else d
-        if self.seeds:
-            for at, item, offset in self.seeds.places(chars, symbols):
-                doc = max(0, int(np.searchsorted(bounds, at, side="right")) - 1)
-                if doc == len(texts):
-                    continue
-                begin = at - int(bounds[doc]) - offset
-                if item in found[doc] or (doc, item, begin) in done:
-                    continue
-                done.add((doc, item, begin))
-                if (d := self.verified(item, texts[doc], begin)) is not None:
-                    found[doc][item] = 0 if self.texts[item] in texts[doc] else d
-        for item in self.short:
-            for doc, text in enumerate(texts):
-                if text and item not in found[doc] and (d := edit_distance_inside(self.texts[item], text, self.most[item])) is not None:
-                    found[doc][item] = d
+                    done.add((doc, k, begin))
+                    if (d := self.verified(k, texts[doc], begin)) is not None:
+                        found[doc][k] = 0 if self.texts[k] in texts[doc] else d
+
+            kept, many = [], 0
+            for at, item, offset, n in self.seeds.windows(chars):
+                kept.append(self.stay(symbols, np.stack([at + margin, item, offset, np.full(len(at), n)]), LOOKS[0]))
+                many += kept[-1].shape[1]
+                if many > AT_ONCE:
+                    finish(np.concatenate(kept, axis=1))
+                    kept, many = [], 0
+            if many:
+                finish(np.concatenate(kept, axis=1))
+        if self.searched:
+            self.search_exactly(texts, found, bounds)
+
+    def search_exactly(self, texts: list[str], found: list[dict[int, int]], bounds: np.ndarray) -> None:
+        joined = " ".join(texts)
+        chars = codes(joined)
+        for k in self.searched:
+            item, most = self.texts[k], self.most[k]
+            if not most:
+                maybe = {int(np.searchsorted(bounds, p, side="right")) - 1 for p in places_of(item, joined)}
+            elif len(item) <= 64:
+                maybe = set((np.searchsorted(bounds, ends_near(codes(item), chars, most), side="right") - 1).tolist())
+            else:
+                maybe = range(len(texts))
+            for doc in maybe:
+                if texts[doc] and k not in found[doc] and (d := edit_distance_inside(item, texts[doc], most)) is not None:
+                    found[doc][k] = d
+
+
+def places_of(item: str, text: str):
+    at = text.find(item)
+    while at >= 0:
+        yield at
+        at = text.find(item, at + 1)
+
+
+def ends_near(item: np.ndarray, text: np.ndarray, most: int) -> np.ndarray:
+    """Places of text at which a part ends that is within most edits of item (64 characters at most). Lanes side by side (Myers)."""
+    m = len(item)
+    letters, which = np.unique(item, return_inverse=True)
+    table = np.zeros(len(letters) + 1, np.uint64)
+    np.bitwise_or.at(table, which, np.uint64(1) << np.arange(m, dtype=np.uint64))
+    own = np.searchsorted(letters, text)
+    own[own == len(letters)] = 0
+    own = np.where(letters[own] == text, own, len(letters))
+    lead = m + most
+    lanes = -(-len(text) // LANE)
+    padded = np.full(lead + lanes * LANE, len(letters))
+    padded[lead : lead + len(text)] = own
+    starts = np.arange(lanes) * LANE
+    pv, mv, score = np.full(lanes, ~np.uint64(0)), np.zeros(lanes, np.uint64), np.full(lanes, m)
+    one, top, out = np.uint64(1), np.uint64(m - 1), []
+    for j in range(lead + LANE):
+        eq = table[padded[starts + j]]
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | ~(xh | pv), pv & xh
+        score += ((ph >> top) & one).astype(np.int64) - ((mh >> top) & one).astype(np.int64)
+        if j >= lead and (score <= most).any():
+            out.append(starts[score <= most] + j - lead)
+        ph, mh = ph << one, mh << one
+        pv, mv = mh | ~(xv | ph), ph & xv
+    ends = np.concatenate(out) if out else np.empty(0, np.int64)
+    return ends[ends < len(text)]
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[list[tuple[int, str]]]:
@@ -341,11 +372,11 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return [b for b in out if b]
 
 
-def _ready(items: tuple[tuple[int, str], ...], similarity: float) -> Benchmark:
-    return common.held(("benchmark", items, similarity), lambda: Benchmark(list(items), similarity))
+def _ready(items: tuple[tuple[int, str], ...], similarity: float, exact: bool) -> Benchmark:
+    return common.held(("benchmark", items, similarity, exact), lambda: Benchmark(list(items), similarity, exact))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """(doc_id, item_id, distance): the items that each row holds at that similarity or more."""
     df, spark = common.id_text(docs, id_col, text_col), docs.sparkSession
     schema = f"doc_id {df.schema['doc_id'].dataType.simpleString()}, item_id long, distance int"
@@ -354,7 +385,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         sent = spark.sparkContext.broadcast(tuple(items))
 
         def run(batches, sent=sent):
-            ready = _ready(sent.value, similarity)
+            ready = _ready(sent.value, similarity, exact)
             for b in batches:
                 for k in range(0, b.num_rows, 1024):
                     part = b.slice(k, 1024)
@@ -366,14 +397,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text_col: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text_col: str = "text", exact: bool = False) -> DataFrame:
     """The rows of docs that hold no item, with docs' columns."""
     spark, schema, at = docs.sparkSession, docs.schema, docs.columns.index(text_col)
     for items in blocks(benchmark):
         sent = spark.sparkContext.broadcast(tuple(items))
 
         def run(batches, sent=sent):
-            ready = _ready(sent.value, similarity)
+            ready = _ready(sent.value, similarity, exact)
             for b in batches:
                 for k in range(0, b.num_rows, 1024):
                     part = b.slice(k, 1024)

@@ -86,6 +86,12 @@ def every_window(text):
     return found
 
 
+def phrases(text):
+    """Short templates as words in a row."""
+    words = " ".join(x for x in map(L.bare, (text or "").split()) if x)
+    return {name for name, _, t in L.SHORT_TEMPLATES if f" {' '.join(filter(None, map(L.bare, t.split())))} " in f" {words} "}
+
+
 def test_licenses(spark):
     rng = random.Random(4)
     filler = lambda n: " ".join(rng.choice("alpha beta gamma delta public license the free".split()) for _ in range(n))
@@ -102,7 +108,7 @@ def test_licenses(spark):
     want = {i: f for i, t in enumerate(texts) if (f := every_window(t))} | {None: every_window(texts[4])}
     assert got == {k: pytest.approx(v) for k, v in want.items() if v}
     assert L.license_scan(docs.limit(0)).collect() == []
-    plain = {r["doc_id"]: every_window(r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    plain = {r["doc_id"]: {*every_window(r["text"]), *phrases(r["text"])} for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     found = {(r["doc_id"], r["license"]) for r in L.op9_license_scan(spark, SF).collect()}
     assert found == {(d, x) for d, f in plain.items() for x in f} and found
 
