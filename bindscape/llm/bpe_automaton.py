@@ -14,11 +14,16 @@ Encoding a pre-split word is table-driven: each prefix of the word has exactly o
 that end at a position (a reversed trie lists them) the one whose arc leaves the live state at its start is
 taken. Decoding emits the arc labels, the bytes of each token.
 
-Null text counts as empty and gives no ids. Special tokens in the text are single ids, as the library has it.
+A token whose merge finds no path left (dead) can never be made, by merging neither, so it has no arc.
+
+Null text counts as empty and gives no ids; an empty table gives no rows. Special tokens in the text are single ids, as the
+library has it. Very long texts are coded whole, in time linear in their words. Repeated rows are coded each by itself,
+and only the two columns named are read, so others may have any name. There are no ties: the ids of a text are unique.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
@@ -109,7 +114,7 @@ class MergeAutomaton:
         self.table: dict[int, bool] = {}
         self.dead: set[int] = set()
         for at, (a, b, c) in enumerate(merges, 1):
-            if not self.arc(a, b, at - 1):
+            if a in self.dead or b in self.dead or not self.arc(a, b, at - 1):
                 self.dead.add(c)  # no path a, b is left: the gadget adds no arc
             self.left[c], self.right[c], self.born[c] = a, b, at
             self.cut[a << 32 | b] = at
@@ -210,19 +215,49 @@ class Tokenizer:
         self.automaton = MergeAutomaton(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
         self.words = word_split()
         self.apart = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.memo = common.Memo(lambda w: array("i", self.automaton.encode(w.encode())).tobytes())
-        self.mark = {t: array("i", [i]).tobytes() for t, i in self.special.items()}
-
-    def packed(self, text: str) -> bytes:
-        """The ids of text as native 32-bit integers."""
-        if not self.apart or not self.apart.search(text):
-            return b"".join(map(self.memo.__getitem__, self.words.findall(text)))
+        self.memo = common.Memo(self.word)
+        self.both = common.Memo(self.there_and_back)
+        self.told = common.Memo(self.decimal_and_back)
+
+    def word(self, word: str) -> bytes:
+        """Ids as native 32-bit integers. A special token never comes out of a split as a word, since texts are cut at them."""
+        i = self.special.get(word)
+        return array("i", self.automaton.encode(word.encode()) if i is None else [i]).tobytes()
+
+    def there_and_back(self, word: str) -> tuple[bytes, bytes]:
+        """Ids of a word and the bytes that these decode to."""
+        ids = self.word(word)
+        return ids, self.automaton.decode(array("i", ids))
+
+    def decimal_and_back(self, word: str) -> tuple[bytes, bytes]:
+        """The same with the ids in decimal, joined by commas."""
+        ids, back = self.there_and_back(word)
+        return ",".join(map(str, array("i", ids))).encode(), back
+
+    def split(self, text: str) -> list[str]:
+        if not self.apart or not any(x in text for x in self.special):
+            return self.words.findall(text)
         parts, at = [], 0
         for m in self.apart.finditer(text):
-            parts += map(self.memo.__getitem__, self.words.findall(text[at : m.start()]))
-            parts.append(self.mark[m[0]])
+            parts += self.words.findall(text[at : m.start()])
+            parts.append(m[0])
             at = m.end()
-        return b"".join([*parts, *map(self.memo.__getitem__, self.words.findall(text[at:]))])
+        return parts + self.words.findall(text[at:])
+
+    def packed(self, text: str) -> bytes:
+        """The ids of text as native 32-bit integers."""
+        return b"".join(map(self.memo.__getitem__, self.split(text)))
+
+    def round_trip(self, text: str) -> tuple[bytes, str]:
+        """The ids, packed, and the text that they decode to."""
+        ids, back = zip(*map(self.both.__getitem__, self.split(text))) if text else ((), ())
+        return b"".join(ids), b"".join(back).decode("utf-8", "replace")
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of the ids in decimal joined by commas, SHA-256 of the decoded text in UTF-8."""
+        parts = zip(*map(self.told.__getitem__, self.split(text))) if text else ((), ())
+        ids, back = (x.join(p) for x, p in zip((b",", b""), parts))
+        return ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.decode("utf-8", "replace").encode()).hexdigest()
 
     def encode(self, text: str) -> list[int]:
         return array("i", self.packed(text)).tolist()
@@ -276,8 +311,8 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         t = tokenizer(path)
 
         def each(b):
-            ids = id_lists([t.packed(x or "") for x in b.column(1).to_pylist()])
-            return {"doc_id": b.column(0), "ids": ids, "decoded": [t.decode(x.as_py()) for x in ids]}
+            got = [t.round_trip(x or "") for x in b.column(1).to_pylist()]
+            return {"doc_id": b.column(0), "ids": id_lists([x for x, _ in got]), "decoded": [x for _, x in got]}
 
         return each
 
@@ -285,15 +320,21 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     return common.arrow_map(df, make, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and of the decoded text."""
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens and the digests of what bpe_round_trip gives, taken where it is made: ids and texts stay in the worker."""
+
+    def make():
+        t = tokenizer(path)
+
+        def each(b):
+            n, ids, decoded = zip(*(t.digest(x or "") for x in b.column(1).to_pylist()), strict=True)
+            return {"doc_id": b.column(0), "n_tokens": list(n), "ids_sha256": list(ids), "decoded_sha256": list(decoded)}
+
+        return each
+
+    df = common.id_text(docs, id_col, text_col)
+    return common.arrow_map(df, make, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(bpe_round_trip(common.table(spark, sf_dir, "documents"), default_path()))
+    return bpe_digests(common.table(spark, sf_dir, "documents"), default_path())
