@@ -33,7 +33,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_automaton.digests(bpe_automaton.bpe_round_trip(docs, bpe_automaton.default_path()))
+    return bpe_automaton.bpe_digests(docs, bpe_automaton.default_path())
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("benchmark", benchmark), ("tokens", tokens)]
