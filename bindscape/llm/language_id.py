@@ -5,20 +5,24 @@ counted over the whole text, weighted by inverse document frequency and scaled t
 trained by follow-the-regularised-leader with L1 and L2 penalties, which leaves most of them 0. A temperature,
 fitted on rows kept apart from training, calibrates the probabilities.
 
-The fit uses a sample of at most ``per_lang`` rows in expectation for each of the ``max_langs`` most common
-labels, drawn by a hash of the id; counts of labels cover all rows. Scoring is one narrow pass over whole texts.
-
-Text that is null, empty or without a letter: language ``und``, score 0. A null id is never held out and never
-learnt from; null labels are not learnt. Without labels at all every text is ``und``.
+Document frequencies and counts of labels cover all rows that may be learnt from. The fit uses a sample of them: in
+expectation ``per_lang`` rows a label, or ``max_train`` divided by the number of labels if that is less; drawn by a hash
+of the id. No label is left out; more than ``max_train`` labels are refused. Scoring is one narrow pass over whole texts.
+
+Text that is null, empty or without a letter (Unicode's category L): language ``und``, score 0. A null id is never held
+out and never learnt from; null labels are not learnt. Without labels at all every text is ``und``. Of languages that are
+equally likely the first in the order of their names is given. Repeated rows count and are judged each by itself. Texts of
+any length are read whole, in parts of PART characters. Only the three columns named are read, whatever else the table holds.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,35 +31,47 @@ from . import common
 GRAM_BITS = 16
 GRAMS = 1 << GRAM_BITS
 LONGEST = 4
-PER_LANG = 800
-MAX_LANGS = 256
+PER_LANG, MAX_TRAIN = 800, 20_000
+#: Characters that are hashed at once.
+PART = 1 << 16
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+_MIX = np.uint32(0x9E3779B1)
 
 
-def grams(word: str) -> np.ndarray:
-    w = f"<{word}>"
-    return np.array([zlib.crc32(w[i : i + n].encode("utf-8", "replace")) & (GRAMS - 1) for n in range(1, LONGEST + 1) for i in range(len(w) - n + 1) if n > 1 or 0 < i < len(w) - 1], np.int32)
+@lru_cache(maxsize=1)
+def letter_table() -> np.ndarray:
+    """Is a code point a letter?"""
+    table = np.zeros(0x110000, bool)
+    table[[ord(c) for c in regex.findall(r"\p{L}", "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000))]] = True
+    return table
 
 
-class Grams:
-    def __init__(self):
-        self.memo = common.Memo(grams, 300_000)
+def gram_numbers(text: str) -> np.ndarray:
+    """Numbers of all grams that start in the text's first PART characters, given LONGEST - 1 characters more.
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """(gram numbers, counts), or None without a letter."""
-        words = WORD.findall(text.lower())
-        if not words:
-            return None
-        counts = np.zeros(GRAMS, np.int64)
-        for k in range(0, len(words), 20_000):
-            counts += np.bincount(np.concatenate([self.memo[w] for w in words[k : k + 20_000]]), minlength=GRAMS)
-        ids = np.flatnonzero(counts)
-        return ids.astype(np.int32), counts[ids].astype(np.float32)
+    Words are runs of letters; all else is a mark (0). A gram may have a mark at either end; a mark alone is none.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = letter_table()[codes]
+    c, out = np.where(letter, codes, 0), [np.empty(0, np.uint32)]
+    h, inner = c * _MIX, letter
+    for n in range(1, LONGEST + 1):
+        if n > 1:
+            h = (h[:-1] ^ (h[:-1] >> np.uint32(13))) * np.uint32(0x85EBCA6B) + c[n - 1 :] * _MIX
+            # all between the ends are letters; with nothing between them, one of them is
+            inner = letter[:-1] | letter[1:] if n == 2 else letter[1:-1] if n == 3 else inner[:-1] & letter[n - 2 : -1]
+        x = h[:PART][inner[:PART]] + np.uint32(n)
+        out.append((x ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE35))
+    return np.concatenate(out) >> np.uint32(32 - GRAM_BITS)
 
 
-def worker_grams() -> Grams:
-    return common.held("grams", Grams)
+def count_grams(text: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """(gram numbers, counts), or None without a letter."""
+    text, counts = f"\0{text.lower()}\0", np.zeros(GRAMS, np.int64)
+    for k in range(0, len(text), PART):
+        counts += np.bincount(gram_numbers(text[k : k + PART + LONGEST - 1]), minlength=GRAMS)
+    ids = np.flatnonzero(counts)
+    return (ids.astype(np.int32), counts[ids].astype(np.float32)) if len(ids) else None
 
 
 class LanguageModel:
@@ -82,13 +98,15 @@ class LanguageModel:
         k = int(p.argmax())
         return self.langs[k], float(p[k])
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01) -> LanguageModel:
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], frequencies: np.ndarray | None = None, documents: int = 0, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01) -> LanguageModel:
+        """frequencies: in how many of so many documents each gram stands; without, those of rows."""
         n, c = len(rows), len(self.langs)
         if not n:
             return self
         apart = np.arange(n) % 5 == 4 if n >= 50 else np.zeros(n, bool)
-        df = np.bincount(np.concatenate([r[0] for r in rows]), minlength=GRAMS)
-        self.idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+        if frequencies is None:
+            frequencies, documents = np.bincount(np.concatenate([r[0] for r in rows]), minlength=GRAMS), n
+        self.idf = (np.log((1 + documents) / (1 + frequencies)) + 1).astype(np.float32)
         z, g2 = np.zeros((GRAMS + 1, c)), np.zeros((GRAMS + 1, c))
         rng, learn = np.random.default_rng(3), np.flatnonzero(~apart)
 
@@ -126,28 +144,45 @@ class LanguageModel:
         return self
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def train(docs: DataFrame, per_lang: int = PER_LANG, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (common.bucket_of("doc_id", 3) != 1))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = rows.groupBy("lang").count().limit(max_train + 1).collect()
     spark, langs = docs.sparkSession, sorted(r["lang"] for r in counts)
     if not langs:
         return LanguageModel([])
-    most = spark.createDataFrame([(r["lang"], int(min(1.0, per_lang / r["count"]) * (1 << 30)), langs.index(r["lang"])) for r in counts], "lang string, most long, label int")
-    chosen = rows.join(F.broadcast(most), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("most")).select("doc_id", "label", "text")
-
-    def make():
-        count = worker_grams()
-
-        def each(b):
-            got = [count(t) for t in b.column("text").to_pylist()]
-            return {"doc_id": b.column("doc_id").cast(pa.int64()), "label": b.column("label"), "ids": [g and g[0].tobytes() for g in got], "counts": [g and g[1].tobytes() for g in got]}
-
-        return each
-
-    got = common.arrow_map(chosen, make, "doc_id long, label int, ids binary, counts binary").where("ids is not null").limit(4 * per_lang * len(langs)).collect()
+    if len(langs) > max_train:
+        raise ValueError(f"more than max_train = {max_train} labels")
+    each_lang, number = min(per_lang, max_train / len(langs)), {x: k for k, x in enumerate(langs)}
+    most = spark.createDataFrame([(r["lang"], int(min(1.0, each_lang / r["count"]) * (1 << 30)), number[r["lang"]]) for r in counts], "lang string, most long, label int")
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("most")
+    rows = rows.join(F.broadcast(most), "lang").select(F.col("doc_id").cast("long"), "label", chosen.alias("chosen"), "text")
+
+    def count(batches):
+        """Grams of chosen rows, and at the end how many texts of the task hold each gram."""
+        held, n = np.zeros(GRAMS, np.int64), 0
+        names = ["doc_id", "label", "ids", "counts", "texts", "frequencies"]
+        for batch in common.pieces(batches):
+            got = [count_grams(t) for t in batch.column(3).to_pylist()]
+            for g in got:
+                if g:
+                    held[g[0]] += 1
+            n += len(got)
+            keep = [k for k, c in enumerate(batch.column(2).to_pylist()) if c and got[k]]
+            own = batch.take(pa.array(keep, pa.int64()))
+            none = [None] * len(keep)
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([got[k][0].tobytes() for k in keep], pa.binary()), pa.array([got[k][1].tobytes() for k in keep], pa.binary()), pa.array(none, pa.int64()), pa.array(none, pa.list_(pa.int64()))], names=names)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([None], t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.binary())] + [pa.array([n], pa.int64()), pa.array([held], pa.list_(pa.int64()))], names=names)
+
+    told = common.materialize(rows.mapInArrow(count, "doc_id long, label int, ids binary, counts binary, texts long, frequencies array<long>"), "grams")
+    frequencies = np.zeros(GRAMS, np.int64)
+    for r in told.where("texts is not null").select(F.posexplode("frequencies").alias("gram", "n")).groupBy("gram").agg(F.sum("n").alias("n")).collect():  # GRAMS rows
+        frequencies[r["gram"]] = r["n"]
+    documents = told.agg(F.sum("texts")).first()[0] or 0
+    got = told.where("ids is not null").select("doc_id", "label", "ids", "counts").limit(4 * max_train).collect()
     got.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["ids"]))
-    return LanguageModel(langs).fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in got], [r["label"] for r in got])
+    return LanguageModel(langs).fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in got], [r["label"] for r in got], frequencies, documents)
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,10 +190,10 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        count, model = worker_grams(), sent.value
+        model = sent.value
 
         def each(b):
-            got = [model.predict(count(t) if t else None) for t in b.column(1).to_pylist()]
+            got = [model.predict(count_grams(t) if t else None) for t in b.column(1).to_pylist()]
             return {"doc_id": b.column(0), "lang_pred": [x for x, _ in got], "score": [x for _, x in got]}
 
         return each
