@@ -55,6 +55,9 @@ REACH, CHUNK, OFTEN = 0.3, 2_000_000, 16
 #: Often seen shingles that are ordered last: the most common ones up to this number, which also bounds what is broadcast.
 MOST_OFTEN = 500_000
 
+#: Sets that may share the first 64 bits of their 128-bit keys with another; among 10^12 sets some 54,000 pairs do.
+CLASHES = 1_000_000
+
 LAST = (1 << 63) - 1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,7 +86,17 @@ class Shingles:
             return first, np.empty(0, np.uint64)
         place = np.arange(len(data))
         place[first[0] :] -= np.repeat(first, np.diff(np.append(first, len(data))))
-        return first, np.add.reduceat(self.bytes[data] * self.powers[place & 4095], first)
+        h = self.bytes[data] * self.powers[place & 4095]
+        if len(data) > 4096 and (stretch := place >> 12).any():  # in a word beyond 4096 bytes
+            h = np.where(stretch > 0, (h ^ (h >> np.uint64(31))) * self.odd_factors(stretch), h)
+        return first, np.add.reduceat(h, first)
+
+    @staticmethod
+    def odd_factors(k: np.ndarray) -> np.ndarray:
+        """An odd number for each."""
+        x = k.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        return x * np.uint64(0x94D049BB133111EA) | np.uint64(1)
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -161,7 +174,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         def rows(ids, hashes, sizes, keys, told):
             n = len(keys)
             lists = [([], [])] * (n - 1) + [told] if n else []
-            return pa.RecordBatch.from_arrays([ids, hashes, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array([a for a, _ in lists], pa.list_(pa.int64())), pa.array([b for _, b in lists], pa.list_(pa.int64()))], names=["doc_id", "h", "n", "key", "often", "counts"])
+            return pa.RecordBatch.from_arrays([ids, hashes, pa.array(sizes, pa.int64()), pa.array([gid_of(k, {}) for k in keys], pa.int64()), pa.array(keys, pa.binary()), pa.array([a for a, _ in lists], pa.list_(pa.int64())), pa.array([b for _, b in lists], pa.list_(pa.int64()))], names=["doc_id", "h", "n", "gid", "key", "often", "counts"])
 
         for b in batches:
             for k in range(0, b.num_rows, 512):
@@ -177,7 +190,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield rows(pa.array([None], pa.int64()), pa.array([0], pa.int64()), [-1], [b""], often())
 
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), common.text_key(text_col).alias("h"))
-    return df.mapInArrow(run, "doc_id long, h long, n long, key binary, often array<long>, counts array<long>")
+    return df.mapInArrow(run, "doc_id long, h long, n long, gid long, key binary, often array<long>, counts array<long>")
 
 
 def _prefixes(docs: DataFrame, last: dict[int, int], taken: dict[bytes, int], percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -393,111 +406,112 @@ def block_links(gids: list[int], sets: list[np.ndarray], parts, percent: int = P
 
 def set_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", short: int = SHORT, block: int = BLOCK, cluster: int = CLUSTER) -> DataFrame:
     """(doc_id, h, n_shingles, gid, root): one row for each row of docs; rows of one component have one root, sets without words none."""
-    spark = docs.sparkSession
     told = common.materialize(_sets(docs, id_col, text_col), "shingle-sets")
-    rows = told.where("n >= 0").select("doc_id", "h", "n", "key")
+    rows = told.where("n >= 0").select("doc_id", "h", "n", "gid", "key")
     often = told.where("size(often) > 0").select(F.explode(F.arrays_zip("often", "counts")).alias("x")).groupBy(F.col("x.often").alias("token")).agg(F.sum("x.counts").alias("c")).where(F.col("c") >= OFTEN)
     last = {r["token"]: r["c"] for r in often.orderBy(F.desc("c"), "token").limit(MOST_OFTEN).collect()}
-    # Different sets whose numbers would be equal: none in practice, a few among many billions of sets.
-    number = F.substring("key", 1, 8)
-    clash = rows.where("n > 0").groupBy(number.alias("number")).agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low != high")
-    clashing = rows.join(clash.select("number"), number == F.col("number"), "left_semi").select("key").distinct().limit(1_000_001).collect()
-    if len(clashing) > 1_000_000:
-        raise RuntimeError("too many sets share a number")
-    taken = {bytes(r["key"]): -(1 << 62) + k for k, r in enumerate(sorted(clashing))}
+    rows, known, taken = _numbered(rows)
 
+    # Lists of the sets that share a prefix shingle. m: groups in the list; at: place of a member in its group.
     tokens = _prefixes(docs, last, taken, percent, id_col, text_col)
-    lists = tokens.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("m > 1")
-    lists = common.materialize(lists.dropDuplicates(["token", "gid"]).drop("m"), "shingle-lists")
-    common.release(spark)
-    groups = lists.select("grp", "gid", "n").distinct()
+    by, of = Window.partitionBy("token"), Window.partitionBy("token", "grp")
+    lists = tokens.withColumn("m", F.count(F.lit(1)).over(by)).where("m > 1").drop("m").dropDuplicates(["token", "gid"])
+    lists = lists.withColumn("at", F.row_number().over(of.orderBy("gid"))).withColumn("members", F.count(F.lit(1)).over(of))
+    lists = lists.withColumn("m", F.sum((F.col("at") == 1).cast("int")).over(by)).where("m > 1 or members > 1")
+    lists = common.materialize(lists, "shingle-lists")
+    common.release(docs.sparkSession)
+    groups = common.materialize(lists.select("grp", "gid", "members").distinct(), "groups")
 
     # Group pairs from short lists, with the number of prefix shingles they share.
-    entries = lists.select("token", "grp", "n", "stop").distinct()
-    sized = common.materialize(entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "lists-by-size")
-    small, big = sized.where(f"m <= {short}").select("token"), sized.where(f"m > {short}").select("token")
-    kept = entries.join(small, "token")
-    x, y = kept.select("token", *[F.col(c).alias(f"{c}1") for c in ("grp", "n", "stop")]), kept.select("token", *[F.col(c).alias(f"{c}2") for c in ("grp", "n", "stop")])
+    entries = lists.where("at = 1").select("token", "grp", "n", "stop", "members", "m")
+    kept, sides = entries.where(f"m > 1 and m <= {short}").drop("m"), ("grp", "n", "stop", "members")
+    x, y = (kept.select("token", *[F.col(c).alias(f"{c}{k}") for c in sides]) for k in (1, 2))
     met = x.join(y, "token").where("n1 < n2 or (n1 = n2 and grp1 < grp2)").where(f"100 * n1 >= {percent} * n2")
-    met = met.groupBy("grp1", "grp2", "n1", "n2", "stop1", "stop2").agg(F.count(F.lit(1)).alias("met"))
+    met = met.groupBy(*[f"{c}{k}" for c in sides for k in (1, 2)]).agg(F.count(F.lit(1)).alias("met"))
     # Shared shingles in long lists are not counted: as many as the group has there may be shared as well.
-    more = entries.join(big, "token").groupBy("grp").agg(F.count(F.lit(1)).alias("more"))
-    met = met.join(more.select(F.col("grp").alias("grp1"), F.col("more").alias("more1")), "grp1", "left").join(more.select(F.col("grp").alias("grp2"), F.col("more").alias("more2")), "grp2", "left").na.fill(0, ["more1", "more2"])
+    more = common.materialize(entries.where(f"m > {short}").groupBy("grp").agg(F.count(F.lit(1)).alias("more")), "long-entries")
+    hint = F.broadcast if more.count() <= BROADCAST else lambda d: d
+    for k in (1, 2):
+        met = met.join(hint(more.select(F.col("grp").alias(f"grp{k}"), F.col("more").alias(f"more{k}"))), f"grp{k}", "left")
+    met = met.na.fill(0, ["more1", "more2"])
     # Of two prefixes, all shared shingles up to the end of the one that stops first are counted; beyond it lie that
     # set's other shingles at most.
     rest1, rest2 = F.ceil(F.col("n1") * percent / 100) - 1, F.ceil(F.col("n2") * percent / 100) - 1
     rest = F.when(F.col("stop1") < F.col("stop2"), rest1).when(F.col("stop2") < F.col("stop1"), rest2).otherwise(F.greatest(rest1, rest2))
     least = F.ceil(F.lit(percent) * (F.col("n1") + F.col("n2")) / (100 + percent))
     met = met.where(F.col("met") + F.least("more1", "more2") + rest >= least)
-    group_pairs = common.materialize(met.select("grp1", "grp2"), "group-pairs")
-    common.release(spark)
+    group_pairs = common.materialize(met.select("grp1", "grp2", "members1", "members2"), "group-pairs")
+    common.release(docs.sparkSession)
 
     # Members: large products of groups, large groups and long lists become lists to be split.
-    of = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
-    one, two = of.select(F.col("grp").alias("grp1"), F.col("members").alias("m1")), of.select(F.col("grp").alias("grp2"), F.col("members").alias("m2"))
-    weighed = group_pairs.join(one, "grp1").join(two, "grp2")
-    few = weighed.where(f"m1 * m2 <= {short * short}")
-    g1, g2 = groups.select(F.col("grp").alias("grp1"), F.col("gid").alias("a")), groups.select(F.col("grp").alias("grp2"), F.col("gid").alias("b"))
-    plain = few.join(g1, "grp1").join(g2, "grp2").select("a", "b")
-    inner = of.where(f"members > 1 and members <= {short}").select("grp")
-    i1, i2 = groups.join(inner, "grp").select("grp", F.col("gid").alias("a")), groups.join(inner, "grp").select("grp", F.col("gid").alias("b"))
-    plain = plain.union(i1.join(i2, "grp").where("a < b").select("a", "b"))
-    many = weighed.where(f"m1 * m2 > {short * short}")
-    long_lists = lists.join(big, "token").select(F.col("token").alias("list"), "gid")
-    long_lists = long_lists.union(groups.join(of.where(f"members > {short}").select("grp"), "grp").select(F.xxhash64(F.lit("group"), "grp").alias("list"), "gid"))
-    pair_list = F.xxhash64(F.lit("pair"), "grp1", "grp2").alias("list")
-    long_lists = long_lists.union(many.select(pair_list, F.col("grp1").alias("grp")).union(many.select(pair_list, F.col("grp2").alias("grp"))).join(groups, "grp").select("list", "gid"))
-    long_lists = common.materialize(long_lists.distinct(), "long-lists")
+    whole = groups.where(f"members <= {short * short}").groupBy("grp").agg(F.collect_list("gid").alias("gids"))
+    few = group_pairs.where(f"members1 * members2 <= {short * short}")
+    one, two = (whole.select(F.col("grp").alias(f"grp{k}"), F.col("gids").alias(f"gids{k}")) for k in (1, 2))
+    plain = few.join(one, "grp1").join(two, "grp2").select(F.explode("gids1").alias("a"), "gids2").select("a", F.explode("gids2").alias("b"))
+    inner = whole.where(f"size(gids) > 1 and size(gids) <= {short}").select(F.explode("gids").alias("a"), "gids").select("a", F.explode("gids").alias("b")).where("a < b")
+    plain = plain.union(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    plain = common.materialize(plain, "plain-pairs")
+    long_lists = lists.where(f"m > {short}").select(F.col("token").alias("list"), "gid")
+    long_lists = long_lists.union(groups.where(f"members > {short}").select(F.xxhash64(F.lit("group"), "grp").alias("list"), "gid"))
+    many = group_pairs.where(f"members1 * members2 > {short * short}")
+    if many.limit(1).count():
+        pair_list = F.xxhash64(F.lit("pair"), "grp1", "grp2").alias("list")
+        long_lists = long_lists.union(many.select(pair_list, F.col("grp1").alias("grp")).union(many.select(pair_list, F.col("grp2").alias("grp"))).join(groups, "grp").select("list", "gid"))
+        long_lists = common.materialize(long_lists, "long-lists")
 
     # Leaders of long lists: the first member of each of a few parts, against the whole list.
     part = F.pmod(F.xxhash64("gid"), F.lit(LEADERS))
     leaders = long_lists.groupBy("list", part.alias("p")).agg(F.min("gid").alias("leader"))
     stars = long_lists.join(leaders, "list").where("gid != leader").select(F.least("gid", "leader").alias("a"), F.greatest("gid", "leader").alias("b"))
-    numbered = _with_gid(rows, taken)
-    known = common.materialize(numbered.where("n > 0").groupBy("gid").agg(F.min("doc_id").alias("needed"), F.max("n").alias("n")), "gids")
-    plain = common.materialize(plain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "plain-pairs")
-    wanted = plain.select(F.col("a").alias("gid")).union(plain.select(F.col("b").alias("gid"))).distinct().join(known, "gid").select("needed", "gid", F.lit(0).cast("long").alias("cluster"))
+    wanted = plain.select(F.explode(F.array("a", "b")).alias("gid")).distinct().join(known, "gid").select("needed", "gid", F.lit(0).cast("long").alias("cluster"))
     wanted = common.materialize(wanted, "wanted")
     signatures = common.materialize(_needed_sets(docs, wanted, wanted.count(), taken, id_col, text_col, True), "signatures")
     plain = _filtered(plain, signatures.dropDuplicates(["gid"]), percent)
-    pairs = common.materialize(plain.union(stars).distinct(), "pairs")
-    common.release(spark)
+    pairs = common.materialize(plain.union(stars), "pairs")
+    common.release(docs.sparkSession)
 
     # Clusters: what candidate pairs tie together. All links lie inside one; most clusters are a handful of sets.
     tied = components(pairs)
-    nodes = pairs.select(F.col("a").alias("gid")).union(pairs.select(F.col("b").alias("gid"))).distinct()
-    at = nodes.join(tied.select(F.col("node").alias("gid"), "root"), "gid", "left").join(known, "gid").select("gid", "needed", "n", F.coalesce("root", "gid").alias("cluster"))
+    at = tied.select(F.explode(F.array("node", "root")).alias("gid"), F.col("root").alias("cluster")).distinct().join(known, "gid").select("gid", "needed", "n", "cluster")
     at = common.materialize(at, "clusters")
-    size = common.materialize(at.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")), "cluster-sizes")
+    size = at.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    part = common.materialize(at.join(size, "cluster").select("needed", "gid", "cluster", "members", "shingles"), "clusters-by-size")
     fits = f"members <= {cluster} and shingles <= {CLUSTER_SHINGLES}"
-    part = at.join(size, "cluster")
-    few = common.materialize(part.where(f"members > 1 and {fits}").select("needed", "gid", "cluster"), "small-clusters")
+    few = part.where(fits).select("needed", "gid", "cluster")
     sets = _needed_sets(docs, few, few.count(), taken, id_col, text_col)
     links = common.materialize(_cluster_links(sets, percent), "links")
-    common.release(spark)
+    common.release(docs.sparkSession)
 
-    large = common.materialize(part.where(f"not ({fits})").select("needed", "gid", "cluster"), "large-clusters")
+    large = part.where(f"not ({fits})").select("needed", "gid", "cluster")
     if n_large := large.count():
         sets = common.materialize(_needed_sets(docs, large, n_large, taken, id_col, text_col), "candidate-sets")
         own = large.select(F.col("gid").alias("a"), "cluster")
+        size = part.where(f"not ({fits})").select("cluster", "members", "shingles").distinct()
         verified = common.materialize(_verified(pairs.join(own, "a"), sets, size, percent, block), "verified")
-        common.release(spark)
+        common.release(docs.sparkSession)
         links = links.union(verified)
         listed = common.materialize(long_lists.select("gid").distinct().join(large.select("gid", "cluster"), "gid"), "listed")
         if listed.limit(1).count():
             links = links.union(_long_links(listed, components(verified), sets, percent, block))
     roots = components(links).select(F.col("node").alias("gid"), "root")
-    return numbered.join(roots, "gid", "left").select("doc_id", "h", F.col("n").alias("n_shingles"), "gid", F.when(F.col("n") > 0, F.coalesce("root", "gid")).alias("root"))
+    return rows.join(roots, "gid", "left").select("doc_id", "h", F.col("n").alias("n_shingles"), "gid", F.when(F.col("n") > 0, F.coalesce("root", "gid")).alias("root"))
 
 
-def _with_gid(rows: DataFrame, taken: dict[bytes, int]) -> DataFrame:
-    """rows with gid, as gid_of has it: the first 8 bytes of the key, little-endian."""
-    low = F.reverse(F.array(*[F.substring("key", k, 1) for k in range(1, 9)]))
-    gid = F.conv(F.hex(F.concat(*[low[k] for k in range(8)])), 16, -10).cast("long")
-    if taken:
-        own = F.create_map(*[F.lit(v) for k, v in taken.items() for v in (bytearray(k), v)])
-        gid = F.coalesce(own[F.col("key")], gid)
-    return rows.select("doc_id", "h", "n", gid.alias("gid"))
+def _numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame, dict[bytes, int]]:
+    """rows (doc_id, h, n, gid) in which different sets have different gids, (gid, needed, n) for each set with words, and the gids that were dealt anew by key."""
+    known = rows.where("n > 0").groupBy("gid").agg(F.min("doc_id").alias("needed"), F.max("n").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+    known, taken = common.materialize(known, "gids"), {}
+    # Different sets whose numbers would be equal: none in practice, a few among many billions of sets.
+    clash = known.where("low != high").select("gid")
+    if clash.limit(1).count():
+        clashing = rows.where("n > 0").join(clash, "gid", "left_semi").select("key").distinct().limit(CLASHES + 1).collect()
+        if len(clashing) > CLASHES:
+            raise RuntimeError("the keys of sets are not random: too many share 64 bits")
+        taken = {bytes(r["key"]): -(1 << 62) + k for k, r in enumerate(sorted(clashing))}
+        anew = rows.sparkSession.createDataFrame([(bytearray(k), v) for k, v in taken.items()], "key binary, anew long")
+        rows = common.materialize(rows.join(F.broadcast(anew), "key", "left").select("doc_id", "h", "n", F.coalesce("anew", "gid").alias("gid")), "rows")
+        known = common.materialize(rows.where("n > 0").groupBy("gid").agg(F.min("doc_id").alias("needed"), F.max("n").alias("n")), "gids")
+    return rows.select("doc_id", "h", "n", "gid"), known.select("gid", "needed", "n"), taken
 
 
 def _long_links(listed: DataFrame, known: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:

@@ -136,3 +136,23 @@ def test_signatures():
     keep = J.may_link([J.signature(sets[i]) for i in a], [J.signature(sets[j]) for j in b])
     link = [100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])) for i, j in zip(a, b)]
     assert all(k for k, x in zip(keep, link) if x) and any(link) and keep.mean() < 0.6
+
+
+def test_long_words(spark):
+    """Words beyond 4096 bytes whose stretches are exchanged are different words, whatever stands beside them."""
+    a, b, c = "a" * 4096, "b" * 4096, "c" * 4096
+    texts = [a + b, b + a, a + b, a + b + c, a + c + b, c + a + b, "x " + a + b + " y", "x " + b + a + " y", "a" * 20_000, "a" * 20_001]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    assert got(J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    s = J.Shingles()
+    together, alone = s([*texts, "a b c d e f g"]), [s([t])[0] for t in [*texts, "a b c d e f g"]]
+    assert all(np.array_equal(x, y) for x, y in zip(together, alone))
+
+
+def test_shared_numbers(spark):
+    """Different sets that share 64 bits of their keys get numbers of their own."""
+    rows = [(1, 0, 5, 7, b"k1"), (2, 0, 6, 7, b"k2"), (3, 0, 5, 7, b"k1"), (4, 0, 9, 8, b"k3"), (5, 0, 0, 9, b"")]
+    numbered, known, taken = J._numbered(spark.createDataFrame([(*r[:4], bytearray(r[4])) for r in rows], "doc_id long, h long, n long, gid long, key binary"))
+    gid = {r["doc_id"]: r["gid"] for r in numbered.collect()}
+    assert gid[1] == gid[3] != gid[2] and gid[4] == 8 and gid[5] == 9 and {J.gid_of(k, taken) for k in (b"k1", b"k2")} == {gid[1], gid[2]}
+    assert sorted((r["needed"], r["n"]) for r in known.collect()) == [(1, 5), (2, 6), (4, 9)]
