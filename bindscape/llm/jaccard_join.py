@@ -12,11 +12,11 @@ as 64-bit hashes (two different shingles of one pair of texts meet with a chance
 3. Candidates. Groups that share a prefix shingle are paired if their sizes and the number of shingles that both
    prefixes hold still allow the threshold. A list of many groups is never paired off: see 5.
 4. Members. Group pairs are expanded to their members, and pairs dropped whose sets cannot link by how their shingles
-   fall into 1024 cells. Members of a long list (or large group) are paired with a few leaders of it, unfiltered.
+   fall into 1024 cells. Members of a long list (or large group) are tied to leaders of it, unfiltered.
    What these pairs tie together is a cluster, and all links lie inside clusters. The sets of a cluster go to one
    task, each once, if they fit its bound; it compares all of them, by shared shingles and 0/1 matrix products, and
    gives out a forest of the links, not the pairs.
-5. Clusters over the bound. Their pairs are verified one by one on whole sets, dealt to pairs of blocks so that a set
+5. Clusters over the bound. Their pairs, and a few of each member's with leaders, are verified one by one on whole sets, dealt to pairs of blocks so that a set
    travels a few times, and components formed. Of the members of long lists only what lies outside the cluster's
    largest component is then compared with all of them, in blocks of bounded size as in 4.
 6. Components of the links; each row gets the smallest id of its component.
@@ -44,7 +44,8 @@ PERCENT = 80
 SHORT = 64
 #: Members in a block of a long list.
 BLOCK = 1024
-LEADERS = 4
+#: Leaders of a long list, and those that a member is compared with at first.
+PARTS, LEADERS = 2, 4
 #: Sets, and shingles in them, of a cluster that one task compares as a whole.
 CLUSTER, CLUSTER_SHINGLES = 2048, 4_000_000
 #: Rows (three numbers each) that are sent to all executors at most; more are joined by a shuffle.
@@ -459,15 +460,19 @@ def set_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_i
         long_lists = long_lists.union(many.select(pair_list, F.col("grp1").alias("grp")).union(many.select(pair_list, F.col("grp2").alias("grp"))).join(groups, "grp").select("list", "gid"))
         long_lists = common.materialize(long_lists, "long-lists")
 
-    # Leaders of long lists: the first member of each of a few parts, against the whole list.
-    part = F.pmod(F.xxhash64("gid"), F.lit(LEADERS))
-    leaders = long_lists.groupBy("list", part.alias("p")).agg(F.min("gid").alias("leader"))
-    stars = long_lists.join(leaders, "list").where("gid != leader").select(F.least("gid", "leader").alias("a"), F.greatest("gid", "leader").alias("b"))
+    # Leaders of long lists: the first members of a few parts. All members are tied to them; those that a member meets
+    # in most of its lists are the first that it is compared with.
+    part = F.pmod(F.xxhash64("gid"), F.lit(PARTS))
+    leaders = common.materialize(long_lists.groupBy("list", part.alias("p")).agg(F.min("gid").alias("leader")), "leaders")
+    hint = F.broadcast if leaders.count() <= BROADCAST else lambda d: d
+    stars = long_lists.join(hint(leaders), "list").where("gid != leader").groupBy("gid", "leader").agg(F.count(F.lit(1)).alias("c"))
+    first = F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("c"), "leader")) <= LEADERS
+    stars = stars.select(F.least("gid", "leader").alias("a"), F.greatest("gid", "leader").alias("b"), first.alias("first"))
     wanted = plain.select(F.explode(F.array("a", "b")).alias("gid")).distinct().join(known, "gid").select("needed", "gid", F.lit(0).cast("long").alias("cluster"))
     wanted = common.materialize(wanted, "wanted")
     signatures = common.materialize(_needed_sets(docs, wanted, wanted.count(), taken, id_col, text_col, True), "signatures")
     plain = _filtered(plain, signatures.dropDuplicates(["gid"]), percent)
-    pairs = common.materialize(plain.union(stars), "pairs")
+    pairs = common.materialize(plain.withColumn("first", F.lit(True)).union(stars), "pairs")
     common.release(docs.sparkSession)
 
     # Clusters: what candidate pairs tie together. All links lie inside one; most clusters are a handful of sets.
@@ -487,7 +492,7 @@ def set_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_i
         sets = common.materialize(_needed_sets(docs, large, n_large, taken, id_col, text_col), "candidate-sets")
         own = large.select(F.col("gid").alias("a"), "cluster")
         size = part.where(f"not ({fits})").select("cluster", "members", "shingles").distinct()
-        verified = common.materialize(_verified(pairs.join(own, "a"), sets, size, percent, block), "verified")
+        verified = common.materialize(_verified(pairs.where("first").join(own, "a"), sets, size, percent, block), "verified")
         common.release(docs.sparkSession)
         links = links.union(verified)
         listed = common.materialize(long_lists.select("gid").distinct().join(large.select("gid", "cluster"), "gid"), "listed")
