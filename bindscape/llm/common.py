@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only where the session names no shared folder and driver and executors are one process, as in tests.
 LOCAL_SHARED = "file:///tmp/checkpoints/bindscape"
 #: Entries that a worker's word memo may hold.
 MEMO_WORDS = 600_000
@@ -38,7 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_SHARED
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

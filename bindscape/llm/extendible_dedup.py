@@ -14,7 +14,8 @@
 
 Null text counts as empty; all such rows are one class. Of equal texts the largest id stays, a null id is below
 all others; of rows that are equal in both, exactly one stays (the one that the key table holds last).
-Ids are integers.
+Ids are integers. An empty table gives no rows. Texts of any length are compared whole. Only the two columns named are read;
+keep_one returns all columns, whatever their names.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ as 64-bit hashes (two different shingles of one pair of texts meet with a chance
 
 No cap, no sampling: a list is split, never cut. A text without words, or null, has an empty set and links with
 nothing. With 1 to 4 words the whole sequence is the one shingle. A null id never becomes a component's id unless
-all its rows have null ids. Repeated rows are equal sets.
+all its rows have null ids. Repeated rows are equal sets. An empty table gives no rows. Texts and words of any length count
+whole. Only the columns named are read, whatever else the table holds.
 """
 
 from __future__ import annotations

@@ -16,8 +16,10 @@ A template of fewer than five words is one shingle, its whole word sequence, and
 A window can only agree with a template in a band if it holds the template's least shingle there, so windows without
 any shingle of any template are left out before hashing; that changes no result.
 
-Null and empty texts match nothing. One row for each text row and license found, with the best share and
-the first window at which it was reached.
+Null and empty texts match nothing; so does an empty table. One row for each text row and license found, with the best
+share and the first window at which it was reached: of templates and windows with equal shares the first in the order of
+size classes, then of windows, stays. Repeated rows are scanned each by itself, texts of any length whole. Only the two
+columns named are read, whatever else the table holds.
 """
 
 from __future__ import annotations
@@ -159,7 +161,7 @@ class Scanner:
             for w in opens[(opens >= 0) & (opens <= last)]:
                 window = h[w * stride : w * stride + size]
                 near = {k for band, v in enumerate(band_values(window, self.bands).min(axis=1).tolist()) for k in index.get((band, v), ())}
-                for k in near:
+                for k in sorted(near):
                     name, kind, s = self.templates[k]
                     share = np.isin(s, window).sum() / len(s)
                     if share >= self.containment and (name not in found or share > found[name][1]):

@@ -16,7 +16,10 @@ partial counts. Each few rounds the ranks are written to the shared folder. What
 on is lost, alike for trust and distrust.
 
 A null url, or one without "://", has an empty host and path; no rule fits it, and it is allowed. Null html has no
-links. Repeated pages each get a row. Rules: the longest that fits wins; hosts fit with all their subdomains.
+links. Repeated pages each get a row, and their links count each time. Rules: the longest that fits wins, of equally long
+ones the first by host and path; hosts fit with all their subdomains. A host whose shares of trust and distrust are equal
+is allowed. An empty table gives no rows. Pages and urls of any length are read whole. Only the three columns named are
+read, whatever else the table holds.
 """
 
 from __future__ import annotations

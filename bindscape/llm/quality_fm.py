@@ -11,7 +11,8 @@ over whole texts of all rows, in one narrow pass.
 
 Null text counts as empty and gets the score of an empty text. A null n_chars has a bin of its own. A null id
 is never held out and never has a label. Ids with labels that differ take the lowest. Repeated rows are scored
-each by itself.
+each by itself. An empty table gives no rows. Texts of any length are scored whole. A column that has the name of the score is
+replaced; other columns may have any name.
 """
 
 from __future__ import annotations

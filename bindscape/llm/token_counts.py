@@ -11,7 +11,9 @@ Scores are integers in the vocabulary used, so double sums are exact and a text
 crosses: before each run of the space mark and around characters that stand in no piece. Each segment is
 then solved once per worker memo and the counts add up.
 
-Null text counts as empty: 0 pieces. An empty text has 0 pieces too.
+Null text counts as empty: 0 pieces. An empty text has 0 pieces too, an empty table no rows. Very long texts are counted
+whole, segment by segment. Repeated rows are counted each by itself, and only the two columns named are read, whatever
+else the table holds.
 """
 
 from __future__ import annotations

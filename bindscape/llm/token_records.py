@@ -13,7 +13,8 @@ pick records by it in any order. A task writes its shard under a name of its own
 files of tasks that Spark committed, so a lost executor or a second attempt leaves no wrong reference.
 
 Null text counts as empty: the record holds the end id alone. Null ids sort first; rows with equal ids keep
-a record each, ordered by their text.
+a record each, ordered by their text. An empty table gives an empty index and no shards. A record holds a whole text,
+however long, up to 2^32 tokens. Only the two columns named are read, whatever else the table holds.
 """
 
 from __future__ import annotations
