@@ -83,7 +83,11 @@ def h6(spark, sf):
 
 
 def _folder(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/bindscape"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file:///tmp/checkpoints/bindscape"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -7,6 +7,12 @@
 5. tokens: BPE ids, their decoding, and digests of both.
 
 Stages 1 to 4 return the columns of documents. Each result is written as Parquet and read again.
+
+Null text counts as empty; a text without words is linked with nothing and holds no item, so such rows meet stages 1, 2 and 5
+alone. Rows with a null id are judged by their texts like others. Of rows that are equal in id and text one stays after
+stage 2; of equal texts the largest id stays, of linked texts the smallest. Empty tables give empty results, without
+labels every row scores 0.5 or near it and goes. Texts of any length are handled whole. Further columns pass through stages 1 to 4, whatever
+their names.
 """
 
 from __future__ import annotations
