@@ -39,7 +39,7 @@ def trapezoid(points: DataFrame, x: str = "x", y: str = "y", by: list[str] | Non
 
 
 def enrichment(bins: DataFrame, r0: str = "r0", r1: str = "r1", predicted: str = "edge") -> DataFrame:
-    """Observed log enrichment against a prediction: offset, rmse, rmse50 (bins with 50 or more in both), low, high.
+    """Observed log enrichment against a prediction: offset, rmse, rmse50 (bins with more than 50 in both), low, high.
 
     The offset that minimises the squared error is the mean difference, kept inside [-40, 40].
     """
@@ -70,16 +70,56 @@ def rmse(rows: DataFrame, a: str, b: str, n: str, least: float = 50) -> DataFram
     return rows.agg(F.sqrt(F.avg(d)).alias("rmse"), F.sqrt(F.avg(F.when(F.col(n) > least, d))).alias("rmse50"))
 
 
+def bucket_of(df: DataFrame, column: str, each: int = 32) -> Column:
+    """A bucket number that rises with a numeric column: up to each * each ranges of about equal size.
+
+    The driver sees the ranges' ends alone. They are looked up in two steps of `each` comparisons.
+    """
+    n = each * each
+    ends = sorted(set(df.select(F.col(column).cast("double").alias("v")).approxQuantile("v", [k / n for k in range(1, n)], 1 / (2 * n))))
+    if not ends:
+        return F.lit(0)
+    rows = [ends[k : k + each] for k in range(0, len(ends), each)]
+    v = F.col(column).cast("double")
+    over = F.lit([float(r[-1]) for r in rows])
+    row = F.size(F.filter(over, lambda e: e < v))
+    inner = F.element_at(F.array(*[F.lit([float(x) for x in r]) for r in rows]), F.least(row + 1, F.lit(len(rows))))
+    return row * (each + 1) + F.size(F.filter(inner, lambda e: e < v))
+
+
+def running_sums(df: DataFrame, column: str, values: list[str], descending: bool = False) -> DataFrame:
+    """df (one row for each value of column) with <value>_sum, summed up to and with the row in the order of column, and <value>_all.
+
+    Rows are dealt to ranges of the column; sums inside a range meet sums of the ranges before it, of which there are about a
+    thousand. No task sees more than one range.
+    """
+    at = df.withColumn("_bucket", bucket_of(df, column))
+    order = F.desc if descending else F.asc
+    sums = at.groupBy("_bucket").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    before = Window.orderBy(order("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(F.lit(0))
+    sums = sums.select("_bucket", *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}_before") for v in values], *[F.sum(f"_{v}").over(every).alias(f"{v}_all") for v in values])
+    inside = Window.partitionBy("_bucket").orderBy(order(column)).rowsBetween(Window.unboundedPreceding, 0)
+    at = at.select("*", *[F.sum(v).over(inside).alias(f"_{v}_in") for v in values]).join(F.broadcast(sums), "_bucket")
+    return at.select(*df.columns, *[(F.col(f"_{v}_before") + F.col(f"_{v}_in")).alias(f"{v}_sum") for v in values], *[f"{v}_all" for v in values])
+
+
 def roc(scored: DataFrame, score: str = "score", label: str = "label", by: list[str] | None = None) -> DataFrame:
     """(by, score, fpr, tpr) at each different score as a threshold, and the point (0, 0).
 
     Labels above 0 are positive. Rows are summed by score first, so the running sum sees one row for each score; tied
-    rows share a point.
+    rows share a point. Without by, running sums go over ranges of scores, so that no task sees all of them.
     """
     by = by or []
     pos = F.when(F.col(label) > 0, 1).otherwise(0)
     at = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.sum(pos).alias("p"), F.sum(1 - pos).alias("q"))
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    if not by:
+        at = running_sums(at, score, ["p", "q"], True)
+        share = lambda c: F.try_divide(F.col(f"{c}_sum"), F.col(f"{c}_all"))
+        points = at.select(F.col(score).cast("double").alias("score"), share("q").alias("fpr"), share("p").alias("tpr"))
+        zero = points.limit(1).select(F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+        return points.unionByName(zero)
+    part = Window.partitionBy(*by)
     up, whole = part.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0), part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ratio = lambda c: F.try_divide(F.sum(c).over(up), F.sum(c).over(whole))
     points = at.select(*by, F.col(score).cast("double").alias("score"), ratio("q").alias("fpr"), ratio("p").alias("tpr"))
@@ -90,7 +130,17 @@ def roc(scored: DataFrame, score: str = "score", label: str = "label", by: list[
 def auroc(points: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, auroc): area under the points of roc."""
     by = by or []
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("fpr", "tpr")
+    if not by:
+        # Points of one fpr are a vertical line without area; ranges of fpr meet at their first and last points.
+        line = points.where("fpr is not null and tpr is not null").groupBy("fpr").agg(F.min("tpr").alias("low"), F.max("tpr").alias("high"))
+        line = line.withColumn("range", F.floor(F.col("fpr") * 1024))
+        area = lambda w: (F.col("low") + F.lag("high").over(w)) / 2 * (F.col("fpr") - F.lag("fpr").over(w))
+        inside = line.select(area(Window.partitionBy("range").orderBy("fpr")).alias("a"))
+        ends = line.groupBy("range").agg(F.min_by(F.struct("fpr", "low"), "fpr").alias("first"), F.max_by(F.struct("fpr", "high"), "fpr").alias("last"))
+        w = Window.orderBy("range")
+        across = ends.select(((F.col("first.low") + F.lag("last.high").over(w)) / 2 * (F.col("first.fpr") - F.lag("last.fpr").over(w))).alias("a"))
+        return inside.union(across).agg(F.sum("a").alias("auroc"))
+    w = Window.partitionBy(*by).orderBy("fpr", "tpr")
     step = (F.col("tpr") + F.lag("tpr").over(w)) / 2 * (F.col("fpr") - F.lag("fpr").over(w))
     return points.select(*by, step.alias("a")).groupBy(*by).agg(F.sum("a").alias("auroc"))
 

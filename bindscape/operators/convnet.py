@@ -92,6 +92,52 @@ def scan(net: Net, x: np.ndarray, window: int | None = None) -> float:
     return score_one(net, x) if len(x) <= w else max(score_one(net, x[i : i + w]) for i in range(len(x) - w + 1))
 
 
+def score_many(net: Net, x: np.ndarray) -> np.ndarray:
+    """score_one of each row of codes (n, length), side by side."""
+    d, m, _ = net.detectors.shape
+    full = np.concatenate([net.detectors, net.detectors.mean(axis=2, keepdims=True)], axis=2).astype(np.float32).transpose(1, 2, 0)
+    n, out = x.shape[1] + m - 1, []
+    step = max(1, 2_000_000 // (n * d))
+    for k in range(0, len(x), step):
+        pad = np.pad(x[k : k + step], ((0, 0), (m - 1, m - 1)), constant_values=4)
+        maps = np.zeros((len(pad), n, d), np.float32)
+        for j in range(m):
+            maps += full[j][pad[:, j : j + n]]
+        maps = np.maximum(maps + net.thresholds, 0)
+        pooled = maps.max(axis=1)
+        if net.avg:
+            pooled = np.stack([pooled, maps.mean(axis=1, dtype=np.float32)], axis=2).reshape(len(pad), -1)
+        if len(net.weights2):
+            out.append(np.maximum(pooled @ net.weights1.reshape(pooled.shape[1], -1) + net.biases1, 0) @ net.weights2 + net.biases2[0])
+        else:
+            out.append(pooled @ net.weights1 + net.biases1[0])
+    return np.concatenate(out).astype(np.float64) if out else np.empty(0)
+
+
+def scan_many(net: Net, x: np.ndarray, window: int | None = None) -> np.ndarray:
+    """scan of each row of codes."""
+    w = window or net.window
+    if x.shape[1] <= w:
+        return score_many(net, x)
+    views = np.lib.stride_tricks.sliding_window_view(x, w, axis=1)
+    return score_many(net, views.reshape(-1, w)).reshape(views.shape[:2]).max(axis=1)
+
+
+def score_sequences(net: Net, seqs: list[str], window: int | None = None) -> np.ndarray:
+    """score_sequence of each sequence; those of one length are scored together."""
+    out, by_length = np.full(len(seqs), np.nan), {}
+    for k, s in enumerate(seqs):
+        if s:
+            by_length.setdefault(len(s), []).append(k)
+    for length, at in by_length.items():
+        x = _codes("".join(seqs[k] for k in at)).reshape(-1, length)
+        got = scan_many(net, x, window)
+        if net.reverse_complement:
+            got = np.maximum(got, scan_many(net, np.where(x < 4, 3 - x, 4)[:, ::-1], window))
+        out[at] = got
+    return out
+
+
 def score_sequence(net: Net, seq: str | None, window: int | None = None) -> float | None:
     """Both strands if the net asks for it. Null for null and for an empty sequence."""
     if not seq:
@@ -104,12 +150,13 @@ def score_sequence(net: Net, seq: str | None, window: int | None = None) -> floa
 
 
 def net_score(df: DataFrame, net: Net, seq: str = "seq", out: str = "score", window: int | None = None) -> DataFrame:
-    """df with the score of seq; Arrow batches, each distinct sequence of a batch scored once."""
+    """df with the score of seq; each distinct sequence of an Arrow batch scored once, all of one length side by side."""
     sent = df.sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("double")
     def run(s: pd.Series) -> pd.Series:
-        return s.map({x: score_sequence(sent.value, x, window) for x in s.dropna().unique()}).astype("float64")
+        own = s.dropna().unique()
+        return s.map(dict(zip(own, score_sequences(sent.value, list(own), window)))).astype("float64")
 
     return df.withColumn(out, run(F.col(seq)))
 

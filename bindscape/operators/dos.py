@@ -23,11 +23,12 @@ def exact_density(scored: DataFrame, width: float, score: str = "score") -> Data
     return scored.groupBy(edge.cast("double").alias("score")).agg(F.ln(F.count(F.lit(1)).cast("double")).alias("s"))
 
 
-def chain(score, length: int, low: float, high: float, width: float, tolerance: float = 1e-4, min_count: int = 100, flat: float = 0.9, seed: int = 0, burn: int = 1000, most: int = 5_000_000):
+def chain(score, length: int, low: float, high: float, width: float, tolerance: float = 1e-4, min_count: int = 100, flat: float = 0.9, seed: int = 0, burn: int = 1000, most: int | None = None):
     """One Wang-Landau chain: (edges, s, visited, steps). score maps codes of a sequence to a number.
 
     A bin counts as visited once the chain has been there. Proposals change one base to one of the others. f is halved
-    when all visited bins have more than min_count hits and at least `flat` of the mean.
+    when all visited bins have more than min_count hits and at least `flat` of the mean, until it is at the tolerance. most: steps
+    after which to give up, with an error; by default never.
     """
     rng = np.random.default_rng(seed)
     n = int(np.ceil(round((high - low) / width, 9)))
@@ -58,7 +59,9 @@ def chain(score, length: int, low: float, high: float, width: float, tolerance:
     mask |= h > 0
     s[:] = 0
     h[:] = 0
-    while f > tolerance and steps < most:
+    while f > tolerance:
+        if most is not None and steps >= most:
+            raise ArithmeticError(f"{steps} steps were not enough: f is {f}, not {tolerance}")
         for _ in range(2000):
             step(f)
         new = (h > 0) & ~mask
@@ -94,8 +97,9 @@ def normalized(dos: DataFrame, length: int, by: list[str] | None = None) -> Data
 
 def restart_log(rows: DataFrame, order: str = "i", step: str = "step") -> DataFrame:
     """Steps of restarted chains on one axis: a null step marks a restart, later steps start from the last one before it."""
-    w = Window.partitionBy(F.lit(0)).orderBy(order)
-    segment = rows.withColumn("segment", F.sum(F.col(step).isNull().cast("int")).over(w))
+    from .compare import running_sums
+
+    segment = running_sums(rows.withColumn("_restart", F.col(step).isNull().cast("int")), order, ["_restart"]).withColumnRenamed("_restart_sum", "segment").drop("_restart", "_restart_all")
     last = segment.groupBy("segment").agg(F.max(step).alias("last"))
     before = last.withColumn("offset", F.coalesce(F.sum("last").over(Window.partitionBy(F.lit(0)).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return segment.join(before.select("segment", "offset"), "segment").where(F.col(step).isNotNull()).select(order, "segment", (F.col(step) + F.col("offset")).alias("total_step"))

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
+import time
 from dataclasses import dataclass, field, replace
 from itertools import product
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .objective import Likelihood
-from .optimize import Found, NotConverged, error_bars, lbfgs, masked, tied, with_retries
-from .params import Mode, Model, Symmetry, normal_form
+from .optimize import Found, NotConverged, error_bars, escape, lbfgs, masked, tied, with_retries
+from .params import Mode, Model, Symmetry, normal_form, normalize_modes
 
 
 @dataclass(frozen=True)
@@ -21,8 +21,10 @@ class Settings:
     rounds: int = 2500
     memory: int = 200
     seed: int = 0
-    symmetry: str | None = None
+    symmetry: str | tuple[str | None, ...] | None = None
     errors: bool = False
+    search: str = "wolfe"
+    escapes: int = 5
 
 
 @dataclass
@@ -36,6 +38,8 @@ class Fit:
     shift: int = 0
     errors: np.ndarray | None = None
     null_vectors: int = 0
+    seconds: float = 0.0
+    seed: np.ndarray | None = None
     trajectory: list[np.ndarray] = field(default_factory=list)
 
 
@@ -45,32 +49,67 @@ def feasible(length: int, flank: int, k: int, shape: bool) -> bool:
     return k <= total and total + (4 if shape else 0) <= 32
 
 
-def fit(data: Likelihood, model: Model, settings: Settings = Settings(), seeded: bool = True, active: np.ndarray | None = None) -> Fit:
-    """Maximum likelihood from the model given, or from small random starts."""
-    tie = Symmetry(settings.symmetry).tie(model.modes[0]) if settings.symmetry and len(model.modes) == 1 else None
-    if tie is not None and model.ns is not None:
-        tie = np.block([[tie, np.zeros((len(tie), 1))], [np.zeros((1, tie.shape[1])), np.ones((1, 1))]])
+def tie_of(model: Model, symmetry: str | tuple[str | None, ...] | None) -> np.ndarray | None:
+    """(full, free) of a whole model: a symmetry for each mode, or none. One string stands for the only mode."""
+    names = (symmetry,) if isinstance(symmetry, str) else symmetry or ()
+    if not any(names):
+        return None
+    if len(names) != len(model.modes):
+        raise ValueError("one symmetry for each mode")
+    blocks = [Symmetry(s).tie(m) if s else np.eye(len(m.vector())) for s, m in zip(names, model.modes)]
+    blocks += [] if model.ns is None else [np.ones((1, 1))]
+    out = np.zeros((sum(len(b) for b in blocks), sum(b.shape[1] for b in blocks)))
+    i = j = 0
+    for b in blocks:
+        out[i : i + len(b), j : j + b.shape[1]] = b
+        i, j = i + len(b), j + b.shape[1]
+    return out
+
+
+def fit(data: Likelihood, model: Model, settings: Settings = Settings(), seeded: bool = True, active: np.ndarray | None = None, saddles: bool = True) -> Fit:
+    """Maximum likelihood from the model given, or from small random starts.
+
+    saddles: where the Hessian of the free parameters has a negative eigenvalue, step along it and fit again with half the
+    tolerance, until it has none. Left out in cross-validation.
+    """
+    began = time.time()
+    tie = tie_of(model, settings.symmetry)
 
     def value(v):
         return data.value_gradient(model.with_vector(v))
 
-    def run(x: np.ndarray) -> Found:
-        if tie is not None:
-            got = lbfgs(tied(value, tie), tie.T @ x / tie.sum(axis=0), data.n, settings.memory, settings.tolerance, settings.rounds)
-            return replace(got, x=tie @ got.x)
-        if active is not None:
-            start = model.vector()
-            got = lbfgs(masked(value, start, active), x[active], data.n, settings.memory, settings.tolerance, settings.rounds)
-            start[active] = got.x
-            return replace(got, x=start)
-        return lbfgs(value, x, data.n, settings.memory, settings.tolerance, settings.rounds)
+    # Free parameters: tied ones, the active ones, or all.
+    start = model.vector()
+    if tie is not None:
+        free, whole, narrow = tied(value, tie), lambda y: tie @ y, lambda x: tie.T @ x / tie.sum(axis=0)
+        bend = lambda h: tie.T @ h @ tie
+    elif active is not None:
+        free, narrow, bend = masked(value, start, active), lambda x: x[active], lambda h: h[np.ix_(active, active)]
+
+        def whole(y):
+            x = start.copy()
+            x[active] = y
+            return x
+
+    else:
+        free, whole, narrow, bend = value, lambda y: y, lambda x: x, lambda h: h
+
+    def run(x: np.ndarray, share: float = 1.0) -> Found:
+        got = lbfgs(free, narrow(x), data.n, settings.memory, settings.tolerance * share, settings.rounds, search=settings.search)
+        return replace(got, x=whole(got.x))
 
     got = run(model.vector()) if seeded else with_retries(run, len(model.vector()), settings.seed)
+    for _ in range(settings.escapes if saddles else 0):
+        away = escape(free, narrow(got.x), bend(data.hessian(model.with_vector(got.x))))
+        if away is None:
+            break
+        again = run(whole(away), 0.5)
+        got = replace(again, rounds=got.rounds + again.rounds, evaluations=got.evaluations + again.evaluations)
     found = model.with_vector(got.x)
     if len(found.modes) == 1:
         found = replace(found, modes=[normal_form(found.modes[0], found.ns is not None)])
     per_read, adjusted = data.per_read(got.value)
-    out = Fit(found, got.value, per_read, adjusted, got.rounds, got.evaluations)
+    out = Fit(found, got.value, per_read, adjusted, got.rounds, got.evaluations, seconds=time.time() - began, seed=model.vector() if seeded else None)
     if settings.errors:
         out.errors, out.null_vectors = error_bars(data.hessian(found), data.penalty, tie)
     return out
@@ -95,12 +134,15 @@ def shift_fits(data: Likelihood, start: Fit, shifts: int, settings: Settings = S
     return out
 
 
+def grid(length: int, ks: list[int], flanks: list[int], ns: list[bool], shape: bool = False) -> list[tuple[int, int, bool]]:
+    """The feasible points (k, flank, with non-specific binding) of a sweep, in its order."""
+    return [(k, f, n) for k, f, n in product(ks, flanks, ns) if feasible(length, f, k, shape)]
+
+
 def length_sweep(data: Likelihood, ks: list[int], flanks: list[int], ns: list[bool], di: bool = False, features: int = 0, shifts: int = 0, settings: Settings = Settings()) -> list[Fit]:
     """Single-mode fits over a grid: nucleotides first, then with dinucleotides or shape from that seed. Infeasible points are left out."""
     out = []
-    for k, flank, with_ns in product(ks, flanks, ns):
-        if not feasible(data.background.length, flank, k, bool(features)):
-            continue
+    for k, flank, with_ns in grid(data.background.length, ks, flanks, ns, bool(features)):
         first = fit(data, Model([Mode.zeros(k)], 0.0 if with_ns else None, flank), settings, seeded=False)
         top = best(shift_fits(data, first, shifts, settings))
         if di or features:
@@ -144,6 +186,18 @@ def mode_regression(data: Likelihood, at: Model, settings: Settings = Settings()
     return Fit(model, got.value, per_read, adjusted, got.rounds, got.evaluations)
 
 
+def seeded_fit(data: Likelihood, seeds: list[Mode], ns: bool = False, flank: int = 0, settings: Settings = Settings()) -> Fit | None:
+    """Several modes from given motifs: first their relative affinities alone, then everything, then normalised modes. None where it is not feasible."""
+    k, shape = max(m.k for m in seeds), any(m.shape is not None for m in seeds)
+    if not feasible(data.background.length, flank, k, shape):
+        return None
+    start = Model(list(seeds), 0.0 if ns else None, flank)
+    if len(seeds) > 1 or ns:
+        start = mode_regression(data, start, settings).model
+    got = fit(data, start, settings)
+    return replace(got, model=normalize_modes(got.model)) if all(m.di is None and m.shape is None for m in seeds) else got
+
+
 def replace_penalty(data: Likelihood, penalty: float) -> Likelihood:
     out = object.__new__(Likelihood)
     out.__dict__ |= data.__dict__ | {"penalty": penalty * data.n}
@@ -167,12 +221,14 @@ def cross_validate(folds: list[tuple[DataFrame, DataFrame]], make, start: Fit, s
     """Mean over folds of the test likelihood per read, after a refit on the train part from the full fit. make(probes) gives a Likelihood."""
     total = 0.0
     for train, test in folds:
-        again = fit(make(train), start.model, settings)
+        again = fit(make(train), start.model, settings, saddles=False)
         held = make(test)
         total += replace_penalty(held, 0.0).value_gradient(again.model)[0] / held.n
     return total / len(folds)
 
 
-def done_already(path: str, force: bool = False) -> bool:
-    """Skip a step whose result is there, unless told otherwise."""
-    return not force and os.path.exists(path)
+def done_already(spark: SparkSession, path: str, force: bool = False) -> bool:
+    """Skip a step whose result is there, in any store that Spark can open, unless told otherwise."""
+    from bindscape.sources.models import exists
+
+    return not force and exists(spark, path)

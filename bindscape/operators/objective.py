@@ -1,8 +1,11 @@
 """Likelihood of a binding model on a probe table: one Spark job an evaluation, parameter-sized sums to the driver.
 
 L = n ln Z - sum c ln(pi W) + lambda |beta|^2. Each task sums value, gradient (and Hessian) over its own probes in
-NumPy and gives one row for each parameter; Spark adds these up. The probe table is written once, coded, and read
-again by every evaluation.
+NumPy and gives one row for each parameter; Spark adds these up. Probes are coded once as one number each, two bits a base,
+and kept in that form for all evaluations; ``release`` lets go of them.
+
+Without shape a frame is looked up by chunks of up to CHUNK bases: a table of exp(weights) for each chunk, and the gradient as
+weighted counts of chunk codes, which are added up by feature at the end. So a frame costs a few lookups, whatever its features.
 """
 
 from __future__ import annotations
@@ -12,10 +15,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bindscape.functions import dna
+
 from .background import Background
 from .params import Mode, Model
 from .partition import model_z, padded
-from .scoring import codes, kappas
+from .scoring import kappas
+
+#: Bases of a chunk (one more where dinucleotides cross its end).
+CHUNK = 6
+
+
+class Chunks:
+    """Tables of a mode without shape: for each chunk (first position, bases, exp of its weights by code, its features by code)."""
+
+    def __init__(self, mode: Mode):
+        self.parts, size = [], len(mode.vector())
+        for first in range(0, mode.k, CHUNK):
+            last = min(mode.k, first + CHUNK)
+            width = last - first + (mode.di is not None and last < mode.k)
+            base = np.array([np.arange(4**width) // 4 ** (width - 1 - j) % 4 for j in range(width)])
+            parameter = [4 * (first + j) + base[j] for j in range(last - first)]
+            if mode.di is not None:
+                parameter += [4 * mode.k + 16 * (first + j) + 4 * base[j] + base[j + 1] for j in range(width - 1)]
+            parameter = np.array(parameter)
+            self.parts.append((first, width, np.exp(mode.vector()[parameter].sum(axis=0)), parameter))
+        self.size = size
+
+    def codes(self, x: np.ndarray, frames: int) -> list[np.ndarray]:
+        """Chunk codes (n, frames) of one strand."""
+        rolled = {1: x.astype(np.int32)}
+        out = []
+        for first, width, _, _ in self.parts:
+            for w in range(2, width + 1):
+                if w not in rolled:
+                    rolled[w] = 4 * rolled[w - 1][:, :-1] + x[:, w - 1 :]
+            out.append(rolled[width][:, first : first + frames])
+        return out
+
+    def kappas(self, codes: list[np.ndarray]) -> np.ndarray:
+        out = self.parts[0][2][codes[0]]
+        for (_, _, table, _), c in zip(self.parts[1:], codes[1:]):
+            out *= table[c]
+        return out
+
+    def gradient(self, codes: list[np.ndarray], share: np.ndarray) -> np.ndarray:
+        """Sum of share over the frames that hold each feature."""
+        out = np.zeros(self.size)
+        for (_, width, _, parameter), c in zip(self.parts, codes):
+            by_code = np.bincount(c.ravel(), weights=share.ravel(), minlength=4**width)
+            for p in parameter:
+                out += np.bincount(p, weights=by_code, minlength=self.size)
+        return out
+
+
+def probe_sums(x: np.ndarray, cnt: np.ndarray, background: Background, model: Model):
+    """(sum c ln(pi W), sum c dW/W) over coded probes, for models without shape."""
+    w, seen = np.full(len(x), 0.0 if model.ns is None else np.exp(model.ns)), []
+    for m in model.modes:
+        chunks, full = Chunks(m), padded(x, background.left, background.right, model.flank)
+        for strand in (full, 3 - full[:, ::-1]):
+            at = chunks.codes(strand, strand.shape[1] - m.k + 1)
+            kappa = chunks.kappas(at)
+            w += kappa.sum(axis=1)
+            seen.append((chunks, at, kappa))
+    per = cnt / w
+    parts = []
+    for i, m in enumerate(model.modes):
+        parts.append(sum(chunks.gradient(at, per[:, None] * kappa) for chunks, at, kappa in seen[2 * i : 2 * i + 2]))
+    if model.ns is not None:
+        parts.append(np.array([np.exp(model.ns) * per.sum()]))
+    return float(cnt @ (background.log_probabilities(x) + np.log(w))), np.concatenate(parts)
 
 
 def features(x: np.ndarray, mode: Mode, shape: np.ndarray | None) -> list[np.ndarray]:
@@ -74,7 +144,12 @@ class Likelihood:
 
     def __init__(self, probes: DataFrame, background: Background, penalty: float = 0.0, shape: np.ndarray | None = None, cnt: str = "cnt", cache: bool = True):
         self.background, self.shape = background, shape
-        self.probes = probes.select("seq", F.col(cnt).cast("double").alias("cnt")).where(F.col("cnt") > 0)
+        self.kept = cache
+        if not 1 <= background.length <= 31:
+            raise ValueError("probes of 1 to 31 bases")
+        known = F.col("seq").rlike(f"^[ACGT]{{{background.length}}}$")
+        code = F.when(known, dna.encode("seq")).otherwise(F.raise_error(F.concat(F.lit(f"not a probe of {background.length} bases: "), "seq")))
+        self.probes = probes.select(code.cast("long").alias("code"), F.col(cnt).cast("double").alias("cnt")).where(F.col("cnt") > 0)
         if cache:
             self.probes = self.probes.persist()
         n = self.probes.agg(F.sum("cnt").alias("n"), F.sum(F.col("cnt") * F.ln("cnt")).alias("e")).first()
@@ -82,19 +157,38 @@ class Likelihood:
         self.penalty = penalty * self.n
         self.evaluations = 0
 
+    def release(self) -> None:
+        if self.kept:
+            self.probes.unpersist()
+
+    def swapped(self, probes: DataFrame, cnt: str = "cnt") -> Likelihood:
+        """The same likelihood over another probe table, whose sequences must have the same length."""
+        lengths = probes.agg(F.min(F.length("seq")).alias("low"), F.max(F.length("seq")).alias("high")).first()
+        if lengths["low"] is not None and {lengths["low"], lengths["high"]} != {self.background.length}:
+            raise ValueError(f"probes of {self.background.length} bases are needed, not {lengths['low']} to {lengths['high']}")
+        out = Likelihood(probes, self.background, 0.0, self.shape, cnt, self.kept)
+        out.penalty = self.penalty / self.n * out.n if self.n else 0.0
+        return out
+
     def sums(self, model: Model, hessian: bool = False):
         sent = self.probes.sparkSession.sparkContext.broadcast((self.background, model, self.shape))
         size = len(model.vector())
 
         def run(batches):
             background, model, shape = sent.value
+            quick = not hessian and all(m.shape is None for m in model.modes)
+            places = 2 * np.arange(background.length - 1, -1, -1)
             total = np.zeros(1 + size + (size * size if hessian else 0))
             seen = False
             for b in batches:
                 cnt = b.column("cnt").to_numpy()
+                code = b.column("code").to_numpy()
                 for k in range(0, b.num_rows, 4096):
-                    x = codes(b.column("seq").slice(k, 4096).to_pylist())
-                    v, g, h = probe_derivatives(x, cnt[k : k + 4096], background, model, shape, hessian)
+                    x = (code[k : k + 4096, None] >> places & 3).astype(np.uint8)
+                    if quick:
+                        v, g = probe_sums(x, cnt[k : k + 4096], background, model)
+                    else:
+                        v, g, h = probe_derivatives(x, cnt[k : k + 4096], background, model, shape, hessian)
                     total[0] += v
                     total[1 : 1 + size] += g
                     if hessian:

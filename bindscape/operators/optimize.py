@@ -76,8 +76,91 @@ def wolfe(phi: Callable[[float], tuple[float, float, np.ndarray, float]], f0: fl
     return best
 
 
-def lbfgs(f: Objective, x0: np.ndarray, scale: float = 1.0, memory: int = 200, tolerance: float = 5e-6, most: int = 2500, keep: bool = False) -> Found:
-    """Two-loop L-BFGS on f / scale; stops at |g| <= tolerance * max(1, |x|)."""
+def more_thuente(phi: Callable[[float], tuple[float, float, np.ndarray, float]], f0: float, g0: float, first: float = 1.0, c1: float = 1e-4, c2: float = 0.99, most: int = 20, least: float = 1e-20, largest: float = 1e20):
+    """A step by the search of More and Thuente (1994): sufficient decrease and curvature from a shrinking interval.
+
+    Until a step lies below the line of sufficient decrease with a rising slope, the interval is kept for the function
+    less that line. phi as for wolfe; if rounding or the number of values stops the search, the best step that lowered the value is taken.
+    """
+    low, high, bracketed, modified = (0.0, f0, g0), (0.0, f0, g0), False, True
+    t, best, width, before = min(max(first, least), largest), None, largest - least, 2 * (largest - least)
+    for _ in range(most):
+        lower, upper = (min(low[0], high[0]), max(low[0], high[0])) if bracketed else (low[0], t + 4 * (t - low[0]))
+        t = min(max(t, least), largest)
+        f, slope, *rest = phi(t)
+        line = f0 + c1 * t * g0
+        if not np.isfinite(f):
+            bracketed, high, t = True, (t, np.inf, np.inf), (low[0] + t) / 2
+            continue
+        if f <= line and (best is None or f < best[1]):
+            best = (t, f, *rest)
+        if f <= line and abs(slope) <= -c2 * g0:
+            return (t, f, *rest)
+        if bracketed and upper - lower <= 1e-14 * upper:
+            return best
+        modified = modified and not (f <= line and slope >= min(c1, c2) * g0)
+        tilt = c1 * g0 if modified and f > line and f <= low[1] else 0.0
+        flat = lambda p: (p[0], p[1] - p[0] * tilt, p[2] - tilt)
+        low, high, at = flat(low), flat(high), (t, f - t * tilt, slope - tilt)
+        t, bracketed, swap = _trial(low, high, at, bracketed, lower, upper)
+        if at[1] > low[1]:
+            high = at
+        else:
+            high, low = (low if swap else high), at
+        back = lambda p: (p[0], p[1] + p[0] * tilt, p[2] + tilt)
+        low, high = back(low), back(high)
+        if bracketed:
+            if abs(high[0] - low[0]) >= 0.66 * before:
+                t = (low[0] + high[0]) / 2
+            before, width = width, abs(high[0] - low[0])
+    return best
+
+
+def _trial(low, high, at, bracketed: bool, lower: float, upper: float) -> tuple[float, bool, bool]:
+    """(next step, is the minimum now bracketed, do the slopes at the best step and at the last one differ in sign)."""
+    (a, fa, ga), (t, f, g) = low, at
+
+    def cubic(p, q):
+        """Where the cubic through two points with their slopes has its minimum, None if nowhere."""
+        (x, fx, gx), (y, fy, gy) = p, q
+        if x == y or not np.isfinite(fx + fy):
+            return None
+        d = gx + gy - 3 * (fx - fy) / (x - y)
+        root = d * d - gx * gy
+        if root < 0:
+            return None
+        e = np.sign(y - x) * np.sqrt(root)
+        bottom = gy - gx + 2 * e
+        return y - (y - x) * (gy + e - d) / bottom if bottom else None
+
+    secant = t - g * (t - a) / (g - ga) if g != ga else upper
+    c = cubic(low, at)
+    if f > fa:  # higher: the minimum lies between
+        square = a + ga / ((fa - f) / (t - a) + ga) / 2 * (t - a)
+        c = square if c is None else c
+        return (c if abs(c - a) < abs(square - a) else (c + square) / 2), True, False
+    if g * ga < 0:  # lower, and the slope has turned
+        c = secant if c is None else c
+        return (c if abs(c - t) >= abs(secant - t) else secant), True, True
+    if abs(g) <= abs(ga):  # lower and flatter
+        if c is None or (c - t) * (t - a) <= 0:
+            c = upper if t > a else lower
+        step = min((c, secant), key=lambda x: abs(x - t)) if bracketed else max((c, secant), key=lambda x: abs(x - t))
+        if bracketed:
+            bound = t + 0.66 * (high[0] - t)
+            return (min(step, bound) if t > a else max(step, bound)), True, False
+        return min(max(step, lower), upper), False, False
+    if bracketed:  # lower and steeper
+        c = cubic(at, high)
+        return ((t + high[0]) / 2 if c is None else c), True, False
+    return (upper if t > a else lower), False, False
+
+
+SEARCHES = {"wolfe": wolfe, "more_thuente": more_thuente}
+
+
+def lbfgs(f: Objective, x0: np.ndarray, scale: float = 1.0, memory: int = 200, tolerance: float = 5e-6, most: int = 2500, keep: bool = False, search: str = "wolfe") -> Found:
+    """Two-loop L-BFGS on f / scale; stops at |g| <= tolerance * max(1, |x|). search: a name of SEARCHES."""
     evaluations = 0
 
     def at(x):
@@ -112,7 +195,7 @@ def lbfgs(f: Objective, x0: np.ndarray, scale: float = 1.0, memory: int = 200, t
             return vv, float(gg @ d), gg
 
         first = 1.0 if pairs else min(1.0, 1.0 / np.linalg.norm(g))
-        got = wolfe(phi, v, slope, first)
+        got = SEARCHES[search](phi, v, slope, first)
         if got is None:
             if pairs:
                 pairs = []
@@ -200,15 +283,18 @@ def with_retries(run: Callable[[np.ndarray], Found], size: int, seed: int = 0, s
     raise NotConverged(f"{tries} starts failed") from last
 
 
-def escape(f: Objective, x: np.ndarray, hessian: np.ndarray, limit: float = -1e-12) -> np.ndarray | None:
-    """From a saddle: the best of some steps along the most negative direction, or None at a minimum."""
+def escape(f: Objective, x: np.ndarray, hessian: np.ndarray, limit: float = -1e-8) -> np.ndarray | None:
+    """From a saddle: the best of some steps along the most negative direction, or None at a minimum.
+
+    limit: of the share of the largest eigenvalue; nearer to 0 lies the error of Hessians whose part of Z is a difference.
+    """
     values, vectors = np.linalg.eigh(hessian)
     if values[0] / max(abs(values).max(), 1e-300) >= limit:
         return None
     start = f(x)[0]
     options = [(f(x + t * vectors[:, 0])[0], t) for s in (1, -1) for t in (s * 10.0**-k for k in range(6))]
     value, t = min(options)
-    return x + t * vectors[:, 0] if value < start else None
+    return x + t * vectors[:, 0] if value < start - 1e-13 * abs(start) else None
 
 
 def numeric_gradient(f: Callable[[np.ndarray], float], x: np.ndarray, step: float = 1e-6) -> np.ndarray:

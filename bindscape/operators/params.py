@@ -161,6 +161,98 @@ class Symmetry:
         return out
 
 
+class SiteSymmetry:
+    """Ties of a site by blocks or letters, and of its pairs at any distance.
+
+    Letters: "ABCDE|..|edcba". Equal letters are equal positions, the other case is the complement, digits and other signs
+    are their own complement, a dot has no weights, | is a barrier that no pair spans.
+    Blocks: "1:5:0|0:2:0|-1:5:0", each number:length:own. A negative number is the reverse complement of its block, 0 has
+    no weights, own 1 makes a block its own reverse complement. Barriers stand between blocks.
+    """
+
+    def __init__(self, text: str | None, k: int):
+        self.groups: list[int | None] = []
+        self.own: set[int] = set()
+        self.barriers: set[int] = set()  # before these positions
+        if text is None or text.lower() == "null":
+            self.groups = list(range(1, k + 1))
+        elif ":" in text:
+            self._blocks(text)
+        else:
+            self._letters(text)
+        if len(self.groups) != k:
+            raise ValueError("symmetry and mode differ in length")
+
+    def _letters(self, text: str) -> None:
+        numbers: dict[str, int] = {}
+        for c in text:
+            if c == "|":
+                if self.groups:
+                    if len(self.groups) in self.barriers:
+                        raise ValueError("two barriers in one place")
+                    self.barriers.add(len(self.groups))
+                continue
+            if c == ".":
+                self.groups.append(None)
+                continue
+            g = numbers.setdefault(c.upper(), len(numbers) + 1)
+            if c.upper() == c.lower():
+                self.own.add(g)
+            self.groups.append(g if c == c.upper() else -g)
+
+    def _blocks(self, text: str) -> None:
+        known: dict[int, tuple[list[int], bool]] = {}
+        last = 0
+        for part in text.split("|"):
+            fields = part.split(":")
+            if len(fields) != 3:
+                raise ValueError("a block is number:length:own")
+            number, length, own = int(fields[0]), int(fields[1]), int(fields[2]) == 1
+            if length <= 0:
+                raise ValueError("a block has a length")
+            if number == 0:
+                self.groups += [None] * length
+            else:
+                if abs(number) not in known:
+                    half = -(-length // 2) if own else length
+                    first = list(range(last + 1, last + half + 1))
+                    last += half
+                    if own and length % 2:
+                        self.own.add(first[-1])
+                    known[abs(number)] = (first + [-g for g in reversed(first[: length // 2])] if own else first, own)
+                groups, was_own = known[abs(number)]
+                if was_own != own or len(groups) != length:
+                    raise ValueError("blocks of one number differ")
+                self.groups += groups if number > 0 or own else [g if g in self.own else -g for g in reversed(groups)]
+            self.barriers.add(len(self.groups))
+
+    def complement(self, g: int) -> int:
+        return g if abs(g) in self.own else -g
+
+    def tie(self, distance: int = 0) -> np.ndarray:
+        """(full, free) 0/1 matrix of the features of positions (distance 0) or of pairs so far apart. Features without
+        weights, and pairs that span a barrier, are rows of zeros."""
+        k, size = len(self.groups), 4 if distance == 0 else 16
+        free: dict[tuple, int] = {}
+        rows: list[int | None] = []
+        for p in range(k - distance):
+            q = p + distance
+            g, h = self.groups[p], self.groups[q]
+            spanned = g is None or h is None or any(p < b <= q for b in self.barriers)
+            for x in range(size):
+                if spanned:
+                    rows.append(None)
+                    continue
+                a, b = divmod(x, 4) if distance else (x, x)
+                key, twin = (g, h, a, b), (self.complement(h), self.complement(g), 3 - b, 3 - a)
+                rows.append(free.setdefault(min(key, twin), len(free)))
+        out = np.zeros((len(rows), len(free)))
+        for i, r in enumerate(rows):
+            if r is not None:
+                out[i, r] = 1
+        return out
+
+
 def compress(vector: np.ndarray, tie: np.ndarray) -> np.ndarray:
     """Free parameters of a position: the mean over tied ones."""
     return tie.T @ vector / tie.sum(axis=0)

@@ -26,10 +26,10 @@ def ordered(fits: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
 
 
 def best_fit(fits: DataFrame, by: list[str] | None = None, value: str = "test", other: str = "train") -> DataFrame:
-    """The row of least value; fits without one are compared by the other. Rows with neither are passed over."""
+    """The row of least value, of equal ones the least in the order of its columns; fits without one are compared by the other. Rows with neither are passed over."""
     v = F.coalesce(F.col(value), F.col(other)) if other in fits.columns else F.col(value)
     rows = fits.where(v.isNotNull() & ~F.isnan(v))
-    return rows.groupBy(*(by or [])).agg(F.min_by(F.struct(*fits.columns), v).alias("b")).select("b.*")
+    return rows.groupBy(*(by or [])).agg(F.min(F.struct(v.alias("_v"), F.struct(*fits.columns).alias("b"))).alias("m")).select("m.b.*")
 
 
 def append_results(stored: DataFrame, new: DataFrame, meta: tuple[str, ...], **kw) -> tuple[DataFrame, DataFrame]:
@@ -54,12 +54,12 @@ def lookup(fits: DataFrame, condition: Column) -> DataFrame:
 
 def protein_lookup(names: DataFrame, table: DataFrame, key: str = "Name") -> DataFrame:
     """Rows of the lookup table by equality of names; rows with NA in the file column are left out."""
-    return names.join(F.broadcast(table), key)
+    return names.join(table, key)
 
 
 def in_order(ids: DataFrame, table: DataFrame, key: str = "id", order: str = "place") -> DataFrame:
     """Rows of the table for the ids asked for (key, order), in that order; unknown ids give nulls."""
-    return F.broadcast(ids).join(table, key, "right").where(F.col(order).isNotNull()).unionByName(ids.join(table, key, "left_anti"), allowMissingColumns=True).orderBy(order)
+    return ids.join(table, key, "left").orderBy(order)
 
 
 def same_model(a: DataFrame, b: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:

@@ -1,7 +1,6 @@
 """Sliding-window affinities of probes, as Column expressions and as an Arrow pass; scores, peaks, logos, best sequences.
 
-The Column path explodes strand and frame and adds one unrolled CASE term for each position, so it stays in
-whole-stage codegen; nested higher-order functions give the same numbers many times slower. The Arrow path is for
+The Column path explodes strand and frame and looks up each frame by chunks of its bases, so it stays in whole-stage codegen; nested higher-order functions give the same numbers many times slower. The Arrow path is for
 fits, where a table is scored again and again.
 """
 
@@ -15,21 +14,31 @@ from pyspark.sql import functions as F
 
 from bindscape.functions import dna
 
-from .params import BASES, PAIRS, Mode, Model
+from .params import BASES, Mode, Model
 
 
-def weight_term(mer: Column, mode: Mode) -> Column:
-    """Sum of nucleotide and dinucleotide weights of a k-mer column."""
+#: Bases of a chunk whose weights are one lookup (one more where dinucleotides cross its end).
+CHUNK = 5
+
+
+def chunk_tables(mode: Mode) -> list[tuple[int, int, np.ndarray]]:
+    """(first position, bases, sum of nucleotide and dinucleotide weights by code) for each chunk of a mode."""
+    out = []
+    for first in range(0, mode.k, CHUNK):
+        last = min(mode.k, first + CHUNK)
+        width = last - first + (mode.di is not None and last < mode.k)
+        base = np.array([np.arange(4**width) // 4 ** (width - 1 - j) % 4 for j in range(width)])
+        table = sum(mode.nuc[first + j][base[j]] for j in range(last - first))
+        if mode.di is not None:
+            table = table + sum(mode.di[first + j][4 * base[j] + base[j + 1]] for j in range(width - 1))
+        out.append((first, width, table))
+    return out
 
-    def pick(key: Column, names, values) -> Column:
-        out = None
-        for name, v in zip(names, values, strict=True):
-            out = F.when(key == name, F.lit(float(v))) if out is None else out.when(key == name, F.lit(float(v)))
-        return out
 
-    terms = [pick(F.substring(mer, j + 1, 1), BASES, mode.nuc[j]) for j in range(mode.k)]
-    if mode.di is not None:
-        terms += [pick(F.substring(mer, j + 1, 2), PAIRS, mode.di[j]) for j in range(mode.k - 1)]
+def weight_term(mer: Column, mode: Mode) -> Column:
+    """Sum of nucleotide and dinucleotide weights of a k-mer column: one lookup by code for each chunk. Null for other letters."""
+    known = F.when(mer.rlike(f"^[ACGT]{{{mode.k}}}$"), mer)
+    terms = [F.element_at(F.lit(t), dna.encode(F.substring(known, first + 1, width)).cast("int") + 1) for first, width, t in chunk_tables(mode)]
     return reduce(lambda a, b: a + b, terms)
 
 
@@ -46,6 +55,14 @@ def frames(df: DataFrame, k: int, model_flank: int = 0, left: str = "", right: s
     return out.withColumn("mer", F.substring("_t", F.col("frame") + 1, F.lit(k + 2 * margin))).drop("_t")
 
 
+def shape_values(shape: DataFrame, features: int) -> np.ndarray:
+    """(1024, features) from a shape table: 1024 rows a feature reach the driver. 5-mers that it lacks have 0."""
+    out = np.zeros((1024, features))
+    for r in shape.where(F.col("feature_no") < features).groupBy("pentamer", "feature_no").agg(F.sum("value").alias("value")).collect():
+        out[int("".join(str(BASES.index(c)) for c in r["pentamer"]), 4), r["feature_no"]] = r["value"]
+    return out
+
+
 def frame_affinities(df: DataFrame, model: Model, left: str = "", right: str = "", seq: str = "seq", shape: DataFrame | None = None) -> DataFrame:
     """Every frame's kappa: mode, strand, frame, mer, kappa. shape: (pentamer, feature_no from 0, value), at most 1024 rows a feature."""
     out = None
@@ -56,15 +73,11 @@ def frame_affinities(df: DataFrame, model: Model, left: str = "", right: str = "
         else:
             if shape is None:
                 raise ValueError("a mode with shape weights needs a shape table")
-            one = frames(df, mode.k, model.flank, left, right, seq, margin=2).withColumn("_id", F.monotonically_increasing_id())
-            inner = F.substring("mer", 3, mode.k)
-            weights = df.sparkSession.createDataFrame([(j, f, float(mode.shape[j, f])) for j in range(mode.k) for f in range(mode.shape.shape[1])], "j int, feature_no int, w double")
-            values = F.broadcast(shape.join(weights, "feature_no").groupBy("j", "pentamer").agg(F.sum(F.col("w") * F.col("value")).alias("part")))
-            # The shape part of each window comes from a table of k * 1024 sums, looked up once for each position.
-            parts = one.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(mode.k - 1)))).withColumn("pentamer", F.substring("mer", F.col("j") + 1, F.lit(5)))
-            keys = [c for c in one.columns]
-            one = parts.join(values, ["j", "pentamer"], "left").groupBy(*keys).agg(F.sum(F.coalesce("part", F.lit(0.0))).alias("part"))
-            one = one.withColumn("kappa", F.exp(weight_term(inner, mode) + F.col("part"))).withColumn("mer", inner).drop("part", "_id")
+            one = frames(df, mode.k, model.flank, left, right, seq, margin=2)
+            inner, values = F.substring("mer", 3, mode.k), shape_values(shape, mode.shape.shape[1])
+            # The shape part of each window comes from k tables of 1024 sums, one lookup for each position.
+            parts = [F.element_at(F.lit(values @ mode.shape[j]), dna.encode(F.substring("mer", j + 1, 5)).cast("int") + 1) for j in range(mode.k)]
+            one = one.withColumn("kappa", F.exp(reduce(lambda a, b: a + b, parts, weight_term(inner, mode)))).withColumn("mer", inner)
         one = one.withColumn("mode", F.lit(m))
         out = one if out is None else out.unionByName(one)
     return out

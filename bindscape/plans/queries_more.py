@@ -91,21 +91,6 @@ def _folder(spark, name):
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@query("S5_K1_model_file")
-def s5(spark, sf):
-    """A list of fits written as the exchange file and read back."""
-    path = _folder(spark, "fits")
-    models.write_fits(spark, [fitting.Fit(toy_model(3, di=True, ns=-1.0), 10.0, 1.0, 0.5, 3, 4), fitting.Fit(toy_model(2, modes=2), 9.0, 0.9, 0.4, 2, 3)], path)
-    return models.load_fits(spark, path)
-
-
-@query("S3_K3_background_file")
-def s3(spark, sf):
-    path = _folder(spark, "backgrounds")
-    models.write_backgrounds(spark, [(toy_background(k, 6), {"TrainL": float(k)}) for k in (1, 2)], path)
-    return models.load_backgrounds(spark, path)
-
-
 @query("S2_count_table", f"select seq, cnt from {counted_sql(8)} where not (" + " or ".join(f"(length(seq) - length(replace(seq, '{b}', '')) >= 5 and instr(seq, '{b * 3}') > 0)" for b in "ACGT") + ")")
 def s2(spark, sf):
     """Counts written sorted, read back and filtered in the scan."""

@@ -1,71 +1,118 @@
-"""Model files: ragged CSV of fits with tagged vectors, background CSV, reports. Parquet for data; these for exchange."""
+"""Model files: ragged CSV of fits with tagged vectors, background CSV, lists, reports, stores. Parquet for data; the texts are for exchange."""
 
 from __future__ import annotations
 
+import datetime
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindscape.operators.params import BASES, Mode, Model
 
-#: Columns of the two files, in their order. Fixed values.
-FIT_COLUMNS = ("Index", "Time", "Likelihood", "AdjL", "NullVectors", "TrainL", "TestL", "Dinuc", "NonSpecific", "Flank", "Symmetry", "Converged", "Seeded", "K", "Shift", "Lambda", "NShapes", "Iterations", "Evaluations", "NModes", "Reads", "Probes", "Bound", "Seed", "Shapes")
-BACKGROUND_COLUMNS = ("Index", "Time", "K", "Flank", "TrainL", "TestL", "TestLPerRead", "TrainReads", "TestReads", "Length", "Iterations", "Evaluations", "Z")
+#: Columns of the file of fits and of the file of backgrounds, in their order. Fixed values.
+FIT_COLUMNS = ("Index", "Time", "FitTime", "FitSteps", "FncCalls", "k", "Flank", "NS", "Di", "MG", "PT", "HT", "RO", "NuSym", "DiSym", "Shift", "NSBind", "TrainL", "TrainLPerRead", "AdjTrainLPerRead", "TestLPerRead", "AdjTestLPerRead", "Lambda", "NullVectors", "PSAM")
+BACKGROUND_COLUMNS = ("Index", "Time", "FitTime", "FitSteps", "FncCalls", "k", "isFlank", "TrainL", "TrainLPerRead", "AdjTrainLPerRead", "TestLPerRead", "AdjTestLPerRead", "MarkovModelDiff")
+#: Tags of weights, errors and seeds: nucleotides, dinucleotides, shape, non-specific binding. Fixed values.
 TAGS = ("NB", "DB", "SB", "NSB", "NE", "DE", "SE", "NSBE", "NS", "DS", "SS", "NSBS")
-LOGICAL = ("Dinuc", "NonSpecific", "Flank", "Symmetry", "Converged", "Seeded")
+LOGICAL = ("NS", "Di", "MG", "PT", "HT", "RO", "isFlank")
+TEXT = ("Time", "NuSym", "DiSym", "PSAM")
+#: Column of each shape class.
+SHAPE_FLAGS = {"MGW": "MG", "ProT": "PT", "HelT": "HT", "Roll": "RO"}
+
+
+def _tokens(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    t = F.transform(F.split("value", ","), lambda x: F.trim(F.regexp_replace(x, '"', "")))
+    return lines.select(t.alias("t")).where(F.col("t")[0] != "Index")
+
+
+def _named(columns: tuple[str, ...]) -> list:
+    """Typed columns of the leading fields; the Index is left out, NA and nothing are null."""
+    out = []
+    for i, c in enumerate(columns):
+        text = F.when(~F.col("t")[i].isin("", "NA", "null"), F.col("t")[i])
+        if c in LOGICAL:
+            out.append(F.lower(text).isin("true", "t").alias(c))
+        elif c in TEXT:
+            out.append(text.alias(c))
+        elif c == "k" and columns is FIT_COLUMNS:
+            out.append(F.coalesce(text, F.lit("Multi")).alias(c))
+        elif c != "Index":
+            out.append(text.try_cast("double").alias(c))
+    return out
 
 
 def load_fits(spark: SparkSession, path: str) -> DataFrame:
-    """One row a fit: the named columns (K is "Multi" where it is NA) and values, a list with one struct of twelve vectors for each mode.
+    """One row a fit: the named columns (k is "Multi" where it is NA) and values, a list with one struct of twelve vectors for each mode.
 
     Lines are ragged: after the named columns come vectors, each behind its tag (NB>, DB>, ...), up to <EOL>. A new NB>
-    starts a new mode.
+    starts a new mode; vectors of non-specific binding stand with the last one. Tags that a line lacks are empty lists.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("t", F.transform(F.split("value", ","), lambda x: F.trim(F.regexp_replace(x, '"', ""))))
-    lines = lines.where(F.col("t")[0] != "Index")
-    n = len(FIT_COLUMNS)
-    text = lambda c: F.when(F.col("t")[FIT_COLUMNS.index(c)].isin("", "NA", "null"), None).otherwise(F.col("t")[FIT_COLUMNS.index(c)])
-    cols = []
-    for c in FIT_COLUMNS[1:]:
-        if c in LOGICAL:
-            cols.append(F.lower(text(c)).isin("true", "t", "1").alias(c))
-        elif c in ("Time", "Shapes"):
-            cols.append(text(c).alias(c))
-        elif c == "K":
-            cols.append(F.coalesce(text(c), F.lit("Multi")).alias(c))
-        else:
-            cols.append(F.expr(f"try_cast(t[{FIT_COLUMNS.index(c)}] as double)").alias(c))
-    tail = F.slice("t", n + 1, F.size("t"))
-    body = F.array_join(F.when(F.array_contains(tail, "<EOL>"), F.slice(tail, 1, F.array_position(tail, "<EOL>").cast("int") - 1)).otherwise(tail), ",")
-    modes = F.filter(F.split(body, r"(?<![A-Z])NB>,?"), lambda m: F.trim(m) != "")
+    lines = _tokens(spark, path)
+    tail = F.slice("t", len(FIT_COLUMNS) + 1, F.size("t"))
+    tail = F.when(F.array_contains(tail, "<EOL>"), F.slice(tail, 1, F.array_position(tail, "<EOL>").cast("int") - 1)).otherwise(tail)
+    # Each run of fields behind a tag, as "TAG>,number,number,..."
+    modes = F.filter(F.split(F.array_join(tail, ","), r"(?:^|,)NB>,"), lambda m: F.trim(m) != "")
 
     def vector(mode, tag):
-        run = F.regexp_extract(F.concat(F.lit("NB>,"), mode), rf"(?:^|,){tag}>,?((?:[^,>]*,)*?[^,>]*?)(?=,[A-Z]+>|,?$)", 1)
+        run = F.regexp_extract(F.concat(F.lit("NB>,"), mode), rf"(?:^|,){tag}>,([^>]*?)(?:,[A-Z]+>|$)", 1)
         return F.transform(F.filter(F.split(run, ","), lambda x: F.trim(x) != ""), lambda x: x.try_cast("double")).alias(tag)
 
-    values = F.transform(modes, lambda m: F.struct(*[vector(m, t) for t in TAGS])).alias("values")
-    return lines.select(*cols, values)
+    return lines.select(*_named(FIT_COLUMNS), F.transform(modes, lambda m: F.struct(*[vector(m, t) for t in TAGS])).alias("values"))
 
 
-def _number(x) -> str:
-    return "NA" if x is None else repr(float(x)) if isinstance(x, float) else str(x)
+def _text(x) -> str:
+    if x is None:
+        return "NA"
+    return ("TRUE" if x else "FALSE") if isinstance(x, bool | np.bool_) else repr(float(x)) if isinstance(x, float) else str(x)
 
 
-def fit_line(index: int, fit, info: dict) -> str:
-    """A fit (see operators.fitting) as a line of the file."""
+def _tagged(model: Model, vector: np.ndarray | None, suffix: str) -> tuple[list[list[str]], list[str]]:
+    """For each mode its tagged fields of a vector laid out like the model, and those of non-specific binding."""
+    if vector is None:
+        return [[] for _ in model.modes], []
+    own = model.with_vector(np.asarray(vector, float))
+    per_mode = [[x for kind, part in zip("NDS", (m.nuc, m.di, m.shape)) if part is not None for x in (f"{kind}{suffix}>", *map(_text, part.ravel().tolist()))] for m in own.modes]
+    return per_mode, [] if own.ns is None else [f"NSB{'' if suffix == 'B' else suffix}>", _text(float(own.ns))]
+
+
+def fit_info(fit, info: dict) -> dict:
+    """The named values of a fit (see operators.fitting); info adds to them or replaces them."""
     model: Model = fit.model
-    own = {"Index": index, "Likelihood": float(fit.per_read), "AdjL": float(fit.adjusted), "NullVectors": fit.null_vectors, "TrainL": float(fit.value), "Dinuc": any(m.di is not None for m in model.modes), "NonSpecific": model.ns is not None, "Flank": model.flank > 0, "K": model.modes[0].k if len(model.modes) == 1 else None, "Shift": fit.shift, "Iterations": fit.rounds, "Evaluations": fit.evaluations, "NModes": len(model.modes)} | info
-    out = [_number(own.get(c)) for c in FIT_COLUMNS]
-    for i, m in enumerate(model.modes):
-        out += ["NB>", *map(_number, m.nuc.ravel().tolist()), "DB>", *([] if m.di is None else map(_number, m.di.ravel().tolist())), "SB>", *([] if m.shape is None else map(_number, m.shape.ravel().tolist()))]
-        if i == len(model.modes) - 1 and model.ns is not None:
-            out += ["NSB>", _number(float(model.ns))]
+    one = len(model.modes) == 1
+    shapes = set(info.get("shapes", ()))
+    return {
+        "Time": info.get("Time", ""), "FitTime": float(fit.seconds), "FitSteps": fit.rounds, "FncCalls": fit.evaluations, "k": model.modes[0].k if one else None, "Flank": model.flank, "NS": model.ns is not None,
+        "Di": any(m.di is not None for m in model.modes), **{flag: name in shapes for name, flag in SHAPE_FLAGS.items()}, "Shift": fit.shift, "NSBind": 0.0 if model.ns is None else float(model.ns),
+        "TrainL": float(fit.value), "TrainLPerRead": float(fit.per_read), "AdjTrainLPerRead": float(fit.adjusted), "NullVectors": fit.null_vectors if fit.errors is not None else None,
+        "PSAM": "".join(BASES[b] for b in model.modes[0].nuc.argmax(axis=1)) if one else None,
+    } | info
+
+
+def fit_line(index: int, fit, info: dict) -> str:
+    """A fit as a line of the file: named columns, then the weights, and errors and seeds where it has them."""
+    own = fit_info(fit, info) | {"Index": index}
+    for c in ("NuSym", "DiSym"):
+        if own.get(c):
+            own[c] = own[c].replace(",", ".")
+    out = [_text(own.get(c)) for c in FIT_COLUMNS]
+    parts = [_tagged(fit.model, v, s) for v, s in ((fit.model.vector(), "B"), (fit.errors, "E"), (fit.seed, "S"))]
+    for k in range(len(fit.model.modes)):
+        one = len(fit.model.modes) == 1
+        for per_mode, ns in parts:
+            out += per_mode[k] + (ns if one else [])
+    if len(fit.model.modes) > 1:
+        out += [x for _, ns in parts for x in ns]
     return ",".join([*out, "<EOL>"])
 
 
+def _write_lines(spark: SparkSession, lines: list[str], path: str) -> None:
+    spark.createDataFrame(list(enumerate(lines)), "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(path)
+
+
 def write_fits(spark: SparkSession, fits: list, path: str, info: dict | None = None) -> None:
-    lines = [",".join(FIT_COLUMNS), *(fit_line(i + 1, f, info or {}) for i, f in enumerate(fits))]
-    spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(path)
+    _write_lines(spark, [",".join(FIT_COLUMNS), *(fit_line(i, f, info or {}) for i, f in enumerate(fits))], path)
 
 
 def model_of(row) -> Model:
@@ -78,31 +125,53 @@ def model_of(row) -> Model:
         modes.append(Mode(nuc, di, shape))
         if v["NSB"]:
             ns = float(v["NSB"][0])
-    return Model(modes, ns)
+    return Model(modes, ns, int(row["Flank"] or 0))
 
 
 def background_line(index: int, background, info: dict) -> str:
-    own = {"Index": index, "K": background.k, "Flank": background.flanked, "Length": background.length, "Z": float(background.z())} | info
-    return ",".join([*(_number(own.get(c)) for c in BACKGROUND_COLUMNS), "B>", *map(_number, background.beta.tolist()), "<EOL>"])
+    own = {"Index": index, "k": background.k, "isFlank": bool(background.flanked)} | info
+    seed = info.get("seed")
+    return ",".join([*(_text(own.get(c)) for c in BACKGROUND_COLUMNS), "B>", *map(_text, background.beta.tolist()), *([] if seed is None else ["S>", *map(_text, list(map(float, seed)))]), "<EOL>"])
 
 
 def write_backgrounds(spark: SparkSession, rows: list[tuple], path: str) -> None:
     """rows: (background, info) pairs."""
-    lines = [",".join(BACKGROUND_COLUMNS), *(background_line(i + 1, b, info) for i, (b, info) in enumerate(rows))]
-    spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(path)
+    _write_lines(spark, [",".join(BACKGROUND_COLUMNS), *(background_line(i, b, info) for i, (b, info) in enumerate(rows))], path)
 
 
 def load_backgrounds(spark: SparkSession, path: str) -> DataFrame:
-    """One row a background: the named columns as numbers, and beta."""
-    t = spark.read.text(path).select(F.split("value", ",").alias("t")).where(F.col("t")[0] != "Index")
-    cols = [F.expr(f"try_cast(t[{i}] as double)").alias(c) for i, c in enumerate(BACKGROUND_COLUMNS) if c not in ("Index", "Time", "Flank")]
-    start, end = F.array_position("t", "B>").cast("int"), F.array_position("t", "<EOL>").cast("int")
-    return t.select(*cols, (F.lower(F.col("t")[BACKGROUND_COLUMNS.index("Flank")]) == "true").alias("Flank"), F.transform(F.slice("t", start + 1, end - start - 1), lambda x: x.cast("double")).alias("beta"))
-
+    """One row a background: the named columns, beta, and seed (null where there is none).
 
-def report(fits: list, title: str = "fits") -> str:
-    """A list of fits for reading, with each position's weights and errors."""
-    out = [f"# {title}"]
+    Older files have an empty field after k, one more than their header names; it is taken out.
+    """
+    t, at = _tokens(spark, path), BACKGROUND_COLUMNS.index("k") + 1
+    extra = (F.array_position("t", "B>") > len(BACKGROUND_COLUMNS) + 1) & (F.col("t")[at] == "")
+    t = t.select(F.when(extra, F.concat(F.slice("t", 1, at), F.slice("t", at + 2, F.size("t")))).otherwise(F.col("t")).alias("t"))
+
+    def run(tag):
+        start = F.array_position("t", tag).cast("int")
+        rest = F.slice("t", start + 1, F.size("t"))
+        stop = F.array_min(F.filter(F.array(F.array_position(rest, "S>"), F.array_position(rest, "<EOL>")), lambda p: p > 0)).cast("int")
+        return F.when(start > 0, F.transform(F.filter(F.slice(rest, 1, stop - 1), lambda x: x != ""), lambda x: x.try_cast("double")))
+
+    return t.select(*_named(BACKGROUND_COLUMNS), run("B>").alias("beta"), run("S>").alias("seed"))
+
+
+def fit_list(fits: list, info: dict | None = None) -> list[str]:
+    """The list of fits for reading: a title, two lines of headings, one line a fit with XX where a feature is on."""
+    mark = lambda x: " XX " if x else "    "
+    out = ["LIST OF FIT RESULTS", "                               ----Shapes----  -Symm-", "Index\t    k\tFlank  NS  Di  MG  PT  HT  RO  Nu  Di  Shift   NS Bind   Train L    Test L    Lambda  NullVecs   PSAM"]
+    number = lambda x, n: f"{x:>{n}.4f}" if isinstance(x, float) else f"{'-' if x is None else x:>{n}}"
+    for i, f in enumerate(fits):
+        own = fit_info(f, info or {})
+        flags = "".join(mark(own.get(c)) for c in ("NS", "Di", "MG", "PT", "HT", "RO", "NuSym", "DiSym"))
+        out.append(f"{i:5d}\t{'-' if own['k'] is None else own['k']:>5}\t{own['Flank']:5d} {flags}{own['Shift']:5d} {number(own['NSBind'], 9)} {number(own['AdjTrainLPerRead'], 9)} {number(own.get('AdjTestLPerRead'), 9)} {number(own.get('Lambda'), 9)} {number(own['NullVectors'], 9)}   {own['PSAM'] or '-'}")
+    return out
+
+
+def report(fits: list, title: str = "fits", run: dict | None = None) -> str:
+    """The run's settings and every fit for reading, with each position's weights and errors."""
+    out = [f"# {title}", *(f"{k}: {v}" for k, v in (run or {}).items())]
     for i, f in enumerate(fits, 1):
         out.append(f"{i}. L/n {f.per_read:.8f}, adjusted {f.adjusted:.8f}, shift {f.shift}, {f.rounds} rounds, {f.evaluations} evaluations")
         at = 0
@@ -123,3 +192,56 @@ def trajectory_table(spark: SparkSession, fits: list) -> DataFrame:
     """(fit, step, i, beta) of fits that kept their way."""
     rows = [(k, s, i, float(v)) for k, f in enumerate(fits) for s, x in enumerate(f.trajectory) for i, v in enumerate(x)]
     return spark.createDataFrame(rows, "fit int, step int, i int, beta double")
+
+
+def hessian_table(spark: SparkSession, hessians: list[np.ndarray]) -> DataFrame:
+    """(fit, i, j, value) of the second derivatives at each fit."""
+    rows = [(k, i, j, float(v)) for k, h in enumerate(hessians) for i, row in enumerate(h) for j, v in enumerate(row)]
+    return spark.createDataFrame(rows, "fit int, i int, j int, value double")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there something at a path of any store that Spark can open?"""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def store_results(rows: DataFrame, path: str, append: bool = True, meta: tuple[str, ...] = (), now: datetime.datetime | None = None, **kw) -> str:
+    """Write a table of fits as a Parquet store and return its path.
+
+    With append, rows of the store's own run (equal in meta) are merged into it by model key; rows of another run, or any
+    rows without append, go to a new store whose name has the time added if the first name is taken. A store is never
+    changed in place: a version folder is written and then named in the store's list of versions, so that a reader or
+    a lost writer finds the old one whole.
+    """
+    from bindscape.operators import registry
+
+    spark = rows.sparkSession
+    if not exists(spark, path):
+        rows.write.parquet(f"{path}/v000000")
+        return path
+    late = f"{path}_{(now or datetime.datetime.now()):%Y-%m-%d-%H-%M}"
+    if not append:
+        rows.write.parquet(f"{late}/v000000")
+        return late
+    stored = read_results(spark, path)
+    merged, other = registry.append_results(stored, rows, meta, **kw)
+    if other.limit(1).count():
+        other.write.parquet(f"{late}/v000000")
+        return late
+    merged.write.parquet(f"{path}/v{len(_versions(spark, path)):06d}")
+    return path
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Versions that were written to their end, oldest first."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [str(s.getPath()) for s in fs.listStatus(p) if s.isDirectory()]
+    return sorted(f for f in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{f}/_SUCCESS")))
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The latest whole version of a store."""
+    return spark.read.parquet(_versions(spark, path)[-1])

@@ -5,25 +5,25 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def read_fastq(spark: SparkSession, path: str, length: int, left: str = "", right: str = "", barcode: str = "") -> DataFrame:
-    """(seq): the variable region of each read that has it between its barcode and flanks.
+    """(seq): the variable region of each read that has it between its barcode and flanks; reads without it are left out.
 
-    The second line of every four is the read. A file is read as one unit: its lines belong together, and a gz file
-    cannot be split. Sequences of a line that do not fit the pattern are left out.
+    A record is its header, one line of letters, a plus line and one line of marks. Plain files are split by Spark at any
+    size, at the line break before a header: a record starts with @ and has a plus line two lines on, which a line of marks
+    that begins with @ has not. gz files cannot be split; each is read in order by one task, batch by batch.
     """
-    lines = spark.read.text(path, wholetext=False).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    unsplit = spark.read.format("text").option("wholetext", "true").load(path)
-    if not path.endswith(".gz"):
-        reads = unsplit.select(F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^@[^\n]*\n([A-Za-z]+)\r?\n\+"), F.lit(1))).alias("read"))
-    else:
-        reads = _gz_reads(lines)
-    pattern = f"{barcode}{left}([ACGT]{{{length}}}){right}"
-    region = F.regexp_extract(F.upper("read"), pattern, 1)
+    plain = spark.read.option("lineSep", "\n+").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    # Cut at the plus lines, a read is the last line of a piece, behind its header.
+    ahead = F.regexp_extract(F.col("value"), r"(?:^|\n)@[^\n]*\n([A-Za-z]+)\r?$", 1)
+    reads = plain.where(~F.col("file").endswith(".gz")).select(ahead.alias("read")).where("read != ''")
+    reads = reads.union(_gz_reads(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.col("file").endswith(".gz"))))
+    region = F.regexp_extract(F.upper("read"), f"{barcode}{left}([ACGT]{{{length}}}){right}", 1)
     return reads.select(region.alias("seq")).where("seq != ''")
 
 
@@ -33,14 +33,16 @@ def _gz_reads(lines: DataFrame) -> DataFrame:
     def run(batches: Iterable[pd.DataFrame]):
         k, at = 0, None
         for b in batches:
-            out = []
-            for file, value in zip(b["file"], b["value"]):
-                if file != at:
-                    at, k = file, 0
-                if k % 4 == 1:
-                    out.append(value)
-                k += 1
-            yield pd.DataFrame({"read": out})
+            file = b["file"].to_numpy()
+            new = np.concatenate([[True], file[1:] != file[:-1]])
+            start = np.where(new, np.arange(len(b)), 0)
+            place = np.arange(len(b)) - np.maximum.accumulate(start)
+            if len(b) and file[0] == at:
+                first = len(b) if not new[1:].any() else int(np.argmax(new[1:])) + 1
+                place[:first] += k
+            if len(b):
+                k, at = int(place[-1]) + 1, file[-1]
+            yield pd.DataFrame({"read": b["value"].to_numpy()[place % 4 == 1]})
 
     return lines.select("file", "value").mapInPandas(run, "read string")
 

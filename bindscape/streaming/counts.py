@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindscape.functions import dna
+from bindscape.operators.probes import count_probes
 
 
 def stream_probe_counts(reads: DataFrame, seq: str = "seq") -> DataFrame:
     """Running (seq, cnt); write in update or complete mode. Works on a batch table as well."""
-    return reads.groupBy(F.col(seq).alias("seq")).agg(F.count(F.lit(1)).alias("cnt"))
+    return count_probes(reads, seq)
 
 
 def stream_kmer_counts(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:

@@ -60,7 +60,6 @@ def test_likelihood_derivatives(planted):
     model = Model([rand_mode(3, True, seed=4), rand_mode(2, seed=6)], -1.0, 1)
     value, gradient = data.value_gradient(model)
     v = model.vector()
-    numeric = optimize.numeric_gradient(lambda u: data.value_gradient(model.with_vector(u))[0], v[:14], 1e-4) if False else None
     for i in (0, 5, 13, 20, len(v) - 1):
         e = np.zeros(len(v))
         e[i] = 1e-4

@@ -173,18 +173,39 @@ def test_model_files(spark, tmp_path):
     rng = np.random.default_rng(1)
     mode = Mode(rng.normal(size=(3, 4)), rng.normal(size=(2, 16)), rng.normal(size=(3, 2)))
     fits = [fitting.Fit(Model([mode], -1.5), 10.0, 1.0, 0.5, 3, 4), fitting.Fit(Model([Mode(mode.nuc), Mode(mode.nuc * 2)]), 9.0, 0.9, 0.4, 3, 4)]
-    models.write_fits(spark, fits, str(tmp_path / "fits"), {"Symmetry": "TRUE"})
+    models.write_fits(spark, fits, str(tmp_path / "fits"), {"shapes": ("ProT",), "NuSym": "1,-1"})
     rows = models.load_fits(spark, str(tmp_path / "fits")).orderBy("TrainL").collect()
-    assert [r["K"] for r in rows] == ["Multi", "3"] and rows[1]["NonSpecific"] and not rows[0]["NonSpecific"] and rows[0]["TrainL"] == 9.0 and rows[0]["Time"] is None
+    assert [r["k"] for r in rows] == ["Multi", "3"] and rows[1]["NS"] and not rows[0]["NS"] and rows[0]["TrainL"] == 9.0 and rows[0]["Time"] is None and rows[0]["PT"] and not rows[0]["MG"] and rows[0]["NuSym"] == "1.-1"
     a, b = models.model_of(rows[1]), models.model_of(rows[0])
     assert a.vector() == pytest.approx(fits[0].model.vector()) and b.vector() == pytest.approx(fits[1].model.vector())
-    assert "non-specific: -1.5" in models.report(fits)
+    assert "non-specific: -1.5" in models.report(fits) and "folds: 5" in models.report(fits, run={"folds": 5})
     from bindscape.operators.background import Background
 
     bg = Background(rng.normal(size=16), 2, 5, "ACG", "TTT")
     models.write_backgrounds(spark, [(bg, {"TrainL": 3.0})], str(tmp_path / "bg"))
     r = models.load_backgrounds(spark, str(tmp_path / "bg")).first()
-    assert r["K"] == 2 and r["Flank"] and r["beta"] == pytest.approx(bg.beta.tolist()) and r["Z"] == pytest.approx(bg.z())
+    assert r["k"] == 2 and r["isFlank"] and r["beta"] == pytest.approx(bg.beta.tolist()) and r["TrainL"] == 3.0 and r["seed"] is None
+
+
+def test_foreign_model_lines(spark, tmp_path):
+    """Lines written by hand in the columns' order: one mode with everything, two modes with tags left out, quotes, NA."""
+    head = ",".join(models.FIT_COLUMNS)
+    one = "0,2016-01-02,12.5,30,44,2,3,TRUE,TRUE,FALSE,TRUE,FALSE,FALSE,1.-1,NA,-1,-2.5,100.5,2.01,0.11,2.02,0.12,1.0E-6,4,AC,NB>,1,2,3,4,5,6,7,8,DB>," + ",".join(map(str, range(16))) + ",SB>,0.1,0.2,NSB>,-2.5,NE>,1,1,1,1,1,1,1,1,NSBE>,0.5,NS>,0,0,0,0,0,0,0,0,NSBS>,-1,<EOL>"
+    two = '"1",2016-01-03,1,2,3,NA,0,TRUE,FALSE,FALSE,FALSE,FALSE,FALSE,NA,NA,NA,-1.5,90,1.8,0.1,NA,NA,0,NA,NA,NB>,1,2,3,4,NE>,9,9,9,9,NB>,5,6,7,8,9,10,11,12,NSB>,-1.5,NSBE>,0.25,<EOL>,ignored'
+    (tmp_path / "fits.csv").write_text("\n".join([head, one, "", two]) + "\n")
+    a, b = models.load_fits(spark, str(tmp_path / "fits.csv")).orderBy(F.desc("TrainL")).collect()
+    assert (a["Time"], a["FitTime"], a["FitSteps"], a["FncCalls"], a["k"], a["Flank"], a["NS"], a["Di"], a["MG"], a["PT"]) == ("2016-01-02", 12.5, 30, 44, "2", 3, True, True, False, True)
+    assert (a["NuSym"], a["DiSym"], a["Shift"], a["NSBind"], a["TrainL"], a["TrainLPerRead"], a["AdjTrainLPerRead"], a["TestLPerRead"], a["AdjTestLPerRead"], a["Lambda"], a["NullVectors"], a["PSAM"]) == ("1.-1", None, -1, -2.5, 100.5, 2.01, 0.11, 2.02, 0.12, 1e-6, 4, "AC")
+    v = a["values"][0]
+    assert len(a["values"]) == 1 and v["NB"] == list(range(1, 9)) and v["DB"] == list(range(16)) and v["SB"] == [0.1, 0.2] and v["NSB"] == [-2.5] and v["NE"] == [1] * 8 and v["DE"] == [] and v["NSBE"] == [0.5] and v["NS"] == [0] * 8 and v["NSBS"] == [-1]
+    x, y = b["values"]
+    assert b["k"] == "Multi" and x["NB"] == [1, 2, 3, 4] and x["NE"] == [9] * 4 and x["NSB"] == [] and y["NB"] == list(range(5, 13)) and y["NSB"] == [-1.5] and y["NSBE"] == [0.25] and y["NE"] == []
+    m = models.model_of(b)
+    assert [q.k for q in m.modes] == [1, 2] and m.ns == -1.5 and models.model_of(a).flank == 3
+    (tmp_path / "bg.csv").write_text(",".join(models.BACKGROUND_COLUMNS) + "\n0,2016,1.5,2,3,1,,TRUE,10,2,1,NA,NA,NA,,B>,1,2,3,4,S>,5,6,7,8,<EOL>\n1,2016,1.5,2,3,1,FALSE,11,2,1,3,4,0.5,B>,1,2,3,4,<EOL>\n")
+    a, b = models.load_backgrounds(spark, str(tmp_path / "bg.csv")).orderBy("TrainL").collect()
+    assert (a["isFlank"], a["TrainL"], a["TestLPerRead"], a["beta"], a["seed"]) == (True, 10, None, [1, 2, 3, 4], [5, 6, 7, 8])
+    assert (b["isFlank"], b["TrainL"], b["TestLPerRead"], b["MarkovModelDiff"], b["beta"], b["seed"]) == (False, 11, 3, 0.5, [1, 2, 3, 4], None)
 
 
 def test_stream(spark, tmp_path):
