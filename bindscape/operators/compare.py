@@ -104,6 +104,11 @@ def running_sums(df: DataFrame, column: str, values: list[str], descending: bool
     return at.select(*df.columns, *[(F.col(f"_{v}_before") + F.col(f"_{v}_in")).alias(f"{v}_sum") for v in values], *[f"{v}_all" for v in values])
 
 
+def labelled(scores: DataFrame, labels: DataFrame, key: str, score: str = "score", label: str = "label") -> DataFrame:
+    """Scores with their labels by key, not by the order of two files; rows that lack either are left out."""
+    return scores.where(F.col(score).isNotNull()).join(labels.where(F.col(label).isNotNull()), key)
+
+
 def roc(scored: DataFrame, score: str = "score", label: str = "label", by: list[str] | None = None) -> DataFrame:
     """(by, score, fpr, tpr) at each different score as a threshold, and the point (0, 0).
 

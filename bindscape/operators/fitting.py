@@ -24,7 +24,7 @@ class Settings:
     symmetry: str | tuple[str | None, ...] | None = None
     errors: bool = False
     search: str = "wolfe"
-    escapes: int = 5
+    escapes: int = 30
 
 
 @dataclass

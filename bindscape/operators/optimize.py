@@ -292,7 +292,7 @@ def escape(f: Objective, x: np.ndarray, hessian: np.ndarray, limit: float = -1e-
     if values[0] / max(abs(values).max(), 1e-300) >= limit:
         return None
     start = f(x)[0]
-    options = [(f(x + t * vectors[:, 0])[0], t) for s in (1, -1) for t in (s * 10.0**-k for k in range(6))]
+    options = [(f(x + t * vectors[:, 0])[0], t) for s in (1, -1) for t in (s * 10.0**-k for k in range(-1, 6))]
     value, t = min(options)
     return x + t * vectors[:, 0] if value < start - 1e-13 * abs(start) else None
 

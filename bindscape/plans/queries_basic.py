@@ -28,9 +28,10 @@ def p3(spark, sf):
     return counted(spark, sf, L).select("seq", dna.reverse_complement("seq").alias("rc"))
 
 
-@query("P4_base_index", "select c, count(*) as n, case when upper(c) = 'N' then 4 when length(c) = 1 and upper(c) in ('A', 'C', 'G', 'T', 'U') then instr('ACGT', replace(upper(c), 'U', 'T')) - 1 else -1 end as i from (select substr(text, 3, 1) as c from documents where length(text) > 3) group by c")
+@query("P4_base_index", "select c, count(*) as n, case when upper(c) = 'N' then 4 when length(c) = 1 and upper(c) in ('A', 'C', 'G', 'T', 'U') then instr('ACGT', replace(upper(c), 'U', 'T')) - 1 else -1 end as i from (select unnest(string_split(text, '')) as c from documents) where c <> '' group by c")
 def p4(spark, sf):
-    c = table(spark, sf, "documents").where("length(text) > 3").select(F.substring("text", 3, 1).alias("c"))
+    """Every character of every text, counted before the shuffle."""
+    c = table(spark, sf, "documents").select(F.explode(F.split("text", "")).alias("c")).where("c != ''")
     return c.groupBy("c").agg(F.count(F.lit(1)).alias("n")).withColumn("i", dna.base_index("c"))
 
 
@@ -72,9 +73,9 @@ def p10(spark, sf):
 
 @query("P11_consensus", f"""select l_linestatus as status, string_agg(b, '' order by p) as consensus from (
  select l_linestatus, p, b, row_number() over (partition by l_linestatus, p order by n desc, b) as r from (
-  select l_linestatus, p, substr(seq, p, 1) as b, count(*) as n from (select l_linestatus, unnest(range(1, 9)) as p, substr(translate(md5(concat(cast(l_orderkey as varchar), '-', cast(l_linenumber as varchar))), '0123456789abcdef', 'AAAAACCCGGGGTTTT'), 1, {L}) as seq from lineitem) group by all)) where r = 1 group by l_linestatus""")
+  select l_linestatus, p, substr(seq, p, 1) as b, count(*) as n from (select l_linestatus, unnest(range(1, 17)) as p, substr(translate(md5(concat(cast(l_orderkey as varchar), '-', cast(l_linenumber as varchar))), '0123456789abcdef', 'AAAAACCCGGGGTTTT'), 1, {L}) as seq from lineitem) group by all)) where r = 1 group by l_linestatus""")
 def p11(spark, sf):
-    r = reads(spark, sf, L).select(F.col("l_linestatus").alias("status"), "seq", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("pos"))
+    r = reads(spark, sf, L).select(F.col("l_linestatus").alias("status"), "seq", F.explode(F.sequence(F.lit(1), F.lit(L))).alias("pos"))
     n = r.groupBy("status", "pos", F.substring("seq", F.col("pos"), F.lit(1)).alias("base")).agg(F.count(F.lit(1)).alias("beta"))
     return dna.consensus(n, ["status"])
 

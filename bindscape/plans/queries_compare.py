@@ -75,7 +75,13 @@ def a15r(spark, sf):
 
 
 def _labelled(spark, sf):
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(F.col("n_chars").alias("score"), F.col("quality").alias("label"), F.col("lang").alias("protein"))
+    scores = table(spark, sf, "documents").select("doc_id", F.col("n_chars").alias("score"), F.col("lang").alias("protein"))
+    return compare.labelled(scores, table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+
+
+@query("J7_labelled_scores", "select doc_id, n_chars as score, lang as protein, quality as label from documents join labels using (doc_id) where n_chars is not null and quality is not null")
+def j7(spark, sf):
+    return _labelled(spark, sf)
 
 
 _ROC = "with d as (select n_chars as score, quality as label from documents join labels using (doc_id)), r as (select distinct a.score, (select sum((label <= 0)::int) from d where d.score >= a.score) / (select sum((label <= 0)::int)::double from d) as fpr, (select sum((label > 0)::int) from d where d.score >= a.score) / (select sum((label > 0)::int)::double from d) as tpr from d a union all select null, 0, 0)"
@@ -155,7 +161,7 @@ def x2w(spark, sf):
 
     weights = toy_mode(5).nuc
     tasks = spark.createDataFrame([("a", 1), ("b", 2)], "task string, seed int")
-    d = dos.densities(tasks, lambda t: lambda x: float(weights[np.arange(5), x].sum()), 5, -3.0, 3.0, 0.1, tolerance=1e-3)
+    d = dos.densities(tasks, lambda t: lambda x: float(weights[np.arange(5), x].sum()), 5, -3.0, 3.0, 0.1, tolerance=1e-4)
     return dos.normalized(d, 5, ["task"])
 
 

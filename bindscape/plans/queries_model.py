@@ -53,7 +53,7 @@ def w10(spark, sf):
     return counted(spark, sf, 6).select("seq", F.round(bg.log_probability("seq"), 9).alias("log_p"))
 
 
-@query("J5_pi_sum", f"select 1e0 as total from (select 1)")
+@query("J5_pi_sum", f"with w as (select exp({background_weight_sql('seq', 3, 6)}) as w from {all_sql(6)}) select round(sum(w / (select sum(w) from w)), 9) as total from w")
 def j5(spark, sf):
     """Background probabilities of all sequences add up to 1."""
     from bindscape.operators.dos import all_sequences
@@ -143,24 +143,6 @@ def a6(spark, sf):
     return spark.createDataFrame([(round(float(background.likelihood(bg, x, n)[0]), 4),)], "value double")
 
 
-@query("A7_background_fit")
-def a7(spark, sf):
-    """Fitted k-mer weights; at the optimum expected and observed k-mer counts agree (see the tests)."""
-    from bindscape.operators import background
-
-    model, value = background.fit_background(counted(spark, sf, 6), 2, 6, LEFT, RIGHT, tolerance=1e-6)
-    return spark.createDataFrame([(i, float(b), float(value)) for i, b in enumerate(model.beta)], "kmer int, beta double, value double")
-
-
-@query("H7_background_selection")
-def h7(spark, sf):
-    from bindscape.operators import background
-
-    split = probes.split_reads(counted(spark, sf, 6), 0.5)
-    rows = [(k, float(a), float(b), float(c)) for k, a, b, c in background.select_background(split, [1, 2, 3], 6, LEFT, RIGHT)]
-    return spark.createDataFrame(rows, "k int, train double, test double, test_per_read double")
-
-
 def _affinity_sql(k, source):
     best = f"(select max(exp({weight_sql('seq', k)})) from {all_sql(k)})"
     win = f"(select seq, i as pos, substr(seq, i, {k}) as w from (select seq, unnest(range(1, length(seq) - {k} + 2)) as i from {source}))"
@@ -230,17 +212,12 @@ def j6(spark, sf):
 _NET = convnet.Net(True, True, np.round(np.sin(np.arange(2 * 4 * 4)), 3).reshape(2, 4, 4).astype(np.float32), np.array([0.1, -0.2], np.float32), np.array([1, 0.5, -0.25, 2], np.float32), np.array([0.3], np.float32), np.array([], np.float32), np.array([], np.float32))
 
 
-@query("M8_net_score")
-def m8(spark, sf):
-    """Scores of a two-detector net; tests hold them against a plain loop."""
-    return convnet.net_score(counted(spark, sf, 10).select("seq"), _NET)
-
-
 @query("flagship_top_probes", f"select seq, cnt, round(sum(kappa), 6) as w from (select * from {kappa_sql(counted_sql(L), K)} where not ({' or '.join(f'''(length(seq) - length(replace(seq, '{b}', '')) >= 9 and instr(seq, '{b * 5}') > 0)''' for b in BASES)})) group by seq, cnt order by w desc, seq limit 20")
 def flagship(spark, sf):
     kept = probes.filter_probes(counted(spark, sf, L), 9, 5)
-    w = scoring.probe_weights(kept, toy_model(K), LEFT, RIGHT)
-    return w.join(kept, "seq").select("seq", "cnt", F.round("w", 6).alias("w")).orderBy(F.desc("w"), "seq").limit(20)
+    k = scoring.frame_affinities(kept, toy_model(K), LEFT, RIGHT)
+    w = k.groupBy("seq", "cnt").agg(F.round(F.sum("kappa"), 6).alias("w"))
+    return w.orderBy(F.desc("w"), "seq").limit(20).select("seq", "cnt", "w")
 
 
 def _selected(spark, sf):
@@ -252,58 +229,22 @@ def _selected(spark, sf):
     return c.join(w, "seq").withColumn("cnt", (F.col("cnt") * F.col("w") * (0.5 + dna.uniform("seq"))).cast("long")).where("cnt > 0").select("seq", "cnt")
 
 
-@query("O1_fit")
-def o1(spark, sf):
-    """A single-mode fit to reads that a planted motif favours: weights, likelihood, error bars."""
-    data = objective.Likelihood(_selected(spark, sf), toy_background(1, 6))
-    got = fitting.fit(data, toy_model(3), fitting.Settings(errors=True, tolerance=1e-5))
-    return spark.createDataFrame([(p, BASES[b], float(got.model.modes[0].nuc[p, b]), float(got.errors[4 * p + b]), float(got.value)) for p in range(3) for b in range(4)], "pos int, base string, beta double, error double, value double")
-
-
-@query("O4_pattern_search")
-def o4(spark, sf):
-    """The same likelihood without gradients, from the k-mer sums of a background: both optimisers meet."""
-    from bindscape.operators import background
-
-    c = counted(spark, sf, 6)
-    x, n = background.count_vector(background.kmer_counts(c, 1, LEFT, RIGHT), 1), float(c.agg(F.sum("cnt")).first()[0])
-    value = lambda v: background.likelihood(background.Background(v, 1, 6, LEFT, RIGHT), x, n)
-    a = optimize.lbfgs(value, np.zeros(4), n, tolerance=1e-8)
-    b = optimize.pattern_search(lambda v: value(v)[0], np.zeros(4), directions=optimize.orthogonal_directions([4]))
-    return spark.createDataFrame([("lbfgs", float(a.value), a.evaluations), ("pattern", float(b.value), b.evaluations)], "method string, value double, evaluations int")
+@query("O12_normal_form", "select i::bigint as i, round(w - avg(w) over (partition by i // 4), 9) as beta from (select i, ((7 * (i // 4) + 5 * (i % 4)) % 11) / 1e1 - 5e-1 as w from (select unnest(range(0, 16)) as i))")
+def o12(spark, sf):
+    """Without non-specific binding every position's mean is free."""
+    return spark.createDataFrame([(i, round(float(x), 9) + 0.0) for i, x in enumerate(normal_form(toy_mode(4)).vector())], "i long, beta double")
 
 
-@query("O12_normal_form")
-def o12(spark, sf):
-    m = normal_form(toy_mode(4, True))
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(m.vector())], "i int, beta double")
+_W13 = "(select i, i // 16 as mode, i % 16 // 4 as p, ((7 * (i % 16 // 4) + 5 * (i % 4) + 3 * (i // 16)) % 11) / 1e1 - 5e-1 as w from (select unnest(range(0, 32)) as i))"
 
 
-@query("O13_normalized_modes")
+@query("O13_normalized_modes", f"with w as {_W13}, m as (select mode, p, max(w) as top from w group by mode, p), t as (select mode, sum(top) as t from m group by mode) select i::bigint as i, round(w - top + (t - (select max(t) from t)) / 4, 9) as beta from w join m using (mode, p) join t using (mode) union all select 32, round(-1 - (select max(t) from t), 9)")
 def o13(spark, sf):
     m = normalize_modes(toy_model(4, ns=-1.0, modes=2))
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(m.vector())], "i int, beta double")
+    return spark.createDataFrame([(i, round(float(x), 9) + 0.0) for i, x in enumerate(m.vector())], "i long, beta double")
 
 
-@query("O16_symmetry")
+@query("O16_symmetry", "select f::bigint as full, case when p < 2 then f when p = 2 then 8 + least(b, 3 - b) else 4 * (4 - p) + 3 - b end::bigint as free from (select f, f // 4 as p, f % 4 as b from (select unnest(range(0, 20)) as f))")
 def o16(spark, sf):
     tie = Symmetry(even_odd(5)).tie(toy_mode(5))
-    return spark.createDataFrame([(i, int(np.flatnonzero(r)[0])) for i, r in enumerate(tie)], "full int, free int")
-
-
-@query("H3_length_sweep")
-def h3(spark, sf):
-    """Lengths 2 and 3, with and without non-specific binding, each from neighbouring shifts."""
-    data = objective.Likelihood(_selected(spark, sf), toy_background(1, 6))
-    fits = fitting.length_sweep(data, [2, 3], [0], [False, True], settings=fitting.Settings(tolerance=1e-4, penalty=1e-4))
-    return spark.createDataFrame([(f.model.modes[0].k, f.model.ns is not None, float(f.per_read), float(f.adjusted)) for f in fits], "k int, non_specific boolean, per_read double, adjusted double")
-
-
-@query("H4_add_mode")
-def h4(spark, sf):
-    data = objective.Likelihood(_selected(spark, sf), toy_background(1, 6), penalty=1e-4)
-    s = fitting.Settings(tolerance=1e-4)
-    one = fitting.fit(data, toy_model(2), s)
-    two = fitting.add_mode(data, one, 2, s)
-    again = fitting.mode_regression(data, two.model, s)
-    return spark.createDataFrame([(len(f.model.modes), float(f.value)) for f in (one, two, again)], "modes int, value double")
+    return spark.createDataFrame([(i, int(np.flatnonzero(r)[0])) for i, r in enumerate(tie)], "full long, free long")
\ No newline at end of file

@@ -51,37 +51,6 @@ def _data(spark, sf, penalty=1e-4):
 _QUICK = fitting.Settings(tolerance=1e-3, penalty=1e-4)
 
 
-@query("O8_shifts")
-def o8(spark, sf):
-    data = _data(spark, sf)
-    fits = fitting.shift_fits(data, fitting.fit(data, Model([Mode.zeros(3)]), _QUICK, seeded=False), 1, _QUICK)
-    return spark.createDataFrame([(f.shift, float(f.value)) for f in fits], "shift int, value double")
-
-
-@query("O9_cross_validation")
-def o9(spark, sf):
-    s = probes.split_reads(_selected(spark, sf), 0.5)
-    halves = [(s.select("seq", F.col(a).alias("cnt")), s.select("seq", F.col(b).alias("cnt"))) for a, b in (("train", "test"), ("test", "train"))]
-    start = fitting.fit(_data(spark, sf), toy_model(3), _QUICK)
-    got = fitting.cross_validate(halves, lambda p: objective.Likelihood(p, toy_background(1, 6), 1e-4), start, _QUICK)
-    return spark.createDataFrame([(float(start.per_read), float(got))], "train_per_read double, test_per_read double")
-
-
-@query("H5_growth")
-def h5(spark, sf):
-    data = _data(spark, sf)
-    fits = fitting.grow(data, fitting.fit(data, Model([Mode.zeros(2)]), _QUICK, seeded=False), 4, _QUICK)
-    return spark.createDataFrame([(f.model.modes[0].k, f.model.flank, float(f.value)) for f in fits], "k int, flank int, value double")
-
-
-@query("H6_more_features")
-def h6(spark, sf):
-    data = _data(spark, sf)
-    one = fitting.fit(data, toy_model(3), _QUICK)
-    two = fitting.fit(data, Model([one.model.modes[0].with_features(True, 0)]), _QUICK)
-    return spark.createDataFrame([("nucleotides", float(one.value)), ("dinucleotides", float(two.value))], "features string, value double")
-
-
 def _folder(spark, name):
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -105,13 +74,3 @@ def k6(spark, sf):
     path = _folder(spark, "density")
     reads.write_density(d, path)
     return reads.read_tsv(spark, path, "density")
-
-
-@query("K5_trajectory")
-def k5(spark, sf):
-    from bindscape.operators.optimize import lbfgs
-
-    c = counted(spark, sf, 6)
-    x, n = background.count_vector(background.kmer_counts(c, 1, LEFT, RIGHT), 1), float(c.agg(F.sum("cnt")).first()[0])
-    got = lbfgs(lambda v: background.likelihood(background.Background(v, 1, 6, LEFT, RIGHT), x, n), np.zeros(4), n, tolerance=1e-8, keep=True)
-    return models.trajectory_table(spark, [fitting.Fit(Model([Mode(got.x.reshape(1, 4))]), got.value, 0.0, 0.0, got.rounds, got.evaluations, trajectory=got.trajectory)])

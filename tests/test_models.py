@@ -163,3 +163,90 @@ def test_feasible_and_sweep(planted):
     assert len(fits) == 1
     with pytest.raises(optimize.NotConverged):
         fitting.best([])
+
+
+def test_more_thuente():
+    """Both line searches reach the same minima, from good and bad first steps, and give steps that meet their conditions."""
+    rng = np.random.default_rng(3)
+    for k in range(60):
+        a, b, c = rng.normal(), rng.uniform(0.5, 3), rng.uniform(0, 0.5)
+        f = lambda x: (b * (x - a) ** 2 + c * np.sin(5 * x), 2 * b * (x - a) + 5 * c * np.cos(5 * x))  # noqa: B023, E731
+        x0 = a + rng.choice([-4.0, 4.0])
+        f0, g0 = f(x0)
+        way = -np.sign(g0)
+        phi = lambda t: (f(x0 + t * way)[0], f(x0 + t * way)[1] * way, None)  # noqa: B023, E731
+        for search, c2 in ((optimize.more_thuente, 0.99), (optimize.wolfe, 0.9)):
+            for first in (1e-3, 1.0, 50.0):
+                t, v, *_ = search(phi, f0, -abs(g0), first)
+                assert t > 0 and v <= f0 - 1e-4 * t * abs(g0) and abs(f(x0 + t * way)[1]) <= c2 * abs(g0) + 1e-9, (k, search, first)
+
+    def rosenbrock(v):
+        x, y = v
+        return (1 - x) ** 2 + 100 * (y - x * x) ** 2, np.array([-2 * (1 - x) - 400 * x * (y - x * x), 200 * (y - x * x)])
+
+    got = optimize.lbfgs(rosenbrock, np.array([-1.2, 1.0]), tolerance=1e-9, search="more_thuente")
+    assert got.x == pytest.approx([1, 1])
+
+
+def test_fit_leaves_a_saddle(planted):
+    """Two equal modes stay equal without the escape; with it the fit ends lower, where no eigenvalue is negative."""
+    bg, _, df = planted
+    data = objective.Likelihood(df, bg, penalty=1e-5)
+    start, s = Model([Mode.zeros(2), Mode.zeros(2)]), fitting.Settings(tolerance=1e-6)
+    stuck, free = fitting.fit(data, start, s, saddles=False), fitting.fit(data, start, s)
+    assert stuck.model.modes[0].nuc == pytest.approx(stuck.model.modes[1].nuc, abs=1e-6)
+    assert free.value < stuck.value - 1
+    values = np.linalg.eigvalsh(data.hessian(free.model))
+    assert values[0] / np.abs(values).max() > -1e-6
+
+
+def test_chunks_like_features(planted):
+    """The lookups of chunks against the sums over all features, for modes longer than a chunk."""
+    rng = np.random.default_rng(6)
+    bg = rand_bg(2, 12)
+    x, cnt = rng.integers(0, 4, (50, 12)).astype(np.uint8), rng.integers(1, 9, 50).astype(float)
+    for model in (Model([rand_mode(8, True), rand_mode(7, False, seed=3)], -1.0, 2), Model([rand_mode(13, True)], None, 3), Model([rand_mode(1)])):
+        v, g, _ = objective.probe_derivatives(x, cnt, bg, model, None)
+        v2, g2 = objective.probe_sums(x, cnt, bg, model)
+        assert v2 == pytest.approx(v) and g2 == pytest.approx(g)
+
+
+def test_swap(planted):
+    bg, truth, df = planted
+    data = objective.Likelihood(df, bg, penalty=1e-3, cache=False)
+    other = data.swapped(df.limit(10))
+    assert other.n < data.n and other.penalty == pytest.approx(1e-3 * other.n) and other.value_gradient(truth)[0] > 0
+    with pytest.raises(ValueError):
+        data.swapped(df.selectExpr("concat(seq, 'A') as seq", "cnt"))
+    with pytest.raises(Exception, match="not a probe"):
+        objective.Likelihood(df.selectExpr("translate(seq, 'A', 'N') as seq", "cnt"), bg, cache=False)
+        objective.Likelihood(df.selectExpr("translate(seq, 'A', 'N') as seq", "cnt"), bg, cache=False).value_gradient(truth)
+
+
+def test_site_symmetry():
+    from bindscape.operators.params import SiteSymmetry
+
+    def classes(text, k, distance=0):
+        return [tuple(np.flatnonzero(r)) for r in SiteSymmetry(text, k).tie(distance)]
+
+    assert SiteSymmetry(None, 3).tie().shape == (12, 12) and (SiteSymmetry("null", 3).tie(1) == np.eye(32)).all()
+    assert classes("ABCDE|..|edcba", 12) == classes("1:5:0|0:2:0|-1:5:0", 12)
+    for d in range(5):
+        assert classes("ABCDE|..|edcba", 12, d) == classes("1:5:0|0:2:0|-1:5:0", 12, d)
+    own = SiteSymmetry("1:3:1", 3)
+    for d, width in ((0, 4), (1, 16), (2, 16)):  # turning the site round exchanges tied features only
+        tie, n = own.tie(d), 3 - d
+        turned = [(n - 1 - p) * width + ((3 - x) if d == 0 else 4 * (3 - x % 4) + 3 - x // 4) for p in range(n) for x in range(width)]
+        assert (tie[turned] == tie).all()
+    assert SiteSymmetry("A1", 2).tie().shape == (8, 6)
+    for bad, k in (("ABC", 2), ("1:0:0", 0), ("1:2", 2), ("1:2:0|1:3:0", 5), ("A||B", 2)):
+        with pytest.raises(ValueError):
+            SiteSymmetry(bad, k)
+
+
+def test_symmetry_of_each_mode(planted):
+    bg, _, df = planted
+    data = objective.Likelihood(df, bg, penalty=1e-4)
+    got = fitting.fit(data, Model([rand_mode(2, seed=2), rand_mode(3, seed=4)], -1.0), fitting.Settings(tolerance=1e-4, symmetry=("1,-1", None), escapes=0))
+    a = got.model.modes[0].nuc
+    assert a[0] == pytest.approx(a[1, ::-1]) and not np.allclose(got.model.modes[1].nuc[0], got.model.modes[1].nuc[2, ::-1])

@@ -222,3 +222,37 @@ def test_stream(spark, tmp_path):
 def test_restart_log(spark):
     rows = spark.createDataFrame([(1, 5), (2, 9), (3, None), (4, 2), (5, None), (6, 1)], "i int, step int")
     assert [r["total_step"] for r in dos.restart_log(rows).orderBy("i").collect()] == [5, 9, 11, 12]
+
+
+def test_running_sums(spark):
+    """Over ranges against plain sums: ties, few values, none, both ways."""
+    for n, kinds in ((3000, 10**6), (500, 7), (1, 3), (0, 3)):
+        rows = [(float(x), i % 3) for i, x in enumerate(np.random.default_rng(n).integers(0, kinds, n))]
+        df = spark.createDataFrame(rows, "x double, v int").groupBy("x").agg(F.sum("v").alias("v"))
+        for down in (False, True):
+            got = {r["x"]: (r["v_sum"], r["v_all"]) for r in compare.running_sums(df, "x", ["v"], down).collect()}
+            want = {x: (sum(v for y, v in rows if (y >= x if down else y <= x)), sum(v for _, v in rows)) for x in {x for x, _ in rows}} if n < 1000 else None
+            if want is not None:
+                assert got == want
+            else:
+                order, total = sorted(got, reverse=down), 0
+                own = {r["x"]: r["v"] for r in df.collect()}
+                for x in order:
+                    total += own[x]
+                    assert got[x] == (total, sum(own.values()))
+
+
+def test_stores(spark, tmp_path):
+    import datetime
+
+    rows = spark.createDataFrame([(1, "a", "r", 1, 5.0, None), (2, "a", "r", 1, 6.0, 1.0)], "k int, symmetry string, run string, stamp int, train double, test double")
+    path, now = f"file://{tmp_path}/store", datetime.datetime(2020, 1, 2, 3, 4)
+    how = {"meta": ("run",), "key": ("k", "symmetry"), "merged": ("test",)}
+    assert models.store_results(rows, path, **how) == path
+    newer = spark.createDataFrame([(2, "a", "r", 2, 4.0, None)], rows.schema)
+    assert models.store_results(newer, path, **how) == path
+    assert sorted(map(tuple, models.read_results(spark, path).collect())) == [(1, "a", "r", 1, 5.0, None), (2, "a", "r", 2, 4.0, 1.0)]
+    assert models.store_results(newer.replace("r", "s"), path, now=now, **how) == f"{path}_2020-01-02-03-04"
+    (tmp_path / "store" / "v000009").mkdir()  # a version that was not finished
+    assert models.read_results(spark, path).count() == 2
+    assert models.store_results(newer, path, append=False, now=datetime.datetime(2020, 1, 2, 3, 5)).endswith("03-05")
