@@ -1,10 +1,11 @@
 """Exact dedup: an extendible-hash index on shared files.
 
 1. Keys. One scan writes (row, id, 64-bit hash, length, SHA-256) of every text to the shared folder. No text moves.
-2. Directory. Counts of distinct hashes by their top bits (at most 2^DIRECTORY_BITS numbers) go to the driver.
-   The directory starts with one bucket; a bucket over capacity is split, and where it is as deep as the
-   directory, the directory doubles. Buckets are key ranges; runs of them are dealt to owner tasks.
-3. Entries. Only a hash that occurs twice can mean a copy, so only such texts are read again. Each scan task folds
+2. Directory. Counts of hashes seen twice by their top bits go to the driver: 2^16 numbers, or some eight for each bucket
+   if that is more. The directory starts with one bucket; a bucket over capacity is split, and where it is as deep as the
+   directory, the directory doubles. Buckets are key ranges; runs of them are dealt to owner tasks, which are more the more entries there are.
+3. Entries. Only a hash that occurs twice can mean a copy, so only such texts are read again (by a broadcast of these hashes
+   while Spark holds them for small, beyond that by a shuffle of texts by hash). Each scan task folds
    its own equal texts into one entry (hash, text, best row, count): a text that a third of all rows share leaves a
    task once, not once for each row. Entries are written as index files in the shared folder, by owner.
 4. Owners read their files in order of hash, chain the entries of a hash, compare bytes, and give each
@@ -20,7 +21,7 @@ keep_one returns all columns, whatever their names.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,11 +29,17 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Top bits by which hashes are counted at least.
 DIRECTORY_BITS = 16
 #: Distinct hashes that a bucket holds before it is split.
 CAPACITY = 2_000
-#: Owner tasks at most; there are as many as buckets up to this.
-OWNERS = 4096
+#: Owner tasks: as many as buckets up to OWNERS, beyond that one for each OWNED hashes.
+OWNERS, OWNED = 4096, 250_000
+
+
+def directory_bits(n: int, capacity: int) -> int:
+    """Bits at which n hashes make cells of an eighth of a bucket on average."""
+    return max(DIRECTORY_BITS, min(40, max(1, -(-n // capacity)).bit_length() + 3))
 
 
 class Directory:
@@ -40,15 +47,17 @@ class Directory:
 
     def __init__(self, cells: dict[int, int], capacity: int = CAPACITY, most_bits: int = DIRECTORY_BITS):
         self.depth, self.most = 0, most_bits
-        total = [0] * ((1 << most_bits) + 1)
-        for cell in range(1 << most_bits):
-            total[cell + 1] = total[cell] + cells.get(cell, 0)
+        at, total = sorted(cells), [0]
+        for cell in at:
+            total.append(total[-1] + cells[cell])
+        held = lambda first, last: total[bisect_left(at, last)] - total[bisect_left(at, first)]
         buckets, todo = [], [(0, 0)]  # (prefix, depth)
         while todo:
             prefix, depth = todo.pop()
             first, last = prefix << (most_bits - depth), (prefix + 1) << (most_bits - depth)
-            if total[last] - total[first] <= capacity or depth == most_bits:
-                buckets.append((first, depth, total[last] - total[first]))
+            n = held(first, last)
+            if n <= capacity or depth == most_bits:
+                buckets.append((first, depth, n))
                 continue
             if depth == self.depth:
                 self.depth += 1  # the directory doubles: twice the pointers, the buckets stay
@@ -87,9 +96,11 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     per_hash = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     twice = common.materialize(per_hash.where("n > 1").select("h"), "dedup-twice")
-    cell = F.shiftrightunsigned("h", 64 - DIRECTORY_BITS)
-    directory = Directory({r["cell"]: r["n"] for r in twice.groupBy(cell.cast("int").alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}, capacity)
-    first, owner_of = directory.first, directory.owners(min(OWNERS, len(directory.buckets)))
+    n_twice = twice.count()
+    bits = directory_bits(n_twice, capacity)
+    cell = F.shiftrightunsigned("h", 64 - bits)
+    directory = Directory({r["cell"]: r["n"] for r in twice.groupBy(cell.cast("long").alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}, capacity, bits)
+    first, owner_of = directory.first, directory.owners(min(len(directory.buckets), max(OWNERS, n_twice // OWNED)))
 
     entry = "owner int, bucket int, h long, sha binary, text binary, doc_id long, tied long, n long"
 
@@ -99,7 +110,7 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         def give():
             cols = {k: [] for k in ("owner", "bucket", "h", "sha", "text", "doc_id", "tied", "n")}
             for hash_, chain in held.items():
-                b = bisect_right(first, (hash_ & 0xFFFFFFFFFFFFFFFF) >> (64 - DIRECTORY_BITS)) - 1
+                b = bisect_right(first, (hash_ & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)) - 1
                 for sha, text, best, n in chain:
                     for name, value in zip(cols, (owner_of[b], b, hash_, sha, text, best[0], best[1], n), strict=True):
                         cols[name].append(value)
