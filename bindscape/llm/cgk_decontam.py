@@ -51,7 +51,7 @@ PERIOD = 64
 #: Items of one pass, and their characters together: what is broadcast.
 BLOCK_ITEMS, BLOCK_CHARS = 50_000, 32_000_000
 #: Characters that are searched together, whose seeds are hashed at once, and windows that are walked at once.
-TOGETHER, HASHED, AT_ONCE = 1 << 22, 1 << 14, 1 << 12
+TOGETHER, HASHED, AT_ONCE = 1 << 20, 1 << 14, 1 << 12
 SYMBOLS = 256
 #: Characters of a lane of the exact search.
 LANE = 2048
@@ -68,7 +68,9 @@ def codes(text: str) -> np.ndarray:
 
 def symbol(c: np.ndarray) -> np.ndarray:
     """Characters folded to 1..255; 0 is the end of an item. Two that fall together only let more windows stay."""
-    return np.maximum((c ^ (c >> 8)) & (SYMBOLS - 1), 1).astype(np.uint8)
+    out = c.astype(np.uint8)
+    out ^= (c >> 8).astype(np.uint8)
+    return np.maximum(out, 1, out=out)
 
 
 def edit_distance_inside(item: str, text: str, most: int) -> int | None:
@@ -387,8 +389,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         def run(batches, sent=sent):
             ready = _ready(sent.value, similarity, exact)
             for b in batches:
-                for k in range(0, b.num_rows, 1024):
-                    part = b.slice(k, 1024)
+                for k in range(0, b.num_rows, 256):
+                    part = b.slice(k, 256)
                     found = ready.search([normal(t) for t in part.column(1).to_pylist()])
                     rows = [k for k, f in enumerate(found) for _ in f]
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array([ready.ids[i] for f in found for i in f], pa.int64()), pa.array([d for f in found for d in f.values()], pa.int32())], names=["doc_id", "item_id", "distance"])
@@ -406,8 +408,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
         def run(batches, sent=sent):
             ready = _ready(sent.value, similarity, exact)
             for b in batches:
-                for k in range(0, b.num_rows, 1024):
-                    part = b.slice(k, 1024)
+                for k in range(0, b.num_rows, 256):
+                    part = b.slice(k, 256)
                     found = ready.search([normal(t) for t in part.column(at).to_pylist()])
                     yield part.filter(pa.array([not f for f in found], pa.bool_()))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -106,10 +107,20 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
 _held: dict = {}
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where its C library can; else it stays with this process for the next operator."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def held(key, make: Callable):
     """make(), kept in this process for the tasks to come. One thing is kept at a time, so workers that serve one operator after another don't add up."""
     if key not in _held:
-        _held.clear()
+        if _held:
+            _held.clear()
+            give_back()
         _held[key] = make()
     return _held[key]
 
