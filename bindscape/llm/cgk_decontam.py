@@ -148,26 +148,26 @@ def seed_length(size: int, similarity: float) -> int:
     return max((n for n in LENGTHS if seed_chance(size, n, 1 - similarity) >= RECALL), default=0)
 
 
+def stretch_hash(made: dict[int, np.ndarray], n: int) -> np.ndarray:
+    """Hash of the n characters from each place on, from those of its two parts; made holds what is known, 1 at least."""
+    if n not in made:
+        a = 1 << (n.bit_length() - 1)
+        a = a // 2 if a == n else a
+        left, right = stretch_hash(made, a), stretch_hash(made, n - a)
+        size = max(0, len(made[1]) - n + 1)
+        h = left[:size] * np.uint64(0xD6E8FEB86659FD93)
+        h += right[a : a + size]
+        h ^= h >> np.uint64(29)
+        h *= _MIX
+        made[n] = h
+    return made[n]
+
+
 def stretch_hashes(chars: np.ndarray, lengths: list[int]):
     """(n, hash of the n characters from each place on) for each of lengths, in rising order; lengths are of LENGTHS."""
-    wide = chars.astype(np.uint64)
-    made = {1: (wide + np.uint64(1)) * _MIX}
-
-    def of(n: int) -> np.ndarray:
-        if n not in made:
-            a = 1 << (n.bit_length() - 1)
-            a = a // 2 if a == n else a
-            left, right = of(a), of(n - a)
-            size = max(0, len(wide) - n + 1)
-            h = left[:size] * np.uint64(0xD6E8FEB86659FD93)
-            h += right[a : a + size]
-            h ^= h >> np.uint64(29)
-            h *= _MIX
-            made[n] = h
-        return made[n]
-
+    made = {1: (chars.astype(np.uint64) + np.uint64(1)) * _MIX}
     for n in lengths:
-        yield n, of(n)
+        yield n, stretch_hash(made, n)
 
 
 class Seeds:
