@@ -43,6 +43,8 @@ from . import common
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Transitions that a worker keeps before it starts its table again.
 TABLE_ARCS = 600_000
+#: Words whose digested form a worker keeps.
+DIGESTED = 400_000
 
 
 #: The same split for the re module, for texts in which its classes of letters, digits and spaces are the tokenizer's.
@@ -217,7 +219,7 @@ class Tokenizer:
         self.apart = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.memo = common.Memo(self.word)
         self.both = common.Memo(self.there_and_back)
-        self.told = common.Memo(self.decimal_and_back)
+        self.told = common.Memo(self.decimal_and_back, DIGESTED)
 
     def word(self, word: str) -> bytes:
         """Ids as native 32-bit integers. A special token never comes out of a split as a word, since texts are cut at them."""
@@ -229,10 +231,11 @@ class Tokenizer:
         ids = self.word(word)
         return ids, self.automaton.decode(array("i", ids))
 
-    def decimal_and_back(self, word: str) -> tuple[bytes, bytes]:
-        """The same with the ids in decimal, joined by commas."""
+    def decimal_and_back(self, word: str) -> tuple[bytes, str]:
+        """Ids of a word in decimal, joined by commas, and what they decode to: labels of a path are the word's bytes, so whole characters."""
         ids, back = self.there_and_back(word)
-        return ",".join(map(str, array("i", ids))).encode(), back
+        back = back.decode()
+        return ",".join(map(str, array("i", ids))).encode(), word if back == word else back
 
     def split(self, text: str) -> list[str]:
         if not self.apart or not any(x in text for x in self.special):
@@ -256,8 +259,8 @@ class Tokenizer:
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids in decimal joined by commas, SHA-256 of the decoded text in UTF-8."""
         parts = zip(*map(self.told.__getitem__, self.split(text))) if text else ((), ())
-        ids, back = (x.join(p) for x, p in zip((b",", b""), parts))
-        return ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.decode("utf-8", "replace").encode()).hexdigest()
+        ids, back = (x.join(p) for x, p in zip((b",", ""), parts))
+        return ids.count(b",") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
     def encode(self, text: str) -> list[int]:
         return array("i", self.packed(text)).tolist()

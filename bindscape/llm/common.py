@@ -16,9 +16,9 @@ LOCAL_SHARED = "file:///tmp/checkpoints/bindscape"
 #: Entries that a worker's word memo may hold.
 MEMO_WORDS = 600_000
 #: Rows of an Arrow batch between Spark and a worker.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 #: Rows that a worker turns into Python objects at once.
-PIECE = 512
+PIECE = 250
 #: Rows of two numbers that are broadcast at most.
 DROPPED = 1_000_000
 #: Words longer than this are worked out each time instead of being kept.

@@ -63,7 +63,7 @@ def _log(x: float) -> int:
 
 class Features:
     def __init__(self):
-        self.hashed = common.Memo(lambda w: zlib.crc32(w.lower().encode("utf-8", "replace")) & (WORDS - 1), 400_000)
+        self.hashed = common.Memo(lambda w: zlib.crc32(w.lower().encode("utf-8", "replace")) & (WORDS - 1), 200_000)
 
     def __call__(self, text: str, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
         words, data = text.split(), text.encode("utf-8", "replace")
