@@ -220,6 +220,7 @@ class Tokenizer:
         self.memo = common.Memo(self.word)
         self.both = common.Memo(self.there_and_back)
         self.told = common.Memo(self.decimal_and_back, DIGESTED)
+        self.decimal = [str(i).encode() for i in range(len(labels))]
 
     def word(self, word: str) -> bytes:
         """Ids as native 32-bit integers. A special token never comes out of a split as a word, since texts are cut at them."""
@@ -233,9 +234,10 @@ class Tokenizer:
 
     def decimal_and_back(self, word: str) -> tuple[bytes, str]:
         """Ids of a word in decimal, joined by commas, and what they decode to: labels of a path are the word's bytes, so whole characters."""
-        ids, back = self.there_and_back(word)
-        back = back.decode()
-        return ",".join(map(str, array("i", ids))).encode(), word if back == word else back
+        i = self.special.get(word)
+        ids = self.automaton.encode(word.encode()) if i is None else (i,)
+        back = self.automaton.decode(ids).decode()
+        return b",".join(map(self.decimal.__getitem__, ids)), word if back == word else back
 
     def split(self, text: str) -> list[str]:
         if not self.apart or not any(x in text for x in self.special):
