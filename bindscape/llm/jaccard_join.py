@@ -10,7 +10,8 @@ as 64-bit hashes (two different shingles of one pair of texts meet with a chance
    right, since linked sets of size n share one of their first n - ceil(0.8 n) + 1 shingles; this one keeps
    common passages out of prefixes. Members with the same prefix and size are collapsed into one group.
 3. Candidates. Groups that share a prefix shingle are paired if their sizes and the number of shingles that both
-   prefixes hold still allow the threshold. A list of many groups is never paired off: see 5.
+   prefixes hold still allow the threshold. A list of many groups is never paired off: see 5. The list of a very
+   common shingle is dealt to many tasks by member, so that no task holds it whole.
 4. Members. Group pairs are expanded to their members, and pairs dropped whose sets cannot link by how their shingles
    fall into 1024 cells. Members of a long list (or large group) are tied to leaders of it, unfiltered.
    What these pairs tie together is a cluster, and all links lie inside clusters. The sets of a cluster go to one
@@ -56,6 +57,8 @@ BROADCAST = 1_000_000
 REACH, CHUNK, OFTEN = 0.3, 2_000_000, 16
 #: Often seen shingles that are ordered last: the most common ones up to this number, which also bounds what is broadcast.
 MOST_OFTEN = 500_000
+#: Lists of shingles told HOT times or more are gathered in SALTS parts by member, which partial aggregates then bring together.
+HOT, SALTS = 50_000, 256
 
 #: Sets that may share the first 64 bits of their 128-bit keys with another; among 10^12 sets some 54,000 pairs do.
 CLASHES = 1_000_000
@@ -196,14 +199,16 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, last: dict[int, int], taken: dict[bytes, int], percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(token, gid, grp, n, stop): a row for each prefix shingle of a set that this task has not given out yet.
+    """(token, salt, gid, grp, n, stop): a row for each prefix shingle of a set that this task has not given out yet.
 
-    stop: place of the prefix's last shingle in the order, the largest long for an often seen one.
+    stop: place of the prefix's last shingle in the order, the largest long for an often seen one. salt: part of the
+    shingle's list that the set is in, from 1 on if the list is hot, else 0.
     """
     spark = docs.sparkSession
     order = sorted(last, key=lambda t: (last[t], t))
     late = spark.sparkContext.broadcast((np.array(sorted(order), np.int64).view(np.uint64), {t: k for k, t in enumerate(order)}))
     sent = spark.sparkContext.broadcast(taken)
+    is_hot = frozenset(_hot(last))
 
     def run(batches):
         shingles, seen = worker_shingles(), set()
@@ -211,7 +216,7 @@ def _prefixes(docs: DataFrame, last: dict[int, int], taken: dict[bytes, int], pe
         often, taken = np.sort(often), sent.value
         for b in batches:
             for k in range(0, b.num_rows, 512):
-                cols = [[], [], [], [], []]
+                cols = [[], [], [], [], [], []]
                 for s in shingles(b.slice(k, 512).column(0).to_pylist()):
                     n = len(s)
                     if not n:
@@ -236,12 +241,29 @@ def _prefixes(docs: DataFrame, last: dict[int, int], taken: dict[bytes, int], pe
                     else:
                         first = s[:p]
                     group = int.from_bytes(blake2b(first.tobytes() + n.to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
-                    for c, v in zip(cols, (first.view(np.int64), np.full(p, gid_of(key, taken)), np.full(p, group), np.full(p, n, np.int32), np.full(p, LAST if late_last else int(first[-1] >> np.uint64(1)))), strict=True):
+                    gid = gid_of(key, taken)
+                    salt = np.zeros(p, np.int32)
+                    if late_last and is_hot:
+                        salt[[t in is_hot for t in first.view(np.int64).tolist()]] = 1 + gid % SALTS
+                    for c, v in zip(cols, (first.view(np.int64), salt, np.full(p, gid), np.full(p, group), np.full(p, n, np.int32), np.full(p, LAST if late_last else int(first[-1] >> np.uint64(1)))), strict=True):
                         c.append(v)
                 if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["token", "gid", "grp", "n", "stop"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["token", "salt", "gid", "grp", "n", "stop"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token long, gid long, grp long, n int, stop long")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token long, salt int, gid long, grp long, n int, stop long")
+
+
+def _hot(last: dict[int, int]) -> list[int]:
+    """Shingles whose lists are gathered in parts."""
+    return [t for t, c in last.items() if c >= HOT]
+
+
+def _whole_lists(parts: DataFrame) -> DataFrame:
+    """Hot lists from their parts: at, members and m as they are over all parts of a list."""
+    per = parts.groupBy("token", "grp").agg(F.count(F.lit(1)).alias("members"), F.min("gid").alias("head"))
+    m = per.groupBy("token").agg(F.count(F.lit(1)).cast("long").alias("m"))
+    at = F.when(F.col("gid") == F.col("head"), 1).otherwise(2).alias("at")
+    return parts.select("token", "gid", "grp", "n", "stop").join(per.join(m, "token"), ["token", "grp"]).select("token", "gid", "grp", "n", "stop", "m", at, "members")
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -416,11 +438,17 @@ def set_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_i
 
     # Lists of the sets that share a prefix shingle. m: groups in the list; at: place of a member in its group.
     tokens = _prefixes(docs, last, taken, percent, id_col, text_col)
-    by, of = Window.partitionBy("token"), Window.partitionBy("token", "grp")
-    lists = tokens.withColumn("m", F.count(F.lit(1)).over(by)).where("m > 1").drop("m").dropDuplicates(["token", "gid"])
+    by, of = Window.partitionBy("token", "salt"), Window.partitionBy("token", "salt", "grp")
+    lists = tokens.withColumn("m", F.count(F.lit(1)).over(by)).where("m > 1 or salt > 0").drop("m").dropDuplicates(["token", "salt", "gid"])
     lists = lists.withColumn("at", F.row_number().over(of.orderBy("gid"))).withColumn("members", F.count(F.lit(1)).over(of))
-    lists = lists.withColumn("m", F.sum((F.col("at") == 1).cast("int")).over(by)).where("m > 1 or members > 1")
+    lists = lists.withColumn("m", F.sum((F.col("at") == 1).cast("int")).over(by)).where("m > 1 or members > 1 or salt > 0")
     lists = common.materialize(lists, "shingle-lists")
+    if _hot(last):
+        cold = lists.where("salt = 0").drop("salt")
+        whole = _whole_lists(lists.where("salt > 0")).where("m > 1 or members > 1")
+        lists = common.materialize(cold.unionByName(whole), "whole-lists")
+    else:
+        lists = lists.drop("salt")
     common.release(docs.sparkSession)
     groups = common.materialize(lists.select("grp", "gid", "members").distinct(), "groups")
 

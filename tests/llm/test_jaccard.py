@@ -67,6 +67,7 @@ def corpus(seed):
 @pytest.mark.parametrize("sizes", [{}, {"short": 4, "block": 8, "cluster": 2}, {"short": 2, "block": 1000, "cluster": 5}])
 def test_components_of_texts(spark, sizes, monkeypatch):
     monkeypatch.setattr(J, "OFTEN", 3 if sizes else J.OFTEN)
+    monkeypatch.setattr(J, "HOT", 4 if sizes else J.HOT)
     rows = corpus(len(sizes) + sum(sizes.values()))
     rows += [(rows[3][0], rows[3][1]), (rows[4][0], "another text under a known id"), (None, "no id"), (None, rows[7][1])]
     df = spark.createDataFrame([(*r, 0, b"", "x") for r in rows], "doc_id long, text string, n int, key binary, root string").repartition(6)
