@@ -57,8 +57,9 @@ BROADCAST = 1_000_000
 REACH, CHUNK, OFTEN = 0.3, 2_000_000, 16
 #: Often seen shingles that are ordered last: the most common ones up to this number, which also bounds what is broadcast.
 MOST_OFTEN = 500_000
-#: Lists of shingles told HOT times or more are gathered in SALTS parts by member, which partial aggregates then bring together.
-HOT, SALTS = 50_000, 256
+#: Lists of HOT entries or more, as one row of ONE_OF tells, are gathered in SALTS parts by member, which partial aggregates
+#: then bring together. This says where entries go, never what is linked: a list that is missed only stays whole.
+HOT, ONE_OF, SALTS = 50_000, 16, 256
 
 #: Sets that may share the first 64 bits of their 128-bit keys with another; among 10^12 sets some 54,000 pairs do.
 CLASHES = 1_000_000
@@ -198,22 +199,22 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, h long, n long, gid long, key binary, often array<long>, counts array<long>")
 
 
-def _prefixes(docs: DataFrame, last: dict[int, int], taken: dict[bytes, int], percent: int, id_col: str, text_col: str) -> DataFrame:
+def _prefixes(docs: DataFrame, last: dict[int, int], taken: dict[bytes, int], percent: int, text_col: str, hot: list[int]) -> DataFrame:
     """(token, salt, gid, grp, n, stop): a row for each prefix shingle of a set that this task has not given out yet.
 
     stop: place of the prefix's last shingle in the order, the largest long for an often seen one. salt: part of the
-    shingle's list that the set is in, from 1 on if the list is hot, else 0.
+    shingle's list that the set is in, from 1 on if the list is one of hot, else 0.
     """
     spark = docs.sparkSession
     order = sorted(last, key=lambda t: (last[t], t))
     late = spark.sparkContext.broadcast((np.array(sorted(order), np.int64).view(np.uint64), {t: k for k, t in enumerate(order)}))
     sent = spark.sparkContext.broadcast(taken)
-    is_hot = frozenset(_hot(last))
+    parted = spark.sparkContext.broadcast(np.array(hot, np.int64).view(np.uint64))
 
     def run(batches):
         shingles, seen = worker_shingles(), set()
         often, rank = late.value
-        often, taken = np.sort(often), sent.value
+        often, taken, hot = np.sort(often), sent.value, parted.value
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 cols = [[], [], [], [], [], []]
@@ -242,9 +243,7 @@ def _prefixes(docs: DataFrame, last: dict[int, int], taken: dict[bytes, int], pe
                         first = s[:p]
                     group = int.from_bytes(blake2b(first.tobytes() + n.to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
                     gid = gid_of(key, taken)
-                    salt = np.zeros(p, np.int32)
-                    if late_last and is_hot:
-                        salt[[t in is_hot for t in first.view(np.int64).tolist()]] = 1 + gid % SALTS
+                    salt = np.where(np.isin(first, hot), 1 + gid % SALTS, 0).astype(np.int32) if len(hot) else np.zeros(p, np.int32)
                     for c, v in zip(cols, (first.view(np.int64), salt, np.full(p, gid), np.full(p, group), np.full(p, n, np.int32), np.full(p, LAST if late_last else int(first[-1] >> np.uint64(1)))), strict=True):
                         c.append(v)
                 if cols[0]:
@@ -253,9 +252,11 @@ def _prefixes(docs: DataFrame, last: dict[int, int], taken: dict[bytes, int], pe
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token long, salt int, gid long, grp long, n int, stop long")
 
 
-def _hot(last: dict[int, int]) -> list[int]:
-    """Shingles whose lists are gathered in parts."""
-    return [t for t, c in last.items() if c >= HOT]
+def _hot(docs: DataFrame, last: dict[int, int], taken: dict[bytes, int], percent: int, id_col: str, text_col: str) -> list[int]:
+    """Shingles whose lists are gathered in parts: the longest lists, MOST_OFTEN at most."""
+    some = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(ONE_OF)) == 0)
+    counts = _prefixes(some, last, taken, percent, text_col, []).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    return [r["token"] for r in counts.where(F.col("c") >= max(1, HOT // ONE_OF)).orderBy(F.desc("c"), "token").limit(MOST_OFTEN).collect()]
 
 
 def _whole_lists(parts: DataFrame) -> DataFrame:
@@ -437,13 +438,14 @@ def set_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_i
     rows, known, taken = _numbered(rows)
 
     # Lists of the sets that share a prefix shingle. m: groups in the list; at: place of a member in its group.
-    tokens = _prefixes(docs, last, taken, percent, id_col, text_col)
+    hot = _hot(docs, last, taken, percent, id_col, text_col)
+    tokens = _prefixes(docs, last, taken, percent, text_col, hot)
     by, of = Window.partitionBy("token", "salt"), Window.partitionBy("token", "salt", "grp")
     lists = tokens.withColumn("m", F.count(F.lit(1)).over(by)).where("m > 1 or salt > 0").drop("m").dropDuplicates(["token", "salt", "gid"])
     lists = lists.withColumn("at", F.row_number().over(of.orderBy("gid"))).withColumn("members", F.count(F.lit(1)).over(of))
     lists = lists.withColumn("m", F.sum((F.col("at") == 1).cast("int")).over(by)).where("m > 1 or members > 1 or salt > 0")
     lists = common.materialize(lists, "shingle-lists")
-    if _hot(last):
+    if hot:
         cold = lists.where("salt = 0").drop("salt")
         whole = _whole_lists(lists.where("salt > 0")).where("m > 1 or members > 1")
         lists = common.materialize(cold.unionByName(whole), "whole-lists")

@@ -68,12 +68,34 @@ def corpus(seed):
 def test_components_of_texts(spark, sizes, monkeypatch):
     monkeypatch.setattr(J, "OFTEN", 3 if sizes else J.OFTEN)
     monkeypatch.setattr(J, "HOT", 4 if sizes else J.HOT)
+    monkeypatch.setattr(J, "ONE_OF", 1 if sizes else J.ONE_OF)
     rows = corpus(len(sizes) + sum(sizes.values()))
     rows += [(rows[3][0], rows[3][1]), (rows[4][0], "another text under a known id"), (None, "no id"), (None, rows[7][1])]
     df = spark.createDataFrame([(*r, 0, b"", "x") for r in rows], "doc_id long, text string, n int, key binary, root string").repartition(6)
     assert got(J.jaccard_components(df, **sizes)) == brute(rows)
 
 
+def test_lists_in_parts(spark, monkeypatch):
+    """A list dealt to parts has the members and heads of the whole list."""
+    rng = random.Random(5)
+    rows = sorted({(rng.randrange(3), rng.randrange(40)) for _ in range(90)})
+    parts = spark.createDataFrame([(t, g % 7 + 1, g, g // 4, 9, 1, 0, 0, 0) for t, g in rows], "token long, salt int, gid long, grp long, n int, stop long, at int, members long, m long")
+    found = {(r["token"], r["gid"]): (r["m"], r["members"], r["at"] == 1) for r in J._whole_lists(parts).collect()}
+    groups = {t: {} for t, _ in rows}
+    for t, g in rows:
+        groups[t].setdefault(g // 4, []).append(g)
+    assert found == {(t, g): (len(groups[t]), len(groups[t][g // 4]), g == min(groups[t][g // 4])) for t, g in rows}
+    monkeypatch.setattr(J, "HOT", 4)
+    monkeypatch.setattr(J, "ONE_OF", 1)
+    texts = [(k, " ".join(edited(rng, [f"v{i}" for i in range(80)], k % 3))) for k in range(30)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    hot = J._hot(df, {}, {}, 80, "doc_id", "text")
+    entries = J._prefixes(df, {}, {}, 80, "text", hot).collect()
+    assert hot and {r["token"] for r in entries if r["salt"] > 0} == set(hot)
+    assert len({r["salt"] for r in entries if r["token"] == hot[0]}) > 1
+    assert got(J.jaccard_components(df)) == brute(texts)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert J.jaccard_components(df).collect() == []
