@@ -186,7 +186,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
                 sets = shingles(part.column(1).to_pylist())
-                held += [s[: int(REACH * len(s)) + 1] for s in sets if len(s)]
+                held += [s[: int(REACH * len(s)) + 1].copy() for s in sets if len(s)]
                 size += sum(map(len, held[-len(sets) :]))
                 told = ([], [])
                 if size > CHUNK:
@@ -194,6 +194,8 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield rows(part.column(0), part.column(2), [len(s) for s in sets], [key_of(s) for s in sets], told)
         if held:
             yield rows(pa.array([None], pa.int64()), pa.array([0], pa.int64()), [-1], [b""], often())
+        held = []
+        common.give_back()
 
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), common.text_key(text_col).alias("h"))
     return df.mapInArrow(run, "doc_id long, h long, n long, gid long, key binary, often array<long>, counts array<long>")
@@ -248,6 +250,8 @@ def _prefixes(docs: DataFrame, last: dict[int, int], taken: dict[bytes, int], pe
                         c.append(v)
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["token", "salt", "gid", "grp", "n", "stop"])
+        seen.clear()
+        common.give_back()
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token long, salt int, gid long, grp long, n int, stop long")
 
