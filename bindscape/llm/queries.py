@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_automaton, cgk_decontam, extendible_dedup, jaccard_join, language_id, license_scan, link_trust, quality_fm, token_counts, token_records
+from . import bpe_automaton, cgk_decontam, click_windows, conversation_repair, extendible_dedup, jaccard_join, language_id, license_scan, link_trust, quality_fm, token_counts, token_records, toxic_neighbours
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_language_id": language_id.op8_language_id,
         "op9_license_scan": license_scan.op9_license_scan,
         "op10_cgk_decontam": cgk_decontam.op10_cgk_decontam,
+        "op11_toxic_neighbours": toxic_neighbours.op11_toxic_neighbours,
+        "op12_click_windows": click_windows.op12_click_windows,
+        "op13_conversation_repair": conversation_repair.op13_conversation_repair,
     }
 
 
