@@ -49,6 +49,8 @@ EVENT = "click_id long, hour long, hash binary, crc long"
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # A start runs one batch: its stores are of no use to the next, and each takes 4 MB of disk while it is loaded.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     # One watermark for late events and timers: the one that the batches before this one have left.
     "spark.sql.streaming.statefulOperator.allowMultiple": "false",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
