@@ -13,13 +13,27 @@ def _col(c: Column | str) -> Column:
 
 
 def encode(seq: Column | str) -> Column:
-    """Two bits a base, last base in the low bits; A, C, G, T = 0..3. Up to 31 bases fit a non-negative long."""
+    """Two bits a base, last base in the low bits; A, C, G, T = 0..3. 32 bases fill a long, whose sign is then the first base's
+    high bit; more than 32 bases give null."""
+    s = _col(seq)
+    digits = F.translate(s, BASES, "0123")
+    low = F.conv(F.substring(digits, -16, 16), 4, 10).cast("long")
+    head = F.conv(F.substring(digits, 1, F.length(s) - 16), 4, 10).cast("long")
+    return F.when(F.length(s) <= 16, low).when(F.length(s) <= 32, F.shiftleft(head, 32).bitwiseOR(low))
+
+
+def encode_short(seq: Column | str) -> Column:
+    """encode for up to 16 bases, in fewer steps."""
     return F.conv(F.translate(_col(seq), BASES, "0123"), 4, 10).cast("long")
 
 
 def decode(code: Column | str, length: Column | int) -> Column:
+    """The sequence of a code; codes of 32 bases may be negative."""
     n = F.lit(length) if isinstance(length, int) else length
-    return F.translate(F.lpad(F.conv(_col(code).cast("string"), 10, 4), n, "0"), "0123", BASES)
+    c = _col(code).cast("long")
+    half = lambda x: F.lpad(F.conv(x.cast("string"), 10, 4), 16, "0")
+    digits = F.concat(half(F.shiftrightunsigned(c, 32)), half(c.bitwiseAND(F.lit(0xFFFFFFFF))))
+    return F.translate(F.lpad(F.substring(digits, F.lit(33) - n, n), n, "0"), "0123", BASES)
 
 
 def reverse(seq: Column | str) -> Column:

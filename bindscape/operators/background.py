@@ -96,7 +96,7 @@ class Background:
         table = F.array(*[F.lit(float(x)) for x in self.beta])
         out = F.lit(0.0)
         for i in range(self.length + len(a) + len(b) - self.k + 1):
-            out = out + F.element_at(table, dna.encode(F.substring(s, i + 1, self.k)).cast("int") + 1)
+            out = out + F.element_at(table, dna.encode_short(F.substring(s, i + 1, self.k)).cast("int") + 1)
         return out
 
     def log_probabilities(self, x: np.ndarray) -> np.ndarray:

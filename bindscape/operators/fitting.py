@@ -1,15 +1,21 @@
-"""Fits: one model, seeded sweeps over lengths, shifts, flanks and features, modes added one by one."""
+"""Fits: one model, seeded sweeps over lengths, shifts, flanks and features, modes added one by one.
+
+Fits that don't wait for each other (points of a grid, shifts to both sides, folds) go side by side: each asks for sums at its
+own point, and one scan answers all (``together``). A sweep so costs as many scans as its longest fit, not as all fits.
+"""
 
 from __future__ import annotations
 
+import threading
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .objective import Likelihood
+from .objective import Ask, Likelihood
 from .optimize import Found, NotConverged, error_bars, escape, lbfgs, masked, tied, with_retries
 from .params import Mode, Model, Symmetry, normal_form, normalize_modes
 
@@ -122,16 +128,86 @@ def best(fits: list[Fit]) -> Fit:
     return min(found, key=lambda f: f.value)
 
 
+class _Table:
+    """Where fits side by side leave what they ask for. The last to ask has the scan run for all."""
+
+    def __init__(self, data: Likelihood, n: int):
+        self.data, self.live, self.met = data, n, threading.Condition()
+        self.asked: dict[int, list[Ask]] = {}
+        self.found: dict[int, list | Exception] = {}
+
+    def _run(self) -> None:
+        order = sorted(self.asked)
+        try:
+            got = self.data.answer([a for k in order for a in self.asked[k]])
+            for k in order:
+                n = len(self.asked[k])
+                self.found[k], got = got[:n], got[n:]
+        except Exception as e:
+            self.found |= dict.fromkeys(order, e)
+        self.asked.clear()
+        self.met.notify_all()
+
+    def ask(self, k: int, asks: list[Ask]) -> list:
+        with self.met:
+            self.asked[k] = asks
+            if len(self.asked) == self.live:
+                self._run()
+            self.met.wait_for(lambda: k in self.found)
+            got = self.found.pop(k)
+        if isinstance(got, Exception):
+            raise got
+        return got
+
+    def leave(self) -> None:
+        with self.met:
+            self.live -= 1
+            if self.asked and len(self.asked) == self.live:
+                self._run()
+
+
+def together(data: Likelihood, jobs: list[Callable[[Likelihood], object]], columns: list[int] | None = None) -> list:
+    """Results of jobs that each fit on a view of data; what they ask for in the same round is answered by one scan.
+
+    columns: the count of each job. A job that fails raises here, after all have ended.
+    """
+    table, out = _Table(data, len(jobs)), [None] * len(jobs)
+    views = [data.column(c) for c in columns or [data.at] * len(jobs)]
+
+    def run(k: int) -> None:
+        views[k].answer = lambda asks: table.ask(k, asks)
+        try:
+            out[k] = jobs[k](views[k])
+        except Exception as e:
+            out[k] = e
+        finally:
+            table.leave()
+
+    threads = [threading.Thread(target=run, args=(k,), daemon=True) for k in range(len(jobs))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    for x in out:
+        if isinstance(x, Exception):
+            raise x
+    return out
+
+
 def shift_fits(data: Likelihood, start: Fit, shifts: int, settings: Settings = Settings()) -> list[Fit]:
     """The fit, and fits from its motif moved by up to `shifts` positions each way, each from its neighbour."""
-    out = [start]
-    for sign in (1, -1):
-        at = start
-        for k in range(1, shifts + 1):
-            moved = replace(at.model, modes=[m.shifted(sign) for m in at.model.modes])
-            at = replace(fit(data, moved, settings), shift=sign * k)
-            out.append(at)
-    return out
+    def walk(sign: int):
+        def job(view: Likelihood) -> list[Fit]:
+            at, found = start, []
+            for k in range(1, shifts + 1):
+                moved = replace(at.model, modes=[m.shifted(sign) for m in at.model.modes])
+                at = replace(fit(view, moved, settings), shift=sign * k)
+                found.append(at)
+            return found
+
+        return job
+
+    return [start, *(f for found in together(data, [walk(1), walk(-1)]) for f in found)]
 
 
 def grid(length: int, ks: list[int], flanks: list[int], ns: list[bool], shape: bool = False) -> list[tuple[int, int, bool]]:
@@ -141,14 +217,24 @@ def grid(length: int, ks: list[int], flanks: list[int], ns: list[bool], shape: b
 
 def length_sweep(data: Likelihood, ks: list[int], flanks: list[int], ns: list[bool], di: bool = False, features: int = 0, shifts: int = 0, settings: Settings = Settings()) -> list[Fit]:
     """Single-mode fits over a grid: nucleotides first, then with dinucleotides or shape from that seed. Infeasible points are left out."""
-    out = []
-    for k, flank, with_ns in grid(data.background.length, ks, flanks, ns, bool(features)):
-        first = fit(data, Model([Mode.zeros(k)], 0.0 if with_ns else None, flank), settings, seeded=False)
-        top = best(shift_fits(data, first, shifts, settings))
-        if di or features:
-            top = fit(data, replace(top.model, modes=[top.model.modes[0].with_features(di, features)]), settings)
-        out.append(top)
-    return out
+
+    def point(k: int, flank: int, with_ns: bool):
+        def job(view: Likelihood) -> Fit:
+            first = fit(view, Model([Mode.zeros(k)], 0.0 if with_ns else None, flank), settings, seeded=False)
+            found = [first]
+            for sign in (1, -1):
+                at = first
+                for n in range(1, shifts + 1):
+                    at = replace(fit(view, replace(at.model, modes=[m.shifted(sign) for m in at.model.modes]), settings), shift=sign * n)
+                    found.append(at)
+            top = best(found)
+            if di or features:
+                top = fit(view, replace(top.model, modes=[top.model.modes[0].with_features(di, features)]), settings)
+            return top
+
+        return job
+
+    return together(data, [point(*p) for p in grid(data.background.length, ks, flanks, ns, bool(features))])
 
 
 def add_mode(data: Likelihood, at: Fit, k: int, settings: Settings = Settings()) -> Fit:
@@ -200,7 +286,7 @@ def seeded_fit(data: Likelihood, seeds: list[Mode], ns: bool = False, flank: int
 
 def replace_penalty(data: Likelihood, penalty: float) -> Likelihood:
     out = object.__new__(Likelihood)
-    out.__dict__ |= data.__dict__ | {"penalty": penalty * data.n}
+    out.__dict__ |= data.__dict__ | {"share": penalty, "penalty": penalty * data.n}
     return out
 
 
@@ -217,14 +303,15 @@ def grow(data: Likelihood, at: Fit, most: int, settings: Settings = Settings())
         out.append(fit(data, replace(out[-1].model, modes=modes, flank=flank), settings))
 
 
-def cross_validate(folds: list[tuple[DataFrame, DataFrame]], make, start: Fit, settings: Settings = Settings()) -> float:
-    """Mean over folds of the test likelihood per read, after a refit on the train part from the full fit. make(probes) gives a Likelihood."""
-    total = 0.0
-    for train, test in folds:
-        again = fit(make(train), start.model, settings, saddles=False)
-        held = make(test)
-        total += replace_penalty(held, 0.0).value_gradient(again.model)[0] / held.n
-    return total / len(folds)
+def cross_validate(data: Likelihood, folds: list[tuple[int, int]], start: Fit, settings: Settings = Settings()) -> list[float]:
+    """The test likelihood per read of each fold, after a refit of the full fit on its train part. folds: the columns (train, test) of data.
+
+    Folds are counts of one table, so their refits go side by side, and the tests are one scan.
+    """
+    again = together(data, [lambda view: fit(view, start.model, settings, saddles=False)] * len(folds), [train for train, _ in folds])
+    tests = [test for _, test in folds]
+    held = replace_penalty(data, 0.0).values_gradients([f.model for f in again], tests)
+    return [v / data.totals[k][0] for (v, _), k in zip(held, tests, strict=True)]
 
 
 def done_already(spark: SparkSession, path: str, force: bool = False) -> bool:

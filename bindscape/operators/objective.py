@@ -1,8 +1,10 @@
-"""Likelihood of a binding model on a probe table: one Spark job an evaluation, parameter-sized sums to the driver.
+"""Likelihood of binding models on a probe table: one Spark job an evaluation, of one model or of many.
 
-L = n ln Z - sum c ln(pi W) + lambda |beta|^2. Each task sums value, gradient (and Hessian) over its own probes in
-NumPy and gives one row for each parameter; Spark adds these up. Probes are coded once as one number each, two bits a base,
-and kept in that form for all evaluations; ``release`` lets go of them.
+L = n ln Z - sum c ln(pi W) + lambda |beta|^2. Each task sums value, gradient (and the upper half of the Hessian) over its own
+probes in NumPy and gives one row: all sums of all models asked for, packed. Rows are added up in levels of FAN, so what is shuffled is a
+vector for each task, and at most FAN vectors reach the driver. Probes are coded once as one number each, two bits a base,
+and kept in that form for all evaluations; ``release`` lets go of them. Models of one job share the unpacked probes, the
+background and the codes of their windows. A probe may have several counts (folds, rounds), and each model asked for names the one it takes.
 
 Without shape a frame is looked up by chunks of up to CHUNK bases: a table of exp(weights) for each chunk, and the gradient as
 weighted counts of chunk codes, which are added up by feature at the end. So a frame costs a few lookups, whatever its features.
@@ -10,6 +12,8 @@ weighted counts of chunk codes, which are added up by feature at the end. So a f
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,11 +23,29 @@ from bindscape.functions import dna
 
 from .background import Background
 from .params import Mode, Model
-from .partition import model_z, padded
+from .partition import model_z, model_z_hessian, padded
 from .scoring import kappas
 
 #: Bases of a chunk (one more where dinucleotides cross its end).
 CHUNK = 6
+#: Vectors that are added up in one place.
+FAN = 64
+#: Probes that a task unpacks at once.
+BLOCK = 4096
+
+
+@dataclass(frozen=True)
+class Ask:
+    """Sums wanted: of a model, over the count column of that number, with or without second derivatives."""
+
+    model: Model
+    column: int = 0
+    hessian: bool = False
+
+    @property
+    def sizes(self) -> tuple[int, int]:
+        n = len(self.model.vector())
+        return 1 + n, n * (n + 1) // 2 if self.hessian else 0
 
 
 class Chunks:
@@ -42,10 +64,9 @@ class Chunks:
             self.parts.append((first, width, np.exp(mode.vector()[parameter].sum(axis=0)), parameter))
         self.size = size
 
-    def codes(self, x: np.ndarray, frames: int) -> list[np.ndarray]:
-        """Chunk codes (n, frames) of one strand."""
-        rolled = {1: x.astype(np.int32)}
-        out = []
+    def codes(self, rolled: dict[int, np.ndarray], frames: int) -> list[np.ndarray]:
+        """Chunk codes (n, frames) of one strand. rolled: codes of all windows by their width, which is added to; 1 is the strand."""
+        x, out = rolled[1], []
         for first, width, _, _ in self.parts:
             for w in range(2, width + 1):
                 if w not in rolled:
@@ -69,13 +90,34 @@ class Chunks:
         return out
 
 
-def probe_sums(x: np.ndarray, cnt: np.ndarray, background: Background, model: Model):
-    """(sum c ln(pi W), sum c dW/W) over coded probes, for models without shape."""
-    w, seen = np.full(len(x), 0.0 if model.ns is None else np.exp(model.ns)), []
+class Block:
+    """Unpacked probes and what the models asked for share of them."""
+
+    def __init__(self, x: np.ndarray, background: Background):
+        self.x, self.background = x, background
+        self._strands: dict[int, list[dict[int, np.ndarray]]] = {}
+        self._logs: np.ndarray | None = None
+
+    def strands(self, flank: int) -> list[dict[int, np.ndarray]]:
+        if flank not in self._strands:
+            full = padded(self.x, self.background.left, self.background.right, flank).astype(np.int32)
+            self._strands[flank] = [{1: full}, {1: 3 - full[:, ::-1]}]
+        return self._strands[flank]
+
+    @property
+    def log_probabilities(self) -> np.ndarray:
+        if self._logs is None:
+            self._logs = self.background.log_probabilities(self.x)
+        return self._logs
+
+
+def probe_sums(block: Block, cnt: np.ndarray, model: Model):
+    """(sum c ln(pi W), sum c dW/W) over a block of probes, for models without shape."""
+    w, seen = np.full(len(block.x), 0.0 if model.ns is None else np.exp(model.ns)), []
     for m in model.modes:
-        chunks, full = Chunks(m), padded(x, background.left, background.right, model.flank)
-        for strand in (full, 3 - full[:, ::-1]):
-            at = chunks.codes(strand, strand.shape[1] - m.k + 1)
+        chunks = Chunks(m)
+        for strand in block.strands(model.flank):
+            at = chunks.codes(strand, strand[1].shape[1] - m.k + 1)
             kappa = chunks.kappas(at)
             w += kappa.sum(axis=1)
             seen.append((chunks, at, kappa))
@@ -85,7 +127,7 @@ def probe_sums(x: np.ndarray, cnt: np.ndarray, background: Background, model: Mo
         parts.append(sum(chunks.gradient(at, per[:, None] * kappa) for chunks, at, kappa in seen[2 * i : 2 * i + 2]))
     if model.ns is not None:
         parts.append(np.array([np.exp(model.ns) * per.sum()]))
-    return float(cnt @ (background.log_probabilities(x) + np.log(w))), np.concatenate(parts)
+    return float(cnt @ (block.log_probabilities + np.log(w))), np.concatenate(parts)
 
 
 def features(x: np.ndarray, mode: Mode, shape: np.ndarray | None) -> list[np.ndarray]:
@@ -139,23 +181,76 @@ def probe_derivatives(x: np.ndarray, cnt: np.ndarray, background: Background, mo
     return value, gradient, h
 
 
+def task_sums(block: Block, cnt: np.ndarray, ask: Ask, shape: np.ndarray | None) -> np.ndarray:
+    """A block's part of what is asked for: value, gradient, upper half of the Hessian."""
+    if not ask.hessian and all(m.shape is None for m in ask.model.modes):
+        v, g = probe_sums(block, cnt, ask.model)
+        return np.concatenate([[v], g])
+    v, g, h = probe_derivatives(block.x, cnt, block.background, ask.model, shape, ask.hessian)
+    return np.concatenate([[v], g, h[np.triu_indices(len(g))] if ask.hessian else []])
+
+
+def added_up(parts: DataFrame, tasks: int, size: int) -> np.ndarray:
+    """The sum of packed vectors (part, v), in levels of FAN. tasks: about how many parts there are."""
+
+    def add(batches):
+        total, part = np.zeros(size), None
+        for b in batches:
+            for k, v in zip(b.column("part").to_pylist(), b.column("v").to_pylist()):
+                total += np.frombuffer(v)
+                part = k if part is None else min(k, part)
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part // FAN]), pa.array([total.tobytes()], pa.binary())], names=["part", "v"])
+
+    while tasks > FAN:
+        tasks = -(-tasks // FAN)
+        parts = parts.repartition(tasks, F.floor(F.col("part") / FAN)).mapInArrow(add, "part long, v binary")
+    out = np.zeros(size)
+    for r in parts.collect():  # at most some FAN vectors
+        out += np.frombuffer(bytes(r["v"]))
+    return out
+
+
 class Likelihood:
-    """Value, gradient and Hessian of a model's negative log likelihood over a probe table (seq, cnt)."""
+    """Value, gradient and Hessian of a model's negative log likelihood over a probe table (seq, cnt).
 
-    def __init__(self, probes: DataFrame, background: Background, penalty: float = 0.0, shape: np.ndarray | None = None, cnt: str = "cnt", cache: bool = True):
+    more: further count columns, each with its own ``column`` of the likelihood.
+    """
+
+    def __init__(self, probes: DataFrame, background: Background, penalty: float = 0.0, shape: np.ndarray | None = None, cnt: str = "cnt", cache: bool = True, more: tuple[str, ...] = ()):
         self.background, self.shape = background, shape
         self.kept = cache
-        if not 1 <= background.length <= 31:
-            raise ValueError("probes of 1 to 31 bases")
+        if not 1 <= background.length <= 32:
+            raise ValueError("probes of 1 to 32 bases")
+        names = [cnt, *more]
         known = F.col("seq").rlike(f"^[ACGT]{{{background.length}}}$")
         code = F.when(known, dna.encode("seq")).otherwise(F.raise_error(F.concat(F.lit(f"not a probe of {background.length} bases: "), "seq")))
-        self.probes = probes.select(code.cast("long").alias("code"), F.col(cnt).cast("double").alias("cnt")).where(F.col("cnt") > 0)
+        own = probes.select(code.alias("code"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"c{k}") for k, c in enumerate(names)])
+        any_left = F.col("c0") > 0
+        for k in range(1, len(names)):
+            any_left = any_left | (F.col(f"c{k}") > 0)
+        self.probes = own.where(any_left)
         if cache:
             self.probes = self.probes.persist()
-        n = self.probes.agg(F.sum("cnt").alias("n"), F.sum(F.col("cnt") * F.ln("cnt")).alias("e")).first()
-        self.n, self.entropy = float(n["n"] or 0), float(n["e"] or 0)
-        self.penalty = penalty * self.n
+        each = [x for k in range(len(names)) for x in (F.sum(f"c{k}"), F.sum(F.when(F.col(f"c{k}") > 0, F.col(f"c{k}") * F.ln(f"c{k}"))))]
+        found = self.probes.withColumn("part", F.spark_partition_id()).agg(F.max("part"), *each).first()
+        self.tasks = 1 + (found[0] or 0)
+        self.totals = [(float(found[1 + 2 * k] or 0), float(found[2 + 2 * k] or 0)) for k in range(len(names))]
+        self.share = penalty
         self.evaluations = 0
+        self._take(0)
+
+    def _take(self, k: int) -> None:
+        self.at = k
+        self.n, self.entropy = self.totals[k]
+        self.penalty = self.share * self.n
+
+    def column(self, k: int) -> Likelihood:
+        """The likelihood of the same probes by another of their counts; nothing is read or kept anew."""
+        out = object.__new__(Likelihood)
+        out.__dict__ |= self.__dict__
+        out._take(k)
+        return out
 
     def release(self) -> None:
         if self.kept:
@@ -166,62 +261,68 @@ class Likelihood:
         lengths = probes.agg(F.min(F.length("seq")).alias("low"), F.max(F.length("seq")).alias("high")).first()
         if lengths["low"] is not None and {lengths["low"], lengths["high"]} != {self.background.length}:
             raise ValueError(f"probes of {self.background.length} bases are needed, not {lengths['low']} to {lengths['high']}")
-        out = Likelihood(probes, self.background, 0.0, self.shape, cnt, self.kept)
-        out.penalty = self.penalty / self.n * out.n if self.n else 0.0
-        return out
+        return Likelihood(probes, self.background, self.share, self.shape, cnt, self.kept)
 
-    def sums(self, model: Model, hessian: bool = False):
-        sent = self.probes.sparkSession.sparkContext.broadcast((self.background, model, self.shape))
-        size = len(model.vector())
+    def answer(self, asks: list[Ask]) -> list[tuple[float, np.ndarray, np.ndarray | None]]:
+        """The sums of all that is asked for, from one scan in which each probe is unpacked once."""
+        sent = self.probes.sparkSession.sparkContext.broadcast((self.background, asks, self.shape))
+        size, length = sum(sum(a.sizes) for a in asks), self.background.length
 
         def run(batches):
-            background, model, shape = sent.value
-            quick = not hessian and all(m.shape is None for m in model.modes)
-            places = 2 * np.arange(background.length - 1, -1, -1)
-            total = np.zeros(1 + size + (size * size if hessian else 0))
-            seen = False
+            from pyspark import TaskContext
+
+            background, asks, shape = sent.value
+            places = 2 * np.arange(length - 1, -1, -1)
+            total, seen = np.zeros(size), False
             for b in batches:
-                cnt = b.column("cnt").to_numpy()
-                code = b.column("code").to_numpy()
-                for k in range(0, b.num_rows, 4096):
-                    x = (code[k : k + 4096, None] >> places & 3).astype(np.uint8)
-                    if quick:
-                        v, g = probe_sums(x, cnt[k : k + 4096], background, model)
-                    else:
-                        v, g, h = probe_derivatives(x, cnt[k : k + 4096], background, model, shape, hessian)
-                    total[0] += v
-                    total[1 : 1 + size] += g
-                    if hessian:
-                        total[1 + size :] += h.ravel()
-                    seen = True
+                code, counts = b.column("code").to_numpy(), [b.column(f"c{k}").to_numpy() for k in range(b.num_columns - 1)]
+                for k in range(0, b.num_rows, BLOCK):
+                    block = Block((code[k : k + BLOCK, None] >> places & 3).astype(np.uint8), background)
+                    at, seen = 0, True
+                    for ask in asks:
+                        n = sum(ask.sizes)
+                        total[at : at + n] += task_sums(block, counts[ask.column][k : k + BLOCK], ask, shape)
+                        at += n
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "v"])
 
-        out = np.zeros(1 + size + (size * size if hessian else 0))
-        for r in self.probes.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-            out[r["i"]] = r["v"]
+        total = added_up(self.probes.mapInArrow(run, "part long, v binary"), self.tasks, size)
         sent.destroy()
         self.evaluations += 1
-        return out[0], out[1 : 1 + size], out[1 + size :].reshape(size, size) if hessian else None
+        out, at = [], 0
+        for ask in asks:
+            first, second = ask.sizes
+            v, g, h = total[at], total[at + 1 : at + first], None
+            if ask.hessian:
+                h = np.zeros((first - 1, first - 1))
+                h[np.triu_indices(first - 1)] = total[at + first : at + first + second]
+                h = np.triu(h) + np.triu(h, 1).T
+            out.append((float(v), g, h))
+            at += first + second
+        return out
 
-    def value_gradient(self, model: Model) -> tuple[float, np.ndarray]:
-        v, g, _ = self.sums(model)
+    def sums(self, model: Model, hessian: bool = False):
+        return self.answer([Ask(model, self.at, hessian)])[0]
+
+    def _whole(self, model: Model, v: float, g: np.ndarray) -> tuple[float, np.ndarray]:
         z, dz = model_z(self.background, model, self.shape, True)
         beta = model.vector()
-        return self.n * np.log(z) - v + self.penalty * float(beta @ beta), self.n * dz / z - g + 2 * self.penalty * beta
+        return float(self.n * np.log(z) - v + self.penalty * (beta @ beta)), self.n * dz / z - g + 2 * self.penalty * beta
+
+    def value_gradient(self, model: Model) -> tuple[float, np.ndarray]:
+        return self._whole(model, *self.sums(model)[:2])
+
+    def values_gradients(self, models: list[Model], columns: list[int] | None = None) -> list[tuple[float, np.ndarray]]:
+        """value_gradient of many models from one scan. columns: the count that each model takes."""
+        columns = columns or [self.at] * len(models)
+        got = self.answer([Ask(m, c) for m, c in zip(models, columns, strict=True)])
+        return [self.column(c)._whole(m, v, g) for m, c, (v, g, _) in zip(models, columns, got, strict=True)]
 
-    def hessian(self, model: Model, step: float = 1e-5) -> np.ndarray:
-        """Probe part exact; the part of Z by central differences of its exact gradient, which needs no probes."""
+    def hessian(self, model: Model) -> np.ndarray:
+        """Exact: the part of the probes from Spark, that of Z by second-order messages."""
         _, _, h = self.sums(model, True)
-        beta, size = model.vector(), len(model.vector())
-        z, dz = model_z(self.background, model, self.shape, True)
-        second = np.zeros((size, size))
-        for i in range(size):
-            e = np.zeros(size)
-            e[i] = step
-            second[i] = (model_z(self.background, model.with_vector(beta + e), self.shape, True)[1] - model_z(self.background, model.with_vector(beta - e), self.shape, True)[1]) / (2 * step)
-        second = (second + second.T) / 2
-        return self.n * (second / z - np.outer(dz, dz) / z**2) - h + 2 * self.penalty * np.eye(size)
+        z, dz, second = model_z_hessian(self.background, model, self.shape)
+        return self.n * (second / z - np.outer(dz, dz) / z**2) - h + 2 * self.penalty * np.eye(len(dz))
 
     def per_read(self, value: float) -> tuple[float, float]:
         """(L / n, (L - entropy bound) / n)."""

@@ -287,7 +287,8 @@ def null_directions(mode: Mode, ns: bool = False) -> np.ndarray:
                 v[[base + 16 * p + 4 * a + b for a in range(4)]] = 1
                 v[4 * (p + 1) + b] = -1
                 rows.append(v)
-    q, r = np.linalg.qr(np.array(rows).T)
+    if not rows:
+        return np.zeros((0, size))
     u, s, _ = np.linalg.svd(np.array(rows).T, full_matrices=False)
     return u[:, s > 1e-9].T
 

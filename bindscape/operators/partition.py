@@ -99,6 +99,64 @@ class Walk:
             back = new
         return z, g
 
+    def second(self):
+        """(Z of this strand, gradient, Hessian) in the mode's vector, one pass for each frame.
+
+        Besides the forward message a pass carries its derivative by every feature met so far. A step's mass, pulled back from the
+        end, meets that derivative in the features which the step adds: one product for each pair of features.
+        """
+        mode, n = self.mode, self.states
+        k, size = mode.k, len(mode.vector())
+        n_shape = 0 if mode.shape is None else mode.shape.shape[1]
+        di_at, shape_at = 4 * k, 4 * k + (0 if mode.di is None else 16 * (k - 1))
+        low, five = np.arange(n) % 4, np.arange(n) % 256
+        z, g, h = 0.0, np.zeros(size), np.zeros((size, size))
+        log_frames = {p: self.frame_weight(p) for p in range(self.first, self.first + len(self.choices))}
+
+        def added(p: int, s: int, c: int) -> tuple[list[int], np.ndarray]:
+            """Features that base c at p adds to frame s, and how much of each by state."""
+            at, amount, j = [], [], p - self.first - s
+            if 0 <= j < k:
+                at.append(4 * j + c)
+                amount.append(np.ones(n))
+                if mode.di is not None and j >= 1:
+                    at += [di_at + 16 * (j - 1) + 4 * b + c for b in range(4)]
+                    amount += [(low == b).astype(float) for b in range(4)]
+            if n_shape and 0 <= j - 2 < k:
+                at += [shape_at + (j - 2) * n_shape + f for f in range(n_shape)]
+                amount += list(self.shape[4 * five + c].T)
+            return at, np.array(amount).T
+
+        # A step leads from (top base, rest) to (rest, c).
+        move = lambda x: x.reshape(4, n // 4, *x.shape[1:]).sum(axis=0)
+        for s in range(self.count):
+            weights = [self.bg_weight(p) * np.exp(log_frames[p][s]) for p in range(self.first, self.first + len(self.choices))]
+            back = [np.ones(n)]
+            for bases, w in zip(reversed(self.choices), reversed(weights)):
+                back.append(sum(w[:, c] * np.tile(back[-1][c::4], 4) for c in bases))
+            back.reverse()
+            state, slope = np.zeros(n), np.zeros((n, size))
+            state[self.start] = 1
+            for at, (bases, w) in enumerate(zip(self.choices, weights)):
+                new, new_slope = np.zeros(n), np.zeros((n, size))
+                for c in bases:
+                    flow = w[:, c] * np.tile(back[at + 1][c::4], 4)
+                    where, amount = added(at + self.first, s, c)
+                    step = slope * w[:, c : c + 1]
+                    if where:
+                        mass = amount * flow[:, None]
+                        g[where] += state @ mass
+                        cross = slope.T @ mass
+                        h[:, where] += cross
+                        h[where, :] += cross.T
+                        h[np.ix_(where, where)] += amount.T @ (mass * state[:, None])
+                        step[:, where] += amount * (state * w[:, c])[:, None]
+                    new[c::4] = move(state * w[:, c])
+                    new_slope[c::4] = move(step)
+                state, slope = new, new_slope
+            z += float(state.sum())
+        return z, g, h
+
 
 def partition(background: Background, flank: int, mode: Mode, shape: np.ndarray | None = None, gradient: bool = False):
     """Sum over all probes of background weight times the affinities of both strands; with gradient, also its gradient."""
@@ -110,6 +168,15 @@ def partition(background: Background, flank: int, mode: Mode, shape: np.ndarray
     return a + b, ga.vector() + gb.reverse_complement().vector()
 
 
+def partition_hessian(background: Background, flank: int, mode: Mode, shape: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """(Z, gradient, Hessian) of both strands, exact, by the mode's vector."""
+    z, g, h = Walk(background, flank, mode, shape).second()
+    z2, g2, h2 = Walk(background, flank, mode.reverse_complement(), _turned(shape)).second()
+    # Place i of the turned mode's vector holds what stands at place turned[i] of the mode's own, and the other way round.
+    turned = mode.with_vector(np.arange(len(g))).reverse_complement().vector().astype(int)
+    return z + z2, g + g2[turned], h + h2[np.ix_(turned, turned)]
+
+
 def _turned(shape: np.ndarray | None) -> np.ndarray | None:
     """Shape values by the reverse complement of the 5-mer."""
     if shape is None:
@@ -134,6 +201,21 @@ def model_z(background: Background, model: Model, shape: np.ndarray | None = Non
     return total, np.concatenate(parts)
 
 
+def model_z_hessian(background: Background, model: Model, shape: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Z of a model, its gradient and its Hessian. Modes add up, so features of two modes have no second derivative."""
+    z0, size = background.z(), len(model.vector())
+    z, g, h, at = 0.0, np.zeros(size), np.zeros((size, size)), 0
+    for m in model.modes:
+        a, b, c = partition_hessian(background, model.flank, m, shape)
+        n = len(b)
+        z, g[at : at + n], h[at : at + n, at : at + n] = z + a / z0, b / z0, c / z0
+        at += n
+    if model.ns is not None:
+        z += float(np.exp(model.ns))
+        g[-1] = h[-1, -1] = np.exp(model.ns)
+    return z, g, h
+
+
 def enumerated(background: Background, model: Model, shape: np.ndarray | None = None) -> float:
     """model_z by listing all probes."""
     from .scoring import codes, kappas

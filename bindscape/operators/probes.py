@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,11 +67,49 @@ def combine(*counted: DataFrame) -> DataFrame:
     return tagged.groupBy("seq").agg(*[F.sum(x).alias(x) for x in names])
 
 
+def binomial_quantiles(n: int, ratio: float, u: np.ndarray) -> np.ndarray:
+    """For each u in [0, 1): the least k with P(X <= k) >= u, X being binomial. Chances beyond 12 deviations, under 1e-30, are left out."""
+    if n <= 0 or ratio <= 0:
+        return np.zeros(len(u), np.int64)
+    if ratio >= 1:
+        return np.full(len(u), n, np.int64)
+    far = 12 * math.sqrt(n * ratio * (1 - ratio)) + 12
+    low, high = max(0, int(n * ratio - far)), min(n, int(n * ratio + far) + 1)
+    k = np.arange(low, high, dtype=float)
+    steps = np.log((n - k) / (k + 1)) + math.log(ratio / (1 - ratio))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    chances = np.exp(logs - logs.max())
+    total = np.cumsum(chances)
+    return low + np.minimum(np.searchsorted(total, u * total[-1]), high - low)
+
+
+def folds(counted: DataFrame, ratio: float, numbers: list[int]) -> DataFrame:
+    """(seq, train_f, test_f for each fold number f): how many of a sequence's reads are test reads, each with the given chance.
+
+    One binomial draw for a sequence, from a number that its letters and the fold give: nothing is made for single reads, nothing is
+    shuffled, and the draws are the same wherever and whenever they are made. Counts up to 2^62; null counts as 0.
+    """
+    own = counted.select("seq", F.coalesce(F.col("cnt").cast("long"), F.lit(0)).alias("cnt"), *[dna.uniform("seq", F.lit(f)).alias(f"u{f}") for f in numbers])
+
+    def run(batches):
+        for b in batches:
+            cnt, out = b.column("cnt").to_numpy(), [b.column("seq")]
+            order = np.argsort(cnt, kind="stable")
+            edges = np.flatnonzero(np.diff(cnt[order], prepend=-1, append=-1))
+            for f in numbers:
+                u, test = b.column(f"u{f}").to_numpy(), np.zeros(len(cnt), np.int64)
+                for i, j in itertools.pairwise(edges):
+                    at = order[i:j]
+                    test[at] = binomial_quantiles(int(cnt[at[0]]), ratio, u[at])
+                out += [pa.array(np.maximum(cnt, 0) - test), pa.array(test)]
+            yield pa.RecordBatch.from_arrays(out, names=["seq", *[f"{x}_{f}" for f in numbers for x in ("train", "test")]])
+
+    return own.mapInArrow(run, "seq string, " + ", ".join(f"train_{f} long, test_{f} long" for f in numbers))
+
+
 def split_reads(counted: DataFrame, ratio: float, fold: int = 0) -> DataFrame:
-    """(seq, train, test): every single read is a test read with the given chance, drawn from its sequence, number and fold."""
-    reads = counted.select("seq", F.explode(F.sequence(F.lit(1), F.col("cnt").cast("int"))).alias("i"))
-    test = (dna.uniform("seq", "i", F.lit(fold)) < ratio).cast("long")
-    return reads.groupBy("seq").agg(F.sum(1 - test).alias("train"), F.sum(test).alias("test"))
+    """(seq, train, test): one fold of ``folds``."""
+    return folds(counted, ratio, [fold]).toDF("seq", "train", "test")
 
 
 def rounds(spark: SparkSession, sf_dir: str, length: int) -> DataFrame:

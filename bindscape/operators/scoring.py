@@ -38,7 +38,7 @@ def chunk_tables(mode: Mode) -> list[tuple[int, int, np.ndarray]]:
 def weight_term(mer: Column, mode: Mode) -> Column:
     """Sum of nucleotide and dinucleotide weights of a k-mer column: one lookup by code for each chunk. Null for other letters."""
     known = F.when(mer.rlike(f"^[ACGT]{{{mode.k}}}$"), mer)
-    terms = [F.element_at(F.lit(t), dna.encode(F.substring(known, first + 1, width)).cast("int") + 1) for first, width, t in chunk_tables(mode)]
+    terms = [F.element_at(F.lit(t), dna.encode_short(F.substring(known, first + 1, width)).cast("int") + 1) for first, width, t in chunk_tables(mode)]
     return reduce(lambda a, b: a + b, terms)
 
 
@@ -76,7 +76,7 @@ def frame_affinities(df: DataFrame, model: Model, left: str = "", right: str = "
             one = frames(df, mode.k, model.flank, left, right, seq, margin=2)
             inner, values = F.substring("mer", 3, mode.k), shape_values(shape, mode.shape.shape[1])
             # The shape part of each window comes from k tables of 1024 sums, one lookup for each position.
-            parts = [F.element_at(F.lit(values @ mode.shape[j]), dna.encode(F.substring("mer", j + 1, 5)).cast("int") + 1) for j in range(mode.k)]
+            parts = [F.element_at(F.lit(values @ mode.shape[j]), dna.encode_short(F.substring("mer", j + 1, 5)).cast("int") + 1) for j in range(mode.k)]
             one = one.withColumn("kappa", F.exp(reduce(lambda a, b: a + b, parts, weight_term(inner, mode)))).withColumn("mer", inner)
         one = one.withColumn("mode", F.lit(m))
         out = one if out is None else out.unionByName(one)

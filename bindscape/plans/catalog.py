@@ -68,6 +68,14 @@ def uniform_sql(*key: str) -> str:
     return f"(({digits}) / 4294967296e0)"
 
 
+def folds_sql(source: str, ratio: float, numbers: list[int]) -> str:
+    """probes.folds: for each fold the number of test reads whose cumulated binomial chance is below the sequence's number."""
+    ln = f"lgamma(cnt + 1) - lgamma(k + 1) - lgamma(cnt - k + 1) + k * ln({ratio}e0) + (cnt - k) * ln(1 - {ratio}e0)"
+    chances = f"(select seq, cnt, k, sum(exp({ln})) over (partition by seq order by k) as f from (select seq, cnt, unnest(range(0, cnt)) as k from {source}))"
+    drawn = f"(select seq, {', '.join(f'sum((f < u{n})::int)::bigint as test_{n}' for n in numbers)} from (select *, {', '.join(f'{uniform_sql("seq", str(n))} as u{n}' for n in numbers)} from {chances}) group by seq)"
+    return f"(select seq, {', '.join(f'cnt - coalesce(test_{n}, 0) as train_{n}, coalesce(test_{n}, 0) as test_{n}' for n in numbers)} from {source} left join {drawn} using (seq))"
+
+
 def toy_mode(k: int, di: bool = False, features: int = 0, number: int = 0) -> Mode:
     """Fixed weights by formula, the same in SQL."""
     nuc = np.array([[((7 * j + 5 * b + 3 * number) % 11) / 10 - 0.5 for b in range(4)] for j in range(k)])

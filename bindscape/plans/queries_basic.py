@@ -8,7 +8,7 @@ from bindscape.functions import arrays, dna
 from bindscape.operators import background, probes, registry
 from bindscape.sources import reads as source
 
-from .catalog import LEFT, RIGHT, base_sql, code_sql, counted, counted_sql, query, rc_sql, reads, reads_sql, shape_table, shape_value_sql, table, uniform_sql
+from .catalog import LEFT, RIGHT, base_sql, code_sql, counted, counted_sql, folds_sql, query, rc_sql, reads, reads_sql, shape_table, shape_value_sql, table, uniform_sql
 
 L = 16
 
@@ -209,17 +209,18 @@ def r5(spark, sf):
     return probes.merge(probes.count_probes(r.where("l_linestatus = 'F'")), probes.count_probes(r.where("l_linestatus = 'O'")))
 
 
-def _split_sql(ratio, fold):
-    return f"select seq, sum(case when {uniform_sql('seq', 'i', str(fold))} < {ratio}e0 then 0 else 1 end)::bigint as train, sum(case when {uniform_sql('seq', 'i', str(fold))} < {ratio}e0 then 1 else 0 end)::bigint as test from (select seq, unnest(range(1, cnt + 1)) as i from {counted_sql(6)}) group by seq"
-
-
 for _fold in (0, 1):
 
-    @query(f"X1_split_fold{_fold}", _split_sql(0.5, _fold))
+    @query(f"X1_split_fold{_fold}", f"select seq, train_{_fold} as train, test_{_fold} as test from {folds_sql(counted_sql(6), 0.5, [_fold])}")
     def x1(spark, sf, fold=_fold):
         return probes.split_reads(counted(spark, sf, 6), 0.5, fold)
 
 
+@query("X1_folds", f"select * from {folds_sql(counted_sql(6), 0.3, [0, 1, 2])}")
+def x1_folds(spark, sf):
+    return probes.folds(counted(spark, sf, 6), 0.3, [0, 1, 2])
+
+
 @query(
     "A19_vectors",
     "select vec_id, round(list_sum(e), 4) as total, round(list_max(e), 6) as top, round(list_min(e), 6) as low, round(list_avg(e), 6) as mean, list_position(e, list_max(e))::bigint - 1 as first_top, round(sqrt(list_sum([x * x for x in e])), 4) as norm, round(list_sum([x * x for x in e]), 4) as sq_length from (select vec_id, [cast(x as double) for x in embedding] as e from embeddings)",

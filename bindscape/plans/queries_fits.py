@@ -169,10 +169,11 @@ def o9(spark, sf):
     """Likelihoods a read of held-out halves lie near that of the whole."""
     from bindscape.operators import probes
 
-    s = probes.split_reads(_selected(spark, sf), 0.5)
-    halves = [(s.select("seq", F.col(a).alias("cnt")), s.select("seq", F.col(b).alias("cnt"))) for a, b in (("train", "test"), ("test", "train"))]
-    start = fitting.fit(_data(spark, sf), toy_model(3), _QUICK)
-    got = fitting.cross_validate(halves, lambda p: objective.Likelihood(p, toy_background(1, 6), 1e-4), start, _QUICK)
+    split = probes.split_reads(_selected(spark, sf), 0.5).withColumn("cnt", F.col("train") + F.col("test"))
+    data = objective.Likelihood(split, toy_background(1, 6), 1e-4, more=("train", "test"))
+    start = fitting.fit(data, toy_model(3), _QUICK)
+    got = float(np.mean(fitting.cross_validate(data, [(1, 2), (2, 1)], start, _QUICK)))
+    data.release()
     return spark.createDataFrame([(bool(np.isfinite(got)), bool(abs(got - start.per_read) < 0.05 * abs(start.per_read)))], "finite boolean, near boolean")
 
 

@@ -207,7 +207,7 @@ def test_chunks_like_features(planted):
     x, cnt = rng.integers(0, 4, (50, 12)).astype(np.uint8), rng.integers(1, 9, 50).astype(float)
     for model in (Model([rand_mode(8, True), rand_mode(7, False, seed=3)], -1.0, 2), Model([rand_mode(13, True)], None, 3), Model([rand_mode(1)])):
         v, g, _ = objective.probe_derivatives(x, cnt, bg, model, None)
-        v2, g2 = objective.probe_sums(x, cnt, bg, model)
+        v2, g2 = objective.probe_sums(objective.Block(x, bg), cnt, model)
         assert v2 == pytest.approx(v) and g2 == pytest.approx(g)
 
 
@@ -250,3 +250,110 @@ def test_symmetry_of_each_mode(planted):
     got = fitting.fit(data, Model([rand_mode(2, seed=2), rand_mode(3, seed=4)], -1.0), fitting.Settings(tolerance=1e-4, symmetry=("1,-1", None), escapes=0))
     a = got.model.modes[0].nuc
     assert a[0] == pytest.approx(a[1, ::-1]) and not np.allclose(got.model.modes[1].nuc[0], got.model.modes[1].nuc[2, ::-1])
+
+
+@pytest.mark.parametrize("r0", [1, 3])
+@pytest.mark.parametrize("flank", [0, 2])
+@pytest.mark.parametrize("kind", [(False, 0), (True, 0), (False, 2), (True, 2)])
+def test_partition_hessian(r0, flank, kind):
+    """Second derivatives of Z against the sum over all probes, frames and strands."""
+    from itertools import product
+
+    di, features = kind
+    bg, shape = rand_bg(r0, 4), shape_values(2) if features else None
+    model = Model([rand_mode(3, di, features), rand_mode(2, di, features, seed=5)], -0.7, flank)
+    z, g, h = partition.model_z_hessian(bg, model, shape)
+    assert z == pytest.approx(partition.model_z(bg, model, shape)) and g == pytest.approx(partition.model_z(bg, model, shape, True)[1])
+    x = np.array(list(product(range(4), repeat=4)), np.uint8)
+    pi, want, at = np.exp(bg.log_probabilities(x)), np.zeros(h.shape), 0
+    for m in model.modes:
+        n = len(m.vector())
+        full = partition.padded(x, LEFT, RIGHT, flank + (2 if features else 0))
+        for strand in (full, 3 - full[:, ::-1]):
+            kappa = scoring.kappas(strand, m, shape)
+            for s, f in enumerate(objective.features(strand, m, shape)):
+                want[at : at + n, at : at + n] += (f * (pi * kappa[:, s])[:, None]).T @ f
+        at += n
+    want[-1, -1] = np.exp(-0.7)
+    assert np.abs(h - want).max() <= 1e-9 * np.abs(want).max()
+
+
+def test_many_models_and_counts_in_one_scan(spark, planted, monkeypatch):
+    bg, truth, df = planted
+    both = df.selectExpr("seq", "cnt", "cnt % 7 as odd", "null as none")
+    data = objective.Likelihood(both, bg, penalty=1e-3, more=("odd", "none"))
+    models = [truth, Model([rand_mode(2, True)], -1.0, 0), Model([rand_mode(4)], None, 2), Model([rand_mode(3), rand_mode(2)], 0.5, 1)]
+    alone = [(data.column(c).value_gradient(m), data.column(c).hessian(m)) for m in models for c in (0, 1)]
+    before = data.evaluations
+    got = data.values_gradients([m for m in models for _ in (0, 1)], [0, 1] * 4)
+    assert data.evaluations == before + 1
+    for (v, g), ((w, d), _) in zip(got, alone, strict=True):
+        assert v == pytest.approx(w) and g == pytest.approx(d)
+    own = objective.Likelihood(df.selectExpr("seq", "cnt % 7 as cnt"), bg, penalty=1e-3)
+    assert own.value_gradient(truth)[0] == pytest.approx(got[1][0]) and own.n == data.column(1).n and data.column(2).n == 0
+    monkeypatch.setattr(objective, "FAN", 2)  # many levels
+    assert data.tasks > 2
+    for (v, h), m in zip([(x[0][0], x[1]) for x in alone[::2]], models, strict=True):
+        assert data.value_gradient(m)[0] == pytest.approx(v) and data.hessian(m) == pytest.approx(h)
+    data.release()
+
+
+def test_fits_side_by_side_share_scans(planted):
+    bg, _, df = planted
+    data = objective.Likelihood(df, bg, penalty=1e-3)
+    s = fitting.Settings(tolerance=1e-5)
+    starts = [Model([rand_mode(k, seed=k)], ns, 1) for k in (1, 2, 3) for ns in (None, -1.0)]
+    alone, scans = [], []
+    for m in starts:
+        before = data.evaluations
+        alone.append(fitting.fit(data, m, s).value)
+        scans.append(data.evaluations - before)
+    asked = []
+    plain = data.answer
+    data.answer = lambda asks: asked.append(len(asks)) or plain(asks)
+    got = fitting.together(data, [lambda view, m=m: fitting.fit(view, m, s) for m in starts])
+    assert [f.value for f in got] == pytest.approx(alone)
+    assert sum(asked) == sum(scans) and len(asked) == max(scans)
+
+    def fails(view):
+        view.value_gradient(starts[0])
+        raise ValueError("mine")
+
+    with pytest.raises(ValueError, match="mine"):
+        fitting.together(data, [fails, lambda view: fitting.fit(view, starts[1], s)])
+    data.release()
+
+
+def test_32_bases(spark):
+    from bindscape.functions import dna
+
+    rng = np.random.default_rng(3)
+    seqs = ["T" * 32, "A" * 32, "G" + "C" * 31] + ["".join(rng.choice(list("ACGT"), 32)) for _ in range(40)]
+    df = spark.createDataFrame([(s, k % 3 + 1) for k, s in enumerate(seqs)], "seq string, cnt long")
+    for r in df.select("seq", dna.encode("seq").alias("c")).withColumn("back", dna.decode("c", 32)).collect():
+        assert r["back"] == r["seq"] and r["c"] % 2**64 == sum("ACGT".index(b) * 4 ** (31 - i) for i, b in enumerate(r["seq"]))
+    assert [tuple(r) for r in spark.createDataFrame([("",), ("G",), ("ACGT" * 4,), ("A" * 33,), (None,)], "s string").select(dna.encode("s")).collect()] == [(None,), (2,), (int("0123" * 4, 4),), (None,), (None,)]
+    bg = rand_bg(2, 32)
+    data, model = objective.Likelihood(df, bg, cache=False), Model([rand_mode(8, True)], -1.0)
+    x = scoring.codes(seqs)
+    w = partition.probe_sums(x, bg, model)
+    cnt = np.array([k % 3 + 1 for k in range(len(seqs))])
+    assert data.value_gradient(model)[0] == pytest.approx(cnt.sum() * np.log(partition.model_z(bg, model)) - cnt @ (bg.log_probabilities(x) + np.log(w)))
+
+
+def test_binomial_splits(spark):
+    from math import comb
+
+    from bindscape.operators import probes
+
+    for n, p in ((1, 0.5), (7, 0.3), (40, 0.9), (300, 0.01)):
+        total = np.cumsum([comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)])
+        u = np.random.default_rng(n).random(200)
+        assert probes.binomial_quantiles(n, p, u).tolist() == np.searchsorted(total, u).tolist()
+    big = probes.binomial_quantiles(10**9, 0.25, np.random.default_rng(1).random(2000)) - 25e7
+    assert abs(big.mean()) < 5 * 13693 / 45 and 0.9 < big.std() / 13693 < 1.1
+    assert probes.binomial_quantiles(5, 0.0, np.array([0.5])).tolist() == [0] and probes.binomial_quantiles(5, 1.0, np.array([0.5])).tolist() == [5]
+    df = spark.createDataFrame([("ACGT", 10**9), ("AAAA", 0), ("CCCC", None), ("GGGG", 3)], "seq string, cnt long")
+    rows = {r["seq"]: r for r in probes.folds(df, 0.5, [0, 1]).collect()}
+    assert all(rows["ACGT"][f"train_{f}"] + rows["ACGT"][f"test_{f}"] == 10**9 and abs(rows["ACGT"][f"test_{f}"] - 5e8) < 1e5 for f in (0, 1))
+    assert rows["ACGT"]["test_0"] != rows["ACGT"]["test_1"] and tuple(rows["AAAA"])[1:] == tuple(rows["CCCC"])[1:] == (0, 0, 0, 0)
