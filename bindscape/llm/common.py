@@ -7,6 +7,7 @@ import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,6 +105,30 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
     return df.mapInArrow(run, schema)
 
 
+#: Vectors that are added up in one task.
+FAN = 64
+
+
+def packed_sum(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of a written table of packed vectors (v: 64-bit numbers), added up in levels of FAN; at most FAN of them reach the driver."""
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            for v in b.column(0):
+                total += np.frombuffer(v.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+    n = parts.count()
+    while n > FAN:
+        n = -(-n // FAN)
+        parts = parts.repartition(n).mapInArrow(add, "v binary")
+    out = np.zeros(size, np.int64)
+    for r in parts.collect():
+        out += np.frombuffer(bytes(r["v"]), np.int64)
+    return out
+
+
 _held: dict = {}
 
 

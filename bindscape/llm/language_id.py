@@ -171,16 +171,17 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_train: int = MAX_TRAIN,
             keep = [k for k, c in enumerate(batch.column(2).to_pylist()) if c and got[k]]
             own = batch.take(pa.array(keep, pa.int64()))
             none = [None] * len(keep)
-            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([got[k][0].tobytes() for k in keep], pa.binary()), pa.array([got[k][1].tobytes() for k in keep], pa.binary()), pa.array(none, pa.int64()), pa.array(none, pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([got[k][0].tobytes() for k in keep], pa.binary()), pa.array([got[k][1].tobytes() for k in keep], pa.binary()), pa.array(none, pa.int64()), pa.array(none, pa.binary())], names=names)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([None], t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.binary())] + [pa.array([n], pa.int64()), pa.array([held], pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([None], t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.binary())] + [pa.array([n], pa.int64()), pa.array([held.tobytes()], pa.binary())], names=names)
 
-    told = common.materialize(rows.mapInArrow(count, "doc_id long, label int, ids binary, counts binary, texts long, frequencies array<long>"), "grams")
-    frequencies = np.zeros(GRAMS, np.int64)
-    for r in told.where("texts is not null").select(F.posexplode("frequencies").alias("gram", "n")).groupBy("gram").agg(F.sum("n").alias("n")).collect():  # GRAMS rows
-        frequencies[r["gram"]] = r["n"]
+    told = common.materialize(rows.mapInArrow(count, "doc_id long, label int, ids binary, counts binary, texts long, frequencies binary"), "grams")
+    # A task's vector is half a megabyte; they are added up as they are, in levels.
+    frequencies = common.packed_sum(told.where("texts is not null").select(F.col("frequencies").alias("v")), GRAMS)
     documents = told.agg(F.sum("texts")).first()[0] or 0
-    got = told.where("ids is not null").select("doc_id", "label", "ids", "counts").limit(4 * max_train).collect()
+    # A text for each id; shares of hashes give about max_train of them, and never more than twice that, those with the smallest hashes.
+    one = told.where("ids is not null").groupBy("doc_id").agg(F.min(F.struct("label", "ids", "counts")).alias("x"))
+    got = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * max_train).select("doc_id", "x.*").collect()
     got.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["ids"]))
     return LanguageModel(langs).fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.float32)) for r in got], [r["label"] for r in got], frequencies, documents)
 

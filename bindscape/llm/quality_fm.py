@@ -5,8 +5,8 @@ interactions at low rank, in time linear in the features of a text. Words are ha
 and scaled to length 1. Structure statistics of the whole text (sizes, shares of character classes, repetition
 of words and lines) and the metadata column n_chars are cut into fixed bins, one feature each.
 
-The model is fitted on the driver by AdaGrad on a sample of labelled rows of at most ``max_train`` in
-expectation, drawn by a hash of the id; only feature numbers reach the driver, never texts. Everything else runs
+The model is fitted on the driver by AdaGrad on at most ``max_train`` labelled ids, those with the smallest hashes, and
+one text of each (of several the one with the least features' bytes); only feature numbers reach the driver, never texts. Everything else runs
 over whole texts of all rows, in one narrow pass.
 
 Null text counts as empty and gets the score of an empty text. A null n_chars has a bin of its own. A null id
@@ -138,8 +138,7 @@ def may_learn(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> FactorisationMachine:
     """Fit on labelled rows that may be learnt from. Without any: a model that scores 0.5 throughout."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & may_learn("doc_id")).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    share = max_train / max(1, known.count())
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))).limit(2 * max_train)
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = docs.select(*_inputs(docs, id_col, text_col)).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text", "n_chars")
 
     def make():
@@ -151,7 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col
 
         return each
 
-    fitted = sorted(common.arrow_map(rows, make, "doc_id long, quality int, ids binary, x binary").limit(4 * max_train).collect(), key=lambda r: (r["doc_id"], r["ids"]))
+    one = common.arrow_map(rows, make, "doc_id long, quality int, ids binary, x binary").groupBy("doc_id", "quality").agg(F.min(F.struct("ids", "x")).alias("f"))
+    fitted = sorted(one.select("doc_id", "quality", "f.*").collect(), key=lambda r: r["doc_id"])
     model = FactorisationMachine()
     return model.fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["x"], np.float32)) for r in fitted], [r["quality"] for r in fitted])
 

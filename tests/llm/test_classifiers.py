@@ -189,3 +189,24 @@ def test_machine_by_hand():
                     v[i][f] -= 0.08 * grad / math.sqrt(gv[i][f])
     for ids, x in rows:
         assert model.score(ids, x) == pytest.approx(1 / (1 + math.exp(-raw(ids.tolist(), x.tolist()))), abs=1e-3)
+
+
+def test_packed_sums_in_levels(spark, monkeypatch):
+    from bindscape.llm import common
+
+    rows = np.arange(90 * 5).reshape(90, 5)
+    df = spark.createDataFrame([(bytearray(r.astype(np.int64).tobytes()),) for r in rows], "v binary").repartition(9)
+    for fan in (4, 64, 1000):
+        monkeypatch.setattr(common, "FAN", fan)
+        assert common.packed_sum(df, 5).tolist() == rows.sum(axis=0).tolist()
+    assert common.packed_sum(df.limit(0), 5).tolist() == [0] * 5
+
+
+def test_repeated_ids_fit_the_same_model(spark):
+    """Which rows are learnt from depends on no order, and an id that comes often counts once."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    twice = docs.union(docs).repartition(7)
+    a, b = Q.train(docs, labels, 60), Q.train(twice, labels.repartition(5), 60)
+    assert a.bias == b.bias and (a.linear == b.linear).all()
+    c, d = L.train(docs, 20, 60), L.train(twice, 20, 60)
+    assert c.langs == d.langs
