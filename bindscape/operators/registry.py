@@ -33,7 +33,12 @@ def best_fit(fits: DataFrame, by: list[str] | None = None, value: str = "test",
 
 
 def append_results(stored: DataFrame, new: DataFrame, meta: tuple[str, ...], **kw) -> tuple[DataFrame, DataFrame]:
-    """(rows merged into the store, rows of other runs that need a store of their own); runs are one if all of meta agree."""
+    """(rows merged into the store, rows of other runs that need a store of their own); runs are one if all of meta agree.
+
+    Without meta all rows are of one run.
+    """
+    if not meta:
+        return upsert(stored, new, **kw), new.where(F.lit(False))
     known = stored.select(*meta).distinct()
     same = [new[c].eqNullSafe(known[c]) for c in meta]
     cond = same[0]

@@ -209,9 +209,10 @@ def s3(spark, sf):
 
 @query("K2_fit_list", f"select 0::bigint as i, '3' as k, 2::bigint as marks, {_PSAM} as psam union all select 1, '-', 0, '-'")
 def k2(spark, sf):
-    """The lines of the list for reading: index, length, marked features, consensus."""
-    rows = [x.split("\t") for x in models.fit_list(_toy_fits())[3:]]
-    return spark.createDataFrame([(int(r[0]), r[1].strip(), r[2].count("XX"), r[2].split()[-1]) for r in rows], "i long, k string, marks long, psam string")
+    """The rows of the list for reading: number, length, how many features, consensus."""
+    head, *rows = ([c.strip() for c in x.split(" | ")] for x in models.fit_list(_toy_fits()))
+    at = {c: i for i, c in enumerate(head)}
+    return spark.createDataFrame([(int(r[at["no"]]), r[at["k"]], sum(x != "-" for x in r[at["features"]].split("+")), r[at["psam"]]) for r in rows], "i long, k string, marks long, psam string")
 
 
 @query("K2_report", "select m::bigint * 10 + p as place, concat('mode ', m, ' position ', p) as what from (select 0 as m, unnest(range(1, 4)) as p union all select 1, unnest(range(1, 3)) union all select 2, unnest(range(1, 3)))")

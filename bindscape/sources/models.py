@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import re
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -157,16 +159,24 @@ def load_backgrounds(spark: SparkSession, path: str) -> DataFrame:
     return t.select(*_named(BACKGROUND_COLUMNS), run("B>").alias("beta"), run("S>").alias("seed"))
 
 
+#: Columns of the list of fits, with where each comes from.
+LISTED = {"no": None, "psam": "PSAM", "k": "k", "flank": "Flank", "shift": "Shift", "ns": "NSBind", "L/n train": "AdjTrainLPerRead", "L/n test": "AdjTestLPerRead", "penalty": "Lambda", "null": "NullVectors", "features": ("NS", "Di", "MG", "PT", "HT", "RO", "NuSym", "DiSym")}
+
+
 def fit_list(fits: list, info: dict | None = None) -> list[str]:
-    """The list of fits for reading: a title, two lines of headings, one line a fit with XX where a feature is on."""
-    mark = lambda x: " XX " if x else "    "
-    out = ["LIST OF FIT RESULTS", "                               ----Shapes----  -Symm-", "Index\t    k\tFlank  NS  Di  MG  PT  HT  RO  Nu  Di  Shift   NS Bind   Train L    Test L    Lambda  NullVecs   PSAM"]
-    number = lambda x, n: f"{x:>{n}.4f}" if isinstance(x, float) else f"{'-' if x is None else x:>{n}}"
-    for i, f in enumerate(fits):
-        own = fit_info(f, info or {})
-        flags = "".join(mark(own.get(c)) for c in ("NS", "Di", "MG", "PT", "HT", "RO", "NuSym", "DiSym"))
-        out.append(f"{i:5d}\t{'-' if own['k'] is None else own['k']:>5}\t{own['Flank']:5d} {flags}{own['Shift']:5d} {number(own['NSBind'], 9)} {number(own['AdjTrainLPerRead'], 9)} {number(own.get('AdjTestLPerRead'), 9)} {number(own.get('Lambda'), 9)} {number(own['NullVectors'], 9)}   {own['PSAM'] or '-'}")
-    return out
+    """The list of fits for reading: a heading and a row for each, with bars between columns as wide as what they hold."""
+
+    def cell(own: dict, number: int, source) -> str:
+        if source is None:
+            return str(number)
+        if isinstance(source, tuple):
+            return "+".join(c for c in source if own.get(c)) or "-"
+        x = own.get(source)
+        return "-" if x is None or x == "" else f"{x:.4f}" if isinstance(x, float) else str(x)
+
+    rows = [list(LISTED), *([cell(fit_info(f, info or {}), i, source) for source in LISTED.values()] for i, f in enumerate(fits))]
+    wide = [max(map(len, column)) for column in zip(*rows, strict=True)]
+    return [" | ".join(x.ljust(n) for x, n in zip(row, wide, strict=True)).rstrip() for row in rows]
 
 
 def report(fits: list, title: str = "fits", run: dict | None = None) -> str:
@@ -211,35 +221,56 @@ def store_results(rows: DataFrame, path: str, append: bool = True, meta: tuple[s
 
     With append, rows of the store's own run (equal in meta) are merged into it by model key; rows of another run, or any
     rows without append, go to a new store whose name has the time added if the first name is taken. A store is never
-    changed in place: a version folder is written and then named in the store's list of versions, so that a reader or
-    a lost writer finds the old one whole.
+    changed in place: each merge is a version folder of its own, numbered after the highest there is, whole or not, so a writer that was lost
+    leaves nothing that is in the way. Who finds another's version beside its own after writing merges its rows into that one too:
+    of writers at the same time the last to end sees all others, so no rows are lost.
     """
     from bindscape.operators import registry
 
     spark = rows.sparkSession
-    if not exists(spark, path):
-        rows.write.parquet(f"{path}/v000000")
-        return path
+    if not append and exists(spark, path):
+        return _write_version(rows, _unused(spark, path, now), 0, uuid.uuid4().hex[:12])
+    mine, seen, written = uuid.uuid4().hex[:12], set(), False
+    while True:
+        whole = _versions(spark, path)
+        others = [v for v in whole if v not in seen and not v.endswith(mine)]
+        if written and not others:
+            return path
+        part = rows
+        if others:
+            part, other = registry.append_results(spark.read.parquet(others[-1]), rows, meta, **kw)
+            if other.limit(1).count():
+                return _write_version(other, _unused(spark, path, now), 0, mine)
+        seen |= set(whole)
+        _write_version(part, path, 1 + max(map(_number, _folders(spark, path)), default=-1), mine)
+        written = True
+
+
+def _unused(spark: SparkSession, path: str, now: datetime.datetime | None) -> str:
     late = f"{path}_{(now or datetime.datetime.now()):%Y-%m-%d-%H-%M}"
-    if not append:
-        rows.write.parquet(f"{late}/v000000")
-        return late
-    stored = read_results(spark, path)
-    merged, other = registry.append_results(stored, rows, meta, **kw)
-    if other.limit(1).count():
-        other.write.parquet(f"{late}/v000000")
-        return late
-    merged.write.parquet(f"{path}/v{len(_versions(spark, path)):06d}")
+    return next(p for p in (late, *(f"{late}-{k}" for k in range(1, 1_000_000))) if not exists(spark, p))
+
+
+def _write_version(rows: DataFrame, path: str, number: int, writer: str) -> str:
+    rows.write.parquet(f"{path}/v{number:06d}-{writer}")
     return path
 
 
+def _number(folder: str) -> int:
+    return int(re.search(r"/v(\d+)[^/]*$", folder)[1])
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Version folders, by number, then name."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [str(s.getPath()) for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
+    return sorted((f for f in found if re.search(r"/v\d+[^/]*$", f)), key=lambda f: (_number(f), f))
+
+
 def _versions(spark: SparkSession, path: str) -> list[str]:
     """Versions that were written to their end, oldest first."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [str(s.getPath()) for s in fs.listStatus(p) if s.isDirectory()]
-    return sorted(f for f in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{f}/_SUCCESS")))
+    return [f for f in _folders(spark, path) if exists(spark, f"{f}/_SUCCESS")]
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

@@ -256,3 +256,28 @@ def test_stores(spark, tmp_path):
     (tmp_path / "store" / "v000009").mkdir()  # a version that was not finished
     assert models.read_results(spark, path).count() == 2
     assert models.store_results(newer, path, append=False, now=datetime.datetime(2020, 1, 2, 3, 5)).endswith("03-05")
+
+
+def test_store_without_meta_and_with_lost_or_other_writers(spark, tmp_path, monkeypatch):
+    schema = "k int, symmetry string, run string, stamp int, train double, test double"
+    row = lambda *r: spark.createDataFrame([r], schema)
+    path, how = f"file://{tmp_path}/store", {"key": ("k", "symmetry")}
+    models.store_results(row(1, "a", "r", 1, 5.0, None), path, **how)
+    assert models.store_results(row(1, "a", "s", 2, 4.0, None), path, **how) == path  # all rows are of one run
+    lost = tmp_path / "store" / "v000002-lost"
+    lost.mkdir()
+    for stamp in (3, 4):
+        models.store_results(row(1, "a", "r", stamp, float(stamp), None), path, **how)
+    assert [tuple(r) for r in models.read_results(spark, path).collect()] == [(1, "a", "r", 4, 4.0, None)]
+    # Another writer ends while this one writes: both rows are in the end.
+    plain, once = models._write_version, []
+
+    def meanwhile(rows, *rest):
+        if not once:
+            once.append(1)
+            models.store_results(row(2, "b", "r", 1, 1.0, None), path, **how)
+        return plain(rows, *rest)
+
+    monkeypatch.setattr(models, "_write_version", meanwhile)
+    models.store_results(row(3, "c", "r", 1, 1.0, None), path, **how)
+    assert sorted(r["k"] for r in models.read_results(spark, path).collect()) == [1, 2, 3]
