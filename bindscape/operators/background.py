@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindscape.functions import dna
@@ -173,17 +173,44 @@ def enumerated_z(background: Background) -> float:
     return total
 
 
-def markov_likelihood(probes: DataFrame, chances: DataFrame, k: int, length: int, cnt: str = "cnt") -> DataFrame:
-    """(value): -sum c ln p + n ln(sum of p over all sequences), p being the product of a sequence's k-mer chances.
+def markov_tables(spark: SparkSession, path: str) -> DataFrame:
+    """(kmer, p) of a stored table of chances: CSV with a header where the name says so, else Parquet."""
+    rows = spark.read.csv(path, header=True) if path.rstrip("/").endswith(".csv") else spark.read.parquet(path)
+    return rows.select(F.col("kmer").cast("string"), F.col("p").cast("double"))
+
+
+def markov_model(chances: DataFrame, k: int, length: int) -> Background:
+    """Chances (kmer, p) as a background without flanks: a sequence's weight is the product of its k-mers' chances.
 
-    The sum over all sequences is listed, so this is for short ones; a transfer matrix does it for Background.
+    At most 4^k rows reach the driver. A k-mer without a chance has 0. Z is then the sum over all sequences, by a transfer matrix.
     """
-    from .dos import all_sequences
+    p = np.zeros(4**k)
+    for r in chances.select("kmer", "p").collect():
+        p[kmer_index(r["kmer"])] = r["p"]
+    with np.errstate(divide="ignore"):
+        return Background(np.log(p), k, length, flanked=False)
 
-    def product_of(df: DataFrame) -> DataFrame:
-        at = df.select("*", F.explode(dna.windows("seq", k)).alias("kmer")).join(F.broadcast(chances), "kmer", "left")
-        return at.groupBy(*df.columns).agg(F.sum(F.ln("p")).alias("lp"))
 
-    z = product_of(all_sequences(probes.sparkSession, length)).agg(F.ln(F.sum(F.exp("lp"))).alias("z"))
-    own = product_of(probes.select("seq", F.col(cnt).alias("cnt"))).agg(F.sum(F.col("cnt") * F.col("lp")).alias("v"), F.sum("cnt").alias("n"))
-    return own.crossJoin(F.broadcast(z)).select((F.col("n") * F.col("z") - F.col("v")).alias("value"))
+def markov_scores(probes: DataFrame, model: Background) -> DataFrame:
+    """probes with lp, the log chance of the whole sequence among all of its length; null where a k-mer has none."""
+    table = F.lit([float(x) for x in model.beta])
+    total = F.lit(0.0)
+    for i in range(model.length - model.k + 1):
+        total = total + F.element_at(table, dna.encode_short(F.substring("seq", i + 1, model.k)).cast("int") + 1)
+    return probes.withColumn("lp", total - F.lit(float(np.log(model.z())))).withColumn("lp", F.when(F.col("lp") > float("-inf"), F.col("lp")))
+
+
+def markov_likelihood(probes: DataFrame, chances: DataFrame, k: int, length: int, cnt: str = "cnt") -> DataFrame:
+    """(value, unseen): -sum c ln p over reads whose k-mers all have a chance, and the number of other reads."""
+    scored = markov_scores(probes, markov_model(chances, k, length))
+    return scored.agg((-F.sum(F.col(cnt) * F.col("lp"))).alias("value"), F.coalesce(F.sum(F.when(F.col("lp").isNull(), F.col(cnt))), F.lit(0)).cast("long").alias("unseen"))
+
+
+def markov_fit(train: DataFrame, test: DataFrame, ks: list[int], length: int) -> list[tuple[int, float]]:
+    """(k, R^2) of models learnt from one sample: squared correlation of expected with observed counts over the sequences of another."""
+    out = []
+    for k in ks:
+        scored = markov_scores(test, markov_model(markov_by_division(train, k), k, length))
+        r = scored.where("lp is not null").agg(F.corr("cnt", F.exp("lp"))).first()[0]
+        out.append((k, float(r) ** 2 if r is not None else float("nan")))
+    return out

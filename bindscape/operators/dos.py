@@ -1,14 +1,20 @@
-"""Density of states of a scoring function over all sequences: exact for short ones, Wang-Landau chains for long ones."""
+"""Density of states of a scoring function over all sequences: exact by transfer matrices for scores that add up along a
+sequence, at any length; by listing for short sequences; by Wang-Landau chains for scores of any other kind."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bindscape.functions import dna
 
+from .background import Background, context, kmer_index
+from .params import BASES, Mode
+
 
 def all_sequences(spark: SparkSession, length: int) -> DataFrame:
     """(seq) for all 4^length sequences, made on the executors."""
@@ -23,6 +29,88 @@ def exact_density(scored: DataFrame, width: float, score: str = "score") -> Data
     return scored.groupBy(edge.cast("double").alias("score")).agg(F.ln(F.count(F.lit(1)).cast("double")).alias("s"))
 
 
+@dataclass(frozen=True)
+class Additive:
+    """A score that adds up along a sequence: steps[i][last bases, next base] is what a base adds. Codes of the last bases start at ``start``.
+
+    A step whose bases are fixed (context behind the sequence) allows only those in allowed[i].
+    """
+
+    steps: list[np.ndarray]
+    start: np.ndarray
+    allowed: list[list[int]]
+
+    @staticmethod
+    def of_mode(mode: Mode) -> Additive:
+        """The weight of a sequence as long as the mode."""
+        steps = []
+        for p in range(mode.k):
+            pair = mode.di[p - 1].reshape(4, 4) if mode.di is not None and p else np.zeros((4, 4))
+            steps.append(mode.nuc[p][None, :] + pair)
+        if mode.shape is not None:
+            raise ValueError("shape values are not on a grid; use chains")
+        return Additive(steps, np.array([1, 0, 0, 0]), [[0, 1, 2, 3]] * mode.k)
+
+    @staticmethod
+    def of_background(background: Background) -> Additive:
+        """The log weight of a variable region, its flanks included."""
+        a, b = context(background.left, background.right, background.k, background.flanked)
+        n = 4 ** (background.k - 1)
+        table, start = background.beta.reshape(n, 4), np.zeros(n, int)
+        if background.flanked:
+            start[kmer_index(a) if a else 0] = 1
+            return Additive([table] * (background.length + len(b)), start, [[0, 1, 2, 3]] * background.length + [[BASES.index(c)] for c in b])
+        start[:] = 1  # the first k - 1 bases carry no k-mer yet
+        steps = background.length - background.k + 1
+        return Additive([table] * steps, start, [[0, 1, 2, 3]] * steps)
+
+    def units(self, grain: float) -> list[np.ndarray]:
+        return [np.round(s / grain).astype(np.int64) for s in self.steps]
+
+    def density(self, grain: float) -> tuple[np.ndarray, np.ndarray]:
+        """(score in units of grain, number of sequences with it), numbers above 0 only.
+
+        For each code of the last bases a polynomial whose exponents are scores: a base multiplies it by a power and hands it to the next
+        code. Exact for steps on the grid of grain, else each step is off by half a grain at most. Numbers are exact up to 2^53.
+        """
+        states = len(self.start)
+        ways, low = self.start.astype(float)[:, None], 0
+        for units, bases in zip(self.units(grain), self.allowed):
+            least, most = int(units[:, bases].min()), int(units[:, bases].max())
+            new = np.zeros((states, ways.shape[1] + most - least))
+            for state in np.flatnonzero(ways.any(axis=1)):
+                for b in bases:
+                    at = units[state, b] - least
+                    new[(4 * state + b) % states, at : at + ways.shape[1]] += ways[state]
+            ways, low = new, low + least
+        total = ways.sum(axis=0)
+        hit = np.flatnonzero(total)
+        return hit + low, total[hit]
+
+    def score(self, seq: Column, before: str, behind: str, grain: float) -> Column:
+        """The score of a sequence column in units of grain. before: the bases that ``start`` stands for (one A for a mode); behind: fixed ones."""
+        text, width = F.concat(F.lit(before), seq, F.lit(behind)), 1 + (len(self.start).bit_length() - 1) // 2
+        out = F.lit(0).cast("long")
+        for i, units in enumerate(self.units(grain)):
+            out = out + F.element_at(F.lit(units.reshape(-1).tolist()), dna.encode_short(F.substring(text, i + 1, width)).cast("int") + 1)
+        return out
+
+
+def density_of_probes(probes: DataFrame, score: Additive, grain: float, before: str = "", behind: str = "", cnt: str = "cnt") -> DataFrame:
+    """(q, reads, states, ln_ratio): reads by their score, beside all sequences with that score; ln of the share of reads over the share of sequences.
+
+    Probes are scored and summed in one pass with partial sums; the density has one row for each score and is joined to that.
+    """
+    spark = probes.sparkSession
+    q, states = score.density(grain)
+    reads = probes.select(score.score(F.col("seq"), before, behind, grain).alias("q"), F.col(cnt).alias("c")).groupBy("q").agg(F.sum("c").cast("long").alias("reads"))
+    all_ = spark.createDataFrame(list(zip(q.tolist(), states.tolist(), strict=True)), "q long, states double")
+    total = reads.agg(F.sum("reads").alias("n"))
+    both = all_.join(reads, "q", "left").crossJoin(F.broadcast(total))
+    ratio = F.ln(F.col("reads") / F.col("n")) - F.ln(F.col("states") / F.lit(float(states.sum())))
+    return both.select("q", F.coalesce("reads", F.lit(0)).alias("reads"), "states", ratio.alias("ln_ratio"))
+
+
 def chain(score, length: int, low: float, high: float, width: float, tolerance: float = 1e-4, min_count: int = 100, flat: float = 0.9, seed: int = 0, burn: int = 1000, most: int | None = None):
     """One Wang-Landau chain: (edges, s, visited, steps). score maps codes of a sequence to a number.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bindscape.operators import compare, dos, registry
 
-from .catalog import all_sql, counted, query, table, toy_mode, weight_sql
+from .catalog import LEFT, RIGHT, all_sql, code_sql, counted, counted_sql, query, table, toy_background, toy_mode, weight_sql
 
 BREAKS = [0.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0, 500.0, 1000.0]
 
@@ -154,6 +154,28 @@ def x2(spark, sf):
     return d.select(F.round("score", 6).alias("score"), F.round("s", 6).alias("s"))
 
 
+def _walk_density(steps: int) -> str:
+    """Numbers of sequences by score in units of 0.05 and last base, base by base, the first of the right flank last."""
+    base = "(select unnest(range(0, 4)) as b)"
+    out = [f"d0 as (select {'ACGT'.index(LEFT[-1])} as c, 0::bigint as q, 1e0 as n)"]
+    for i in range(1, steps + 2):
+        only = f" where b = {'ACGT'.index(RIGHT[0])}" if i == steps + 1 else ""
+        out.append(f"d{i} as (select b as c, q + (3 * (4 * c + b)) % 13 - 6 as q, sum(n) as n from d{i - 1} cross join {base}{only} group by all)")
+    return f"{', '.join(out)}, d as (select q, sum(n) as states from d{steps + 1} group by q)"
+
+
+_T20 = f"concat('{LEFT[-1]}', seq, '{RIGHT[0]}')"
+_Q20 = " + ".join(f"(3 * {code_sql(_T20, str(i + 1), 2)}) % 13 - 6" for i in range(21))
+
+
+@query("X2_density_20", f"with {_walk_density(20)}, r as (select {_Q20} as q, sum(cnt) as reads from {counted_sql(20)} group by 1) select d.q::bigint as q, coalesce(reads, 0)::bigint as reads, states, round(ln(reads / (select sum(reads) from r)::double) - ln(states / (select sum(states) from d)), 6) as ln_ratio from d left join r on r.q = d.q")
+def x2_20(spark, sf):
+    """All 4^20 sequences by the log weight of a background of pairs, beside the reads with that weight."""
+    score = dos.Additive.of_background(toy_background(2, 20))
+    got = dos.density_of_probes(counted(spark, sf, 20), score, 0.05, LEFT[-1], RIGHT[0])
+    return got.select("q", "reads", "states", F.round("ln_ratio", 6).alias("ln_ratio"))
+
+
 @query("X2_wang_landau")
 def x2w(spark, sf):
     """Two chains over sequences of 5; tests hold them against the exact density."""

@@ -44,6 +44,48 @@ def a21(spark, sf):
     return background.markov_likelihood(c, background.markov_by_division(c, 3), 3, 6).select(F.round("value", 3).alias("value"))
 
 
+def _chances_sql(source: str, k: int, length: int) -> str:
+    kmers = f"(select cnt, substr(seq, i, {k}) as kmer from (select cnt, seq, unnest(range(1, {length - k + 2})) as i from {source}))"
+    return f"(select kmer, n / sum(n) over (partition by substr(kmer, 1, {k - 1})) as p from (select kmer, sum(cnt) as n from {kmers} group by kmer))"
+
+
+def _walked_sql(k: int, length: int) -> str:
+    """ln of the sum over all sequences of the product of chances p: heads of k - 1 bases, step by step."""
+    steps = [f"w0 as (select distinct substr(kmer, 1, {k - 1}) as h, 1e0 as w from p)"]
+    for i in range(1, length - k + 2):
+        steps.append(f"w{i} as (select substr(kmer, 2) as h, sum(w * p) as w from w{i - 1} join p on substr(kmer, 1, {k - 1}) = h group by 1)")
+    return f"{', '.join(steps)}, z as (select ln(sum(w)) as z from w{length - k + 1})"
+
+
+def _log_chance(source: str, k: int, length: int) -> str:
+    return f"(select seq, cnt, sum(ln(p)) - any_value(z) as lp, count(p) as known from (select seq, cnt, unnest(range(1, {length - k + 2})) as i from {source}) left join p on kmer = substr(seq, i, {k}) cross join z group by seq, cnt)"
+
+
+_F16, _O16 = (counted_sql(16, "", f"where l_linestatus = '{x}'") for x in "FO")
+
+
+@query("A21_markov_order_6", f"with p as {_chances_sql(_F16, 7, 16)}, {_walked_sql(7, 16)} select round(-sum(cnt * lp) filter (where known = 10), 3) as value, coalesce(sum(cnt) filter (where known < 10), 0)::bigint as unseen from {_log_chance(_O16, 7, 16)}")
+def a21_16(spark, sf):
+    """Sixth order, sixteen bases: chances from one round, stored, loaded, and used for the reads of the other."""
+    r, path = probes.derived_probes(spark, sf, 16), _folder(spark, "chances")
+    background.markov_by_division(probes.count_probes(r.where("l_linestatus = 'F'")), 7).write.parquet(path)
+    got = background.markov_likelihood(probes.count_probes(r.where("l_linestatus = 'O'")), background.markov_tables(spark, path), 7, 16)
+    return got.select(F.round("value", 3).alias("value"), "unseen")
+
+
+def _r2_sql(k: int) -> str:
+    f, o = (counted_sql(6, "", f"where l_linestatus = '{x}'") for x in "FO")
+    return f"select {k}::bigint as k, round(regr_r2(cnt, exp(lp)), 6) as r2 from (with p as {_chances_sql(f, k, 6)}, {_walked_sql(k, 6)} select * from {_log_chance(o, k, 6)} where known = {6 - k + 1})"
+
+
+@query("A22_markov_r2", " union all ".join(_r2_sql(k) for k in (2, 3, 4, 5)))
+def a22_r2(spark, sf):
+    """Models learnt from one round, held against the counts of the other."""
+    r = probes.derived_probes(spark, sf, 6)
+    f, o = (probes.count_probes(r.where(f"l_linestatus = '{x}'")) for x in "FO")
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in background.markov_fit(f, o, [2, 3, 4, 5], 6)], "k long, r2 double")
+
+
 def _data(spark, sf, penalty=1e-4):
     return objective.Likelihood(_selected(spark, sf), toy_background(1, 6), penalty)
 

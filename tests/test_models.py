@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bindscape.operators import background, fitting, objective, optimize, partition, scoring
 from bindscape.operators.params import Mode, Model, Symmetry, compress, even_odd, normal_form, normalize_modes, null_directions
@@ -357,3 +358,53 @@ def test_binomial_splits(spark):
     rows = {r["seq"]: r for r in probes.folds(df, 0.5, [0, 1]).collect()}
     assert all(rows["ACGT"][f"train_{f}"] + rows["ACGT"][f"test_{f}"] == 10**9 and abs(rows["ACGT"][f"test_{f}"] - 5e8) < 1e5 for f in (0, 1))
     assert rows["ACGT"]["test_0"] != rows["ACGT"]["test_1"] and tuple(rows["AAAA"])[1:] == tuple(rows["CCCC"])[1:] == (0, 0, 0, 0)
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_density_by_transfer_matrix(spark, k):
+    """Against the listing of all sequences of 6, scores as Spark sees them."""
+    from bindscape.operators import dos
+    from bindscape.plans.catalog import toy_background, toy_mode
+
+    listed = dos.all_sequences(spark, 6).withColumn("cnt", F.lit(1))
+    bg = toy_background(k, 6)
+    for score, before, behind in ((dos.Additive.of_background(bg), bg.left[-(k - 1) :] if k > 1 else "", bg.right[: k - 1]), (dos.Additive.of_mode(toy_mode(6, k > 1)), "A", ""), (dos.Additive.of_background(background.Background(bg.beta, k, 6, flanked=False)), "", "")):
+        rows = dos.density_of_probes(listed, score, 0.05, before, behind).collect()
+        assert sum(r["states"] for r in rows) == 4**6
+        assert all(r["reads"] == r["states"] and abs(r["ln_ratio"]) < 1e-12 for r in rows)
+    one = scoring.weight_term(F.col("seq"), toy_mode(6, True))
+    want = {round(r["s"] * 20): r["n"] for r in listed.groupBy(F.round(one, 6).alias("s")).agg(F.count("*").alias("n")).collect()}
+    q, n = dos.Additive.of_mode(toy_mode(6, True)).density(0.05)
+    assert dict(zip(q.tolist(), n.tolist())) == want
+
+
+def test_density_of_long_sequences():
+    from bindscape.operators import dos
+
+    score = dos.Additive.of_background(rand_bg(3, 32))
+    q, n = score.density(0.01)
+    assert n.sum() == pytest.approx(4.0**32)
+    # The mean score over all sequences is the sum of the mean weights, but for context and grain.
+    bg = background.Background(np.tile([1.0, 2.0, 3.0, 5.0], 4), 2, 20, flanked=False)
+    q, n = dos.Additive.of_background(bg).density(1.0)
+    assert (q @ n) / n.sum() == pytest.approx(19 * 2.75) and n.sum() == 4**20
+
+
+def test_markov(spark):
+    from bindscape.operators import dos, probes
+
+    rng = np.random.default_rng(5)
+    seqs = ["".join(rng.choice(list("AACGT"), 6)) for _ in range(500)]
+    c = probes.count_probes(spark.createDataFrame([(s,) for s in seqs], "seq string"))
+    for k in (1, 2, 3):
+        chances = background.markov_by_division(c, k)
+        model = background.markov_model(chances, k, 6)
+        table = {r["kmer"]: r["p"] for r in chances.collect()}
+        weight = lambda s: float(np.prod([table.get(s[i : i + k], 0.0) for i in range(7 - k)]))  # noqa: E731, B023
+        z = sum(weight(r["seq"]) for r in dos.all_sequences(spark, 6).collect())
+        assert model.z() == pytest.approx(z)
+        got = background.markov_likelihood(c, chances, k, 6).first()
+        assert got["value"] == pytest.approx(-sum(np.log(weight(s) / z) for s in seqs)) and got["unseen"] == 0
+    few = chances.where("kmer != 'AAA'")
+    assert background.markov_likelihood(c, few, 3, 6).first()["unseen"] == sum("AAA" in s for s in seqs)
+    assert 0 <= dict(background.markov_fit(c, c, [2], 6))[2] <= 1
