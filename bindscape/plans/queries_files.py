@@ -38,6 +38,35 @@ def s1gz(spark, sf):
     return reads.read_fastq(spark, path, 8, "ACG", "TGG").groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Samples by line status and supplier, told apart by barcodes of which two begin alike, and by design.
+_SAMPLE = "case when l_linestatus = 'F' then 'R0' when l_suppkey % 2 = 0 then 'R1' else 'R2' end"
+_BARCODES = {"R0": ("CAT", ""), "R1": ("CAG", ""), "R2": ("GT", "AC")}
+
+
+@query("S1_samples", f"select concat('run', (sample <> 'R0')::int) as run, sample, seq, count(*) as n from (select {_SAMPLE} as sample, {reads_sql(8).removeprefix('(select ').split(' as seq')[0]} as seq from lineitem) group by all")
+def s1_samples(spark, sf):
+    """Three samples of two runs: an XML sheet says which barcodes and flanks tell them apart; each file is read once."""
+    sample = F.expr(_SAMPLE)
+    r = derived_reads(spark, sf, 8).withColumn("sample", sample)
+    pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in _BARCODES.items() for x in (k, v[i])]), F.col("sample"))
+    read = F.concat(F.lit("@read\nTT"), pick(0), F.when(F.col("sample") == "R0", "ACG").otherwise("TTG"), "seq", F.lit("TGG"), pick(1), F.lit("TT\n+\n@IIIIIIIIIIIIIIIIIIIII"))
+    files = {run: _lines(r.where(cond).select(read), spark, f"fastq-{run}") for run, cond in (("run0", "sample = 'R0'"), ("run1", "sample <> 'R0'"))}
+    field = lambda name, x: f"<{name}>{x}</{name}>"
+    one = lambda s: f'<Sample name="{s}" round="{s[1]}">' + field("Protein", "N/A") + field("VariableRegionLength", 8) + field("LeftFlank", "ACG" if s == "R0" else "TTG") + field("RightFlank", "TGG") + field("LeftBarcode", _BARCODES[s][0]) + field("RightBarcode", _BARCODES[s][1]) + "</Sample>"
+    sheet = "<SequencingConfig>\n" + "\n".join(f'<SequencingRunInfo name="{run}">' + field("DataFile", path) + "".join(map(one, samples)) + "</SequencingRunInfo>" for (run, path), samples in zip(files.items(), (["R0"], ["R1", "R2"]), strict=True)) + "\n</SequencingConfig>"
+    at = _lines(spark.createDataFrame([(sheet,)], "value string"), spark, "sheet")
+    return reads.read_samples(spark, reads.read_sample_sheet(spark, at)).groupBy("run", "sample", "seq").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("S11_fasta_orders", "select concat('order ', o_orderkey) as name, repeat(translate(md5(cast(o_orderkey as varchar)), '0123456789abcdef', 'AAAAACCCGGGGTTTT'), 1 + (o_orderkey % 5)::int) as seq from orders")
+def s11_orders(spark, sf):
+    """A record for each order, of one to five lines."""
+    o = table(spark, sf, "orders")
+    line = F.translate(F.md5(F.col("o_orderkey").cast("string").cast("binary")), "0123456789abcdef", "AAAAACCCGGGGTTTT")
+    record = F.concat(F.lit(">order "), F.col("o_orderkey").cast("string"), F.repeat(F.concat(F.lit("\n"), line), (1 + F.col("o_orderkey") % 5).cast("int")))
+    return reads.read_sequences(spark, _lines(o.select(record), spark, "fasta"))
+
+
 _NAME_SEQ = "translate(md5(n_name), '0123456789abcdef', 'AAAAACCCGGGGTTTT')"
 
 

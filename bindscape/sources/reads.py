@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -11,8 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_fastq(spark: SparkSession, path: str, length: int, left: str = "", right: str = "", barcode: str = "") -> DataFrame:
-    """(seq): the variable region of each read that has it between its barcode and flanks; reads without it are left out.
+#: Samples of a sheet at most: they are sent to every task.
+SHEET = 10_000
+
+
+def fastq_reads(spark: SparkSession, path: str) -> DataFrame:
+    """(read): the letters of each record, in capitals.
 
     A record is its header, one line of letters, a plus line and one line of marks. Plain files are split by Spark at any
     size, at the line break before a header: a record starts with @ and has a plus line two lines on, which a line of marks
@@ -23,8 +28,74 @@ def read_fastq(spark: SparkSession, path: str, length: int, left: str = "", righ
     ahead = F.regexp_extract(F.col("value"), r"(?:^|\n)@[^\n]*\n([A-Za-z]+)\r?$", 1)
     reads = plain.where(~F.col("file").endswith(".gz")).select(ahead.alias("read")).where("read != ''")
     reads = reads.union(_gz_reads(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.col("file").endswith(".gz"))))
-    region = F.regexp_extract(F.upper("read"), f"{barcode}{left}([ACGT]{{{length}}}){right}", 1)
-    return reads.select(region.alias("seq")).where("seq != ''")
+    return reads.select(F.upper("read").alias("read"))
+
+
+def read_fastq(spark: SparkSession, path: str, length: int, left: str = "", right: str = "", barcode: str = "") -> DataFrame:
+    """(seq): the variable region of each read that has it between its barcode and flanks; reads without it are left out."""
+    region = F.regexp_extract("read", f"{barcode}{left}([ACGT]{{{length}}}){right}", 1)
+    return fastq_reads(spark, path).select(region.alias("seq")).where("seq != ''")
+
+
+def read_sample_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """(run, file, sample, round, protein, length, left, right, left_barcode, right_barcode) of an XML sheet: a row for each sample of each run.
+
+    Empty fields and N/A are null; barcodes and flanks that are not given are empty.
+    """
+    sample = "_name string, _round int, Protein string, VariableRegionLength int, LeftFlank string, RightFlank string, LeftBarcode string, RightBarcode string"
+    runs = spark.read.option("rowTag", "SequencingRunInfo").schema(f"_name string, DataFile string, Sample array<struct<{sample}>>").xml(path)
+    s = runs.select(F.col("_name").alias("run"), F.trim("DataFile").alias("file"), F.explode("Sample").alias("s"))
+    given = lambda c: F.when(~F.upper(F.trim(F.col(f"s.{c}"))).isin("", "N/A"), F.trim(F.col(f"s.{c}")))
+    letters = lambda c: F.coalesce(F.upper(given(c)), F.lit(""))
+    return s.select("run", "file", F.col("s._name").alias("sample"), F.col("s._round").alias("round"), given("Protein").alias("protein"), F.col("s.VariableRegionLength").alias("length"), letters("LeftFlank").alias("left"), letters("RightFlank").alias("right"), letters("LeftBarcode").alias("left_barcode"), letters("RightBarcode").alias("right_barcode"))
+
+
+def trie_pattern(words: list[str]) -> str:
+    """A regular expression for any of the words, the longest first, in which common beginnings are tried once."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        ways = [re.escape(c) + pattern(at[c]) for c in sorted(at) if c]
+        if not ways:
+            return ""
+        body = ways[0] if len(ways) == 1 and "" not in at else f"(?:{'|'.join(ways)})"
+        return f"{body}?" if "" in at else body
+
+    return pattern(tree)
+
+
+def read_samples(spark: SparkSession, sheet: DataFrame) -> DataFrame:
+    """(run, sample, seq): reads of all files of a sheet, each dealt to its sample by its barcodes, in one scan of each file.
+
+    Samples of a file that share length and flanks are told apart by one expression over the trie of their barcodes. A read that fits several
+    designs goes to the one that comes first in the sheet; a read that fits none is left out. Samples that no read could tell apart are an error.
+    """
+    rows = sheet.limit(SHEET + 1).collect()
+    if len(rows) > SHEET:
+        raise ValueError(f"more than {SHEET} samples")
+    files: dict[str, dict[tuple, list]] = {}
+    for r in rows:
+        files.setdefault(r["file"], {}).setdefault((r["length"], r["left"], r["right"]), []).append(r)
+    out = spark.createDataFrame([], "run string, sample string, seq string")
+    for file, designs in files.items():
+        keys, found = [], []
+        for k, ((length, left, right), samples) in enumerate(designs.items()):
+            before, behind = (trie_pattern(sorted({s[c] for s in samples})) for c in ("left_barcode", "right_barcode"))
+            whole = f"({before}){left}([ACGT]{{{length}}}){right}({behind})"
+            part = lambda i, whole=whole: F.regexp_extract("read", whole, i)
+            found.append(F.when(part(2) != "", F.struct(F.lit(k).alias("design"), part(1).alias("left_barcode"), part(2).alias("seq"), part(3).alias("right_barcode"))))
+            keys += [(k, s["left_barcode"], s["right_barcode"], s["run"], s["sample"]) for s in samples]
+        if len({x[:3] for x in keys}) < len(keys):
+            raise ValueError(f"samples of {file} that have the same barcodes and flanks")
+        known = spark.createDataFrame(keys, "design int, left_barcode string, right_barcode string, run string, sample string")
+        dealt = fastq_reads(spark, file).select(F.coalesce(*found).alias("f")).where("f is not null").select("f.*")
+        out = out.union(dealt.join(F.broadcast(known), ["design", "left_barcode", "right_barcode"]).select("run", "sample", "seq"))
+    return out
 
 
 def _gz_reads(lines: DataFrame) -> DataFrame:
@@ -48,15 +119,22 @@ def _gz_reads(lines: DataFrame) -> DataFrame:
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq): FASTA records of files that begin with >, else one sequence a line with no name."""
-    text = spark.read.text(path, wholetext=True)
-    fasta = F.split(F.col("value"), r"(?m)^>")
-    record = F.explode(F.filter(fasta, lambda x: F.trim(x) != "")).alias("r")
-    named = text.where(F.ltrim("value").startswith(">")).select(record)
-    named = named.select(F.trim(F.regexp_extract("r", r"^([^\r\n]*)", 1)).alias("name"), F.regexp_replace(F.regexp_extract("r", r"(?s)^[^\n]*\n(.*)$", 1), r"\s", "").alias("seq"))
-    plain = text.where(~F.ltrim("value").startswith(">")).select(F.explode(F.split("value", r"\r?\n")).alias("seq"))
-    plain = plain.select(F.lit(None).cast("string").alias("name"), F.trim("seq").alias("seq"))
-    return named.unionByName(plain).where("seq != ''")
+    """(name, seq): FASTA records of files that have headers (lines that begin with >), else one sequence a line with no name.
+
+    FASTA files are cut at the line breaks before headers, so Spark splits files of any size; a record is one row, by whichever
+    task has its header, however many splits it crosses. What stands before a file's first header is not read as a name only if it is blank.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    kinds = lines.groupBy("file").agg(F.bool_or(F.col("value").startswith(">")).alias("fasta")).collect()
+    named, plain = ([unquote(r["file"]) for r in kinds if bool(r["fasta"]) == kind] for kind in (True, False))
+    out = spark.createDataFrame([], "name string, seq string")
+    if named:
+        record = F.regexp_replace("value", r"^\s*>", "")
+        rows = spark.read.option("lineSep", "\n>").text(named).select(record.alias("r"))
+        out = out.union(rows.select(F.trim(F.regexp_extract("r", r"^([^\r\n]*)", 1)).alias("name"), F.regexp_replace(F.regexp_extract("r", r"(?s)^[^\n]*\n(.*)$", 1), r"\s", "").alias("seq")))
+    if plain:
+        out = out.union(spark.read.text(plain).select(F.lit(None).cast("string").alias("name"), F.trim(F.regexp_replace("value", r"\r$", "")).alias("seq")))
+    return out.where("seq != ''")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

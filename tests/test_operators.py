@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import re
 
 import numpy as np
 import pytest
@@ -281,3 +282,34 @@ def test_store_without_meta_and_with_lost_or_other_writers(spark, tmp_path, monk
     monkeypatch.setattr(models, "_write_version", meanwhile)
     models.store_results(row(3, "c", "r", 1, 1.0, None), path, **how)
     assert sorted(r["k"] for r in models.read_results(spark, path).collect()) == [1, 2, 3]
+
+
+def test_fasta_of_several_splits(spark, tmp_path):
+    """Records that cross splits are the rows that one split gives; names, Windows line ends and plain files beside them."""
+    rng = random.Random(4)
+    records = [(f"s{k} of {k % 7}", "".join(rng.choice("ACGTN") for _ in range(rng.randrange(1, 4000)))) for k in range(60)]
+    (tmp_path / "a b.fa").write_text("\n" + "".join(f">{n}\r\n" + "\r\n".join(s[i : i + 50] for i in range(0, len(s), 50)) + "\r\n" for n, s in records))
+    (tmp_path / "c.txt").write_text("ACGT\r\n\n GGTT\n")
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("900", before):
+            spark.conf.set(key, size)
+            got = reads.read_sequences(spark, f"file://{tmp_path}")
+            assert (got.rdd.getNumPartitions() > 20) == (size == "900")
+            assert sorted(map(tuple, got.collect()), key=str) == sorted([*records, (None, "ACGT"), (None, "GGTT")], key=str)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_samples_of_a_sheet(spark, tmp_path):
+    (tmp_path / "r.fastq").write_text("".join(f"@r\n{x}\n+\n{'@' * len(x)}\n" for x in ("CAACGTGG", "CAGACGTGG", "GGACGTGG", "CAGTTTGG", "cagccctgg")))
+    one = lambda n, b, left: f'<Sample name="{n}"><Protein>N/A</Protein><VariableRegionLength>3</VariableRegionLength><LeftFlank>{left}</LeftFlank><RightFlank>TGG</RightFlank><LeftBarcode>{b}</LeftBarcode></Sample>'
+    sheet = lambda *s: (tmp_path / "s.xml").write_text(f'<X xmlns:y="http://z"><SequencingRunInfo name="q"><!-- c --><DataFile>{tmp_path}/r.fastq</DataFile>{"".join(s)}</SequencingRunInfo></X>')
+    sheet(one("a", "CA", ""), one("b", "CAG", ""), one("c", "", "GG"))
+    t = reads.read_sample_sheet(spark, f"file://{tmp_path}/s.xml")
+    assert [(r["sample"], r["protein"], r["round"], r["right_barcode"]) for r in t.collect()] == [("a", None, None, ""), ("b", None, None, ""), ("c", None, None, "")]
+    assert sorted(map(tuple, reads.read_samples(spark, t).collect())) == [("q", "a", "ACG"), ("q", "a", "GTT"), ("q", "b", "ACG"), ("q", "b", "CCC"), ("q", "c", "ACG")]
+    sheet(one("a", "CA", ""), one("b", "CA", ""))
+    with pytest.raises(ValueError, match="same barcodes"):
+        reads.read_samples(spark, reads.read_sample_sheet(spark, f"file://{tmp_path}/s.xml"))
+    assert re.fullmatch(reads.trie_pattern(["CA", "CAG", "CT", ""]), "CAG") and reads.trie_pattern([""]) == "" and not re.fullmatch(reads.trie_pattern(["CA", "CT"]), "C")
