@@ -67,6 +67,22 @@ def combine(*counted: DataFrame) -> DataFrame:
     return tagged.groupBy("seq").agg(*[F.sum(x).alias(x) for x in names])
 
 
+def store_round(counted: DataFrame, table: str, number: int, buckets: int, path: str | None = None) -> None:
+    """Add a round's counts to a table that holds each round as a partition, dealt to buckets by sequence and sorted in them.
+
+    The shuffle that this takes is the last one: rounds that are stored meet bucket by bucket. All rounds of a table have the same number of buckets.
+    """
+    own = counted.select("seq", F.col("cnt").cast("long").alias("cnt"), F.lit(number).alias("round")).repartition(buckets, "seq")
+    writer = own.write.mode("append").partitionBy("round").bucketBy(buckets, "seq").sortBy("seq")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def combine_stored(spark: SparkSession, table: str, rounds: list[int]) -> DataFrame:
+    """(seq, r<number> for each round): counts of stored rounds side by side, 0 where a round lacks the sequence. No exchange; other rounds aren't read."""
+    kept = spark.table(table).where(F.col("round").isin(rounds))
+    return kept.groupBy("seq").agg(*[F.sum(F.when(F.col("round") == n, F.col("cnt")).otherwise(0)).alias(f"r{n}") for n in rounds])
+
+
 def binomial_quantiles(n: int, ratio: float, u: np.ndarray) -> np.ndarray:
     """For each u in [0, 1): the least k with P(X <= k) >= u, X being binomial. Chances beyond 12 deviations, under 1e-30, are left out."""
     if n <= 0 or ratio <= 0:

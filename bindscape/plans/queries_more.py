@@ -116,3 +116,13 @@ def k6(spark, sf):
     path = _folder(spark, "density")
     reads.write_density(d, path)
     return reads.read_tsv(spark, path, "density")
+
+
+@query("J1_stored_rounds", f"select seq, coalesce(a.cnt, 0)::bigint as r0, coalesce(c.cnt, 0)::bigint as r2 from {counted_sql(6)} a full join {counted_sql(6, 'y')} c using (seq)")
+def j1_stored(spark, sf):
+    """Three rounds stored in buckets, two of them merged without a shuffle."""
+    name = f"rounds_{uuid.uuid4().hex}"
+    path = _folder(spark, "rounds")
+    for number, salt in enumerate(("", "x", "y")):
+        probes.store_round(counted(spark, sf, 6, salt), name, number, 8, path)
+    return probes.combine_stored(spark, name, [0, 2])

@@ -313,3 +313,15 @@ def test_samples_of_a_sheet(spark, tmp_path):
     with pytest.raises(ValueError, match="same barcodes"):
         reads.read_samples(spark, reads.read_sample_sheet(spark, f"file://{tmp_path}/s.xml"))
     assert re.fullmatch(reads.trie_pattern(["CA", "CAG", "CT", ""]), "CAG") and reads.trie_pattern([""]) == "" and not re.fullmatch(reads.trie_pattern(["CA", "CT"]), "C")
+
+
+def test_stored_rounds_meet_without_a_shuffle(spark, tmp_path):
+    rng = random.Random(6)
+    rounds = [{"".join(rng.choice("ACGT") for _ in range(3)): rng.randrange(1, 2**40) for _ in range(30)} for _ in range(4)]
+    for k, r in enumerate(rounds):
+        probes.store_round(spark.createDataFrame(list(r.items()), "seq string, cnt long"), "stored_rounds", k, 4, f"file://{tmp_path}/rounds")
+    got = probes.combine_stored(spark, "stored_rounds", [0, 1, 3])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    assert {r["seq"]: tuple(r)[1:] for r in got.collect()} == {s: tuple(rounds[k].get(s, 0) for k in (0, 1, 3)) for s in {*rounds[0], *rounds[1], *rounds[3]}}
+    spark.sql("drop table stored_rounds")
