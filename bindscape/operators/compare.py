@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Largest exponent of a double: ln of the largest finite value.
 LOG_MAX = 709.78
+#: Rows, one for each different score, that one task may order.
+SMALL = 200_000
 
 
 def finite(df: DataFrame, *cols: str) -> DataFrame:
@@ -104,6 +106,20 @@ def running_sums(df: DataFrame, column: str, values: list[str], descending: bool
     return at.select(*df.columns, *[(F.col(f"_{v}_before") + F.col(f"_{v}_in")).alias(f"{v}_sum") for v in values], *[f"{v}_all" for v in values])
 
 
+def _sums_down(scored: DataFrame, score: str, label: str) -> tuple[DataFrame, int]:
+    """((score, p, q, p_sum, q_sum, p_all, q_all), n): positives and others at each score, and from the top down to it; n scores.
+
+    Scores are counted first. Up to SMALL of them, one row each, are one task's window; more go over ranges.
+    """
+    pos = F.when(F.col(label) > 0, 1).otherwise(0)
+    at = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(pos).alias("p"), F.sum(1 - pos).alias("q"))
+    n = at.count()
+    if n > SMALL:
+        return running_sums(at, "score", ["p", "q"], True), n
+    down, every = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+    return at.select("*", *[F.sum(c).over(down).alias(f"{c}_sum") for c in "pq"], *[F.sum(c).over(every).alias(f"{c}_all") for c in "pq"]), n
+
+
 def labelled(scores: DataFrame, labels: DataFrame, key: str, score: str = "score", label: str = "label") -> DataFrame:
     """Scores with their labels by key, not by the order of two files; rows that lack either are left out."""
     return scores.where(F.col(score).isNotNull()).join(labels.where(F.col(label).isNotNull()), key)
@@ -116,14 +132,13 @@ def roc(scored: DataFrame, score: str = "score", label: str = "label", by: list[
     rows share a point. Without by, running sums go over ranges of scores, so that no task sees all of them.
     """
     by = by or []
-    pos = F.when(F.col(label) > 0, 1).otherwise(0)
-    at = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.sum(pos).alias("p"), F.sum(1 - pos).alias("q"))
     if not by:
-        at = running_sums(at, score, ["p", "q"], True)
+        at, n = _sums_down(scored, score, label)
         share = lambda c: F.try_divide(F.col(f"{c}_sum"), F.col(f"{c}_all"))
-        points = at.select(F.col(score).cast("double").alias("score"), share("q").alias("fpr"), share("p").alias("tpr"))
-        zero = points.limit(1).select(F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-        return points.unionByName(zero)
+        points = at.select("score", share("q").alias("fpr"), share("p").alias("tpr"))
+        return points.union(scored.sparkSession.createDataFrame([(None, 0.0, 0.0)] if n else [], points.schema))
+    pos = F.when(F.col(label) > 0, 1).otherwise(0)
+    at = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.sum(pos).alias("p"), F.sum(1 - pos).alias("q"))
     part = Window.partitionBy(*by)
     up, whole = part.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0), part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ratio = lambda c: F.try_divide(F.sum(c).over(up), F.sum(c).over(whole))
@@ -132,6 +147,13 @@ def roc(scored: DataFrame, score: str = "score", label: str = "label", by: list[
     return points.unionByName(zero)
 
 
+def auroc_of(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """(auroc): the chance that a positive scores above another, ties counting half; the area under the points of roc, straight from the sums by score."""
+    at, _ = _sums_down(scored, score, label)
+    won = F.sum(F.col("q") * (F.col("p_sum") - F.col("p") / 2))
+    return at.agg(F.try_divide(won, F.max("p_all") * F.max("q_all").cast("double")).alias("auroc"))
+
+
 def auroc(points: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, auroc): area under the points of roc."""
     by = by or []

@@ -95,7 +95,7 @@ def a16(spark, sf):
 
 @query("A17_auroc", _ROC + " select round(sum((tpr + q) / 2 * (fpr - p)), 6) as auroc from (select fpr, tpr, lag(fpr) over (order by fpr, tpr) as p, lag(tpr) over (order by fpr, tpr) as q from r)")
 def a17(spark, sf):
-    return compare.auroc(compare.roc(_labelled(spark, sf))).select(F.round("auroc", 6).alias("auroc"))
+    return compare.auroc_of(_labelled(spark, sf)).select(F.round("auroc", 6).alias("auroc"))
 
 
 @query("A18_masked_mean_min", "select event_type, round(avg(case when value > 10 then value end), 4) as mean, min(case when value > 10 then value end) as least from events group by event_type")

@@ -325,3 +325,16 @@ def test_stored_rounds_meet_without_a_shuffle(spark, tmp_path):
     assert "Exchange" not in plan and "Bucketed: true" in plan
     assert {r["seq"]: tuple(r)[1:] for r in got.collect()} == {s: tuple(rounds[k].get(s, 0) for k in (0, 1, 3)) for s in {*rounds[0], *rounds[1], *rounds[3]}}
     spark.sql("drop table stored_rounds")
+
+
+def test_auroc_of_scores(spark, monkeypatch):
+    rows = [(float(RNG.randrange(40)), RNG.randrange(2)) for _ in range(300)] + [(None, 1), (1.0, None)]
+    df = spark.createDataFrame(rows, "score double, label int")
+    pos, neg = ([s for s, y in rows if y == k and s is not None] for k in (1, 0))
+    want = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+    points = {tuple(r) for r in compare.roc(df).collect()}
+    for small in (10**6, 3):  # one window, or ranges
+        monkeypatch.setattr(compare, "SMALL", small)
+        assert compare.auroc_of(df).first()["auroc"] == pytest.approx(want) == pytest.approx(compare.auroc(compare.roc(df)).first()["auroc"])
+        assert {tuple(r) for r in compare.roc(df).collect()} == points and (None, 0.0, 0.0) in points
+    assert compare.auroc_of(df.limit(0)).first()["auroc"] is None and compare.roc(df.limit(0)).collect() == []
