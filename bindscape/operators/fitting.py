@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .objective import Ask, Likelihood
 from .optimize import Found, NotConverged, error_bars, escape, lbfgs, masked, tied, with_retries
-from .params import Mode, Model, Symmetry, normal_form, normalize_modes
+from .params import Mode, Model, mode_tie, normal_form, normalize_modes
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ def tie_of(model: Model, symmetry: str | tuple[str | None, ...] | None) -> np.nd
         return None
     if len(names) != len(model.modes):
         raise ValueError("one symmetry for each mode")
-    blocks = [Symmetry(s).tie(m) if s else np.eye(len(m.vector())) for s, m in zip(names, model.modes)]
+    blocks = [mode_tie(m, s) if s else np.eye(len(m.vector())) for s, m in zip(names, model.modes)]
     blocks += [] if model.ns is None else [np.ones((1, 1))]
     out = np.zeros((sum(len(b) for b in blocks), sum(b.shape[1] for b in blocks)))
     i = j = 0
@@ -112,7 +112,8 @@ def fit(data: Likelihood, model: Model, settings: Settings = Settings(), seeded:
         again = run(whole(away), 0.5)
         got = replace(again, rounds=got.rounds + again.rounds, evaluations=got.evaluations + again.evaluations)
     found = model.with_vector(got.x)
-    if len(found.modes) == 1:
+    # A symmetry that leaves features without weights has no say over constants that would move into them.
+    if len(found.modes) == 1 and (tie is None or tie.any(axis=1).all()):
         found = replace(found, modes=[normal_form(found.modes[0], found.ns is not None)])
     per_read, adjusted = data.per_read(got.value)
     out = Fit(found, got.value, per_read, adjusted, got.rounds, got.evaluations, seconds=time.time() - began, seed=model.vector() if seeded else None)

@@ -139,14 +139,18 @@ def features(x: np.ndarray, mode: Mode, shape: np.ndarray | None) -> list[np.nda
         nuc = np.zeros((n, k, 4))
         di = np.zeros((n, k - 1, 16)) if mode.di is not None else None
         sh = np.zeros((n, k, mode.shape.shape[1])) if margin else None
+        far = {d: np.zeros((n, k - d, 16)) for d in sorted(mode.far)}
         for j in range(k):
             p = s + j + margin
             nuc[rows, j, x[:, p]] = 1
             if di is not None and j < k - 1:
                 di[rows, j, 4 * x[:, p].astype(int) + x[:, p + 1]] = 1
+            for d, pairs in far.items():
+                if j < k - d:
+                    pairs[rows, j, 4 * x[:, p].astype(int) + x[:, p + d]] = 1
             if margin:
                 sh[:, j] = shape[sum(x[:, p - 2 + i].astype(int) * 4 ** (4 - i) for i in range(5))]
-        out.append(np.concatenate([f.reshape(n, -1) for f in (nuc, di, sh) if f is not None], axis=1))
+        out.append(np.concatenate([f.reshape(n, -1) for f in (nuc, di, sh, *far.values()) if f is not None], axis=1))
     return out
 
 
@@ -183,7 +187,7 @@ def probe_derivatives(x: np.ndarray, cnt: np.ndarray, background: Background, mo
 
 def task_sums(block: Block, cnt: np.ndarray, ask: Ask, shape: np.ndarray | None) -> np.ndarray:
     """A block's part of what is asked for: value, gradient, upper half of the Hessian."""
-    if not ask.hessian and all(m.shape is None for m in ask.model.modes):
+    if not ask.hessian and all(m.shape is None and not m.far for m in ask.model.modes):
         v, g = probe_sums(block, cnt, ask.model)
         return np.concatenate([[v], g])
     v, g, h = probe_derivatives(block.x, cnt, block.background, ask.model, shape, ask.hessian)

@@ -14,22 +14,32 @@ SHAPE_COLUMNS = {"MGW": 1, "ProT": 1, "HelT": 2, "Roll": 2}
 
 @dataclass(frozen=True)
 class Mode:
-    """Weights of one binding mode of k positions. nuc: (k, 4); di: (k - 1, 16) or None; shape: (k, features) or None."""
+    """Weights of one binding mode of k positions. nuc: (k, 4); di: (k - 1, 16) or None; shape: (k, features) or None.
+
+    far: weights (k - d, 16) of pairs of bases d places apart, by d from 2 on.
+    """
 
     nuc: np.ndarray
     di: np.ndarray | None = None
     shape: np.ndarray | None = None
+    far: dict[int, np.ndarray] = field(default_factory=dict)
 
     @property
     def k(self) -> int:
         return len(self.nuc)
 
     @staticmethod
-    def zeros(k: int, di: bool = False, features: int = 0) -> Mode:
-        return Mode(np.zeros((k, 4)), np.zeros((k - 1, 16)) if di else None, np.zeros((k, features)) if features else None)
+    def zeros(k: int, di: bool = False, features: int = 0, distances: tuple[int, ...] = ()) -> Mode:
+        if any(not 2 <= d < k for d in distances):
+            raise ValueError("distances of pairs are 2 to k - 1; neighbours are dinucleotides")
+        return Mode(np.zeros((k, 4)), np.zeros((k - 1, 16)) if di else None, np.zeros((k, features)) if features else None, {d: np.zeros((k - d, 16)) for d in sorted(distances)})
+
+    def blank(self) -> Mode:
+        """Zeros in the layout of this mode."""
+        return self.with_vector(np.zeros(len(self.vector())))
 
     def vector(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.nuc, self.di, self.shape) if x is not None])
+        return np.concatenate([*(x.ravel() for x in (self.nuc, self.di, self.shape) if x is not None), *(self.far[d].ravel() for d in sorted(self.far))])
 
     def with_vector(self, v: np.ndarray) -> Mode:
         at, out = 0, {}
@@ -38,12 +48,17 @@ class Mode:
             if x is not None:
                 out[name] = np.asarray(v[at : at + x.size], float).reshape(x.shape)
                 at += x.size
-        return replace(self, **out)
+        far = {}
+        for d in sorted(self.far):
+            x = self.far[d]
+            far[d] = np.asarray(v[at : at + x.size], float).reshape(x.shape)
+            at += x.size
+        return replace(self, **out, far=far)
 
     def reverse_complement(self) -> Mode:
         """The mode that scores a window as this one scores its reverse complement. Whole positions turn round, shape included."""
         flip = [PAIRS.index(BASES[3 - BASES.index(p[1])] + BASES[3 - BASES.index(p[0])]) for p in PAIRS]
-        return Mode(self.nuc[::-1, ::-1].copy(), None if self.di is None else self.di[::-1][:, flip].copy(), None if self.shape is None else self.shape[::-1].copy())
+        return Mode(self.nuc[::-1, ::-1].copy(), None if self.di is None else self.di[::-1][:, flip].copy(), None if self.shape is None else self.shape[::-1].copy(), {d: x[::-1][:, flip].copy() for d, x in self.far.items()})
 
     def shifted(self, by: int) -> Mode:
         """Moved by `by` positions to the right (left if negative); zeros come in."""
@@ -59,14 +74,15 @@ class Mode:
                     out[:by] = x[-by:]
             return out
 
-        return Mode(move(self.nuc), move(self.di), move(self.shape))
+        return Mode(move(self.nuc), move(self.di), move(self.shape), {d: move(x) for d, x in self.far.items()})
 
     def grown(self, left: int = 1, right: int = 1) -> Mode:
         pad = lambda x: None if x is None else np.pad(x, ((left, right), (0, 0)))
-        return Mode(pad(self.nuc), pad(self.di), pad(self.shape))
+        return Mode(pad(self.nuc), pad(self.di), pad(self.shape), {d: pad(x) for d, x in self.far.items()})
 
-    def with_features(self, di: bool, features: int) -> Mode:
-        return Mode(self.nuc, self.di if self.di is not None or not di else np.zeros((self.k - 1, 16)), self.shape if self.shape is not None or not features else np.zeros((self.k, features)))
+    def with_features(self, di: bool, features: int, distances: tuple[int, ...] = ()) -> Mode:
+        new = Mode.zeros(self.k, di, features, tuple(d for d in distances if d not in self.far))
+        return Mode(self.nuc, self.di if self.di is not None else new.di, self.shape if self.shape is not None else new.shape, dict(sorted({**self.far, **new.far}.items())))
 
 
 @dataclass(frozen=True)
@@ -253,6 +269,21 @@ class SiteSymmetry:
         return out
 
 
+def mode_tie(mode: Mode, text: str) -> np.ndarray:
+    """(full, free) matrix of a mode: signed numbers (Symmetry), or letters and blocks (SiteSymmetry), which tie pairs at any distance too."""
+    if all(t.strip() in ("*", "|") or t.strip().lstrip("-").isdigit() for t in text.split(",")) and not mode.far:
+        return Symmetry(text).tie(mode)
+    if mode.shape is not None:
+        raise ValueError("a site's symmetry has no ties for shape")
+    site = SiteSymmetry(text, mode.k)
+    blocks = [site.tie(), *([site.tie(1)] if mode.di is not None else []), *(site.tie(d) for d in sorted(mode.far))]
+    out, i, j = np.zeros((sum(len(b) for b in blocks), sum(b.shape[1] for b in blocks))), 0, 0
+    for b in blocks:
+        out[i : i + len(b), j : j + b.shape[1]] = b
+        i, j = i + len(b), j + b.shape[1]
+    return out
+
+
 def compress(vector: np.ndarray, tie: np.ndarray) -> np.ndarray:
     """Free parameters of a position: the mean over tied ones."""
     return tie.T @ vector / tie.sum(axis=0)
@@ -287,6 +318,16 @@ def null_directions(mode: Mode, ns: bool = False) -> np.ndarray:
                 v[[base + 16 * p + 4 * a + b for a in range(4)]] = 1
                 v[4 * (p + 1) + b] = -1
                 rows.append(v)
+    base = 4 * k + (0 if mode.di is None else 16 * (k - 1)) + (0 if mode.shape is None else mode.shape.size)
+    for d in sorted(mode.far):
+        for p in range(k - d):
+            for b in range(4):
+                for x, at in (([4 * b + a for a in range(4)], p), ([4 * a + b for a in range(4)], p + d)):
+                    v = np.zeros(size)
+                    v[[base + 16 * p + i for i in x]] = 1
+                    v[4 * at + b] = -1
+                    rows.append(v)
+        base += 16 * (k - d)
     if not rows:
         return np.zeros((0, size))
     u, s, _ = np.linalg.svd(np.array(rows).T, full_matrices=False)

@@ -22,7 +22,7 @@ class Walk:
     def __init__(self, background: Background, flank: int, mode: Mode, shape: np.ndarray | None):
         self.mode, self.shape, self.bg, self.flank = mode, shape, background, flank
         self.margin = 2 if mode.shape is not None else 0
-        self.m = max(background.k - 1, 1 if mode.di is not None else 0, 4 if self.margin else 0, 1)
+        self.m = max(background.k - 1, 1 if mode.di is not None else 0, 4 if self.margin else 0, *mode.far, 1)
         left, right, l = background.left, background.right, background.length
         tail = max(self.margin, background.k - 1 - flank, 0)
         if len(left) < flank + self.margin or len(right) < flank + self.margin:
@@ -46,6 +46,10 @@ class Walk:
             return np.ones((self.states, 4))
         return np.exp(self.bg.beta).reshape(n, 4)[np.arange(self.states) % n]
 
+    def _back(self, d: int) -> np.ndarray:
+        """The base d places before the next one, by state."""
+        return np.arange(self.states) >> 2 * (d - 1) & 3
+
     def frame_weight(self, p: int) -> np.ndarray:
         """(frames, states, 4): log affinity added by the base at position p."""
         out, mode = np.zeros((self.count, self.states, 4)), self.mode
@@ -55,6 +59,9 @@ class Walk:
                 out[s] += mode.nuc[j][None, :]
                 if mode.di is not None and j >= 1:
                     out[s] += mode.di[j - 1].reshape(4, 4)[np.arange(self.states) % 4]
+            for d, pairs in mode.far.items():
+                if d <= j < mode.k:
+                    out[s] += pairs[j - d].reshape(4, 4)[self._back(d)]
             j -= 2
             if self.margin and 0 <= j < mode.k:
                 out[s] += (self.shape @ mode.shape[j]).reshape(256, 4)[np.arange(self.states) % 256]
@@ -79,7 +86,7 @@ class Walk:
         if not gradient:
             return z, None
         mode = self.mode
-        g = Mode.zeros(mode.k, mode.di is not None, 0 if mode.shape is None else mode.shape.shape[1])
+        g = mode.blank()
         back = np.ones((self.count, self.states))
         low, five = np.arange(self.states) % 4, np.arange(self.states) % 256
         for (p, bases, w), before in zip(reversed(steps), reversed(forward[:-1])):
@@ -94,6 +101,9 @@ class Walk:
                         g.nuc[j, c] += mass[s].sum()
                         if mode.di is not None and j >= 1:
                             np.add.at(g.di[j - 1], 4 * low + c, mass[s])
+                        for d in mode.far:
+                            if j >= d:
+                                np.add.at(g.far[d][j - d], 4 * self._back(d) + c, mass[s])
                     if self.margin and 0 <= j - 2 < mode.k:
                         g.shape[j - 2] += mass[s] @ self.shape[4 * five + c]
             back = new
@@ -110,6 +120,9 @@ class Walk:
         n_shape = 0 if mode.shape is None else mode.shape.shape[1]
         di_at, shape_at = 4 * k, 4 * k + (0 if mode.di is None else 16 * (k - 1))
         low, five = np.arange(n) % 4, np.arange(n) % 256
+        far_at, end = {}, shape_at + k * n_shape
+        for d in sorted(mode.far):
+            far_at[d], end = end, end + 16 * (k - d)
         z, g, h = 0.0, np.zeros(size), np.zeros((size, size))
         log_frames = {p: self.frame_weight(p) for p in range(self.first, self.first + len(self.choices))}
 
@@ -122,6 +135,10 @@ class Walk:
                 if mode.di is not None and j >= 1:
                     at += [di_at + 16 * (j - 1) + 4 * b + c for b in range(4)]
                     amount += [(low == b).astype(float) for b in range(4)]
+                for d, first in far_at.items():
+                    if j >= d:
+                        at += [first + 16 * (j - d) + 4 * b + c for b in range(4)]
+                        amount += [(self._back(d) == b).astype(float) for b in range(4)]
             if n_shape and 0 <= j - 2 < k:
                 at += [shape_at + (j - 2) * n_shape + f for f in range(n_shape)]
                 amount += list(self.shape[4 * five + c].T)

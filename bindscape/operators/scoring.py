@@ -36,9 +36,11 @@ def chunk_tables(mode: Mode) -> list[tuple[int, int, np.ndarray]]:
 
 
 def weight_term(mer: Column, mode: Mode) -> Column:
-    """Sum of nucleotide and dinucleotide weights of a k-mer column: one lookup by code for each chunk. Null for other letters."""
+    """Sum of the weights of nucleotides and pairs of a k-mer column: one lookup by code for each chunk, one for each pair further apart. Null for other letters."""
     known = F.when(mer.rlike(f"^[ACGT]{{{mode.k}}}$"), mer)
     terms = [F.element_at(F.lit(t), dna.encode_short(F.substring(known, first + 1, width)).cast("int") + 1) for first, width, t in chunk_tables(mode)]
+    pair = lambda i, j: F.concat(F.substring(known, i + 1, 1), F.substring(known, j + 1, 1))
+    terms += [F.element_at(F.lit(pairs[j]), dna.encode_short(pair(j, j + d)).cast("int") + 1) for d, pairs in mode.far.items() for j in range(mode.k - d)]
     return reduce(lambda a, b: a + b, terms)
 
 
@@ -83,8 +85,31 @@ def frame_affinities(df: DataFrame, model: Model, left: str = "", right: str = "
     return out
 
 
-def probe_weights(df: DataFrame, model: Model, left: str = "", right: str = "", seq: str = "seq", shape: DataFrame | None = None) -> DataFrame:
-    """(seq, w): sum of all frames' kappa of both strands and modes, and non-specific binding. seq must be distinct."""
+def coded_weight(model: Model, left: str, right: str, length: int, seq: str = "seq") -> Column:
+    """W of a column of probes of one length as one expression; null for other lengths and letters.
+
+    A probe becomes one number, two bits a base; a chunk of a frame is a shift and a mask of it, and a lookup of its exp(weights). The
+    reverse strand is the turned mode on the same number. Nothing is exploded, and nothing shuffled.
+    """
+    text = dna.with_flanks(F.col(seq), left, right, model.flank)
+    n = length + 2 * model.flank
+    code = F.when(F.col(seq).rlike(f"^[ACGT]{{{length}}}$"), dna.encode(text))
+    out = F.lit(0.0 if model.ns is None else float(np.exp(model.ns)))
+    for mode in (x for m in model.modes for x in (m, m.reverse_complement())):
+        tables = [(first, width, F.lit(np.exp(t))) for first, width, t in chunk_tables(mode)]
+        for frame in range(n - mode.k + 1):
+            at = lambda first, width, frame=frame: F.shiftrightunsigned(code, 2 * (n - frame - first - width)).bitwiseAND(F.lit(4**width - 1)).cast("int") + 1
+            out = out + reduce(lambda a, b: a * b, [F.element_at(t, at(first, width)) for first, width, t in tables])
+    return out
+
+
+def probe_weights(df: DataFrame, model: Model, left: str = "", right: str = "", seq: str = "seq", shape: DataFrame | None = None, length: int | None = None) -> DataFrame:
+    """(seq, w): sum of all frames' kappa of both strands and modes, and non-specific binding. seq must be distinct.
+
+    length: of all probes, where they have one; up to 32 bases with their flanks and without shape or pairs further apart, ``coded_weight`` does it.
+    """
+    if length is not None and length + 2 * model.flank <= 32 and all(m.shape is None and not m.far for m in model.modes):
+        return df.select(seq, coded_weight(model, left, right, length, seq).alias("w"))
     ns = 0.0 if model.ns is None else float(np.exp(model.ns))
     k = frame_affinities(df.select(seq), model, left, right, seq, shape)
     return k.groupBy(seq).agg((F.sum("kappa") + F.lit(ns)).alias("w"))
@@ -109,6 +134,9 @@ def kappas(x: np.ndarray, mode: Mode, shape: np.ndarray | None = None) -> np.nda
             out[:, s] += mode.nuc[j][x[:, p]]
             if mode.di is not None and j < mode.k - 1:
                 out[:, s] += mode.di[j][4 * x[:, p].astype(int) + x[:, p + 1]]
+            for d, pairs in mode.far.items():
+                if j < mode.k - d:
+                    out[:, s] += pairs[j][4 * x[:, p].astype(int) + x[:, p + d]]
             if margin:
                 five = sum(x[:, p - 2 + i].astype(int) * 4 ** (4 - i) for i in range(5))
                 out[:, s] += shape[five] @ mode.shape[j]

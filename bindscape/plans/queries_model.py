@@ -21,7 +21,7 @@ def _w(name, di=False, features=0, flank=0, ns=None, length=L, k=K):
     def run(spark, sf):
         model = toy_model(k, di, features, ns, flank)
         shape = shape_table(spark, features) if features else None
-        return scoring.probe_weights(counted(spark, sf, length), model, LEFT, RIGHT, shape=shape).select("seq", F.round("w", 6).alias("w"))
+        return scoring.probe_weights(counted(spark, sf, length), model, LEFT, RIGHT, shape=shape, length=length).select("seq", F.round("w", 6).alias("w"))
 
 
 _w("W0_nuc_flank", flank=3)
@@ -36,7 +36,7 @@ _w("W7_di_shape", di=True, features=2, length=8, k=4)
 
 @query("W8_batch_modes", f"select seq, round(sum(kappa), 6) as w from (select * from {kappa_sql(counted_sql(8), 4)} union all select * from {kappa_sql(counted_sql(8), 4, number=1)}) group by seq")
 def w8(spark, sf):
-    return scoring.probe_weights(counted(spark, sf, 8), toy_model(4, modes=2), LEFT, RIGHT).select("seq", F.round("w", 6).alias("w"))
+    return scoring.probe_weights(counted(spark, sf, 8), toy_model(4, modes=2), LEFT, RIGHT, length=8).select("seq", F.round("w", 6).alias("w"))
 
 
 @query("W9_ranker", f"select seq, strand, frame::bigint as frame, round(kappa, 6) as kappa, round(exp({background_weight_sql('seq', 2, 8)}) * (sum(kappa) over (partition by seq)), 6) as weight from {kappa_sql(counted_sql(8), 5)}")
@@ -215,8 +215,7 @@ _NET = convnet.Net(True, True, np.round(np.sin(np.arange(2 * 4 * 4)), 3).reshape
 @query("flagship_top_probes", f"select seq, cnt, round(sum(kappa), 6) as w from (select * from {kappa_sql(counted_sql(L), K)} where not ({' or '.join(f'''(length(seq) - length(replace(seq, '{b}', '')) >= 9 and instr(seq, '{b * 5}') > 0)''' for b in BASES)})) group by seq, cnt order by w desc, seq limit 20")
 def flagship(spark, sf):
     kept = probes.filter_probes(counted(spark, sf, L), 9, 5)
-    k = scoring.frame_affinities(kept, toy_model(K), LEFT, RIGHT)
-    w = k.groupBy("seq", "cnt").agg(F.round(F.sum("kappa"), 6).alias("w"))
+    w = kept.select("seq", "cnt", F.round(scoring.coded_weight(toy_model(K), LEFT, RIGHT, L), 6).alias("w"))
     return w.orderBy(F.desc("w"), "seq").limit(20).select("seq", "cnt", "w")
 
 
@@ -225,8 +224,8 @@ def _selected(spark, sf):
     from bindscape.functions import dna
 
     c = counted(spark, sf, 6)
-    w = scoring.probe_weights(c, Model([toy_mode(3)]), LEFT, RIGHT)
-    return c.join(w, "seq").withColumn("cnt", (F.col("cnt") * F.col("w") * (0.5 + dna.uniform("seq"))).cast("long")).where("cnt > 0").select("seq", "cnt")
+    w = scoring.coded_weight(Model([toy_mode(3)]), LEFT, RIGHT, 6)
+    return c.withColumn("w", w).withColumn("cnt", (F.col("cnt") * F.col("w") * (0.5 + dna.uniform("seq"))).cast("long")).where("cnt > 0").select("seq", "cnt")
 
 
 @query("O12_normal_form", "select i::bigint as i, round(w - avg(w) over (partition by i // 4), 9) as beta from (select i, ((7 * (i // 4) + 5 * (i % 4)) % 11) / 1e1 - 5e-1 as w from (select unnest(range(0, 16)) as i))")

@@ -228,3 +228,33 @@ def h4(spark, sf):
     two = fitting.add_mode(data, one, 1, _EXACT)
     data.release()
     return spark.createDataFrame([(len(f.model.modes), round(f.value, 3)) for f in (one, two)], "modes long, value double")
+
+
+def _far_mode(k: int = 5) -> Mode:
+    """A motif of single bases and of pairs two and three places apart, weights by formula."""
+    return Mode(toy_mode(k).nuc, None, None, {d: np.array([[((3 * j + 2 * x + d) % 7) / 20 - 0.15 for x in range(16)] for j in range(k - d)]) for d in (2, 3)})
+
+
+def _far_sql(mer: str, k: int = 5) -> str:
+    base = lambda i: f"(instr('ACGT', substr({mer}, {i + 1}, 1)) - 1)"
+    terms = [f"(((3 * {j} + 2 * (4 * {base(j)} + {base(j + d)}) + {d}) % 7) / 2e1 - 15e-2)" for d in (2, 3) for j in range(k - d)]
+    return f"exp(ln(kappa) + {' + '.join(terms)})"
+
+
+@query("W10_far_pairs", f"select seq, round(sum({_far_sql('mer')}), 6) as w from {kappa_sql(counted_sql(8), 5, False, 1)} group by seq")
+def w10_far(spark, sf):
+    """Pairs of bases that are no neighbours."""
+    from bindscape.operators import scoring
+
+    return scoring.probe_weights(counted(spark, sf, 8), Model([_far_mode()], None, 1), LEFT, RIGHT).select("seq", F.round("w", 6).alias("w"))
+
+
+_FAR_Z = f"(select ln(sum(exp({background_weight_sql('seq', 2, 6)}) * k) / exp({_log_z0(2, 6)})) from (select seq, sum({_far_sql('mer')}) as k from {kappa_sql(f'(select seq, 1 as cnt from {all_sql(6)})', 5)} group by seq))"
+
+
+@query("O17_far_likelihood", f"select round((select sum(cnt) from {counted_sql(6)}) * {_FAR_Z} - sum(cnt * ({background_weight_sql('seq', 2, 6)} - {_log_z0(2, 6)} + ln(w))), 3) as value from (select seq, cnt, sum({_far_sql('mer')}) as w from {kappa_sql(counted_sql(6), 5)} group by seq, cnt)")
+def o17_far(spark, sf):
+    """The likelihood with such pairs, its partition function by states of the last three bases."""
+    data = objective.Likelihood(counted(spark, sf, 6), toy_background(2, 6), cache=False)
+    return spark.createDataFrame([(round(data.value_gradient(Model([_far_mode()]))[0], 3),)], "value double")
+

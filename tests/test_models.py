@@ -408,3 +408,65 @@ def test_markov(spark):
     few = chances.where("kmer != 'AAA'")
     assert background.markov_likelihood(c, few, 3, 6).first()["unseen"] == sum("AAA" in s for s in seqs)
     assert 0 <= dict(background.markov_fit(c, c, [2], 6))[2] <= 1
+
+
+def far_mode(k=5, seed=1):
+    rng = np.random.default_rng(seed)
+    return Mode(rng.normal(0, 0.4, (k, 4)), rng.normal(0, 0.3, (k - 1, 16)), None, {d: rng.normal(0, 0.3, (k - d, 16)) for d in (2, 3)})
+
+
+def test_far_pairs(spark):
+    """Pairs at distances: scores of both paths, Z with its derivatives, and turning, against plain sums."""
+    from itertools import product
+
+    bg, mode = rand_bg(1, 5), far_mode()
+    seqs = ["".join(v) for v in product("ACGT", repeat=5)]
+    x = scoring.codes(seqs)
+    plain = [sum(mode.nuc[j]["ACGT".index(s[j])] for j in range(5)) + sum(w[j]["ACGT".index(s[j]) * 4 + "ACGT".index(s[j + d])] for d, w in {1: mode.di, **mode.far}.items() for j in range(5 - d)) for s in seqs]
+    assert np.log(scoring.kappas(x, mode)[:, 0]) == pytest.approx(plain)
+    assert mode.with_vector(mode.vector()).vector() == pytest.approx(mode.vector()) and len(Mode.zeros(5, True, 0, (3, 2)).vector()) == len(mode.vector())
+    assert scoring.kappas(x, mode.reverse_complement()) == pytest.approx(scoring.kappas(3 - x[:, ::-1], mode))
+    rows = spark.createDataFrame([(s,) for s in seqs[::50]], "seq string")
+    assert [r["w"] for r in rows.select(scoring.weight_term(F.col("seq"), mode).alias("w")).collect()] == pytest.approx(plain[::50])
+    model = Model([Mode(mode.nuc[:4], None, None, {2: mode.far[2][:2], 3: mode.far[3][:1]})], -0.5, 1)
+    z, g = partition.model_z(bg, model, None, True)
+    assert z == pytest.approx(partition.enumerated(bg, model))
+    assert g == pytest.approx(optimize.numeric_gradient(lambda v: partition.model_z(bg, model.with_vector(v)), model.vector()), rel=1e-5, abs=1e-6)
+    second = partition.model_z_hessian(bg, model)
+    assert second[1] == pytest.approx(g)
+    assert second[2] == pytest.approx(optimize.numeric_hessian(lambda v: partition.model_z(bg, model.with_vector(v), None, True)[1], model.vector()), rel=1e-4, abs=1e-5)
+    a = scoring.kappas(x[:, :4], model.modes[0])
+    assert a == pytest.approx(scoring.kappas(x[:, :4], normal_form(model.modes[0], True)))
+    with pytest.raises(ValueError):
+        Mode.zeros(4, distances=(4,))
+
+
+def test_fit_with_far_pairs_and_a_palindrome(planted):
+    """Two half sites with pairs two apart: the fit keeps the ties, turns into itself, and no tied step betters it."""
+    bg, _, df = planted
+    data = objective.Likelihood(df, bg, penalty=1e-4)
+    s = fitting.Settings(tolerance=1e-5, symmetry="AB|ba")
+    got = fitting.fit(data, Model([Mode.zeros(4, False, 0, (2,))], None, 1), s, seeded=False)
+    m = got.model.modes[0]
+    tie = fitting.tie_of(got.model, "AB|ba")
+    assert m.far[2] == pytest.approx(0, abs=1e-9)  # every pair two apart spans the barrier
+    free = fitting.fit(data, Model([Mode.zeros(4, False, 0, (2,))], None, 1), fitting.Settings(tolerance=1e-5, symmetry="ABba"), seeded=False)
+    f = free.model.modes[0]
+    assert free.value < got.value and np.abs(f.far[2]).max() > 0.01
+    assert scoring.kappas(scoring.codes(["ACGT", "TTAG", "CCGA"]), f) == pytest.approx(scoring.kappas(scoring.codes(["ACGT", "CTAA", "TCGG"]), f))
+    g = data.value_gradient(got.model)[1]
+    assert np.linalg.norm(tie.T @ g) / data.n < 1e-3
+    data.release()
+
+
+def test_coded_weights(spark):
+    rng = np.random.default_rng(2)
+    seqs = ["".join(rng.choice(list("ACGT"), 9)) for _ in range(50)]
+    df = spark.createDataFrame([(s,) for s in seqs], "seq string")
+    for model in (Model([rand_mode(7, True), rand_mode(2, seed=3)], -1.0, 3), Model([rand_mode(9)]), Model([rand_mode(12, True)], None, 2)):
+        a = {r["seq"]: r["w"] for r in scoring.probe_weights(df, model, LEFT, RIGHT, length=9).collect()}
+        b = {r["seq"]: r["w"] for r in scoring.probe_weights(df, model, LEFT, RIGHT).collect()}
+        assert a == pytest.approx(b)
+    odd = spark.createDataFrame([("ACGTACGTN",), ("ACGT",), (None,)], "seq string")
+    assert [r["w"] for r in scoring.probe_weights(odd, model, LEFT, RIGHT, length=9).collect()] == [None] * 3
+    assert "Generate" not in scoring.probe_weights(df, model, LEFT, RIGHT, length=9)._jdf.queryExecution().executedPlan().toString()
