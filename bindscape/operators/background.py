@@ -127,7 +127,7 @@ def likelihood(background: Background, x: np.ndarray, n: float) -> tuple[float,
     return n * np.log(z) - float(background.beta @ x), n * g / z - x
 
 
-def fit_background(probes: DataFrame, k: int, length: int, left: str = "", right: str = "", cnt: str = "cnt", tolerance: float = 5e-8, rounds: int = 5000) -> tuple[Background, float]:
+def fit_background(probes: DataFrame, k: int, length: int, left: str = "", right: str = "", cnt: str = "cnt", tolerance: float = 5e-8, rounds: int = 5000, search: str = "wolfe") -> tuple[Background, float]:
     """(model, likelihood). One Spark job; the optimiser runs on the driver."""
     from .optimize import lbfgs
 
@@ -138,7 +138,7 @@ def fit_background(probes: DataFrame, k: int, length: int, left: str = "", right
     def value(v):
         return likelihood(Background(v, k, length, left, right), x, n)
 
-    got = lbfgs(value, np.zeros(4**k), scale=max(n, 1.0), tolerance=tolerance, most=rounds)
+    got = lbfgs(value, np.zeros(4**k), scale=max(n, 1.0), tolerance=tolerance, most=rounds, search=search)
     beta = got.x - got.x.max()
     return Background(beta, k, length, left, right), got.value
 

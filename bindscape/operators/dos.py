@@ -188,6 +188,7 @@ def restart_log(rows: DataFrame, order: str = "i", step: str = "step") -> DataFr
     from .compare import running_sums
 
     segment = running_sums(rows.withColumn("_restart", F.col(step).isNull().cast("int")), order, ["_restart"]).withColumnRenamed("_restart_sum", "segment").drop("_restart", "_restart_all")
-    last = segment.groupBy("segment").agg(F.max(step).alias("last"))
-    before = last.withColumn("offset", F.coalesce(F.sum("last").over(Window.partitionBy(F.lit(0)).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return segment.join(before.select("segment", "offset"), "segment").where(F.col(step).isNotNull()).select(order, "segment", (F.col(step) + F.col("offset")).alias("total_step"))
+    # Segments may be as many as rows: their offsets are running sums over ranges too.
+    last = segment.groupBy("segment").agg(F.coalesce(F.max(step), F.lit(0)).cast("long").alias("last"))
+    before = running_sums(last, "segment", ["last"]).select("segment", (F.col("last_sum") - F.col("last")).alias("offset"))
+    return segment.join(before, "segment").where(F.col(step).isNotNull()).select(order, "segment", (F.col(step) + F.col("offset")).alias("total_step"))

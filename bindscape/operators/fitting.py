@@ -13,7 +13,8 @@ from dataclasses import dataclass, field, replace
 from itertools import product
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 from .objective import Ask, Likelihood
 from .optimize import Found, NotConverged, error_bars, escape, lbfgs, masked, tied, with_retries
@@ -55,6 +56,12 @@ def feasible(length: int, flank: int, k: int, shape: bool) -> bool:
     return k <= total and total + (4 if shape else 0) <= 32
 
 
+def feasible_rows(length: Column, flank: Column, k: Column, shape: Column) -> Column:
+    """feasible for columns."""
+    total = length + 2 * flank
+    return (k <= total) & (total + F.when(shape, 4).otherwise(0) <= 32)
+
+
 def tie_of(model: Model, symmetry: str | tuple[str | None, ...] | None) -> np.ndarray | None:
     """(full, free) of a whole model: a symmetry for each mode, or none. One string stands for the only mode."""
     names = (symmetry,) if isinstance(symmetry, str) else symmetry or ()

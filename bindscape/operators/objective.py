@@ -345,14 +345,12 @@ def mode_gradient(probes: DataFrame, background: Background, model: Model) -> Da
 
 
 def feature_gradient(probes: DataFrame, background: Background, model: Model) -> DataFrame:
-    """(mode, pos, base, g): sum c * kappa / W over the frames in which a base stands at a position; in SQL terms."""
-    from .scoring import frame_affinities
-
-    k = frame_affinities(probes.select("seq", "cnt"), model, background.left, background.right)
-    total = k.groupBy("seq").agg((F.sum("kappa") + F.lit(0.0 if model.ns is None else float(np.exp(model.ns)))).alias("w"))
-    share = k.join(total, "seq").withColumn("share", F.col("cnt") * F.col("kappa") / F.col("w"))
-    at = share.withColumn("pos", F.explode(F.sequence(F.lit(1), F.length("mer"))))
-    return at.withColumn("base", F.substring("mer", F.col("pos"), F.lit(1))).groupBy("mode", "pos", "base").agg(F.sum("share").alias("g"))
+    """(mode, pos, base, g): sum c * kappa / W over the frames in which a base stands at a position; a row a weight, from one scan of coded probes."""
+    g, rows, at = Likelihood(probes, background, cache=False).sums(model)[1], [], 0
+    for m, mode in enumerate(model.modes):
+        rows += [(m, p + 1, b, float(g[at + 4 * p + k])) for p in range(mode.k) for k, b in enumerate("ACGT")]
+        at += len(mode.vector())
+    return probes.sparkSession.createDataFrame(rows, "mode int, pos int, base string, g double")
 
 
 def feature_pairs(probes: DataFrame, background: Background, model: Model) -> DataFrame:

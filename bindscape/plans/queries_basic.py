@@ -8,7 +8,7 @@ from bindscape.functions import arrays, dna
 from bindscape.operators import background, probes, registry
 from bindscape.sources import reads as source
 
-from .catalog import LEFT, RIGHT, base_sql, code_sql, counted, counted_sql, folds_sql, query, rc_sql, reads, reads_sql, shape_table, shape_value_sql, table, uniform_sql
+from .catalog import LEFT, RIGHT, base_sql, code_sql, counted, counted_sql, folds_sql, query, rc_sql, reads, shape_table, shape_value_sql, table, uniform_sql
 
 L = 16
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from bindscape.operators import convnet, fitting
+from bindscape.operators import fitting
 from bindscape.sources import models, reads
 
-from .catalog import all_sql, query, reads_sql, shape_table, shape_value_sql, table, toy_background, toy_model
+from .catalog import query, reads_sql, table
 from .catalog import reads as derived_reads
 from .queries_compare import _FITS, _fits
 from .queries_more import _folder
@@ -90,53 +89,6 @@ def s12(spark, sf):
     return reads.read_ids(spark, _lines(p.select(line), spark, "ids"))
 
 
-_SHAPES = " union all ".join(f"select seq as pentamer, '{n}' as feature, round({shape_value_sql('seq', f)}, 6) as value from {all_sql(5)}" for f, n in ((0, "HelT"), (1, "HelT_2")))
-
-
-def _shape_file(spark, features):
-    t = shape_table(spark, features).groupBy("pentamer").pivot("feature_no", list(range(features))).agg(F.first("value"))
-    fields = [F.col(str(f)).cast("string") for f in range(features)]
-    line = F.concat(F.lit('"'), "pentamer", F.lit('"'), *[F.concat(F.lit(","), f, F.lit("") if k == features - 1 else F.lit(",0.5")) for k, f in enumerate(fields)], F.lit(",0.5"))
-    return _lines(spark.createDataFrame([("kmer" + ",value,sd" * features,)], "value string").union(t.select(line)), spark, "shape")
-
-
-@query("S7_shape_file", _SHAPES)
-def s7(spark, sf):
-    """Two values a 5-mer at every second field, with quotes and a heading."""
-    return reads.read_shape(spark, _shape_file(spark, 2), "HelT").select("pentamer", "feature", F.round("value", 6).alias("value"))
-
-
-@query("S13_shape_classes", f"select seq as pentamer, 0 as feature_no, 'MGW' as feature, round({shape_value_sql('seq', 0)}, 6) as value from {all_sql(5)} union all select pentamer, case feature when 'HelT' then 1 else 2 end, feature, value from ({_SHAPES})")
-def s13(spark, sf):
-    """Asked for in one order, joined in the fixed one."""
-    tables = {n: reads.read_shape(spark, _shape_file(spark, w), n) for n, w in (("HelT", 2), ("MGW", 1))}
-    return reads.choose_shapes(tables, ["HelT", "MGW"]).select("pentamer", "feature_no", "feature", F.round("value", 6).alias("value"))
-
-
-_NET_TEXT = "# bindscape 0.1\nreverse_complement = 1\nnum_detectors = 2\ndetector_len = 2\nhas_avg_pooling = 0\nnum_hidden = 0\ndetectors = " + ",".join(str(x / 4) for x in range(16)) + "\nthresholds = 0.5,-0.5\nweights1 = 1,2\nbiases1 = 0.25\nweights2 =\nbiases2 =\n"
-
-
-@query("S6_net_file", "select d::bigint as detector, j::bigint as place, b::bigint as base, (j * 8 + b * 2 + d) / 4e0 as weight from (select unnest(range(0, 2)) as d) cross join (select unnest(range(0, 2)) as j) cross join (select unnest(range(0, 4)) as b)")
-def s6(spark, sf):
-    """The detectors of a parameter file, stored with the detector fastest, then the base, then the place."""
-    path = _lines(spark.createDataFrame([(_NET_TEXT.rstrip("\n"),)], "value string"), spark, "net")
-    net = convnet.parse(spark.read.text(path, wholetext=True).first()[0])
-    return spark.createDataFrame([(int(d), int(j), int(b), float(w)) for (d, j, b), w in np.ndenumerate(net.detectors)], "detector long, place long, base long, weight double")
-
-
-@query("S8_config", "select * from (values ('flank', 'acgt'), ('k', '9'), ('lambda', '1e-6'), ('shape', null)) v(key, value)")
-def s8(spark, sf):
-    got = reads.parse_config("K = 8 # first\nlambda = 1e-6 ; small\n# k = 7\nFlank= 'acgt'\nk = 9\nshape = N/A\n", {"Shape"})
-    return spark.createDataFrame(sorted(got.items()), "key string, value string")
-
-
-@query("S9_template", "select concat('l=', n_nationkey, ' left=', upper(substr(n_name, 1, 2))) as line from nation")
-def s9(spark, sf):
-    """Longer keys first, so that LEFT does not lose its beginning to L."""
-    n = table(spark, sf, "nation").select("n_nationkey", "n_name").collect()  # 25 rows
-    return spark.createDataFrame([(reads.fill_template("l=LEN left=LENGTH_LEFT", {"LEN": r["n_nationkey"], "LENGTH_LEFT": r["n_name"][:2].upper()}),) for r in n], "line string")
-
-
 def _tsv(kind, sql):
     schema, header = reads.TSV[kind]
     names = [c.split()[0] for c in schema.split(", ")]
@@ -186,76 +138,6 @@ def _data_sets(spark, sf):
     return table(spark, sf, "nation").select("n_name", F.lit("x"), F.when(F.col("n_nationkey") % 4 != 0, F.concat("n_name", F.lit(".r0"))), F.concat("n_name", F.lit(".r1")))
 
 
-def _values_sql(train, k, mode, tag, count, value):
-    return f"select {train} as train, '{k}' as k, {mode}::bigint as mode, '{tag}' as tag, i::bigint as i, round({value}, 9) as value from (select unnest(range(0, {count})) as i)"
-
-
-def _nuc(number=0):
-    return f"((7 * (i // 4) + 5 * (i % 4) + {3 * number}) % 11) / 1e1 - 5e-1"
-
-
-_DI = "((3 * (i // 16) + 2 * (i % 16)) % 7) / 2e1 - 15e-2"
-_FIT_VALUES = " union all ".join(
-    [_values_sql("1e1", "3", 0, "NB", 12, _nuc()), _values_sql("1e1", "3", 0, "DB", 32, _DI), _values_sql("1e1", "3", 0, "NSB", 1, "-1e0"), _values_sql("1e1", "3", 0, "NE", 12, "i / 1e1"), _values_sql("1e1", "3", 0, "DE", 32, "(i + 12) / 1e1"), _values_sql("1e1", "3", 0, "NSBE", 1, "44 / 1e1")]
-    + [_values_sql("9e0", "Multi", m, "NB", 8, _nuc(m)) for m in (0, 1)]
-    + [_values_sql("9e0", "Multi", m, "NS", 8, "0e0") for m in (0, 1)]
-)
-
-
-def _toy_fits():
-    one = fitting.Fit(toy_model(3, di=True, ns=-1.0), 10.0, 1.0, 0.5, 3, 4, errors=np.arange(45) / 10, null_vectors=2)
-    return [one, fitting.Fit(toy_model(2, modes=2), 9.0, 0.9, 0.4, 2, 3, seed=np.zeros(16))]
-
-
-@query("S5_K1_model_file", _FIT_VALUES)
-def s5(spark, sf):
-    """A fit of one mode with errors and one of two with seeds, written as the exchange file and read back, a row a number."""
-    path = _folder(spark, "fits")
-    models.write_fits(spark, _toy_fits(), path)
-    rows = models.load_fits(spark, path).select(F.col("TrainL").alias("train"), "k", F.posexplode("values").alias("mode", "v"))
-    tags = F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), F.col(f"v.{t}").alias("x")) for t in models.TAGS]))
-    return rows.select("train", "k", F.col("mode").cast("long").alias("mode"), tags.alias("t")).select("train", "k", "mode", "t.tag", F.posexplode("t.x").alias("i", "value")).select("train", "k", "mode", "tag", F.col("i").cast("long").alias("i"), F.round("value", 9).alias("value"))
-
-
-_PSAM = "(select string_agg(b, '' order by p) from (select p, b, row_number() over (partition by p order by ((7 * p + 5 * (instr('ACGT', b) - 1)) % 11) desc, b) as r from (select unnest(range(0, 3)) as p) cross join (values ('A'), ('C'), ('G'), ('T')) v(b)) where r = 1)"
-
-
-@query("S5_K1_model_columns", f"select '3' as k, 0e0 as flank, true as ns, true as di, false as mg, -1e0 as ns_bind, 3e0 as steps, 4e0 as calls, 2e0 as null_vectors, {_PSAM} as psam, '1.-1' as symmetry, 1e-6 as lambda union all select 'Multi', 0, false, false, false, 0, 2, 3, null, null, '1.-1', 1e-6")
-def s5c(spark, sf):
-    path = _folder(spark, "fits")
-    models.write_fits(spark, _toy_fits(), path, {"NuSym": "1,-1", "Lambda": 1e-6})
-    t = models.load_fits(spark, path)
-    return t.select("k", F.col("Flank").alias("flank"), F.col("NS").alias("ns"), F.col("Di").alias("di"), F.col("MG").alias("mg"), F.col("NSBind").alias("ns_bind"), F.col("FitSteps").alias("steps"), F.col("FncCalls").alias("calls"), F.col("NullVectors").alias("null_vectors"), F.col("PSAM").alias("psam"), F.col("NuSym").alias("symmetry"), F.col("Lambda").alias("lambda"))
-
-
-@query("S3_K3_background_file", " union all ".join(f"select {k}::double as k, true as flank, {k}::double as train, i::bigint as i, round(((3 * i) % 13) / 2e1 - 3e-1, 9) as beta, {'i::double' if k == 2 else 'null::double'} as seed from (select unnest(range(0, {4**k})) as i)" for k in (1, 2)))
-def s3(spark, sf):
-    path = _folder(spark, "backgrounds")
-    models.write_backgrounds(spark, [(toy_background(k, 6), {"TrainL": float(k), "seed": range(16) if k == 2 else None}) for k in (1, 2)], path)
-    t = models.load_backgrounds(spark, path).select("k", F.col("isFlank").alias("flank"), F.col("TrainL").alias("train"), F.posexplode("beta").alias("i", "beta"), F.col("seed").alias("s"))
-    return t.select("k", "flank", "train", F.col("i").cast("long").alias("i"), F.round("beta", 9).alias("beta"), F.element_at("s", F.col("i") + 1).alias("seed"))
-
-
-@query("K2_fit_list", f"select 0::bigint as i, '3' as k, 2::bigint as marks, {_PSAM} as psam union all select 1, '-', 0, '-'")
-def k2(spark, sf):
-    """The rows of the list for reading: number, length, how many features, consensus."""
-    head, *rows = ([c.strip() for c in x.split(" | ")] for x in models.fit_list(_toy_fits()))
-    at = {c: i for i, c in enumerate(head)}
-    return spark.createDataFrame([(int(r[at["no"]]), r[at["k"]], sum(x != "-" for x in r[at["features"]].split("+")), r[at["psam"]]) for r in rows], "i long, k string, marks long, psam string")
-
-
-@query("K2_report", "select m::bigint * 10 + p as place, concat('mode ', m, ' position ', p) as what from (select 0 as m, unnest(range(1, 4)) as p union all select 1, unnest(range(1, 3)) union all select 2, unnest(range(1, 3)))")
-def k2r(spark, sf):
-    """One line of weights for each position of each mode in the report."""
-    out, mode = [], -1
-    for line in models.report(_toy_fits(), run={"folds": 2}).splitlines():
-        head = line.strip().split(":")[0]
-        if line.startswith("   ") and head.isdigit():
-            mode += head == "1"
-            out.append((mode * 10 + int(head), f"mode {mode} position {head}"))
-    return spark.createDataFrame(out, "place long, what string")
-
-
 _NEW = "(select k, symmetry, run, stamp + 100000000 as stamp, train - 1 as train, null::double as test from " + _FITS + " where run = 'F' and k % 2 = 0)"
 _STORED = f"(select * from {_FITS} where run = 'F' union all select * from {_NEW})"
 _MERGED = f"select k, symmetry, run, stamp, train, coalesce(test, t) as test from (select *, row_number() over (partition by k, symmetry order by stamp desc) as n, last_value(test ignore nulls) over (partition by k, symmetry, run order by stamp rows between unbounded preceding and unbounded following) as t from {_STORED}) where n = 1"
@@ -287,15 +169,3 @@ def h8(spark, sf):
     path = _lines(spark.createDataFrame([("x",)], "value string"), spark, "done")
     rows = [("there", fitting.done_already(spark, path)), ("absent", fitting.done_already(spark, path + "-not")), ("forced", fitting.done_already(spark, path, True))]
     return spark.createDataFrame(rows, "step string, skipped boolean")
-
-
-@query("F9_feasible", "select l::bigint as length, f::bigint as flank, k::bigint as k, s = 1 as shape, (k <= l + 2 * f and l + 2 * f + 4 * s <= 32) as ok from (select unnest(range(4, 31, 2)) as l) cross join (select unnest(range(0, 9)) as f) cross join (select unnest(range(2, 21, 3)) as k) cross join (select unnest(range(0, 2)) as s)")
-def f9(spark, sf):
-    rows = [(n, f, k, s, fitting.feasible(n, f, k, s)) for n in range(4, 31, 2) for f in range(9) for k in range(2, 21, 3) for s in (False, True)]
-    return spark.createDataFrame(rows, "length long, flank long, k long, shape boolean, ok boolean")
-
-
-@query("H1_grid", "select k::bigint as k, f::bigint as flank, n = 1 as ns from (select unnest(range(4, 21, 4)) as k) cross join (select unnest(range(0, 12, 3)) as f) cross join (select unnest(range(0, 2)) as n) where k <= 16 + 2 * f and 16 + 2 * f <= 32")
-def h1(spark, sf):
-    return spark.createDataFrame(fitting.grid(16, list(range(4, 21, 4)), list(range(0, 12, 3)), [False, True]), "k long, flank long, ns boolean")
-

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from bindscape.operators import convnet, fitting, objective, optimize, partition, probes, scoring
-from bindscape.operators.params import BASES, Model, Symmetry, even_odd, normal_form, normalize_modes
+from bindscape.operators import objective, probes, scoring
+from bindscape.operators.params import BASES, Model
 
-from .catalog import LEFT, RIGHT, all_sql, background_weight_sql, counted, counted_sql, frames_sql, kappa_sql, query, rc_sql, shape_table, shape_values, toy_background, toy_mode, toy_model, weight_sql
+from .catalog import LEFT, RIGHT, all_sql, background_weight_sql, counted, counted_sql, kappa_sql, query, rc_sql, shape_table, toy_background, toy_mode, toy_model, weight_sql
 
 L, K = 16, 8
 
@@ -53,44 +52,6 @@ def w10(spark, sf):
     return counted(spark, sf, 6).select("seq", F.round(bg.log_probability("seq"), 9).alias("log_p"))
 
 
-@query("J5_pi_sum", f"with w as (select exp({background_weight_sql('seq', 3, 6)}) as w from {all_sql(6)}) select round(sum(w / (select sum(w) from w)), 9) as total from w")
-def j5(spark, sf):
-    """Background probabilities of all sequences add up to 1."""
-    from bindscape.operators.dos import all_sequences
-
-    return all_sequences(spark, 6).agg(F.round(F.sum(F.exp(toy_background(3, 6).log_probability("seq"))), 9).alias("total"))
-
-
-for _k in (1, 2, 3):
-
-    @query(f"Z0_background_k{_k}", f"select round(ln(sum(exp({background_weight_sql('seq', _k, 6)}))), 9) as ln_z from {all_sql(6)}")
-    def z0(spark, sf, k=_k):
-        return spark.createDataFrame([(round(float(np.log(toy_background(k, 6).z())), 9),)], "ln_z double")
-
-
-def _z(name, di=False, features=0, flank=0, ns=None, k=3, r0=2, length=5, modes=1):
-    w = f"exp({background_weight_sql('seq', r0, length)})"
-    every = f"(select seq, {w} as pi from {all_sql(length)})"
-    kappas = " union all ".join(f"select * from {kappa_sql(every, k, di, flank, features, m, keep='seq, pi')}" for m in range(modes))
-    extra = 0 if ns is None else f"exp({ns}e0)"
-    sql = f"select round(ln((select sum(pi * kappa) from ({kappas})) / (select sum(pi) from {every}) + {extra}), 9) as ln_z"
-
-    @query(name, sql)
-    def run(spark, sf):
-        z = partition.model_z(toy_background(r0, length), toy_model(k, di, features, ns, flank, modes), shape_values(features) if features else None)
-        return spark.createDataFrame([(round(float(np.log(z)), 9),)], "ln_z double")
-
-
-_z("Z1_nuc_flank", flank=2)
-_z("Z2_nuc")
-_z("Z3_di_flank", di=True, flank=2, r0=3)
-_z("Z4_di", di=True)
-_z("Z5_shape_flank", features=2, flank=2, length=4)
-_z("Z6_shape", features=2, length=4)
-_z("Z7_di_shape_flank", di=True, features=2, flank=1, length=4)
-_z("Z8_di_shape", di=True, features=2, length=4)
-_z("Z9_modes", ns=-2, modes=2, flank=1)
-
 _W6 = f"(select seq, cnt, sum(kappa) + exp(-1e0) as w from {kappa_sql(counted_sql(6), 4)} group by seq, cnt)"
 _ZN = f"((select sum(pi * kappa) from {kappa_sql(f'''(select seq, exp({background_weight_sql('seq', 2, 6)}) as pi from {all_sql(6)})''', 4, keep='seq, pi')}) / (select sum(exp({background_weight_sql('seq', 2, 6)})) from {all_sql(6)}) + exp(-1e0))"
 _Z0 = f"(select ln(sum(exp({background_weight_sql('seq', 2, 6)}))) from {all_sql(6)})"
@@ -175,27 +136,6 @@ def m2(spark, sf):
     return scoring.peaks(s, 3, ["seq"]).select("seq", F.col("signed_pos").cast("long").alias("signed_pos"), "window", F.col("rank").cast("long").alias("rank"))
 
 
-@query("M3_best_sequence", f"select seq, round(exp({weight_sql('seq', 6, True)}), 6) as affinity from {all_sql(6)} order by {weight_sql('seq', 6, True)} desc, seq limit 1")
-def m3(spark, sf):
-    seq, a = scoring.best_sequence(toy_mode(6, True))
-    return spark.createDataFrame([(seq, round(a, 6))], "seq string, affinity double")
-
-
-@query("M4_model_info", f"with b as (select 0 as mode, max({weight_sql('seq', 5)}) as top from {all_sql(5)} union all select 1, max({weight_sql('seq', 5, number=1)}) from {all_sql(5)}) select mode::bigint as mode, 5::bigint as k, round(top - (select max(top) from b), 6) as ln_affinity from b union all select -1, 0, round(-1 - (select max(top) from b), 6)")
-def m4(spark, sf):
-    rows = [(m, k, round(a + 0.0, 6)) for m, k, a, _ in scoring.model_info(toy_model(5, ns=-1.0, modes=2))]
-    return spark.createDataFrame(rows, "mode long, k long, ln_affinity double")
-
-
-_LOGO = f"with best as (select seq from {all_sql(5)} order by {weight_sql('seq', 5, True)} desc, seq limit 1), m as (select p as pos, b as base, concat(substr(seq, 1, p - 1), b, substr(seq, p + 1)) as x from (select seq, unnest(range(1, 6)) as p from best) cross join (values ('A'), ('C'), ('G'), ('T')) v(b)) select pos, base, round({weight_sql('x', 5, True)} - avg({weight_sql('x', 5, True)}) over (partition by pos), 6) as energy from m"
-
-
-@query("M5_logo", _LOGO)
-def m5(spark, sf):
-    m = scoring.logo(toy_mode(5, True))
-    return spark.createDataFrame([(p + 1, BASES[b], round(float(m[b, p]), 6) + 0.0) for p in range(5) for b in range(4)], "pos long, base string, energy double")
-
-
 @query("M6_turned_model", f"select seq, round({weight_sql(rc_sql('seq'), 6, True)}, 9) as weight from {counted_sql(6)}")
 def m6(spark, sf):
     return counted(spark, sf, 6).select("seq", F.round(scoring.weight_term(F.col("seq"), toy_mode(6, True).reverse_complement()), 9).alias("weight"))
@@ -209,9 +149,6 @@ def j6(spark, sf):
     return at.join(F.broadcast(beta), ["pos", "base"]).groupBy("seq").agg(F.round(F.sum("beta"), 6).alias("total"))
 
 
-_NET = convnet.Net(True, True, np.round(np.sin(np.arange(2 * 4 * 4)), 3).reshape(2, 4, 4).astype(np.float32), np.array([0.1, -0.2], np.float32), np.array([1, 0.5, -0.25, 2], np.float32), np.array([0.3], np.float32), np.array([], np.float32), np.array([], np.float32))
-
-
 @query("flagship_top_probes", f"select seq, cnt, round(sum(kappa), 6) as w from (select * from {kappa_sql(counted_sql(L), K)} where not ({' or '.join(f'''(length(seq) - length(replace(seq, '{b}', '')) >= 9 and instr(seq, '{b * 5}') > 0)''' for b in BASES)})) group by seq, cnt order by w desc, seq limit 20")
 def flagship(spark, sf):
     kept = probes.filter_probes(counted(spark, sf, L), 9, 5)
@@ -226,24 +163,3 @@ def _selected(spark, sf):
     c = counted(spark, sf, 6)
     w = scoring.coded_weight(Model([toy_mode(3)]), LEFT, RIGHT, 6)
     return c.withColumn("w", w).withColumn("cnt", (F.col("cnt") * F.col("w") * (0.5 + dna.uniform("seq"))).cast("long")).where("cnt > 0").select("seq", "cnt")
-
-
-@query("O12_normal_form", "select i::bigint as i, round(w - avg(w) over (partition by i // 4), 9) as beta from (select i, ((7 * (i // 4) + 5 * (i % 4)) % 11) / 1e1 - 5e-1 as w from (select unnest(range(0, 16)) as i))")
-def o12(spark, sf):
-    """Without non-specific binding every position's mean is free."""
-    return spark.createDataFrame([(i, round(float(x), 9) + 0.0) for i, x in enumerate(normal_form(toy_mode(4)).vector())], "i long, beta double")
-
-
-_W13 = "(select i, i // 16 as mode, i % 16 // 4 as p, ((7 * (i % 16 // 4) + 5 * (i % 4) + 3 * (i // 16)) % 11) / 1e1 - 5e-1 as w from (select unnest(range(0, 32)) as i))"
-
-
-@query("O13_normalized_modes", f"with w as {_W13}, m as (select mode, p, max(w) as top from w group by mode, p), t as (select mode, sum(top) as t from m group by mode) select i::bigint as i, round(w - top + (t - (select max(t) from t)) / 4, 9) as beta from w join m using (mode, p) join t using (mode) union all select 32, round(-1 - (select max(t) from t), 9)")
-def o13(spark, sf):
-    m = normalize_modes(toy_model(4, ns=-1.0, modes=2))
-    return spark.createDataFrame([(i, round(float(x), 9) + 0.0) for i, x in enumerate(m.vector())], "i long, beta double")
-
-
-@query("O16_symmetry", "select f::bigint as full, case when p < 2 then f when p = 2 then 8 + least(b, 3 - b) else 4 * (4 - p) + 3 - b end::bigint as free from (select f, f // 4 as p, f % 4 as b from (select unnest(range(0, 20)) as f))")
-def o16(spark, sf):
-    tie = Symmetry(even_odd(5)).tie(toy_mode(5))
-    return spark.createDataFrame([(i, int(np.flatnonzero(r)[0])) for i, r in enumerate(tie)], "full long, free long")
\ No newline at end of file

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from bindscape.operators import background, fitting, objective, probes, registry, scoring
-from bindscape.operators.params import Mode, Model
-from bindscape.sources import models, reads
 
-from .catalog import LEFT, RIGHT, all_sql, counted, counted_sql, query, table, toy_background, toy_mode, toy_model, weight_sql
+from .catalog import all_sql, counted, counted_sql, query, table, toy_background, toy_mode, weight_sql
 from .queries_model import _selected
 
 

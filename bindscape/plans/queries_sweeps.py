@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from bindscape.operators import fitting, objective, probes
 from bindscape.operators.params import Mode, Model
 
-from .catalog import LEFT, RIGHT, all_sql, background_weight_sql, counted, counted_sql, folds_sql, kappa_sql, query, toy_background, toy_mode, toy_model, uniform_sql
+from .catalog import LEFT, RIGHT, SQL, all_sql, background_weight_sql, counted, counted_sql, folds_sql, kappa_sql, query, toy_background, toy_mode, toy_model, uniform_sql
 from .queries_model import _selected
 
 
@@ -71,6 +71,54 @@ def a10_hessian(spark, sf):
     return spark.createDataFrame([(i, j, round(float(v), 3) + 0.0) for (i, j), v in np.ndenumerate(h)], "i long, j long, h double")
 
 
+_H_SQL = SQL["A10_hessian"]
+
+
+@query("K5_likelihood_hessian", f"select 0::bigint as fit, i, j, h as value from ({_H_SQL})")
+def k5_hessian(spark, sf):
+    """The second derivatives of a likelihood as the table that a fit leaves."""
+    from bindscape.sources import models
+
+    h = objective.Likelihood(counted(spark, sf, 6), toy_background(2, 6), cache=False).hessian(toy_model(3, ns=-1.0, flank=1))
+    t = models.hessian_table(spark, [h])
+    return t.select(*[F.col(c).cast("long").alias(c) for c in ("fit", "i", "j")], (F.round("value", 3) + 0.0).alias("value"))
+
+
+_SLOPES = _H_SQL[: _H_SQL.index(" ij as (")] + " g as (select i, sum(cnt * d / w) as d from d1 join w using (seq) group by i)"
+
+
+@query("O10_likelihood_slopes", f"{_SLOPES} select z1.i::bigint as i, round((select sum(cnt) from w) * z1.d / z - coalesce(g.d, 0), 2) + 0 as slope from z1 cross join z left join g on g.i = z1.i")
+def o10(spark, sf):
+    """Central differences of a likelihood by all of its parameters, from one scan, against its gradient."""
+    data, model, step = objective.Likelihood(counted(spark, sf, 6), toy_background(2, 6), cache=False), toy_model(3, ns=-1.0, flank=1), 1e-4
+    e = np.eye(13) * step
+    values = [v for v, _ in data.values_gradients([model.with_vector(model.vector() + s * e[i]) for i in range(13) for s in (1, -1)])]
+    return spark.createDataFrame([(i, round((values[2 * i] - values[2 * i + 1]) / (2 * step), 2) + 0.0) for i in range(13)], "i long, slope double")
+
+
+def _kmers(k: int) -> str:
+    return f"(select kmer, sum(cnt)::double as n from (select cnt, substr(t, i, {k}) as kmer from (select cnt, t, unnest(range(1, length(t) - {k - 2})) as i from (select cnt, concat('{LEFT[-(k - 1) :]}', seq, '{RIGHT[: k - 1]}') as t from {counted_sql(8)}))) group by kmer)"
+
+
+def _kmer_fit(name: str, search: str):
+    @query(name, f"select kmer, n from {_kmers(4)}")
+    def run(spark, sf):
+        """256 weights: at the optimum the 4-mer counts that the model expects are those observed."""
+        from bindscape.operators import background
+
+        c = counted(spark, sf, 8)
+        model, _ = background.fit_background(c, 4, 8, LEFT, RIGHT, tolerance=1e-9, search=search)
+        z, g = model.z_gradient()
+        n = float(c.agg(F.sum("cnt")).first()[0])
+        seen = background.count_vector(background.kmer_counts(c, 4, LEFT, RIGHT), 4) > 0
+        names = ["".join("ACGT"[i >> 2 * j & 3] for j in (3, 2, 1, 0)) for i in range(256)]
+        return spark.createDataFrame([(m, round(float(x)) + 0.0) for m, x, s in zip(names, n * g / z, seen, strict=True) if s], "kmer string, n double")
+
+
+_kmer_fit("O2_kmer_fit", "more_thuente")
+_kmer_fit("O3_kmer_fit", "wolfe")
+
+
 def _product(turned: bool) -> str:
     total = "(" + " + ".join(f"exp({((3 * b) % 13) / 20 - 0.3:.2f})" for b in range(4)) + ")"
     each = ["(" + " + ".join(f"exp({((3 * b) % 13) / 20 - 0.3:.2f}) * exp({((7 * j + 5 * (3 - b if turned else b)) % 11) / 10 - 0.5:.1f})" for b in range(4)) + f") / {total}" for j in range(8)]

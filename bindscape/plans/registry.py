@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import queries_basic, queries_compare, queries_files, queries_fits, queries_model, queries_more, queries_sweeps  # noqa: F401  each registers its queries
+from . import queries_basic, queries_compare, queries_files, queries_fits, queries_model, queries_more, queries_reads, queries_sweeps  # noqa: F401  each registers its queries
 from .catalog import QUERIES, SQL
 
 

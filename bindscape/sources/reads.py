@@ -8,7 +8,7 @@ from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -254,3 +254,11 @@ def fill_template(template: str, values: dict[str, str]) -> str:
     for key in sorted(values, key=len, reverse=True):
         template = template.replace(key, str(values[key]))
     return template
+
+
+def filled_template(template: str, values: dict[str, Column]) -> Column:
+    """fill_template with columns: a text for each row, by one expression."""
+    out = F.lit(template)
+    for key in sorted(values, key=len, reverse=True):
+        out = F.replace(out, F.lit(key), values[key].cast("string"))
+    return out
