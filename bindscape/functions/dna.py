@@ -89,11 +89,11 @@ def longest_run(seq: Column | str, base: str) -> Column:
 
 
 def is_repetitive(seq: Column | str, count: int, run: int) -> Column:
-    """Some base comes count times or more and also run times or more in a row."""
-    s, out = _col(seq), F.lit(False)
-    for b in BASES:
-        out = out | ((base_count(s, b) >= count) & (F.instr(s, b * run) > 0))
-    return out
+    """Some base comes count times or more and also run times or more in a row.
+
+    One expression that names the sequence once: as a filter it may be moved to where the sequence is still to be worked out.
+    """
+    return _col(seq).rlike("(?s)^(?:" + "|".join(f"(?=(?:[^{b}]*{b}){{{count}}}).*{b}{{{run}}}" for b in BASES) + ")")
 
 
 def matches_any(seq: Column | str, patterns: list[str]) -> Column:

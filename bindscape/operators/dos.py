@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bindscape.functions import dna
@@ -87,13 +87,20 @@ class Additive:
         hit = np.flatnonzero(total)
         return hit + low, total[hit]
 
-    def score(self, seq: Column, before: str, behind: str, grain: float) -> Column:
-        """The score of a sequence column in units of grain. before: the bases that ``start`` stands for (one A for a mode); behind: fixed ones."""
-        text, width = F.concat(F.lit(before), seq, F.lit(behind)), 1 + (len(self.start).bit_length() - 1) // 2
-        out = F.lit(0).cast("long")
+    def with_score(self, df: DataFrame, before: str, behind: str, grain: float, seq: str = "seq", out: str = "q") -> DataFrame:
+        """df with the score of a sequence column in units of grain. before: the bases that ``start`` stands for (one A for a mode); behind: fixed ones.
+
+        Up to 32 bases with both are coded once as one number, of which each step looks up a shifted part; longer ones are cut as texts.
+        """
+        width = 1 + (len(self.start).bit_length() - 1) // 2
+        text, n = F.concat(F.lit(before), F.col(seq), F.lit(behind)), len(self.steps) + width - 1
+        name = next(x for x in (f"code_{k}" for k in range(1000)) if x not in df.columns)
+        coded = df.withColumn(name, dna.encode(text) if n <= 32 else text)
+        total = F.lit(0).cast("long")
         for i, units in enumerate(self.units(grain)):
-            out = out + F.element_at(F.lit(units.reshape(-1).tolist()), dna.encode_short(F.substring(text, i + 1, width)).cast("int") + 1)
-        return out
+            at = F.shiftrightunsigned(name, 2 * (n - i - width)).bitwiseAND(F.lit(4**width - 1)) if n <= 32 else dna.encode_short(F.substring(name, i + 1, width))
+            total = total + F.get(F.lit(units.reshape(-1).tolist()), at.cast("int"))
+        return coded.withColumn(out, total).drop(name)
 
 
 def density_of_probes(probes: DataFrame, score: Additive, grain: float, before: str = "", behind: str = "", cnt: str = "cnt") -> DataFrame:
@@ -103,10 +110,10 @@ def density_of_probes(probes: DataFrame, score: Additive, grain: float, before:
     """
     spark = probes.sparkSession
     q, states = score.density(grain)
-    reads = probes.select(score.score(F.col("seq"), before, behind, grain).alias("q"), F.col(cnt).alias("c")).groupBy("q").agg(F.sum("c").cast("long").alias("reads"))
+    reads = score.with_score(probes.select("seq", F.col(cnt).alias("c")), before, behind, grain).groupBy("q").agg(F.sum("c").cast("long").alias("reads"))
     all_ = spark.createDataFrame(list(zip(q.tolist(), states.tolist(), strict=True)), "q long, states double")
-    total = reads.agg(F.sum("reads").alias("n"))
-    both = all_.join(reads, "q", "left").crossJoin(F.broadcast(total))
+    # A row for each score, so the total is a window over few rows.
+    both = all_.join(reads, "q", "left").withColumn("n", F.sum("reads").over(Window.partitionBy()))
     ratio = F.ln(F.col("reads") / F.col("n")) - F.ln(F.col("states") / F.lit(float(states.sum())))
     return both.select("q", F.coalesce("reads", F.lit(0)).alias("reads"), "states", ratio.alias("ln_ratio"))
 

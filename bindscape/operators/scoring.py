@@ -85,31 +85,31 @@ def frame_affinities(df: DataFrame, model: Model, left: str = "", right: str = "
     return out
 
 
-def coded_weight(model: Model, left: str, right: str, length: int, seq: str = "seq") -> Column:
-    """W of a column of probes of one length as one expression; null for other lengths and letters.
+def with_coded_weight(df: DataFrame, model: Model, left: str, right: str, length: int, seq: str = "seq", out: str = "w") -> DataFrame:
+    """df with W of probes of one length in a column named out; null for other lengths and letters.
 
-    A probe becomes one number, two bits a base; a chunk of a frame is a shift and a mask of it, and a lookup of its exp(weights). The
-    reverse strand is the turned mode on the same number. Nothing is exploded, and nothing shuffled.
+    A probe becomes one number, two bits a base, in a projection of its own, so that it is worked out once; a chunk of a frame is a
+    shift and a mask of it, and a lookup of its exp(weights). The reverse strand is the turned mode on the same number. Nothing is exploded or shuffled.
     """
-    text = dna.with_flanks(F.col(seq), left, right, model.flank)
     n = length + 2 * model.flank
-    code = F.when(F.col(seq).rlike(f"^[ACGT]{{{length}}}$"), dna.encode(text))
-    out = F.lit(0.0 if model.ns is None else float(np.exp(model.ns)))
+    name = next(x for x in (f"code_{k}" for k in range(1000)) if x not in df.columns)
+    coded = df.withColumn(name, F.when(F.col(seq).rlike(f"^[ACGT]{{{length}}}$"), dna.encode(dna.with_flanks(F.col(seq), left, right, model.flank))))
+    total = F.lit(0.0 if model.ns is None else float(np.exp(model.ns)))
     for mode in (x for m in model.modes for x in (m, m.reverse_complement())):
         tables = [(first, width, F.lit(np.exp(t))) for first, width, t in chunk_tables(mode)]
         for frame in range(n - mode.k + 1):
-            at = lambda first, width, frame=frame: F.shiftrightunsigned(code, 2 * (n - frame - first - width)).bitwiseAND(F.lit(4**width - 1)).cast("int") + 1
-            out = out + reduce(lambda a, b: a * b, [F.element_at(t, at(first, width)) for first, width, t in tables])
-    return out
+            at = lambda first, width, frame=frame: F.shiftrightunsigned(name, 2 * (n - frame - first - width)).bitwiseAND(F.lit(4**width - 1)).cast("int")
+            total = total + reduce(lambda a, b: a * b, [F.get(t, at(first, width)) for first, width, t in tables])
+    return coded.withColumn(out, total).drop(name)
 
 
 def probe_weights(df: DataFrame, model: Model, left: str = "", right: str = "", seq: str = "seq", shape: DataFrame | None = None, length: int | None = None) -> DataFrame:
     """(seq, w): sum of all frames' kappa of both strands and modes, and non-specific binding. seq must be distinct.
 
-    length: of all probes, where they have one; up to 32 bases with their flanks and without shape or pairs further apart, ``coded_weight`` does it.
+    length: of all probes, where they have one; up to 32 bases with their flanks and without shape or pairs further apart, ``with_coded_weight`` does it.
     """
     if length is not None and length + 2 * model.flank <= 32 and all(m.shape is None and not m.far for m in model.modes):
-        return df.select(seq, coded_weight(model, left, right, length, seq).alias("w"))
+        return with_coded_weight(df.select(seq), model, left, right, length, seq)
     ns = 0.0 if model.ns is None else float(np.exp(model.ns))
     k = frame_affinities(df.select(seq), model, left, right, seq, shape)
     return k.groupBy(seq).agg((F.sum("kappa") + F.lit(ns)).alias("w"))

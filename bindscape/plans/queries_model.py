@@ -152,7 +152,7 @@ def j6(spark, sf):
 @query("flagship_top_probes", f"select seq, cnt, round(sum(kappa), 6) as w from (select * from {kappa_sql(counted_sql(L), K)} where not ({' or '.join(f'''(length(seq) - length(replace(seq, '{b}', '')) >= 9 and instr(seq, '{b * 5}') > 0)''' for b in BASES)})) group by seq, cnt order by w desc, seq limit 20")
 def flagship(spark, sf):
     kept = probes.filter_probes(counted(spark, sf, L), 9, 5)
-    w = kept.select("seq", "cnt", F.round(scoring.coded_weight(toy_model(K), LEFT, RIGHT, L), 6).alias("w"))
+    w = scoring.with_coded_weight(kept, toy_model(K), LEFT, RIGHT, L).withColumn("w", F.round("w", 6))
     return w.orderBy(F.desc("w"), "seq").limit(20).select("seq", "cnt", "w")
 
 
@@ -160,6 +160,5 @@ def _selected(spark, sf):
     """Probes that a planted motif favours: a read stays with a chance that rises with its affinity."""
     from bindscape.functions import dna
 
-    c = counted(spark, sf, 6)
-    w = scoring.coded_weight(Model([toy_mode(3)]), LEFT, RIGHT, 6)
-    return c.withColumn("w", w).withColumn("cnt", (F.col("cnt") * F.col("w") * (0.5 + dna.uniform("seq"))).cast("long")).where("cnt > 0").select("seq", "cnt")
+    c = scoring.with_coded_weight(counted(spark, sf, 6), Model([toy_mode(3)]), LEFT, RIGHT, 6)
+    return c.withColumn("cnt", (F.col("cnt") * F.col("w") * (0.5 + dna.uniform("seq"))).cast("long")).where("cnt > 0").select("seq", "cnt")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from bindscape.operators import background, fitting, objective, probes, registry, scoring
+from bindscape.sources import reads
 
 from .catalog import all_sql, counted, counted_sql, query, table, toy_background, toy_mode, weight_sql
 from .queries_model import _selected
