@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dna import uniform
+
 
 def _c(a: Column | str) -> Column:
     return (F.col(a) if isinstance(a, str) else a).cast("array<double>")
@@ -147,3 +149,40 @@ def shift_left(a, by: int) -> Column:
 def shift_right(a, by: int) -> Column:
     arr = _c(a)
     return F.concat(F.array_repeat(F.lit(0.0), F.least(F.lit(by), F.size(arr))), F.slice(arr, 1, F.greatest(F.size(arr) - by, F.lit(0))))
+
+
+def _places(n: Column | int) -> Column:
+    """0 .. n - 1; empty for 0 and null."""
+    n = F.coalesce(F.lit(n) if isinstance(n, int) else n, F.lit(0)).cast("int")
+    return F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1))), F.lit(1), F.greatest(n, F.lit(0)))
+
+
+def _rows(rows: Column | str) -> Column:
+    return (F.col(rows) if isinstance(rows, str) else rows).cast("array<array<double>>")
+
+
+def matrix(a, width: int) -> Column:
+    """Rows of `width` values, in order; what is left over at the end is dropped."""
+    arr = _c(a)
+    return F.transform(_places(F.floor(F.size(arr) / width)), lambda i: F.slice(arr, i * width + 1, F.lit(width)))
+
+
+def transpose(rows) -> Column:
+    """Columns as rows; values that a short row lacks are null."""
+    m = _rows(rows)
+    return F.transform(_places(F.size(F.get(m, F.lit(0)))), lambda j: F.transform(m, lambda r: F.get(r, j)))
+
+
+def symmetrize(rows) -> Column:
+    """The mean of a square matrix and its transpose."""
+    return F.zip_with(_rows(rows), transpose(rows), lambda r, c: F.zip_with(r, c, lambda x, y: (x + y) / 2))
+
+
+def printed(a, digits: int = 4) -> Column:
+    """Values with so many decimals, as "[x, y]"."""
+    return F.concat(F.lit("["), F.array_join(F.transform(_c(a), lambda x: F.format_string(f"%.{digits}f", x)), ", "), F.lit("]"))
+
+
+def random(n: int, low: float, high: float, *key: Column | str) -> Column:
+    """n numbers in [low, high) that the key gives: the same wherever and whenever they are made."""
+    return F.transform(_places(n), lambda i: F.lit(float(low)) + F.lit(float(high - low)) * uniform(*key, i))

@@ -32,14 +32,32 @@ def histogram(values: DataFrame, breaks: list[float], value: str = "score", weig
     return every.join(counted, "bin", "left").select("bin", "edge", F.coalesce("n", F.lit(0.0)).alias("n"))
 
 
-def trapezoid(points: DataFrame, x: str = "x", y: str = "y", by: list[str] | None = None) -> DataFrame:
-    """(by, area) under y over rising x."""
+def trapezoid(points: DataFrame, x: str = "x", y: str = "y", by: list[str] | None = None, ranges: bool = False) -> DataFrame:
+    """(by, area) under y over rising x; the x of a group differ.
+
+    ranges: a group may have more points than one task should order. They are dealt to ranges of x, which meet at their first and
+    last points.
+    """
     by = by or []
+    if ranges:
+        line = points.where(F.col(x).isNotNull())
+        line = line.select(*by, F.col(x).alias("_x"), F.col(y).alias("_low"), F.col(y).alias("_high"), bucket_of(line, x).alias("_range"))
+        return _area(line, by).groupBy(*by).agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("area"))
     w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(x)
     steps = points.select(*by, ((F.col(y) + F.lag(y).over(w)) / 2 * (F.col(x) - F.lag(x).over(w))).alias("a"))
     return steps.groupBy(*by).agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("area"))
 
 
+def _area(line: DataFrame, by: list[str]) -> DataFrame:
+    """(by, a): parts of the area under a line (by, _x, _low, _high, _range) that comes to each _x at _low and leaves it at _high."""
+    area = lambda low, high, x, w: (F.col(low) + F.lag(high).over(w)) / 2 * (F.col(x) - F.lag(x).over(w))
+    inside = line.select(*by, area("_low", "_high", "_x", Window.partitionBy(*by, "_range").orderBy("_x")).alias("a"))
+    ends = line.groupBy(*by, "_range").agg(F.min_by(F.struct("_x", "_low"), "_x").alias("first"), F.max_by(F.struct("_x", "_high"), "_x").alias("last"))
+    w = Window.partitionBy(*by).orderBy("_range")
+    across = ends.select(*by, ((F.col("first._low") + F.lag("last._high").over(w)) / 2 * (F.col("first._x") - F.lag("last._x").over(w))).alias("a"))
+    return inside.union(across)
+
+
 def enrichment(bins: DataFrame, r0: str = "r0", r1: str = "r1", predicted: str = "edge") -> DataFrame:
     """Observed log enrichment against a prediction: offset, rmse, rmse50 (bins with more than 50 in both), low, high.
 
@@ -89,34 +107,41 @@ def bucket_of(df: DataFrame, column: str, each: int = 32) -> Column:
     return row * (each + 1) + F.size(F.filter(inner, lambda e: e < v))
 
 
-def running_sums(df: DataFrame, column: str, values: list[str], descending: bool = False) -> DataFrame:
-    """df (one row for each value of column) with <value>_sum, summed up to and with the row in the order of column, and <value>_all.
+def running_sums(df: DataFrame, column: str, values: list[str], descending: bool = False, by: list[str] | None = None) -> DataFrame:
+    """df (one row for each value of column in a group) with <value>_sum, summed up to and with the row in the order of column, and <value>_all.
 
-    Rows are dealt to ranges of the column; sums inside a range meet sums of the ranges before it, of which there are about a
-    thousand. No task sees more than one range.
+    Rows are dealt to ranges of the column; sums inside a range meet sums of its group's ranges before it, of which there are about a
+    thousand. No task sees more than one range of a group.
     """
+    by = by or []
     at = df.withColumn("_bucket", bucket_of(df, column))
     order = F.desc if descending else F.asc
-    sums = at.groupBy("_bucket").agg(*[F.sum(v).alias(f"_{v}") for v in values])
-    before = Window.orderBy(order("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(F.lit(0))
-    sums = sums.select("_bucket", *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}_before") for v in values], *[F.sum(f"_{v}").over(every).alias(f"{v}_all") for v in values])
-    inside = Window.partitionBy("_bucket").orderBy(order(column)).rowsBetween(Window.unboundedPreceding, 0)
-    at = at.select("*", *[F.sum(v).over(inside).alias(f"_{v}_in") for v in values]).join(F.broadcast(sums), "_bucket")
+    sums = at.groupBy(*by, "_bucket").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    before = Window.partitionBy(*by).orderBy(order("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    keys = [F.col(c).alias(f"_by_{c}") for c in by]
+    sums = sums.select(*keys, F.col("_bucket").alias("_at"), *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}_before") for v in values], *[F.sum(f"_{v}").over(every).alias(f"{v}_all") for v in values])
+    inside = Window.partitionBy(*by, "_bucket").orderBy(order(column)).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("_bucket") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    at = at.select("*", *[F.sum(v).over(inside).alias(f"_{v}_in") for v in values]).join(sums if by else F.broadcast(sums), same)
     return at.select(*df.columns, *[(F.col(f"_{v}_before") + F.col(f"_{v}_in")).alias(f"{v}_sum") for v in values], *[f"{v}_all" for v in values])
 
 
-def _sums_down(scored: DataFrame, score: str, label: str) -> tuple[DataFrame, int]:
-    """((score, p, q, p_sum, q_sum, p_all, q_all), n): positives and others at each score, and from the top down to it; n scores.
+def _sums_down(scored: DataFrame, score: str, label: str, by: list[str] | None = None) -> tuple[DataFrame, int]:
+    """((by, score, p, q, p_sum, q_sum, p_all, q_all), n): positives and others at each score, and from the top down to it; n scores.
 
-    Scores are counted first. Up to SMALL of them, one row each, are one task's window; more go over ranges.
+    Scores are counted first. Up to SMALL of them, one row each, are windows of the groups; more go over ranges.
     """
+    by = by or []
     pos = F.when(F.col(label) > 0, 1).otherwise(0)
-    at = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(pos).alias("p"), F.sum(1 - pos).alias("q"))
+    at = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum(pos).alias("p"), F.sum(1 - pos).alias("q"))
     n = at.count()
     if n > SMALL:
-        return running_sums(at, "score", ["p", "q"], True), n
-    down, every = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+        return running_sums(at, "score", ["p", "q"], True, by), n
+    every = Window.partitionBy(*by)
+    down = every.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     return at.select("*", *[F.sum(c).over(down).alias(f"{c}_sum") for c in "pq"], *[F.sum(c).over(every).alias(f"{c}_all") for c in "pq"]), n
 
 
@@ -129,47 +154,34 @@ def roc(scored: DataFrame, score: str = "score", label: str = "label", by: list[
     """(by, score, fpr, tpr) at each different score as a threshold, and the point (0, 0).
 
     Labels above 0 are positive. Rows are summed by score first, so the running sum sees one row for each score; tied
-    rows share a point. Without by, running sums go over ranges of scores, so that no task sees all of them.
+    rows share a point. Many scores go over ranges, so that no task sees all of them, nor all of one group.
     """
     by = by or []
+    at, n = _sums_down(scored, score, label, by)
+    share = lambda c: F.try_divide(F.col(f"{c}_sum"), F.col(f"{c}_all"))
+    points = at.select(*by, "score", share("q").alias("fpr"), share("p").alias("tpr"))
     if not by:
-        at, n = _sums_down(scored, score, label)
-        share = lambda c: F.try_divide(F.col(f"{c}_sum"), F.col(f"{c}_all"))
-        points = at.select("score", share("q").alias("fpr"), share("p").alias("tpr"))
         return points.union(scored.sparkSession.createDataFrame([(None, 0.0, 0.0)] if n else [], points.schema))
-    pos = F.when(F.col(label) > 0, 1).otherwise(0)
-    at = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.sum(pos).alias("p"), F.sum(1 - pos).alias("q"))
-    part = Window.partitionBy(*by)
-    up, whole = part.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0), part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ratio = lambda c: F.try_divide(F.sum(c).over(up), F.sum(c).over(whole))
-    points = at.select(*by, F.col(score).cast("double").alias("score"), ratio("q").alias("fpr"), ratio("p").alias("tpr"))
-    zero = points.select(*by, F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")).distinct()
+    zero = at.select(*by).distinct().select(*by, F.lit(None).cast("double").alias("score"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.unionByName(zero)
 
 
-def auroc_of(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """(auroc): the chance that a positive scores above another, ties counting half; the area under the points of roc, straight from the sums by score."""
-    at, _ = _sums_down(scored, score, label)
+def auroc_of(scored: DataFrame, score: str = "score", label: str = "label", by: list[str] | None = None) -> DataFrame:
+    """(by, auroc): the chance that a positive scores above another, ties counting half; the area under the points of roc, straight from the sums by score."""
+    at, _ = _sums_down(scored, score, label, by)
     won = F.sum(F.col("q") * (F.col("p_sum") - F.col("p") / 2))
-    return at.agg(F.try_divide(won, F.max("p_all") * F.max("q_all").cast("double")).alias("auroc"))
+    return at.groupBy(*(by or [])).agg(F.try_divide(won, F.max("p_all") * F.max("q_all").cast("double")).alias("auroc"))
 
 
 def auroc(points: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, auroc): area under the points of roc."""
     by = by or []
-    if not by:
-        # Points of one fpr are a vertical line without area; ranges of fpr meet at their first and last points.
-        line = points.where("fpr is not null and tpr is not null").groupBy("fpr").agg(F.min("tpr").alias("low"), F.max("tpr").alias("high"))
-        line = line.withColumn("range", F.floor(F.col("fpr") * 1024))
-        area = lambda w: (F.col("low") + F.lag("high").over(w)) / 2 * (F.col("fpr") - F.lag("fpr").over(w))
-        inside = line.select(area(Window.partitionBy("range").orderBy("fpr")).alias("a"))
-        ends = line.groupBy("range").agg(F.min_by(F.struct("fpr", "low"), "fpr").alias("first"), F.max_by(F.struct("fpr", "high"), "fpr").alias("last"))
-        w = Window.orderBy("range")
-        across = ends.select(((F.col("first.low") + F.lag("last.high").over(w)) / 2 * (F.col("first.fpr") - F.lag("last.fpr").over(w))).alias("a"))
-        return inside.union(across).agg(F.sum("a").alias("auroc"))
-    w = Window.partitionBy(*by).orderBy("fpr", "tpr")
-    step = (F.col("tpr") + F.lag("tpr").over(w)) / 2 * (F.col("fpr") - F.lag("fpr").over(w))
-    return points.select(*by, step.alias("a")).groupBy(*by).agg(F.sum("a").alias("auroc"))
+    # Points of one fpr are a vertical line without area.
+    line = points.where("fpr is not null and tpr is not null").groupBy(*by, F.col("fpr").alias("_x")).agg(F.min("tpr").alias("_low"), F.max("tpr").alias("_high"))
+    parts = _area(line.withColumn("_range", F.floor(F.col("_x") * 1024)), by)
+    if by:  # groups of one label alone stay, without an area
+        parts = parts.union(points.select(*by, F.lit(None).cast("double").alias("a")))
+    return parts.groupBy(*by).agg(F.sum("a").alias("auroc"))
 
 
 def masked_mean_min(df: DataFrame, value: str, mask: Column, by: list[str] | None = None) -> DataFrame:
@@ -205,5 +217,5 @@ def density_table(named: dict[str, DataFrame]) -> DataFrame:
 
 def per_protein(scored: DataFrame, protein: str = "protein") -> DataFrame:
     """(protein, n, auroc): one plan grouped by protein instead of a loop."""
-    area = auroc(roc(scored, by=[protein]), [protein])
+    area = auroc_of(scored, by=[protein])
     return scored.groupBy(protein).agg(F.count(F.lit(1)).alias("n")).join(area, protein)

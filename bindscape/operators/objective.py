@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindscape.functions import dna
@@ -354,12 +354,18 @@ def feature_gradient(probes: DataFrame, background: Background, model: Model) ->
 
 
 def feature_pairs(probes: DataFrame, background: Background, model: Model) -> DataFrame:
-    """(mode, pos1, base1, pos2, base2, h): sum c * kappa / W over frames that hold both features, pos1 <= pos2."""
+    """(mode, pos1, base1, pos2, base2, h): sum c * kappa / W over frames that hold both features, pos1 <= pos2.
+
+    A frame gives a row for each pair of its blocks of four bases; those are added up by their letters, in at most 4^8 sums for a pair
+    of blocks, before single positions are named.
+    """
     from .scoring import frame_affinities
 
     k = frame_affinities(probes.select("seq", "cnt"), model, background.left, background.right)
-    total = k.groupBy("seq").agg((F.sum("kappa") + F.lit(0.0 if model.ns is None else float(np.exp(model.ns)))).alias("w"))
-    share = k.join(total, "seq").withColumn("share", F.col("cnt") * F.col("kappa") / F.col("w"))
-    one = share.withColumn("pos1", F.explode(F.sequence(F.lit(1), F.length("mer")))).withColumn("pos2", F.explode(F.sequence(F.col("pos1"), F.length("mer"))))
-    at = lambda p: F.substring("mer", F.col(p), F.lit(1))
-    return one.select("mode", "pos1", at("pos1").alias("base1"), "pos2", at("pos2").alias("base2"), "share").groupBy("mode", "pos1", "base1", "pos2", "base2").agg(F.sum("share").alias("h"))
+    w = F.sum("kappa").over(Window.partitionBy("seq")) + F.lit(0.0 if model.ns is None else float(np.exp(model.ns)))
+    last, part = F.floor((F.length("mer") - 1) / 4).cast("int"), lambda i: F.substring("mer", 4 * F.col(i) + 1, F.lit(4))
+    two = k.withColumn("share", F.col("cnt") * F.col("kappa") / w).withColumn("i", F.explode(F.sequence(F.lit(0), last))).withColumn("j", F.explode(F.sequence(F.col("i"), last)))
+    sums = two.groupBy("mode", "i", "j", part("i").alias("a"), part("j").alias("b")).agg(F.sum("share").alias("share"))
+    one = sums.withColumn("p", F.explode(F.sequence(F.lit(1), F.length("a")))).withColumn("q", F.explode(F.sequence(F.when(F.col("i") == F.col("j"), F.col("p")).otherwise(1), F.length("b"))))
+    at = lambda s, p: F.substring(s, F.col(p), F.lit(1))
+    return one.groupBy("mode", (4 * F.col("i") + F.col("p")).alias("pos1"), at("a", "p").alias("base1"), (4 * F.col("j") + F.col("q")).alias("pos2"), at("b", "q").alias("base2")).agg(F.sum("share").alias("h"))

@@ -10,6 +10,11 @@ KEY = ("shapes", "symmetry", "k", "penalty", "flank", "dinucleotide", "non_speci
 #: Order of a list of fits.
 ORDER = ("n_modes", "shapes", "k", "flank", "dinucleotide", "non_specific", "symmetry", "penalty", "shift", "train")
 
+#: Order of a list of backgrounds.
+BACKGROUND_ORDER = ("k", "flank")
+#: Shape classes: of fits with equally many, those that hold an earlier one come first. Fixed values.
+SHAPES = ("MGW", "ProT", "HelT", "Roll")
+
 
 def upsert(stored: DataFrame, new: DataFrame, key: tuple[str, ...] = KEY, run: str = "run", stamp: str = "stamp", merged: tuple[str, ...] = ()) -> DataFrame:
     """stored and new by key: of another run the newer row replaces the older; of the same run, columns in merged keep the older value where the newer is null."""
@@ -25,6 +30,41 @@ def ordered(fits: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
     return fits.orderBy(*[F.asc_nulls_first(c) for c in order if c in fits.columns])
 
 
+def fit_levels() -> list[Column]:
+    """The levels of the total order of fits, each ascending with nulls first.
+
+    Columns: multi (of several modes), ks (a length for each mode), flank, penalty, non_specific, dinucleotide, shapes (names), symmetry,
+    pair_symmetry, shift (null: none was tried). Fits of one mode come first, then fewer and shorter modes, less flank, less penalty, fewer
+    kinds of features, no symmetry, no shift. Of several modes only whether they have a symmetry counts. Null flags count as false.
+    """
+    multi, ks, shapes = (F.coalesce(F.col(c), d) for c, d in (("multi", F.lit(False)), ("ks", F.array().cast("array<int>")), ("shapes", F.array().cast("array<string>"))))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    one = lambda v: F.when(~multi, v)
+    total = F.aggregate(ks, F.lit(0).cast("long"), lambda a, k: a + k)
+    levels = [multi, F.when(multi, F.size(ks)), total, F.col("flank"), F.col("penalty"), flag("non_specific"), flag("dinucleotide"), F.size(shapes)]
+    levels += [~F.array_contains(shapes, s) for s in SHAPES]
+    levels += [F.col("symmetry").isNotNull(), one(F.col("symmetry")), one(F.col("pair_symmetry").isNotNull()), one(F.col("pair_symmetry"))]
+    return [*levels, F.col("shift")]
+
+
+def places(fits: DataFrame, levels: list[Column | str], out: str = "place", ends: int = 256) -> DataFrame:
+    """fits with their place, from 1, in the order of levels (ascending, nulls first); fits equal in all of them share the least place of theirs.
+
+    Equal fits are counted first. What differs is dealt to ranges, whose ends are the keys of smallest hash, at most `ends` of them:
+    numbers inside a range meet the sums of the ranges before it, so that no task orders all fits.
+    """
+    keyed = fits.withColumn("_key", F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"c{i}") for i, c in enumerate(levels)]))
+    groups = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    cuts = groups.orderBy(F.xxhash64("_key"), "_key").limit(ends).agg(F.collect_list("_key").alias("_ends"))
+    at = groups.crossJoin(F.broadcast(cuts)).select("_key", "_n", F.size(F.filter("_ends", lambda e: e < F.col("_key"))).alias("_range"))
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = at.groupBy("_range").agg(F.sum("_n").alias("_n"))
+    sums = sums.select("_range", earlier(Window.partitionBy(F.lit(0)).orderBy("_range")).alias("_before"))
+    inside = at.select("_key", "_range", earlier(Window.partitionBy("_range").orderBy("_key")).alias("_inside"))
+    own = inside.join(F.broadcast(sums), "_range").select(F.col("_key").alias("_at"), (F.col("_before") + F.col("_inside") + 1).alias(out))
+    return keyed.join(own, F.col("_key") == F.col("_at")).select(*fits.columns, out)
+
+
 def best_fit(fits: DataFrame, by: list[str] | None = None, value: str = "test", other: str = "train") -> DataFrame:
     """The row of least value, of equal ones the least in the order of its columns; fits without one are compared by the other. Rows with neither are passed over."""
     v = F.coalesce(F.col(value), F.col(other)) if other in fits.columns else F.col(value)

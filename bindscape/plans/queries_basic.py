@@ -257,3 +257,21 @@ def arr(spark, sf):
         r(at(arrays.block_reverse("e", 4), 1), 6).alias("block_first"), r(at(arrays.shift_left("e", 2), 1), 6).alias("left_first"), at(arrays.shift_left("e", 2), -1).alias("left_last"),
         r(at(arrays.shift_values("e", 0.5), 1), 6).alias("shifted"), r(at(arrays.scale("e", 2), 2), 6).alias("scaled"), r(at(arrays.reversed_("e"), 1), 6).alias("reversed_first"),
     )
+
+
+_M = "(select vec_id, e, list_transform(range(0, 8), lambda i: e[8 * i + 1 : 8 * i + 8]) as m from (select vec_id, [cast(x as double) for x in embedding] as e from embeddings))"
+
+
+@query(
+    "ARR_matrix",
+    f"select vec_id, round(m[3][6], 6) as transposed, round((m[2][7] + m[7][2]) / 2, 6) as symmetric, round(sqrt(list_sum([x * x for x in e])), 4) as frobenius, '[' || array_to_string(list_transform(m[2], lambda x: printf('%.3f', x)), ', ') || ']' as printed, round(-1 + 3 * {uniform_sql('vec_id', '2')}, 9) as drawn from {_M}",
+)
+def arr_matrix(spark, sf):
+    """Each vector as a matrix of 8 rows."""
+    e = table(spark, sf, "embeddings").select("vec_id", arrays.matrix("embedding", 8).alias("m"))
+    r, at = F.round, lambda m, i, j: F.get(F.get(m, F.lit(i)), F.lit(j))
+    turned, same = arrays.transpose("m"), arrays.symmetrize("m")
+    return e.select(
+        "vec_id", r(at(turned, 5, 2), 6).alias("transposed"), r(at(same, 1, 6), 6).alias("symmetric"), r(arrays.frobenius("m"), 4).alias("frobenius"),
+        arrays.printed(F.get("m", F.lit(1)), 3).alias("printed"), r(F.get(arrays.random(4, -1, 2, "vec_id"), F.lit(2)), 9).alias("drawn"),
+    )

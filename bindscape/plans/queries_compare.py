@@ -23,6 +23,16 @@ def a14(spark, sf):
     return compare.trapezoid(e, by=["event_type"]).select("event_type", F.round("area", 4).alias("area"))
 
 
+_STEPS = "(select o_orderstatus as s, o_totalprice / 1e3 as x, sum(o_custkey % 100) as y from orders group by 1, 2)"
+
+
+@query("A14_trapezoid_ranges", f"select s as status, round(sum((y + p) / 2e0 * (x - q)), 3) as area from (select s, x, y, lag(y) over (partition by s order by x) as p, lag(x) over (partition by s order by x) as q from {_STEPS}) group by s")
+def a14r(spark, sf):
+    """A point for each price: groups over ranges of x."""
+    o = table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("status"), (F.col("o_totalprice") / 1000).alias("x")).agg(F.sum(F.col("o_custkey") % 100).alias("y"))
+    return compare.trapezoid(o, by=["status"], ranges=True).select("status", F.round("area", 3).alias("area"))
+
+
 def _bins(spark, sf):
     o = table(spark, sf, "orders").select(F.floor(F.col("o_totalprice") / 20000).alias("bin"), "o_orderstatus")
     n = lambda s: F.sum(F.when(F.col("o_orderstatus") == s, 1).otherwise(0)).alias
@@ -110,6 +120,16 @@ _AUC_SQL = """with d as (select lang as protein, n_chars as score, (quality > 0)
  select c.protein, c.n, round(u.u / (p * (n - p)), 6) as auroc from c left join u using (protein)"""
 
 
+@query("A16_roc_groups", """with d as (select event_type as protein, floor(value * 10) / 1e1 as score, (user_id % 2) as label from events where value is not null and user_id is not null),
+ g as (select protein, score, sum(label) as p, sum(1 - label) as q from d group by 1, 2),
+ r as (select protein, score, sum(q) over w / nullif(sum(q) over (partition by protein), 0)::double as fpr, sum(p) over w / nullif(sum(p) over (partition by protein), 0)::double as tpr from g window w as (partition by protein order by score desc))
+ select protein, score::double as score, round(fpr, 9) as fpr, round(tpr, 9) as tpr from r union all select distinct protein, null, 0, 0 from r""")
+def a16g(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("protein"), (F.floor(F.col("value") * 10) / 10.0).alias("score"), (F.col("user_id") % 2).alias("label"))
+    r = compare.roc(e, by=["protein"])
+    return r.select("protein", "score", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
+
+
 @query("D4_per_protein", _AUC_SQL)
 def d4(spark, sf):
     r = compare.per_protein(_labelled(spark, sf))
@@ -217,10 +237,38 @@ def r7(spark, sf):
 
 @query("R3_order", f"select k, symmetry, train, row_number() over (order by k, symmetry, train) as place from (select * from {_FITS} where run = 'F')")
 def r3(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.lit(0)).orderBy("k", "symmetry", "train")
-    return registry.ordered(_fits(spark, sf, "F"), ("k", "symmetry", "train")).select("k", "symmetry", "train", F.row_number().over(w).cast("long").alias("place"))
+    return registry.places(_fits(spark, sf, "F"), ["k", "symmetry", "train"]).select("k", "symmetry", "train", F.col("place").cast("long").alias("place"))
+
+
+_SHAPE_SQL = {s: f"(o_orderkey % {m} = 0)" for s, m in zip(registry.SHAPES, (2, 3, 5, 7))}
+_MULTI = "(o_orderkey % 5 = 0)"
+_ONE = f"case when not {_MULTI} then {{}} end"
+_SYM, _PAIR_SYM = "case when o_orderkey % 11 > 3 then substr(o_orderpriority, 1, 1) end", "case when o_custkey % 3 = 0 then o_orderstatus end"
+_LEVELS = [
+    _MULTI, f"case when {_MULTI} then 2 + o_orderkey % 2 end", f"2 + o_custkey % 3 + case when {_MULTI} then (o_orderkey % 2) * 4 + 3 else 0 end", "o_orderkey % 3", "(o_custkey % 4) / 2e0", "o_orderpriority < '2'", "o_orderstatus = 'F'",
+    " + ".join(f"{v}::int" for v in _SHAPE_SQL.values()), *[f"not {v}" for v in _SHAPE_SQL.values()],
+    f"({_SYM}) is not null", _ONE.format(_SYM), _ONE.format(f"({_PAIR_SYM}) is not null"), _ONE.format(_PAIR_SYM), "case when o_orderkey % 4 > 0 then o_orderkey % 4 - 2 end",
+]
+
+
+@query("R3_fit_order", f"select o_orderkey::bigint as o_orderkey, rank() over (order by {', '.join(f'{c} asc nulls first' for c in _LEVELS)}) as place from orders")
+def r3_fits(spark, sf):
+    """All levels of the order of fits."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    first = (cust % 3 + 2).cast("int")
+    ks = F.when(key % 5 != 0, F.array(first)).when(key % 2 == 0, F.array(first, F.lit(3))).otherwise(F.array(first, F.lit(3), F.lit(4)))
+    shapes = F.array_compact(F.array(*[F.when(key % m == 0, s) for s, m in zip(reversed(registry.SHAPES), (7, 5, 3, 2))]))
+    fits = table(spark, sf, "orders").select(
+        "o_orderkey", (key % 5 == 0).alias("multi"), ks.alias("ks"), (key % 3).alias("flank"), ((cust % 4) / 2).alias("penalty"), (F.col("o_orderpriority") < "2").alias("non_specific"), (F.col("o_orderstatus") == "F").alias("dinucleotide"),
+        shapes.alias("shapes"), F.when(key % 11 > 3, F.substring("o_orderpriority", 1, 1)).alias("symmetry"), F.when(cust % 3 == 0, F.col("o_orderstatus")).alias("pair_symmetry"), F.when(key % 4 > 0, key % 4 - 2).alias("shift"),
+    )
+    return registry.places(fits, registry.fit_levels()).select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("place").cast("long").alias("place"))
+
+
+@query("R3_background_order", "select c_custkey::bigint as c_custkey, rank() over (order by c_nationkey asc nulls first, c_acctbal > 0 asc nulls first) as place from customer")
+def r3_backgrounds(spark, sf):
+    fits = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), F.col("c_nationkey").alias("k"), (F.col("c_acctbal") > 0).alias("flank"))
+    return registry.places(fits, list(registry.BACKGROUND_ORDER)).select("c_custkey", F.col("place").cast("long").alias("place"))
 
 
 @query("A20_best_fit", f"select k, min(coalesce(test, train)) as best from {_FITS} group by k")

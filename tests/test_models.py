@@ -470,3 +470,24 @@ def test_coded_weights(spark):
     odd = spark.createDataFrame([("ACGTACGTN",), ("ACGT",), (None,)], "seq string")
     assert [r["w"] for r in scoring.probe_weights(odd, model, LEFT, RIGHT, length=9).collect()] == [None] * 3
     assert "Generate" not in scoring.probe_weights(df, model, LEFT, RIGHT, length=9)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_features_in_blocks(spark):
+    """Sums for pairs of features of a mode of six bases, over two blocks, against plain loops."""
+    rng = np.random.default_rng(3)
+    mode = Mode(rng.normal(size=(6, 4)) / 3)
+    seqs = ["ACGTTGCA", "TTGACCAG", "GGGTACAA"]
+    probes = spark.createDataFrame([(s, k + 1) for k, s in enumerate(seqs)], "seq string, cnt int")
+    left, right = "ACG", "TGC"
+    want = {}
+    for n, s in enumerate(seqs):
+        turned = s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        mers = [t[i : i + 6] for t in (s, turned) for i in range(3)]
+        kappa = [np.exp(sum(mode.nuc[j]["ACGT".index(b)] for j, b in enumerate(m))) for m in mers]
+        for m, x in zip(mers, kappa):
+            for p in range(6):
+                for q in range(p, 6):
+                    at = (0, p + 1, m[p], q + 1, m[q])
+                    want[at] = want.get(at, 0) + (n + 1) * x / (sum(kappa) + np.exp(-1.0))
+    got = objective.feature_pairs(probes, background.Background(np.zeros(4), 1, 8, left, right), Model([mode], -1.0))
+    assert {tuple(r)[:5]: r["h"] for r in got.collect()} == pytest.approx(want)

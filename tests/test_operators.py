@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from bindscape.functions import arrays
 from bindscape.operators import compare, convnet, dos, fitting, probes, registry, scoring
 from bindscape.operators.params import Mode, Model
 from bindscape.plans.catalog import toy_mode
@@ -338,3 +339,69 @@ def test_auroc_of_scores(spark, monkeypatch):
         assert compare.auroc_of(df).first()["auroc"] == pytest.approx(want) == pytest.approx(compare.auroc(compare.roc(df)).first()["auroc"])
         assert {tuple(r) for r in compare.roc(df).collect()} == points and (None, 0.0, 0.0) in points
     assert compare.auroc_of(df.limit(0)).first()["auroc"] is None and compare.roc(df.limit(0)).collect() == []
+
+
+def test_groups_over_ranges(spark, monkeypatch):
+    """Sums, ROC points and areas of groups, one of which holds most rows, are the same by windows and over ranges."""
+    rng = np.random.default_rng(8)
+    rows = [(None if g > 8 else "hot" if g > 2 else f"g{g}", float(s), int(y)) for g, s, y in zip(rng.integers(0, 10, 1500), rng.integers(0, 400, 1500), rng.integers(0, 2, 1500))]
+    rows += [("one", 1.0, 1), ("one", 2.0, 1), ("hot", None, 1), ("hot", 3.0, None)]
+    df = spark.createDataFrame(rows, "protein string, score double, label int")
+    seen = []
+    for small in (compare.SMALL, 10):
+        monkeypatch.setattr(compare, "SMALL", small)
+        points = sorted(map(str, compare.roc(df, by=["protein"]).collect()))
+        areas = {r["protein"]: r["auroc"] for r in compare.auroc_of(df, by=["protein"]).collect()}
+        again = {r["protein"]: r["auroc"] for r in compare.auroc(compare.roc(df, by=["protein"]), ["protein"]).collect()}
+        for g in {r[0] for r in rows}:
+            pos, neg = ([s for h, s, y in rows if h == g and y == k and s is not None] for k in (1, 0))
+            want = sum((p > q) + (p == q) / 2 for p in pos for q in neg) / (len(pos) * len(neg)) if pos and neg else None
+            assert areas[g] == pytest.approx(want) if want is not None else areas[g] is None
+            assert again[g] == pytest.approx(want) if want is not None else again[g] is None
+        seen.append(points)
+    assert seen[0] == seen[1]
+    line = df.where("score is not null").groupBy("protein", "score").agg(F.count(F.lit(1)).alias("n"))
+    for by in (["protein"], []):
+        own = line if by else line.groupBy("score").agg(F.sum("n").alias("n"))
+        plain, ranged = ({r.asDict().get("protein"): r["area"] for r in compare.trapezoid(own, "score", "n", by, ranges=x).collect()} for x in (False, True))
+        assert plain == pytest.approx(ranged) and len(plain) == (5 + 1 if by else 1)
+    assert compare.trapezoid(line.limit(0), "score", "n", ["protein"], True).collect() == [] and compare.roc(df.limit(0), by=["protein"]).collect() == []
+
+
+def test_order_of_fits(spark):
+    """Places of fits against sorted tuples: several modes, shapes, symmetries, nulls, ties, one fit that makes a third of all."""
+    rng = random.Random(12)
+    pick = rng.choice
+    rows = []
+    for i in range(400):
+        multi = pick([True, False, None])
+        ks = [pick([3, 4, 5]) for _ in range(pick([2, 3]) if multi else 1)]
+        shapes = pick([None, [], ["MGW"], ["ProT"], ["Roll", "HelT"], ["HelT", "MGW"], ["ProT", "Roll", "MGW", "HelT"]])
+        rows.append((i, multi, ks, pick([0, 1, None]), pick([0.0, 1e-3]), pick([True, False, None]), pick([True, False]), shapes, pick([None, "1,2", "1,1"]), pick([None, "a"]), pick([None, -1, 0, 2])))
+    rows += [(1000 + i, *rows[7][1:]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, multi boolean, ks array<int>, flank int, penalty double, non_specific boolean, dinucleotide boolean, shapes array<string>, symmetry string, pair_symmetry string, shift int")
+
+    def key(r):
+        _, multi, ks, flank, penalty, ns, di, shapes, sym, pair, shift = r
+        low = lambda v: (0, "") if v is None else (1, v)
+        names = shapes or []
+        head = (1, len(ks), sum(ks)) if multi else (0, 0, ks[0])
+        tail = ((sym is not None, ""), (False, "")) if multi else (low(sym), low(pair))
+        held = tuple(s not in names for s in ("MGW", "ProT", "HelT", "Roll"))
+        return (*head, -1 if flank is None else flank, penalty, bool(ns), di, len(names), held, *tail, -99 if shift is None else shift)
+
+    keys = sorted(map(key, rows))
+    want = {r[0]: keys.index(key(r)) + 1 for r in rows}
+    for ends in (256, 5):
+        assert {r["id"]: r["place"] for r in registry.places(df, registry.fit_levels(), ends=ends).collect()} == want
+    assert registry.places(df.limit(0), registry.fit_levels()).collect() == []
+
+
+def test_matrices(spark):
+    a = [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0], [7.0, 8.0, 9.5]]
+    df = spark.createDataFrame([(1, a, sum(a, [])), (2, [], []), (3, None, None)], "id int, m array<array<double>>, v array<double>")
+    got = {r["id"]: r for r in df.select("id", arrays.transpose("m").alias("t"), arrays.symmetrize("m").alias("s"), arrays.matrix("v", 3).alias("w"), arrays.printed("v", 1).alias("p"), arrays.random(5, -1, 1, "id").alias("r")).collect()}
+    assert np.allclose(got[1]["t"], np.transpose(a)) and np.allclose(got[1]["s"], (np.array(a) + np.transpose(a)) / 2) and got[1]["w"] == a
+    assert got[1]["p"] == "[1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.5]" and got[2]["p"] == "[]" and got[3]["p"] is None
+    assert got[2]["t"] == got[2]["s"] == got[2]["w"] == [] and not got[3]["s"]
+    assert len(set(got[1]["r"]) | set(got[2]["r"])) == 10 and all(-1 <= x < 1 for x in got[1]["r"])
