@@ -1,9 +1,11 @@
 """Exact dedup: an extendible-hash index on shared files.
 
 1. Keys. One scan writes (row, id, 64-bit hash, length, SHA-256) of every text to the shared folder. No text moves.
-2. Directory. Counts of hashes seen twice by their top bits go to the driver: 2^16 numbers, or some eight for each bucket
-   if that is more. The directory starts with one bucket; a bucket over capacity is split, and where it is as deep as the
-   directory, the directory doubles. Buckets are key ranges; runs of them are dealt to owner tasks, which are more the more entries there are.
+2. Directory. Counts of hashes seen twice by their top 16 bits go to the driver: 2^16 numbers, however many hashes there are.
+   The directory starts with one bucket; a bucket over capacity is split, and where it is as deep as the
+   directory, the directory doubles. Buckets that are overfull at 16 bits are split on by the task that holds their hashes, by a
+   directory of their own. Each hash gets its bucket and its owner; owners hold runs of buckets, which are key ranges, and are more
+   the more hashes there are.
 3. Entries. Only a hash that occurs twice can mean a copy, so only such texts are read again (by a broadcast of these hashes
    while Spark holds them for small, beyond that by a shuffle of texts by hash). Each scan task folds
    its own equal texts into one entry (hash, text, best row, count): a text that a third of all rows share leaves a
@@ -21,15 +23,16 @@ keep_one returns all columns, whatever their names.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Top bits by which hashes are counted at least.
+#: Top bits by which hashes are counted for the driver.
 DIRECTORY_BITS = 16
 #: Distinct hashes that a bucket holds before it is split.
 CAPACITY = 2_000
@@ -37,11 +40,6 @@ CAPACITY = 2_000
 OWNERS, OWNED = 4096, 250_000
 
 
-def directory_bits(n: int, capacity: int) -> int:
-    """Bits at which n hashes make cells of an eighth of a bucket on average."""
-    return max(DIRECTORY_BITS, min(40, max(1, -(-n // capacity)).bit_length() + 3))
-
-
 class Directory:
     """Bucket of a hash by its top bits. cells: distinct hashes for each value of the top DIRECTORY_BITS bits."""
 
@@ -64,14 +62,64 @@ class Directory:
             todo += [(2 * prefix + 1, depth + 1), (2 * prefix, depth + 1)]
         self.buckets = sorted(buckets)
         self.first = [b[0] for b in self.buckets]
-
-    def owners(self, most: int) -> list[int]:
-        """An owner for each bucket: contiguous key ranges of about equal size."""
-        size, out, done = sum(b[2] for b in self.buckets), [], 0
+        self.before = [0]
         for _, _, n in self.buckets:
-            out.append(min(most - 1, done * most // max(1, size)))
-            done += n
-        return out
+            self.before.append(self.before[-1] + n)
+
+    def most_owners(self, capacity: int) -> int:
+        """Owners for these hashes: no more than buckets, those to be split on counted as what they need at least."""
+        return min(sum(max(1, -(-n // capacity)) for _, _, n in self.buckets), max(OWNERS, self.before[-1] // OWNED))
+
+
+def split(hashes: np.ndarray, prefix: int, depth: int, capacity: int) -> list[tuple[int, int, int]]:
+    """(first hash of its range, depth, place of its first hash) for the buckets of sorted unsigned hashes that share `depth` bits, split by their further bits."""
+    done, todo = [], [(prefix, depth)]
+    while todo:
+        prefix, depth = todo.pop()
+        first, last = prefix << (64 - depth), ((prefix + 1) << (64 - depth)) - 1
+        low, high = np.searchsorted(hashes, np.uint64(first), "left"), np.searchsorted(hashes, np.uint64(last), "right")
+        if high - low <= capacity or depth == 64:
+            done.append((first, depth, int(low)))
+        else:
+            todo += [(2 * prefix + 1, depth + 1), (2 * prefix, depth + 1)]
+    return sorted(done)
+
+
+def placed(twice: DataFrame, directory: Directory, capacity: int) -> DataFrame:
+    """(h, owner, bucket) for each of the different hashes of twice; a bucket is named by the first hash of its range. One task holds the hashes of one overfull bucket at a time."""
+    total, owners, bits = max(1, directory.before[-1]), directory.most_owners(capacity), directory.most
+    first, before = np.array(directory.first, np.int64), np.array(directory.before[:-1], np.int64)
+    overfull = np.array([n > capacity for _, _, n in directory.buckets])
+    owner_at = lambda place: min(owners - 1, int(place) * owners // total)
+    owner_of = np.array([owner_at(p) for p in before], np.int32)
+
+    def give(h, owner, bucket):
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(owner, pa.int32()), pa.array(bucket.view(np.int64))], names=["h", "owner", "bucket"])
+
+    def divided(b: int, hashes: np.ndarray):
+        parts = split(hashes, int(first[b]), bits, capacity)
+        at = np.searchsorted(np.array([p[0] for p in parts], np.uint64), hashes, "right") - 1
+        return give(hashes, np.array([owner_at(before[b] + p[2]) for p in parts], np.int32)[at], np.array([p[0] for p in parts], np.uint64)[at])
+
+    def run(batches):
+        gathered, at = [], None
+        for batch in batches:
+            h = batch.column("h").to_numpy().view(np.uint64)
+            b = np.searchsorted(first, (h >> np.uint64(64 - bits)).astype(np.int64), "right") - 1
+            whole = ~overfull[b]
+            yield give(h[whole], owner_of[b[whole]], first[b[whole]].astype(np.uint64) << np.uint64(64 - bits))
+            for k in np.unique(b[~whole]):
+                if at is not None and k != at:
+                    yield divided(at, np.concatenate(gathered))
+                    gathered = []
+                at = k
+                gathered.append(h[b == k])
+        if gathered:
+            yield divided(at, np.concatenate(gathered))
+
+    cell = F.shiftrightunsigned("h", 64 - bits)
+    together = twice.select("h", cell.alias("cell")).repartition("cell").sortWithinPartitions("cell", "h")
+    return together.select("h").mapInArrow(run, "h long, owner int, bucket long")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -96,31 +144,27 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     per_hash = keys.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     twice = common.materialize(per_hash.where("n > 1").select("h"), "dedup-twice")
-    n_twice = twice.count()
-    bits = directory_bits(n_twice, capacity)
-    cell = F.shiftrightunsigned("h", 64 - bits)
-    directory = Directory({r["cell"]: r["n"] for r in twice.groupBy(cell.cast("long").alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}, capacity, bits)
-    first, owner_of = directory.first, directory.owners(min(len(directory.buckets), max(OWNERS, n_twice // OWNED)))
+    cells = twice.groupBy(F.shiftrightunsigned("h", 64 - DIRECTORY_BITS).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()
+    buckets = common.materialize(placed(twice, Directory({r["cell"]: r["n"] for r in cells}, capacity), capacity), "dedup-buckets")
 
-    entry = "owner int, bucket int, h long, sha binary, text binary, doc_id long, tied long, n long"
+    entry = "owner int, bucket long, h long, sha binary, text binary, doc_id long, tied long, n long"
 
     def fold(batches):
         """One entry for each text of this task; given out whenever the texts held grow large."""
 
         def give():
             cols = {k: [] for k in ("owner", "bucket", "h", "sha", "text", "doc_id", "tied", "n")}
-            for hash_, chain in held.items():
-                b = bisect_right(first, (hash_ & 0xFFFFFFFFFFFFFFFF) >> (64 - bits)) - 1
+            for hash_, (owner, bucket, chain) in held.items():
                 for sha, text, best, n in chain:
-                    for name, value in zip(cols, (owner_of[b], b, hash_, sha, text, best[0], best[1], n), strict=True):
+                    for name, value in zip(cols, (owner, bucket, hash_, sha, text, best[0], best[1], n), strict=True):
                         cols[name].append(value)
-            types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), types, strict=True)], names=list(cols))
 
         held, size = {}, 0
         for b in batches:
-            for hash_, sha, text, doc_id in zip(*(b.column(k).to_pylist() for k in ("h", "sha", "text", "doc_id")), strict=True):
-                chain = held.setdefault(hash_, [])
+            for hash_, sha, text, doc_id, owner, bucket in zip(*(b.column(k).to_pylist() for k in ("h", "sha", "text", "doc_id", "owner", "bucket")), strict=True):
+                chain = held.setdefault(hash_, (owner, bucket, []))[2]
                 for k, (_, known, best, n) in enumerate(chain):
                     if known == text:
                         chain[k] = (sha, text, _best(best, (doc_id, 1)), n + 1)
@@ -135,7 +179,7 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield give()
 
     texts = _rows(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", h)
-    texts = texts.join(twice, "h", "left_semi").select("h", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), F.col("text").cast("binary").alias("text"), "doc_id")
+    texts = texts.join(buckets, "h").select("h", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"), F.col("text").cast("binary").alias("text"), "doc_id", "owner", "bucket")
     entries = texts.mapInArrow(fold, entry).repartition("owner").sortWithinPartitions("owner", "bucket", "h")
     index = common.materialize(entries, "dedup-index", ["owner"])
 

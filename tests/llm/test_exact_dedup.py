@@ -55,8 +55,30 @@ def test_directory():
     for (first, depth, n), end in zip(d.buckets, ends):
         assert end - first == 1 << (8 - depth) and n == sum(v for k, v in cells.items() if first <= k < end)
         assert n <= 60 or depth == 8
-    owners = d.owners(5)
-    assert owners == sorted(owners) and max(owners) < 5
+    assert d.before == [sum(b[2] for b in d.buckets[:k]) for k in range(len(d.buckets) + 1)] and d.most_owners(60) == sum(max(1, -(-n // 60)) for _, _, n in d.buckets)
+
+
+def test_placed(spark):
+    """Each hash once, in one bucket of its own prefix; buckets within capacity, also those that a task splits; owners hold runs of buckets."""
+    rng = random.Random(9)
+    hashes = {rng.getrandbits(64) for _ in range(900)} | {(0xFFFF << 48) | rng.getrandbits(30) for _ in range(400)} | {0, 1, (1 << 64) - 1}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    twice = spark.createDataFrame([(signed(h),) for h in hashes], "h long").repartition(4)
+    cells = defaultdict(int)
+    for h in hashes:
+        cells[h >> 48] += 1
+    d = X.Directory(cells, 20)
+    rows = sorted(((r["h"] % (1 << 64), r["bucket"] % (1 << 64), r["owner"]) for r in X.placed(twice, d, 20).collect()))
+    assert [r[0] for r in rows] == sorted(hashes)
+    held = defaultdict(list)
+    for h, bucket, owner in rows:
+        held[bucket].append((h, owner))
+    firsts = sorted(held)
+    assert all(len(v) <= 20 and len({o for _, o in v}) == 1 and min(v)[0] >= b for b, v in held.items())
+    assert all(max(held[a])[0] < b for a, b in zip(firsts, firsts[1:]))
+    owners = [held[b][0][1] for b in firsts]
+    assert owners == sorted(owners) and max(owners) < d.most_owners(20) and len(set(owners)) > 10
+    assert X.placed(twice.limit(0), X.Directory({}, 20), 20).collect() == []
 
 
 def test_query(spark):
