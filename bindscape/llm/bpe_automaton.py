@@ -200,12 +200,26 @@ def explicit(labels: list[bytes], merges: list[tuple[int, int, int]]) -> tuple[l
     return states, 0
 
 
+def unread(spec: dict) -> list[str]:
+    """Parts of a tokenizer file that would change ids or texts and that this module does not follow."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    out = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    out += ["model"] if model.get("type", "BPE") != "BPE" else []
+    out += ["normalizer"] if spec.get("normalizer") else []
+    out += ["pre_tokenizer"] if split.get("type") != "ByteLevel" or split.get("add_prefix_space", True) or not split.get("use_regex", True) else []
+    out += ["decoder"] if (spec.get("decoder") or {}).get("type") != "ByteLevel" else []
+    flags = ("single_word", "lstrip", "rstrip")
+    return out + [f"{k} of {t['content']}" for t in spec.get("added_tokens", []) for k in flags if t.get(k)]
+
+
 class Tokenizer:
-    """Texts to ids and back with a byte-level BPE file."""
+    """Texts to ids and back with a byte-level BPE file. Files that ask for more than vocabulary, merges and plain added tokens are refused."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if more := unread(spec):
+            raise ValueError(f"{path} has parts that are not followed: {', '.join(more)}")
         alphabet, vocab = byte_alphabet(), spec["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         labels = [b""] * (1 + max([*vocab.values(), *self.special.values()]))

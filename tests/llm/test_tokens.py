@@ -1,5 +1,6 @@
 """Token counts, BPE automaton and token records against the public libraries."""
 
+import json
 import random
 import struct
 import zlib
@@ -181,3 +182,25 @@ def test_records_query(spark, library):
         r = got[doc_id]
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
         start += len(ids)
+
+
+def test_unread_parts_are_refused(tmp_path):
+    """A file with parts that the automaton does not follow is refused by name, not coded wrongly."""
+    with open(B.default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert B.unread(spec) == []
+    small = {**spec, "model": {**spec["model"], "vocab": {c: i for i, c in enumerate(B.byte_alphabet())}, "merges": []}, "added_tokens": [{**spec["added_tokens"][0], "id": 300}]}
+    changes = {
+        "normalizer": {"normalizer": {"type": "NFC"}},
+        "pre_tokenizer": {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}},
+        "decoder": {"decoder": None},
+        "ignore_merges": {"model": {**small["model"], "ignore_merges": True}},
+        "lstrip": {"added_tokens": [{**small["added_tokens"][0], "lstrip": True}]},
+    }
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(small), encoding="utf-8")
+    assert len(B.Tokenizer(str(path)).word("abc")) == 12
+    for name, change in changes.items():
+        path.write_text(json.dumps({**small, **change}), encoding="utf-8")
+        with pytest.raises(ValueError, match=name):
+            B.Tokenizer(str(path))
