@@ -47,21 +47,32 @@ def fit_levels() -> list[Column]:
     return [*levels, F.col("shift")]
 
 
-def places(fits: DataFrame, levels: list[Column | str], out: str = "place", ends: int = 256) -> DataFrame:
+#: Places that one row of equal fits is spread over at once.
+_SPREAD = 10_000
+
+
+def places(fits: DataFrame, levels: list[Column | str], out: str = "place", ends: int = 256, shared: bool = True) -> DataFrame:
     """fits with their place, from 1, in the order of levels (ascending, nulls first); fits equal in all of them share the least place of theirs.
 
+    shared=False: each has a place of its own; fits equal in all levels go by their columns, and rows equal in all columns are counted as one
+    and spread over their places at the end.
+
     Equal fits are counted first. What differs is dealt to ranges, whose ends are the keys of smallest hash, at most `ends` of them:
     numbers inside a range meet the sums of the ranges before it, so that no task orders all fits.
     """
-    keyed = fits.withColumn("_key", F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"c{i}") for i, c in enumerate(levels)]))
+    keyed = fits.withColumn("_key", F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"c{i}") for i, c in enumerate(levels)], *([] if shared else [F.struct(*fits.columns).alias("row")])))
     groups = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
     cuts = groups.orderBy(F.xxhash64("_key"), "_key").limit(ends).agg(F.collect_list("_key").alias("_ends"))
     at = groups.crossJoin(F.broadcast(cuts)).select("_key", "_n", F.size(F.filter("_ends", lambda e: e < F.col("_key"))).alias("_range"))
     earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = at.groupBy("_range").agg(F.sum("_n").alias("_n"))
     sums = sums.select("_range", earlier(Window.partitionBy(F.lit(0)).orderBy("_range")).alias("_before"))
-    inside = at.select("_key", "_range", earlier(Window.partitionBy("_range").orderBy("_key")).alias("_inside"))
-    own = inside.join(F.broadcast(sums), "_range").select(F.col("_key").alias("_at"), (F.col("_before") + F.col("_inside") + 1).alias(out))
+    inside = at.select("_key", "_range", "_n", earlier(Window.partitionBy("_range").orderBy("_key")).alias("_inside"))
+    own = inside.join(F.broadcast(sums), "_range").select(F.col("_key").alias("_at"), "_n", (F.col("_before") + F.col("_inside") + 1).alias(out))
+    if not shared:
+        part = own.select("_at", F.col(out).alias("_first"), (F.col(out) + F.col("_n") - 1).alias("_last"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / _SPREAD))).alias("_part"))
+        start = F.col("_first") + _SPREAD * F.col("_part")
+        return part.select("_at.row.*", F.explode(F.sequence(start, F.least(start + (_SPREAD - 1), F.col("_last")))).alias(out))
     return keyed.join(own, F.col("_key") == F.col("_at")).select(*fits.columns, out)
 
 

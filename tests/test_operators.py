@@ -4,6 +4,7 @@ import gzip
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from bindscape.functions import arrays
 from bindscape.operators import compare, convnet, dos, fitting, probes, registry, scoring
 from bindscape.operators.params import Mode, Model
+from bindscape.plans import registry as plans
 from bindscape.plans.catalog import toy_mode
 from bindscape.sources import models, reads
 from bindscape.streaming import counts
@@ -397,6 +399,25 @@ def test_order_of_fits(spark):
     assert registry.places(df.limit(0), registry.fit_levels()).collect() == []
 
 
+def test_places_of_their_own(spark):
+    """Equal fits and rows equal in all columns have different places, beyond the size of one spread too."""
+    rows = [(3, "a"), (1, "b"), (3, "a"), (None, "c"), (3, "b")] + [(2, "x")] * 25_000
+    df = spark.createDataFrame(rows, "k int, s string").repartition(7)
+    got = sorted(registry.places(df, ["k"], shared=False).collect(), key=lambda r: r["place"])
+    assert [r["place"] for r in got] == list(range(1, len(rows) + 1))
+    assert [(r["k"], r["s"]) for r in got] == sorted(rows, key=lambda r: (r[0] or 0, r[1]))
+    assert registry.places(df.limit(0), ["k"], shared=False).collect() == []
+
+
+def test_model_ids_of_wide_keys(spark, tmp_path):
+    """Keys of six digits, beside the rows that the SQL gives."""
+    spark.createDataFrame([(7, 2), (100001, 12), (123456, 33)], "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    got = [tuple(r) for r in plans.queries()["P12_model_id"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(duck.execute(plans.oracle_sql()["P12_model_id"]).fetchall()) and ("D12345.33", -1, -1) in got
+
+
 def test_matrices(spark):
     a = [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0], [7.0, 8.0, 9.5]]
     df = spark.createDataFrame([(1, a, sum(a, [])), (2, [], []), (3, None, None)], "id int, m array<array<double>>, v array<double>")
