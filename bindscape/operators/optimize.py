@@ -14,6 +14,10 @@ class NotConverged(ArithmeticError):
     pass
 
 
+#: Share of a value within which differences are rounding.
+_ROUNDING = 1e-14
+
+
 @dataclass
 class Found:
     x: np.ndarray
@@ -49,7 +53,7 @@ def wolfe(phi: Callable[[float], tuple[float, float, np.ndarray, float]], f0: fl
     t, best, bracket = first, None, None
     for _ in range(most):
         f, slope, *rest = phi(t)
-        good = np.isfinite(f) and f <= f0 + c1 * t * g0
+        good = np.isfinite(f) and f <= f0 + c1 * t * g0 + _ROUNDING * abs(f0)
         if good and (best is None or f < best[1]):
             best = (t, f, *rest)
         if good and abs(slope) <= -c2 * g0:
@@ -88,7 +92,7 @@ def more_thuente(phi: Callable[[float], tuple[float, float, np.ndarray, float]],
         lower, upper = (min(low[0], high[0]), max(low[0], high[0])) if bracketed else (low[0], t + 4 * (t - low[0]))
         t = min(max(t, least), largest)
         f, slope, *rest = phi(t)
-        line = f0 + c1 * t * g0
+        line = f0 + c1 * t * g0 + _ROUNDING * abs(f0)
         if not np.isfinite(f):
             bracketed, high, t = True, (t, np.inf, np.inf), (low[0] + t) / 2
             continue
@@ -196,6 +200,8 @@ def lbfgs(f: Objective, x0: np.ndarray, scale: float = 1.0, memory: int = 200, t
 
         first = 1.0 if pairs else min(1.0, 1.0 / np.linalg.norm(g))
         got = SEARCHES[search](phi, v, slope, first)
+        if got is not None and got[1] >= v - _ROUNDING * abs(v) and np.linalg.norm(got[2]) >= np.linalg.norm(g):
+            got = None  # neither a lower value nor a flatter place: the same step would come again
         if got is None:
             if pairs:
                 pairs = []
@@ -283,17 +289,18 @@ def with_retries(run: Callable[[np.ndarray], Found], size: int, seed: int = 0, s
     raise NotConverged(f"{tries} starts failed") from last
 
 
-def escape(f: Objective, x: np.ndarray, hessian: np.ndarray, limit: float = -1e-8) -> np.ndarray | None:
+def escape(f: Objective, x: np.ndarray, hessian: np.ndarray, limit: float = -1e-8, many: Callable[[list[np.ndarray]], list[float]] | None = None) -> np.ndarray | None:
     """From a saddle: the best of some steps along the most negative direction, or None at a minimum.
 
+    many: values of several points at once, where they cost less than one after the other.
     limit: of the share of the largest eigenvalue; nearer to 0 lies the error of Hessians whose part of Z is a difference.
     """
     values, vectors = np.linalg.eigh(hessian)
     if values[0] / max(abs(values).max(), 1e-300) >= limit:
         return None
-    start = f(x)[0]
-    options = [(f(x + t * vectors[:, 0])[0], t) for s in (1, -1) for t in (s * 10.0**-k for k in range(-1, 6))]
-    value, t = min(options)
+    steps = [s * 10.0**-k for s in (1, -1) for k in range(-1, 6)]
+    start, *values = (many or (lambda points: [f(y)[0] for y in points]))([x, *(x + t * vectors[:, 0] for t in steps)])
+    value, t = min(zip(values, steps))
     return x + t * vectors[:, 0] if value < start - 1e-13 * abs(start) else None
 
 
