@@ -32,6 +32,8 @@ CHUNK = 6
 FAN = 64
 #: Probes that a task unpacks at once.
 BLOCK = 4096
+#: Probes for which a task is worth its start.
+ROWS = 16_384
 
 
 @dataclass(frozen=True)
@@ -237,9 +239,12 @@ class Likelihood:
         if cache:
             self.probes = self.probes.persist()
         each = [x for k in range(len(names)) for x in (F.sum(f"c{k}"), F.sum(F.when(F.col(f"c{k}") > 0, F.col(f"c{k}") * F.ln(f"c{k}"))))]
-        found = self.probes.withColumn("part", F.spark_partition_id()).agg(F.max("part"), *each).first()
+        found = self.probes.withColumn("part", F.spark_partition_id()).agg(F.max("part"), F.count(F.lit(1)), *each).first()
         self.tasks = 1 + (found[0] or 0)
-        self.totals = [(float(found[1 + 2 * k] or 0), float(found[2 + 2 * k] or 0)) for k in range(len(names))]
+        self.totals = [(float(found[2 + 2 * k] or 0), float(found[3 + 2 * k] or 0)) for k in range(len(names))]
+        # Few probes that come in many partitions are read by few tasks, so that an evaluation costs what its probes do.
+        few = max(1, -(-found[1] // ROWS))
+        self.own, self.tasks = (self.probes.coalesce(few), few) if few < self.tasks else (self.probes, self.tasks)
         self.share = penalty
         self.evaluations = 0
         self._take(0)
@@ -290,7 +295,7 @@ class Likelihood:
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "v"])
 
-        total = added_up(self.probes.mapInArrow(run, "part long, v binary"), self.tasks, size)
+        total = added_up(self.own.mapInArrow(run, "part long, v binary"), self.tasks, size)
         sent.destroy()
         self.evaluations += 1
         out, at = [], 0
