@@ -14,9 +14,9 @@ from .queries_more import _folder
 
 
 def _lines(df, spark, name):
-    """One column of texts, written as one text file."""
+    """One column of texts, written as text files, one for each task."""
     path = _folder(spark, name)
-    df.toDF("value").coalesce(1).write.text(path)
+    df.toDF("value").write.text(path)
     return path
 
 
@@ -53,7 +53,7 @@ def s1_samples(spark, sf):
     field = lambda name, x: f"<{name}>{x}</{name}>"
     one = lambda s: f'<Sample name="{s}" round="{s[1]}">' + field("Protein", "N/A") + field("VariableRegionLength", 8) + field("LeftFlank", "ACG" if s == "R0" else "TTG") + field("RightFlank", "TGG") + field("LeftBarcode", _BARCODES[s][0]) + field("RightBarcode", _BARCODES[s][1]) + "</Sample>"
     sheet = "<SequencingConfig>\n" + "\n".join(f'<SequencingRunInfo name="{run}">' + field("DataFile", path) + "".join(map(one, samples)) + "</SequencingRunInfo>" for (run, path), samples in zip(files.items(), (["R0"], ["R1", "R2"]), strict=True)) + "\n</SequencingConfig>"
-    at = _lines(spark.createDataFrame([(sheet,)], "value string"), spark, "sheet")
+    at = _lines(spark.createDataFrame([(sheet,)], "value string").coalesce(1), spark, "sheet")
     return reads.read_samples(spark, reads.read_sample_sheet(spark, at)).groupBy("run", "sample", "seq").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -98,7 +98,7 @@ def _tsv(kind, sql):
         def run(spark, sf):
             path = _folder(spark, kind)
             df = make(spark, sf).toDF(*names)
-            df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in names]).coalesce(1).write.csv(path, sep="\t", header=header)
+            df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in names]).write.csv(path, sep="\t", header=header)
             return reads.read_tsv(spark, path, kind)
 
         return run
