@@ -9,8 +9,10 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from bindscape.functions import dna
 
@@ -19,6 +21,8 @@ from .params import BASES, Mode, Model
 
 #: Bases of a chunk whose weights are one lookup (one more where dinucleotides cross its end).
 CHUNK = 5
+#: Probes whose codes are looked up at once.
+BLOCK = 8192
 
 
 def chunk_tables(mode: Mode) -> list[tuple[int, int, np.ndarray]]:
@@ -88,19 +92,35 @@ def frame_affinities(df: DataFrame, model: Model, left: str = "", right: str = "
 def with_coded_weight(df: DataFrame, model: Model, left: str, right: str, length: int, seq: str = "seq", out: str = "w") -> DataFrame:
     """df with W of probes of one length in a column named out; null for other lengths and letters.
 
-    A probe becomes one number, two bits a base, in a projection of its own, so that it is worked out once; a chunk of a frame is a
-    shift and a mask of it, and a lookup of its exp(weights). The reverse strand is the turned mode on the same number. Nothing is exploded or shuffled.
+    A probe becomes one number, two bits a base; a chunk of a frame is a shift and a mask of it, and a lookup of its exp(weights), in NumPy over
+    the task's batches: as one Column expression of all frames it outgrows what the JVM compiles, and costs some fifty times as much a probe.
+    The reverse strand is the turned mode on the same number. Nothing is exploded or shuffled.
     """
     n = length + 2 * model.flank
     name = next(x for x in (f"code_{k}" for k in range(1000)) if x not in df.columns)
     coded = df.withColumn(name, F.when(F.col(seq).rlike(f"^[ACGT]{{{length}}}$"), dna.encode(dna.with_flanks(F.col(seq), left, right, model.flank))))
-    total = F.lit(0.0 if model.ns is None else float(np.exp(model.ns)))
-    for mode in (x for m in model.modes for x in (m, m.reverse_complement())):
-        tables = [(first, width, F.lit(np.exp(t))) for first, width, t in chunk_tables(mode)]
-        for frame in range(n - mode.k + 1):
-            at = lambda first, width, frame=frame: F.shiftrightunsigned(name, 2 * (n - frame - first - width)).bitwiseAND(F.lit(4**width - 1)).cast("int")
-            total = total + reduce(lambda a, b: a * b, [F.get(t, at(first, width)) for first, width, t in tables])
-    return coded.withColumn(out, total).drop(name)
+    if out in df.columns:
+        coded = coded.drop(out)
+    kept = [f for f in coded.schema.fields if f.name != name]
+    ns = 0.0 if model.ns is None else float(np.exp(model.ns))
+    modes = [(m.k, [(first, width, np.exp(t)) for first, width, t in chunk_tables(m)]) for x in model.modes for m in (x, x.reverse_complement())]
+
+    def weights(code: np.ndarray) -> np.ndarray:
+        total = np.full(len(code), ns)
+        for k, tables in modes:
+            for frame in range(n - k + 1):
+                parts = [t[code >> 2 * (n - frame - first - width) & 4**width - 1] for first, width, t in tables]
+                total += reduce(np.multiply, parts)
+        return total
+
+    def run(batches):
+        for b in batches:
+            code = b.column(name)
+            x = code.fill_null(0).to_numpy()
+            w = np.concatenate([np.zeros(0), *(weights(x[i : i + BLOCK]) for i in range(0, len(x), BLOCK))])
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(w, mask=code.is_null().to_numpy(zero_copy_only=False))], names=[*(f.name for f in kept), out])
+
+    return coded.mapInArrow(run, StructType([*(StructField(f.name, f.dataType) for f in kept), StructField(out, DoubleType())]))
 
 
 def probe_weights(df: DataFrame, model: Model, left: str = "", right: str = "", seq: str = "seq", shape: DataFrame | None = None, length: int | None = None) -> DataFrame:
