@@ -37,6 +37,20 @@ def kmer_index(kmer: str) -> int:
     return out
 
 
+def kmer_sums(probes: DataFrame, ks: list[int], left: str = "", right: str = "", cnts: tuple[str, ...] = ("cnt",), flanked: bool = True) -> dict[int, np.ndarray]:
+    """For each k the sums of each count by k-mer, (counts, 4^k), all from one scan; at most 4^k rows of each k reach the driver.
+
+    A k of 0 stands for the probe itself: its one sum is the number of reads.
+    """
+    text = lambda k: F.concat(F.lit(context(left, right, k, flanked)[0]), F.col("seq"), F.lit(context(left, right, k, flanked)[1]))
+    words = F.concat(*[dna.windows(text(k), k) if k else F.array(F.lit("")) for k in sorted(set(ks))])
+    sums = probes.select(*cnts, F.explode(words).alias("kmer")).groupBy("kmer").agg(*[F.sum(c).cast("long").alias(f"n{i}") for i, c in enumerate(cnts)])
+    out = {k: np.zeros((len(cnts), 4**k)) for k in ks}
+    for kmer, *n in sums.collect():
+        out[len(kmer)][:, kmer_index(kmer)] = [x or 0 for x in n]
+    return out
+
+
 @dataclass(frozen=True)
 class Background:
     """beta: (4^k,) weights, k-mers in A, C, G, T order; l: length of the variable region."""
@@ -129,11 +143,13 @@ def likelihood(background: Background, x: np.ndarray, n: float) -> tuple[float,
 
 def fit_background(probes: DataFrame, k: int, length: int, left: str = "", right: str = "", cnt: str = "cnt", tolerance: float = 5e-8, rounds: int = 5000, search: str = "wolfe") -> tuple[Background, float]:
     """(model, likelihood). One Spark job; the optimiser runs on the driver."""
-    from .optimize import lbfgs
+    sums = kmer_sums(probes, [0, k], left, right, (cnt,))
+    return fit_counts(sums[k][0], float(sums[0][0, 0]), k, length, left, right, tolerance, rounds, search)
 
-    x = count_vector(kmer_counts(probes, k, left, right, cnt), k)
-    n = float(probes.agg(F.sum(cnt)).first()[0] or 0)
-    base = Background(np.zeros(4**k), k, length, left, right)
+
+def fit_counts(x: np.ndarray, n: float, k: int, length: int, left: str = "", right: str = "", tolerance: float = 5e-8, rounds: int = 5000, search: str = "wolfe") -> tuple[Background, float]:
+    """fit_background from k-mer counts and the number of reads."""
+    from .optimize import lbfgs
 
     def value(v):
         return likelihood(Background(v, k, length, left, right), x, n)
@@ -144,13 +160,15 @@ def fit_background(probes: DataFrame, k: int, length: int, left: str = "", right
 
 
 def select_background(split: DataFrame, ks: list[int], length: int, left: str = "", right: str = "") -> list[tuple[int, float, float, float]]:
-    """For each k: (k, train, test and test-per-read likelihood); split has seq, train and test. The least test likelihood chooses k."""
-    out = []
-    n = float(split.agg(F.sum("test")).first()[0] or 0)
+    """For each k: (k, train, test and test-per-read likelihood); split has seq, train and test. The least test likelihood chooses k.
+
+    The counts of all k and of both parts come from one scan.
+    """
+    out, sums = [], kmer_sums(split, [0, *ks], left, right, ("train", "test"))
+    read, n = (float(v) for v in sums[0][:, 0])
     for k in ks:
-        model, train = fit_background(split, k, length, left, right, "train")
-        x = count_vector(kmer_counts(split, k, left, right, "test"), k)
-        test = likelihood(model, x, n)[0]
+        model, train = fit_counts(sums[k][0], read, k, length, left, right)
+        test = likelihood(model, sums[k][1], n)[0]
         out.append((k, train, test, test / n if n else 0.0))
     return out
 
@@ -207,10 +225,16 @@ def markov_likelihood(probes: DataFrame, chances: DataFrame, k: int, length: int
 
 
 def markov_fit(train: DataFrame, test: DataFrame, ks: list[int], length: int) -> list[tuple[int, float]]:
-    """(k, R^2) of models learnt from one sample: squared correlation of expected with observed counts over the sequences of another."""
-    out = []
+    """(k, R^2) of models learnt from one sample: squared correlation of expected with observed counts over the sequences of another.
+
+    One scan of each sample, whatever the number of models.
+    """
+    sums, scored = kmer_sums(train, ks), test
     for k in ks:
-        scored = markov_scores(test, markov_model(markov_by_division(train, k), k, length))
-        r = scored.where("lp is not null").agg(F.corr("cnt", F.exp("lp"))).first()[0]
-        out.append((k, float(r) ** 2 if r is not None else float("nan")))
-    return out
+        n = sums[k][0].reshape(-1, 4)
+        total = n.sum(axis=1, keepdims=True)
+        with np.errstate(divide="ignore"):
+            model = Background(np.log(np.divide(n, total, out=np.zeros_like(n), where=total > 0).ravel()), k, length, flanked=False)
+        scored = markov_scores(scored, model).withColumnRenamed("lp", f"lp_{k}")
+    r = scored.agg(*[F.corr(F.when(F.col(f"lp_{k}").isNotNull(), F.col("cnt")), F.exp(f"lp_{k}")) for k in ks]).first()
+    return [(k, float(x) ** 2 if x is not None else float("nan")) for k, x in zip(ks, r)]
