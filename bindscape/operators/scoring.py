@@ -93,7 +93,7 @@ def with_coded_weight(df: DataFrame, model: Model, left: str, right: str, length
     """df with W of probes of one length in a column named out; null for other lengths and letters.
 
     A probe becomes one number, two bits a base; a chunk of a frame is a shift and a mask of it, and a lookup of its exp(weights), in NumPy over
-    the task's batches: as one Column expression of all frames it outgrows what the JVM compiles, and costs some fifty times as much a probe.
+    the task's batches: one Column expression of all frames may outgrow what the JVM compiles (not verified).
     The reverse strand is the turned mode on the same number. Nothing is exploded or shuffled.
     """
     n = length + 2 * model.flank

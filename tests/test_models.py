@@ -548,7 +548,7 @@ def test_selections_scan_once(spark):
 
 
 def test_coded_weights_leave_the_jvm(spark):
-    """No expression of all frames, which the JVM would not compile."""
+    """Frames are looked up over Arrow batches, not by one expression of all of them."""
     from bindscape.plans.catalog import toy_model as toy
 
     df = spark.createDataFrame([("ACGTACGTACGTACGT", 1), ("ACG", 2)], "seq string, cnt long")
