@@ -1,10 +1,10 @@
 """Expiring click deduplication: a stateful stream that keeps one open window for each click.
 
-Events (click_id, hour, batch, hash) are written once, by batch, to the shared folder. A transformWithStateInPandas query on
-RocksDB is started anew for each batch on one checkpoint; each start sees the folders up to its batch and reads what is
+Events (click_id, hour, batch, hash) are written once, by batch, to the shared folder. An applyInPandasWithState query
+is started anew for each batch on one checkpoint; each start sees the folders up to its batch and reads what is
 new. The first event of a click opens a window; events up to ``window`` hours later are repeats; a later one
 closes it and opens another. The watermark is the largest hour so far less ``late`` hours: Spark drops what is older, and
-timers close windows that nothing can meet any more. A sentinel event far ahead comes with the last batch, so that timers
+timeouts close windows that nothing can meet any more. A sentinel event far ahead comes with the last batch, so that timeouts
 close all that is left; only that start is followed by a batch without data.
 
 Hours are shifted so that the first is 1 (Spark drops all up to watermark 0, and old hours may be negative). The delay is a
@@ -12,11 +12,15 @@ millisecond longer than ``late`` hours: Spark drops event times equal to the wat
 that fall due after batch b are closed by the start of batch b + 1, before its events are folded.
 
 State is kept for groups of clicks (a hash of click_id; as many groups as make some ``per_group`` events each), not for one
-click each: calls of the state server, a pandas frame and a timer for every click cost some 7 ms of CPU a window (measured, see
+click each: a call, a pandas frame and a timer for every click cost some 7 ms of CPU a window (measured with transformWithStateInPandas, see
 the README), and the tables have five million clicks. Within a group every click has its own row of opener, counters and crc sum, held as one
-ValueState; with ``per_group=0`` the key is click_id itself. Results are the same. All clicks of a group are folded at once, by
+binary value; with ``per_group=0`` the key is click_id itself. Results are the same. All clicks of a group are folded at once, by
 sorted arrays. Nothing goes through one task or the driver but minima, maxima, and the count of events.
 
+The state's files are in the checkpoint; a task holds the state of its partition while it runs, and gives it up when it commits. RocksDB, and so
+transformWithState, would keep about half a MB outside the heap for each store that an executor has ever opened (one a partition and start): Spark 4.1.2 does not
+close the statistics it makes for each.
+
 Events of a click arrive as rows of 48 bytes; one click's events of a batch are sorted in one task, which is the one
 thing that grows with a hot click. Events without click_id or hour have no batch and open nothing. A null hash counts as 32 zero bytes.
 Repeated events are repeats. Empty tables give no rows. Batches without events are passed over. Executors may be lost: state, events and results
@@ -26,13 +30,13 @@ are in the shared folder, and the file sink keeps each batch's rows once. Only t
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import TimestampNTZType
 
 from . import common
@@ -47,9 +51,9 @@ RESULT = "click_id long, start_hour long, closed_batch long, n_repeats long, n_c
 EVENT = "click_id long, hour long, hash binary, crc long"
 
 SETTINGS = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    # A start runs one batch: its stores are of no use to the next, and each takes 4 MB of disk while it is loaded.
+    # Not RocksDB: Spark 4.1 never frees the statistics of a store that it closes, see above.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
+    # A start runs one batch: its stores are of no use to the next, and would stay in memory.
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     # One watermark for late events and timers: the one that the batches before this one have left.
     "spark.sql.streaming.statefulOperator.allowMultiple": "false",
@@ -122,72 +126,44 @@ def fold(held: np.ndarray, click: np.ndarray, hour: np.ndarray, hashes: np.ndarr
     return every[~stay], still[np.argsort(still["click"], kind="stable")]
 
 
-class Windows(StatefulProcessor):
-    """Open windows of a group of clicks. due: the hour (shifted) of the one timer that is set.
+def walker(batch: int, before: int, end: int, base: int, window: int, final: int) -> Callable:
+    """What a start does with a group of clicks: its open windows are the state, its timeout is when the first of them falls due.
 
-    What falls due at the watermark that this start finds closed after the batch before. final: the watermark that the last batch
+    What falls due at the watermark that this start finds closes after the batch before. final: the watermark that the last batch
     leaves; beyond it, the sentinel has closed what falls due at it after this batch, and the rest at the end.
     """
 
-    def __init__(self, batch: int, before: int, end: int, base: int, window: int, final: int):
-        self.batch, self.before, self.end, self.base, self.window, self.final = batch, before, end, base, window, final
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("windows", "due long, open binary")
-
-    def _load(self) -> tuple[int | None, np.ndarray]:
-        held = self.state.get()
-        return (held[0], np.frombuffer(bytes(held[1]), OPEN)) if held else (None, np.empty(0, OPEN))
+    def due(held: np.ndarray) -> np.ndarray:
+        return held["start"] + window - base
 
-    def _due(self, held: np.ndarray) -> np.ndarray:
-        return held["start"] + self.window - self.base
-
-    def _expire(self, held: np.ndarray, watermark: int) -> tuple[np.ndarray, np.ndarray]:
-        over = self._due(held) * HOUR_MS < watermark + 1
+    def expire(held: np.ndarray, watermark: int) -> tuple[np.ndarray, np.ndarray]:
+        over = due(held) * HOUR_MS < watermark + 1
         return held[over], held[~over]
 
-    def _save(self, held: np.ndarray, was: int | None, fired: bool = False) -> None:
-        due = int(self._due(held).min()) if len(held) else None
-        if due != was:
-            if was is not None and not fired:
-                self.handle.deleteTimer(was * HOUR_MS)
-            if due is not None:
-                self.handle.registerTimer(due * HOUR_MS)
-        if due is None:
-            self.state.clear()
-        else:
-            self.state.update((due, held.tobytes()))
-
-    def _rows(self, *parts: tuple[np.ndarray, int]) -> Iterator[pd.DataFrame]:
-        closed, batch = np.concatenate([x for x, _ in parts]), np.concatenate([np.full(len(x), b) for x, b in parts])
-        if len(closed):
-            raw = closed["hash"].tobytes()
-            yield pd.DataFrame({"click_id": closed["click"], "start_hour": closed["start"], "closed_batch": batch, "n_repeats": closed["repeats"], "n_conflicts": closed["conflicts"], "conflict_crc": closed["crc"], "hash": [raw[k : k + 32] for k in range(0, len(raw), 32)]})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def walk(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         parts = [(p["click_id"].to_numpy(np.int64), p["hour"].to_numpy(np.int64), np.array(p["hash"].tolist(), "S32"), p["crc"].to_numpy(np.int64)) for p in (p[p["hash"].notna()] for p in rows) if len(p)]
-        was, held = self._load()
-        over, held = self._expire(held, timerValues.getCurrentWatermarkInMs())
+        watermark = state.getCurrentWatermarkMs()
+        held = np.frombuffer(bytes(state.get[0]), OPEN) if state.exists else np.empty(0, OPEN)
+        over, held = expire(held, watermark)
         closed = np.empty(0, OPEN)
         if parts:
-            closed, held = fold(held, *(np.concatenate(x) for x in zip(*parts, strict=True)), window=self.window)
-        self._save(held, was)
-        yield from self._rows((over, self.before), (closed, self.batch))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        was, held = self._load()
-        watermark = timerValues.getCurrentWatermarkInMs()
-        over, held = self._expire(held, watermark)
-        self._save(held, was, fired=True)
-        if watermark > self.final:
-            last, rest = self._expire(over, self.final)
-            yield from self._rows((last, self.batch), (rest, self.end))
+            closed, held = fold(held, *(np.concatenate(x) for x in zip(*parts, strict=True)), window=window)
+        if len(held):
+            state.update((held.tobytes(),))
+            state.setTimeoutTimestamp(int(due(held).min()) * HOUR_MS)
+        elif state.exists:
+            state.remove()
+        if watermark > final:
+            last, rest = expire(over, final)
+            found = ((last, batch), (rest, end))
         else:
-            yield from self._rows((over, self.before))
+            found = ((over, before), (closed, batch))
+        closed, at = np.concatenate([x for x, _ in found]), np.concatenate([np.full(len(x), b) for x, b in found])
+        if len(closed):
+            raw = closed["hash"].tobytes()
+            yield pd.DataFrame({"click_id": closed["click"], "start_hour": closed["start"], "closed_batch": at, "n_repeats": closed["repeats"], "n_conflicts": closed["conflicts"], "conflict_crc": closed["crc"], "hash": [raw[k : k + 32] for k in range(0, len(raw), 32)]})
 
-    def close(self) -> None:
-        pass
+    return walk
 
 
 def windows(events: DataFrame, n_batches: int, window: int = WINDOW, late: int = LATE, per_group: int = PER_GROUP) -> DataFrame:
@@ -215,7 +191,8 @@ def windows(events: DataFrame, n_batches: int, window: int = WINDOW, late: int =
         with settings(spark, SETTINGS | {"spark.sql.streaming.noDataMicroBatches.enabled": str(last).lower()}):
             stream = spark.readStream.schema(EVENT).parquet(f"{where}/events/batch={{{seen}}}")
             timed = stream.select(key.alias("grp"), "click_id", "hour", "hash", "crc", F.timestamp_millis((F.col("hour") - base) * HOUR_MS).alias("at")).withWatermark("at", f"{late * HOUR_MS + 1} milliseconds")
-            found = timed.groupBy("grp").transformWithStateInPandas(Windows(batch, order[k - 1] if k else batch, n_batches - 1, base, window, (high - base - late) * HOUR_MS - 1), RESULT, "Append", "EventTime")
+            walk = walker(batch, order[k - 1] if k else batch, n_batches - 1, base, window, (high - base - late) * HOUR_MS - 1)
+            found = timed.groupBy("grp").applyInPandasWithState(walk, RESULT, "open binary", "append", "EventTimeTimeout")
             query = found.writeStream.format("parquet").option("path", f"{where}/windows").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start()
         try:
             query.awaitTermination()

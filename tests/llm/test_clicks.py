@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -131,3 +132,16 @@ def test_fold_equals_walk():
         want = brute(events, 1)
         every = np.concatenate([closed, still])
         assert sorted((int(r["click"]), int(r["start"]), int(r["repeats"]), int(r["conflicts"])) for r in every) == sorted((w[0], w[1], w[3], w[4]) for w in want)
+
+
+def test_stores_leave_nothing_outside_the_heap(spark, monkeypatch):
+    """Spark keeps half a MB for each RocksDB store ever opened, one a partition and start: no start may open any."""
+    where = []
+    monkeypatch.setattr(X.common, "shared_dir", lambda spark, name, f=X.common.shared_dir: where.append(f(spark, name)) or where[-1])
+    s = ["11" * 32, "22" * 32]
+    events = [(k % 50, 100 + 40 * (k % 4) + k % 7, k % 4, s[k % 3 > 0]) for k in range(400)]
+    with X.settings(spark, {"spark.sql.shuffle.partitions": "40", "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}):
+        assert got(X.windows(frame(spark, events), 4, per_group=5)) == brute(events, 4)
+    files = [f for _, _, names in os.walk(f"{where[0].removeprefix('file:')}/state/state") for f in names]
+    assert sum(f.endswith(".delta") for f in files) >= 4 * 40
+    assert not [f for f in files if f.endswith((".changelog", ".zip", ".sst"))]
