@@ -30,6 +30,7 @@ whole. Only the columns named are read, whatever else the table holds.
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from hashlib import blake2b
 
 import numpy as np
@@ -55,8 +56,9 @@ BROADCAST = 1_000_000
 #: A task counts the first REACH of each set's shingles, CHUNK of them at a time, and tells those that come twice or more;
 #: told OFTEN times in all, a shingle is ordered last. What is missed only makes a list longer.
 REACH, CHUNK, OFTEN = 0.3, 2_000_000, 16
-#: Often seen shingles that are ordered last: the most common ones up to this number, which also bounds what is broadcast.
-MOST_OFTEN = 500_000
+#: Often seen shingles that are ordered last: the most common ones up to this number, which also bounds what the driver sees of
+#: them (two numbers each) and what is broadcast. CELLS: parts that shingles of the last count taken are told apart by.
+MOST_OFTEN, CELLS = 500_000, 4096
 #: Lists of HOT entries or more, as one row of ONE_OF tells, are gathered in SALTS parts by member, which partial aggregates
 #: then bring together. This says where entries go, never what is linked: a list that is missed only stays whole.
 HOT, ONE_OF, SALTS = 50_000, 16, 256
@@ -201,22 +203,51 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, h long, n long, gid long, key binary, often array<long>, counts array<long>")
 
 
-def _prefixes(docs: DataFrame, last: dict[int, int], taken: dict[bytes, int], percent: int, text_col: str, hot: list[int]) -> DataFrame:
+def _commonest(counts: DataFrame, least: int) -> np.ndarray:
+    """Tokens of counts (token, c) that have a count of least or more, by count and token: the most common ones, MOST_OFTEN at most.
+
+    Some 2000 ranges of counts, and CELLS parts of the range that doesn't fit as a whole, say which to take. So the driver sees
+    these numbers and the tokens taken, as two columns, and not the most common ones of every task.
+    """
+    c = F.col("c")
+    level = F.when(c < 1024, c).otherwise(1024 + F.floor(16 * F.log2(c / 1024))).cast("long")
+    cell = F.pmod(F.xxhash64("token"), F.lit(CELLS)).cast("long")
+    told = common.materialize(counts.where(c >= least).select("token", "c", level.alias("level"), cell.alias("cell")), "often")
+
+    def fitting(kind: str, rows: DataFrame, room: int, down: bool) -> tuple[int | None, int]:
+        """The first number of a kind whose rows don't fit into room any more, and the room left before it."""
+        for k, n in sorted(map(tuple, rows.groupBy(kind).count().collect()), reverse=down):
+            if n > room:
+                return k, room
+            room -= n
+        return None, room
+
+    top, room = fitting("level", told, MOST_OFTEN, True)
+    if top is not None:
+        part, _ = fitting("cell", told.where(F.col("level") == top), room, False)
+        told = told.where((F.col("level") > top) | ((F.col("level") == top) & (F.col("cell") < (CELLS if part is None else part))))
+    got = told.select("token", "c").toArrow()
+    token, n = (got.column(k).to_numpy() for k in ("token", "c"))
+    return token[np.lexsort((token, n))]
+
+
+def _prefixes(docs: DataFrame, last: Collection[int], taken: dict[bytes, int], percent: int, text_col: str, hot: list[int]) -> DataFrame:
     """(token, salt, gid, grp, n, stop): a row for each prefix shingle of a set that this task has not given out yet.
 
     stop: place of the prefix's last shingle in the order, the largest long for an often seen one. salt: part of the
-    shingle's list that the set is in, from 1 on if the list is one of hot, else 0.
+    shingle's list that the set is in, from 1 on if the list is one of hot, else 0. last: often seen shingles in their order.
     """
     spark = docs.sparkSession
-    order = sorted(last, key=lambda t: (last[t], t))
-    late = spark.sparkContext.broadcast((np.array(sorted(order), np.int64).view(np.uint64), {t: k for k, t in enumerate(order)}))
+    order = np.fromiter(last, np.int64, len(last)).view(np.uint64)
+    rank = np.argsort(order).astype(np.int32)
+    late = spark.sparkContext.broadcast((order[rank], rank))
     sent = spark.sparkContext.broadcast(taken)
     parted = spark.sparkContext.broadcast(np.array(hot, np.int64).view(np.uint64))
 
     def run(batches):
         shingles, seen = worker_shingles(), set()
         often, rank = late.value
-        often, taken, hot = np.sort(often), sent.value, parted.value
+        taken, hot = sent.value, parted.value
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 cols = [[], [], [], [], [], []]
@@ -239,8 +270,8 @@ def _prefixes(docs: DataFrame, last: dict[int, int], taken: dict[bytes, int], pe
                         first = s[~is_late][:p]
                         late_last = len(first) < p
                         if late_last:
-                            rest = sorted(s[is_late].view(np.int64).tolist(), key=rank.__getitem__)[: p - len(first)]
-                            first = np.concatenate([first, np.array(rest, np.int64).view(np.uint64)])
+                            rest = np.argsort(rank[at[is_late]])[: p - len(first)]
+                            first = np.concatenate([first, s[is_late][rest]])
                     else:
                         first = s[:p]
                     group = int.from_bytes(blake2b(first.tobytes() + n.to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
@@ -256,11 +287,11 @@ def _prefixes(docs: DataFrame, last: dict[int, int], taken: dict[bytes, int], pe
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token long, salt int, gid long, grp long, n int, stop long")
 
 
-def _hot(docs: DataFrame, last: dict[int, int], taken: dict[bytes, int], percent: int, id_col: str, text_col: str) -> list[int]:
+def _hot(docs: DataFrame, last: Collection[int], taken: dict[bytes, int], percent: int, id_col: str, text_col: str) -> list[int]:
     """Shingles whose lists are gathered in parts: the longest lists, MOST_OFTEN at most."""
     some = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(ONE_OF)) == 0)
     counts = _prefixes(some, last, taken, percent, text_col, []).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    return [r["token"] for r in counts.where(F.col("c") >= max(1, HOT // ONE_OF)).orderBy(F.desc("c"), "token").limit(MOST_OFTEN).collect()]
+    return _commonest(counts, max(1, HOT // ONE_OF)).tolist()
 
 
 def _whole_lists(parts: DataFrame) -> DataFrame:
@@ -437,8 +468,8 @@ def set_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_i
     """(doc_id, h, n_shingles, gid, root): one row for each row of docs; rows of one component have one root, sets without words none."""
     told = common.materialize(_sets(docs, id_col, text_col), "shingle-sets")
     rows = told.where("n >= 0").select("doc_id", "h", "n", "gid", "key")
-    often = told.where("size(often) > 0").select(F.explode(F.arrays_zip("often", "counts")).alias("x")).groupBy(F.col("x.often").alias("token")).agg(F.sum("x.counts").alias("c")).where(F.col("c") >= OFTEN)
-    last = {r["token"]: r["c"] for r in often.orderBy(F.desc("c"), "token").limit(MOST_OFTEN).collect()}
+    often = told.where("size(often) > 0").select(F.explode(F.arrays_zip("often", "counts")).alias("x")).groupBy(F.col("x.often").alias("token")).agg(F.sum("x.counts").alias("c"))
+    last = _commonest(often, OFTEN)
     rows, known, taken = _numbered(rows)
 
     # Lists of the sets that share a prefix shingle. m: groups in the list; at: place of a member in its group.

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 
 from bindscape.llm import components as K
 from bindscape.llm import jaccard_join as J
@@ -179,3 +180,34 @@ def test_shared_numbers(spark):
     gid = {r["doc_id"]: r["gid"] for r in numbered.collect()}
     assert gid[1] == gid[3] != gid[2] and gid[4] == 8 and gid[5] == 9 and {J.gid_of(k, taken) for k in (b"k1", b"k2")} == {gid[1], gid[2]}
     assert sorted((r["needed"], r["n"]) for r in known.collect()) == [(1, 5), (2, 6), (4, 9)]
+
+
+def test_commonest(spark, monkeypatch):
+    """As many of the most common tokens as may be taken, by count; of those with the last count only a part."""
+    rng = random.Random(11)
+    counts = {rng.randrange(-(1 << 63), 1 << 63): c for c in [*range(1, 40), *[7] * 300, *[5000, 5001, 10**6, 10**12]]}
+    df = spark.createDataFrame(list(counts.items()), "token long, c long").repartition(5)
+    for most in (0, 3, 20, 36, 100, 336, 341, 10_000):
+        monkeypatch.setattr(J, "MOST_OFTEN", most)
+        found = J._commonest(df, 4).tolist()
+        assert found == sorted(found, key=lambda t: (counts[t], t)) and len(set(found)) == len(found) <= most
+        assert not found or min(counts[t] for t in found) >= max([4, *[counts[t] for t in counts if t not in set(found)]])
+        assert len(found) >= min(most, sum(c >= 4 for c in counts.values())) - 2
+    assert J._commonest(df.limit(0), 4).tolist() == []
+
+
+def test_often_seen_on_driver(spark, monkeypatch):
+    """Often seen shingles reach the driver as numbers, not row by row, however many they are."""
+    kinds, most = {DataFrame, type(spark.range(1))}, []
+    for kind in kinds:
+        monkeypatch.setattr(kind, "collect", lambda self, was=kind.collect: [most.append(len(rows := was(self))), rows][1])
+    monkeypatch.setattr(J, "OFTEN", 2)
+    rng = random.Random(12)
+    bases = [[f"{k}w{i}" for i in range(1500)] for k in range(12)]
+    texts = [(k, " ".join(edited(rng, bases[k % 12], k // 12 * 20))) for k in range(36)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    told = []
+    monkeypatch.setattr(J, "_prefixes", lambda docs, last, *a, was=J._prefixes: [told.append(len(last)), was(docs, last, *a)][1])
+    found = J.jaccard_components(df)
+    assert max(told) > 4000 and sum(most) < max(told)
+    assert got(found) == brute(texts)
